@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import SMALL, UPPER, exact_groups
 from .packing import pack
+from .simhash import near_groups
 from .token_store import Store, write_store
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=4, distance=4)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Store(spark, write_store(table(spark, sf_dir, "documents"), end_id=0)).digests()
 
@@ -24,7 +29,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_store, op5_exact_dedup, op8_packing)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_token_store, op5_exact_dedup, op8_packing)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": f"""
