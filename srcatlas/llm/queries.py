@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import SMALL, UPPER, exact_groups
+from .html_text import extract
 from .packing import pack
 from .simhash import near_groups
 from .token_store import Store, write_store
@@ -24,12 +25,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), length=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_token_store, op5_exact_dedup, op8_packing)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op8_packing)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": f"""
