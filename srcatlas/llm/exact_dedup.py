@@ -7,12 +7,16 @@ An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import known_id, known_text, shown_id
+from .common import known_id, known_text, shown_id, written
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Buckets of the filter before the byte comparison; it is broadcast, and this bounds its rows.
+FILTER_BUCKETS = 1 << 20
 
 
 def ascii_lower(col: Column) -> Column:
@@ -20,34 +24,38 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, SMALL)
 
 
-def exact_groups(docs: DataFrame, keep: str = "smallest", lower: bool = True) -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "smallest", lower: bool = True, content_hash: Callable[[Column], Column] = F.md5) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     keep: 'smallest' or 'largest' doc_id of a group stays. Counts go through partial aggregation, so a group with
     a third of all rows leaves each task as one row; the join back splits under adaptive skew handling.
-    Bytes: for groups of two or more, min(text) = max(text) holds exactly if all texts are equal, and both
-    aggregate partially. A group where they differ (a hash collision) is grouped by the text itself.
+    Bytes: min(text) = max(text) holds in a group exactly if all its texts are equal, and both aggregate partially.
+    Only rows whose length and first characters occur in a group of two or more are read for it. A group where they
+    differ (a hash collision) is divided by the text itself.
     """
-    text = ascii_lower(known_text()) if lower else known_text()
+    norm = ascii_lower if lower else (lambda c: c)
     pick = F.min if keep == "smallest" else F.max
-    rows = docs.select(known_id().alias("_id"), text.alias("_norm")).select("_id", "_norm", F.md5("_norm").alias("_h"))
-    digests = rows.select("_id", F.unhex("_h").alias("_h"), F.sha2("_norm", 256).alias("text_sha256"))
+    text = known_text()
+    bucket = F.pmod(F.xxhash64(F.octet_length(text), norm(F.substring(text, 1, 48))), F.lit(FILTER_BUCKETS)).cast("int")
+    scan = docs.select(known_id().alias("_id"), text.alias("_text"), bucket.alias("_b"))
+    hashed = scan.select("_id", "_b", norm(F.col("_text")).alias("_norm"))
+    digests = written(hashed.select("_id", "_b", content_hash(F.col("_norm")).alias("_h"), F.sha2("_norm", 256).alias("text_sha256")), "digests")
     sizes = digests.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), pick("_id").alias("_keep"))
-    several = sizes.filter("_n > 1").select(F.lower(F.hex("_h")).alias("_h"))
-    collided = (
-        rows.join(several, "_h", "left_semi").groupBy("_h")
-        .agg(F.min("_norm").alias("_lo"), F.max("_norm").alias("_hi")).filter("_lo <> _hi").select("_h", F.lit(True).alias("_hit"))
-    )
-    # Collisions: their rows get the text's own digest of 256 bits as a second key, after the bytes have shown that they differ.
-    apart = (
-        rows.join(collided, "_h").groupBy("_h", "_norm").agg(F.count(F.lit(1)).alias("_n2"), pick("_id").alias("_keep2"))
-        .select(F.unhex("_h").alias("_h"), F.sha2("_norm", 256).alias("text_sha256"), "_n2", "_keep2")
-    )
-    out = digests.join(sizes, "_h").join(apart, ["_h", "text_sha256"], "left")
-    out = out.select("_id", "text_sha256", F.coalesce("_keep2", "_keep").alias("_keep"), F.coalesce("_n2", "_n").alias("group_size"))
+    several = F.broadcast(digests.join(sizes.filter("_n > 1"), "_h", "left_semi").select("_b").distinct())
+    again = scan.join(several, "_b", "left_semi").select("_id", norm(F.col("_text")).alias("_norm"))
+    again = again.select("_id", "_norm", content_hash(F.col("_norm")).alias("_h"))
+    collided = written(again.groupBy("_h").agg(F.min("_norm").alias("_lo"), F.max("_norm").alias("_hi")).filter("_lo <> _hi").select("_h"), "collided")
+    out = digests.join(sizes, "_h")
+    if not collided.isEmpty():
+        # The bytes differ: groups by the text itself take the place of groups by its hash.
+        apart = (
+            again.join(collided, "_h").groupBy("_h", "_norm").agg(F.count(F.lit(1)).alias("_n2"), pick("_id").alias("_keep2"))
+            .select("_h", F.sha2("_norm", 256).alias("text_sha256"), "_n2", "_keep2")
+        )
+        out = out.join(apart, ["_h", "text_sha256"], "left").withColumns({"_keep": F.coalesce("_keep2", "_keep"), "_n": F.coalesce("_n2", "_n")})
     # A repeated (doc_id, text) keeps one of its rows; the window's groups are only such repeats.
-    once = F.row_number().over(Window.partitionBy("_id", "text_sha256").orderBy(F.lit(1)))
+    once = F.row_number().over(Window.partitionBy("_id", "text_sha256").orderBy("_h"))
     return out.withColumn("_row", once).select(
-        shown_id("_id").alias("doc_id"), shown_id("_keep").alias("keep_id"), "group_size",
+        shown_id("_id").alias("doc_id"), shown_id("_keep").alias("keep_id"), F.col("_n").alias("group_size"),
         ((F.col("_id") == F.col("_keep")) & (F.col("_row") == 1)).alias("kept"), "text_sha256",
     )
