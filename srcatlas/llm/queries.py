@@ -11,6 +11,14 @@ from .html_text import extract
 from .packing import pack
 from .simhash import near_groups
 from .token_store import Store, write_store
+from .toxicity import learnable, scored, train
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return scored(docs.select("doc_id", "text"), model, threshold=0.7).select("doc_id", held_out, "score", "predicted")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +42,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op8_packing)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": f"""
