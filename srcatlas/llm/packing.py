@@ -32,8 +32,8 @@ def encode_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in slices(whole, "text"):
-                ids, offsets = enc.encode(batch.column("text").to_pylist())
+            for batch in slices(whole, "text", 4 << 20):
+                ids, offsets = enc.encode(batch.column("text"))
                 sizes = np.diff(offsets) + 1
                 ends = np.cumsum(sizes)
                 flat = np.insert(ids, offsets[1:], end_id).astype(enc.dtype)

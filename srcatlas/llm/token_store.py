@@ -80,8 +80,8 @@ def chunk_rows(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, row, sent = encoder(path), TaskContext.get().partitionId(), 0, set()
         for whole in batches:
-            for batch in slices(whole, "text"):
-                ids, offsets = enc.encode(batch.column("text").to_pylist())
+            for batch in slices(whole, "text", 4 << 20):
+                ids, offsets = enc.encode(batch.column("text"))
                 flat = np.insert(ids, offsets[1:], end_id).astype(enc.dtype)
                 bounds = (offsets + np.arange(len(offsets))).tolist()
                 cuts, blob, width = boundaries(flat), flat.tobytes(), enc.dtype.itemsize

@@ -12,6 +12,8 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def default_path() -> str:
@@ -22,7 +24,7 @@ def default_path() -> str:
 
 class Encoder:
     #: Distinct words remembered at most; then the memory starts anew.
-    MOST_WORDS = 1_000_000
+    MOST_WORDS = 1_600_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -71,22 +73,24 @@ class Encoder:
         self.length = np.concatenate([self.length, np.array(lengths, np.int64)])
         self.start = np.cumsum(self.length) - self.length
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and the offsets of each text in it."""
-        if len(self.cache) > self.MOST_WORDS:
-            self._clear()
-        words: list = []
-        counts = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            some = text.split(" ")
-            some[0] = (some[0],)
-            counts[i] = len(some)
-            words += some
+    def _codes(self, words: list) -> np.ndarray:
         codes = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
         if len(new := np.flatnonzero(codes == -1)):
             self._learn(dict.fromkeys(words[i] for i in new))
             codes[new] = [self.cache[words[i]] for i in new]
-        ptr = np.concatenate([[0], np.cumsum(counts)])
+        return codes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and the offsets of each text in it. Null counts as empty."""
+        if len(self.cache) > self.MOST_WORDS:
+            self._clear()
+        texts = pc.fill_null(texts, "") if texts.null_count else texts
+        pieces = pc.split_pattern(texts, " ")
+        ptr = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        words = pieces.flatten().dictionary_encode()
+        codes = self._codes(words.dictionary.to_pylist())[words.indices.to_numpy()]
+        # No space precedes a text's first word; a tuple tells it from the same word elsewhere.
+        codes[ptr[:-1]] = self._codes([(w,) for w in words.take(pa.array(ptr[:-1])).to_pylist()])
         whole = np.unique(np.searchsorted(ptr, np.flatnonzero(codes == -2), "right") - 1)
         lengths = np.where(codes < 0, 0, self.length[codes]) if len(self.length) else np.zeros(len(codes), np.int64)
         starts = np.where(codes < 0, 0, self.start[codes]) if len(self.start) else lengths
@@ -97,7 +101,7 @@ class Encoder:
             parts, at = [], 0
             sizes = np.diff(offsets)
             for d in whole:
-                own = self._ids(texts[d])
+                own = self._ids(texts[int(d)].as_py())
                 parts += [ids[at : offsets[d]], own]
                 at, sizes[d] = offsets[d + 1], len(own)
             ids = np.concatenate([*parts, ids[at:]])

@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 60_000, most_sl
         return none
     # Of unlabelled texts a share `prior` is toxic, so a mark of toxic texts alone is 1 / prior times commoner among them.
     lift = ((table.pos + 0.5) / (n_pos + 1)) / ((table.unl + 0.5) / (n + 1))
-    sure = table[(table.pos >= 2) & (lift > 0.5 / prior)].assign(lift=lift)
+    sure = table[(table.pos >= 3) & (lift > 0.5 / prior)].assign(lift=lift)
     sure = sure.sort_values(["pos", "slot"], ascending=[False, True]).head(most_slots)
     rank = np.full(1 << BITS, -1, np.int64)
     rank[sure.slot.to_numpy()] = np.arange(len(sure))
