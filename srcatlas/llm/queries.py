@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import contained
 from .exact_dedup import SMALL, UPPER, exact_groups
 from .html_text import extract
 from .packing import pack
@@ -42,7 +43,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op8_packing)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and test item that it contains."""
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, least=0.8)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op8_packing, op9_decontamination)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": f"""
