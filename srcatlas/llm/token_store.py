@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import known_id, known_text, prepare, shared_dir, shown_id
-from .textvec import BASE, U, mix, slices
+from .textvec import BASE, U, mix, powers, slices
 from .tokens import default_path, encoder
 
 WINDOW, LEAST, MASK_BITS, MOST = 8, 64, 9, 4096
@@ -50,17 +50,20 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def boundaries(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash allows a cut. Only the WINDOW ids up to a position count."""
+    up, down = powers(len(ids))
     p = np.zeros(len(ids) + 1, U)
-    power = np.full(len(ids), BASE, U)
-    power[:1] = 1
-    np.cumprod(power, out=power)
-    np.cumsum(mix(ids.astype(U) + U(1)) * power, out=p[1:])
-    back = np.full(len(ids), pow(BASE, -1, 2**64), U)
-    back[:1] = 1
-    np.cumprod(back, out=back)
-    at = np.arange(WINDOW, len(ids) + 1)
-    rolled = mix((p[at] - p[at - WINDOW]) * back[at - WINDOW])
-    return at[(rolled >> U(64 - MASK_BITS)) == 0]
+    x = _mixed(int(np.iinfo(ids.dtype).max) + 1 if ids.itemsize == 2 else 0)
+    x = x[ids] if len(x) else mix(ids.astype(U) + U(1))
+    x *= up[: len(ids)]
+    np.cumsum(x, out=p[1:])
+    rolled = (p[WINDOW:] - p[:-WINDOW]) * down[: max(0, len(p) - WINDOW)]
+    # The hash is a product, so its high bits depend on all of the window.
+    return np.flatnonzero((rolled * U(BASE)) >> U(64 - MASK_BITS) == 0) + WINDOW
+
+
+@lru_cache(maxsize=1)
+def _mixed(size: int) -> np.ndarray:
+    return mix(np.arange(1, size + 1, dtype=U))
 
 
 def chunk_ends(start: int, end: int, cuts: np.ndarray) -> list[int]:

@@ -38,7 +38,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.cache: dict = {}
-        self.pool, self.start, self.length = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.start, self.length = np.zeros(0, self.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
@@ -70,8 +70,8 @@ class Encoder:
             self.cache.update(zip(some, range(base, base + len(some)), strict=True))
             lengths += sizes
         self.pool = np.concatenate(found)
-        self.length = np.concatenate([self.length, np.array(lengths, np.int64)])
-        self.start = np.cumsum(self.length) - self.length
+        self.length = np.concatenate([self.length, np.array(lengths, np.int32)])
+        self.start = np.cumsum(self.length, dtype=np.int32) - self.length
 
     def _codes(self, words: list) -> np.ndarray:
         codes = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
@@ -92,10 +92,13 @@ class Encoder:
         # No space precedes a text's first word; a tuple tells it from the same word elsewhere.
         codes[ptr[:-1]] = self._codes([(w,) for w in words.take(pa.array(ptr[:-1])).to_pylist()])
         whole = np.unique(np.searchsorted(ptr, np.flatnonzero(codes == -2), "right") - 1)
-        lengths = np.where(codes < 0, 0, self.length[codes]) if len(self.length) else np.zeros(len(codes), np.int64)
-        starts = np.where(codes < 0, 0, self.start[codes]) if len(self.start) else lengths
-        ends = np.cumsum(lengths)
-        ids = self.pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        good = np.maximum(codes, 0)
+        lengths = self.length[good] * (codes >= 0) if len(self.length) else np.zeros(len(codes), np.int32)
+        ends = np.cumsum(lengths, dtype=np.int32)
+        shift = (self.start[good] if len(self.start) else lengths) - (ends - lengths)
+        at = np.repeat(shift, lengths)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = self.pool[at]
         offsets = np.concatenate([[0], ends])[ptr]
         if len(whole):
             parts, at = [], 0
