@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lm_score
 from .common import table
 from .decontam import contained
 from .exact_dedup import SMALL, UPPER, exact_groups
@@ -48,7 +49,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, least=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op8_packing, op9_decontamination)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.scored(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op8_packing, op9_decontamination, op10_lm_score)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": f"""
