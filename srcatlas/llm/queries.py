@@ -10,6 +10,7 @@ from .common import table
 from .decontam import contained
 from .exact_dedup import SMALL, UPPER, exact_groups
 from .html_text import extract
+from .line_dedup import dedup_lines
 from .packing import pack
 from .simhash import near_groups
 from .token_store import Store, write_store
@@ -23,6 +24,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs.select("doc_id", "text"), model, threshold=0.7).select("doc_id", held_out, "score", "predicted")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup_lines(table(spark, sf_dir, "documents"), removed="n_removed_lines")
+    return docs.select("doc_id", "text", "n_chars", "n_removed_lines")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), words=4, distance=4)
 
@@ -54,7 +60,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op8_packing, op9_decontamination, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op8_packing, op9_decontamination, op10_lm_score)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": f"""
