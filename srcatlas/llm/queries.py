@@ -13,6 +13,7 @@ from .html_text import extract
 from .line_dedup import dedup_lines
 from .packing import pack
 from .simhash import near_groups
+from .substring_dedup import dedup_substrings
 from .token_store import Store, write_store
 from .toxicity import learnable, scored, train
 
@@ -45,6 +46,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), length=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -60,7 +65,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op8_packing, op9_decontamination, op10_lm_score)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op7_substring_dedup, op8_packing, op9_decontamination, op10_lm_score)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": f"""
