@@ -214,3 +214,14 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame
     return found.join(final, "fp").select(
         shown_id("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), shown_id("component_id").alias("component_id")
     )
+
+
+def one_per_group(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of docs, all columns, one of each group: the one with the smallest doc_id (of repeated ids, one row)."""
+    from pyspark.sql import Window
+
+    kept = near_groups(docs, words, distance).filter("doc_id <=> component_id").select(known_id().alias("__id"), F.col("fingerprint").alias("__fp")).distinct()
+    keyed = docs.withColumn("__id", known_id()).join(kept, "__id", "left_semi")
+    # Only rows that repeat an id share a window; of those, texts of one group come down to the first.
+    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.col("text").asc_nulls_first()))
+    return keyed.withColumn("__n", first).filter("__n = 1").drop("__id", "__n")
