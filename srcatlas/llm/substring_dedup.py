@@ -34,7 +34,9 @@ from .textvec import U, mix, prefix_hash, slices, span_hash, utf8
 MATCH, K = 100, 24
 REST = MATCH - K
 #: Anchors that a task holds before it sends them.
-HELD = 2_000_000
+HELD = 300_000
+#: Rows of a batch that goes back to Spark.
+ROWS = 20_000
 FILTER_BITS = 1 << 22
 FOUND = "kind int, doc long, a int, b int, gram long"
 ANCHOR, RESOLVED, SPAN = 0, 1, 2
@@ -103,7 +105,8 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.ones(len(doc), bool)
         first[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
         cols = [np.full(first.sum(), ANCHOR, np.int32), doc[first], at[first].astype(np.int32), np.zeros(first.sum(), np.int32), gram[first].view(np.int64), context[first].view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "doc", "a", "b", "gram", "context"])
+        out = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "doc", "a", "b", "gram", "context"])
+        yield from (out.slice(i, ROWS) for i in range(0, out.num_rows, ROWS))
         doc, at = doc[~first], at[~first]
         order = np.lexsort((at, doc))
         doc, a, b = spans_of(doc[order], np.maximum(0, at[order] - REST), at[order] + MATCH)
