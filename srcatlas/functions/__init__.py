@@ -1,0 +1 @@
+"""Column functions: spans, positions, names, completion keys, cfg predicates."""

@@ -1,0 +1 @@
+"""Plan shapes that several operators share: fixpoints, interval joins, as-of lookups, priority unions."""
