@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .textvec import BASE, U, Words, mix, slices
 
-BITS, MU = 21, 50.0
+BITS, MU, BLOCK = 21, 50.0, 1 << 15
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +123,22 @@ def fit(docs: DataFrame, labels: DataFrame, most_words: int = 1 << 16) -> Models
     marked = docs.select("doc_id", text).join(good, F.col("doc_id") == F.col("_label_id"), "left").select("text", F.col("_label_id").isNotNull().alias("target"))
     shared = spark.sparkContext.broadcast(vocabulary)
     grams = marked.mapInArrow(count_grams(shared), "slot long, target long, background long")
-    table = grams.groupBy("slot").agg(F.sum("target").cast("float").alias("target"), F.sum("background").cast("float").alias("background")).toPandas()
-    counts = np.zeros((2, (1 << BITS) + vocabulary.size + 1), np.float32)
-    counts[:, table.slot.to_numpy(np.int64)] = table[["target", "background"]].to_numpy(np.float32).T
-    return Models(vocabulary, counts)
+    summed = grams.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    # Blocks of BLOCK slots travel to the driver as dense bytes, not as rows; the whole model has a fixed size.
+    blocks = summed.groupBy(F.floor(F.col("slot") / BLOCK).alias("block")).applyInArrow(dense_block, "block long, target binary, background binary")
+    counts = np.zeros((2, -(-((1 << BITS) + vocabulary.size + 1) // BLOCK) * BLOCK), np.float32)
+    for r in blocks.toLocalIterator():
+        for k, blob in enumerate((r.target, r.background)):
+            counts[k, r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(blob, np.float32)
+    return Models(vocabulary, np.ascontiguousarray(counts[:, : (1 << BITS) + vocabulary.size + 1]))
+
+
+def dense_block(rows: pa.Table) -> pa.Table:
+    slot = rows.column("slot").to_numpy()
+    out = np.zeros((2, BLOCK), np.float32)
+    for k, c in enumerate(("target", "background")):
+        out[k, slot % BLOCK] = rows.column(c).to_numpy()
+    return pa.table({"block": [int(slot[0]) // BLOCK], "target": [out[0].tobytes()], "background": [out[1].tobytes()]})
 
 
 def scored(docs: DataFrame, models: Models) -> DataFrame:
