@@ -14,11 +14,19 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+#: Texts travel to Python in batches of about this size; Spark's own limit is 64 MB.
+BATCH_BYTES = 4 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package where the driver's folder exists on the workers too.
+    """Let Python workers import this package where the driver's folder exists on the workers too, and bound Arrow batches.
 
-    On a cluster without such a folder, ship the package with --py-files as usual.
+    On a cluster without such a folder, ship the package with --py-files as usual. A batch limit that the session sets
+    below BATCH_BYTES stays.
     """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
