@@ -26,7 +26,7 @@ def late_events(events: DataFrame) -> DataFrame:
 def debounced(events: DataFrame, quiet_seconds: float) -> DataFrame:
     """L.7: triggers after which their path is quiet for so long, or for good."""
     order = Window.partitionBy("path").orderBy("ts", "version")
-    gap = F.unix_micros(F.lead("ts").over(order)) - F.unix_micros("ts")
+    gap = F.unix_micros(F.lead("ts").over(order).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
     return events.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= int(quiet_seconds * 1_000_000))).drop("_gap")
 
 
