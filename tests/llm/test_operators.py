@@ -1,0 +1,442 @@
+"""Operators against brute force on small tables, with nulls, empty texts, repeats, ties and empty tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from srcatlas.llm import decontam, exact_dedup, html_text, line_dedup, lm_score, packing, simhash, substring_dedup, token_store, tokens, toxicity
+from srcatlas.llm.graph import components
+
+DOCS = "doc_id long, text string, lang string, _id string"
+SF = "/root/testdata/sf0.001"
+WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sigma tau ups phi chi psi omega".split()
+
+
+def prose(rng: random.Random, n: int) -> str:
+    return " ".join(rng.choice(WORDS) + rng.choice(("", "", "", ".", ",")) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Ids out of order, copies, near copies, nulls, an empty text, a very long one; an extra column with a clashing name."""
+    rng = random.Random(5)
+    base = [prose(rng, rng.randint(1, 120)) for _ in range(40)]
+    out = []
+    for i in range(120):
+        text = rng.choice(base)
+        if rng.random() < 0.3:
+            text = text.upper() if rng.random() < 0.5 else text + "\n" + prose(rng, 12)
+        out.append((i * 7 % 121, text, "en", "x"))
+    out += [(200, None, None, None), (201, "", "en", "x"), (202, "  ", "en", "x"), (203, prose(rng, 6000), "en", "x")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def ids_of(text: str | None, end: int) -> np.ndarray:
+    t = tokens.encoder(tokens.default_path()).tokenizer
+    return np.array([*t.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+
+
+# ---- 5 exact ----
+
+
+def exact_brute(rows, keep):
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[(t or "").translate({c: c + 32 for c in range(65, 91)})].append(i)
+    return {(i, keep(g), len(g), i == keep(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i in g}
+
+
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_exact(docs, rows, keep):
+    want = exact_brute(rows, {"smallest": min, "largest": max}[keep])
+    assert {tuple(r) for r in exact_dedup.exact_groups(docs, keep).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()} == want
+    weak = exact_dedup.exact_groups(docs, keep, content_hash=lambda c: F.substring(F.md5(c), 1, 1))
+    assert {tuple(r) for r in weak.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()} == want
+
+
+def test_exact_repeats_and_empty(spark, empty):
+    repeated = spark.createDataFrame([(1, "A"), (1, "a"), (None, "a"), (2, None), (3, "")], "doc_id long, text string")
+    got = exact_dedup.exact_groups(repeated).collect()
+    assert len(got) == 5 and sum(r.kept for r in got) == 2
+    assert exact_dedup.exact_groups(empty).count() == 0
+
+
+# ---- 4 and 8: tokens, store, packing ----
+
+
+def test_encoder_equals_the_library():
+    texts = [None, "", " ", "a  b", "a   b", "x \n y", "x\n", "a <|endoftext|> b", "  x", "é è", "tab \t x", "\n\n a", "don't we'll 1.5, 2", "w ...", "q\x01 r", " x  y", "　 z", "é x"]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice("ab .,\n\t'é1 ") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    enc = tokens.Encoder(tokens.default_path())
+    for part in (texts, texts[::-1]):
+        ids, offsets = enc.encode(pa.array(part))
+        for t, a, b in zip(part, offsets, offsets[1:], strict=False):
+            assert ids[a:b].tolist() == ids_of(t, 0)[:-1].tolist(), repr(t)
+
+
+def test_packing(docs, rows, empty):
+    got = sorted(packing.pack(docs, length=64, end_id=1).collect(), key=lambda r: (r.sequence_id, r.offset))
+    want = {i: ids_of(t, 1) for i, t, *_ in rows}
+    seen = Counter()
+    fill = Counter()
+    for r in got:
+        assert r.offset == fill[r.sequence_id] and r.doc_tokens == len(want[r.doc_id])
+        assert r.ids == want[r.doc_id][r.start : r.start + r.length].tobytes()
+        fill[r.sequence_id] += r.length
+        seen.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+    assert sum(seen.values()) == len(seen) == sum(map(len, want.values()))
+    assert all(fill[s] == 64 for s in sorted(fill)[:-1])
+    assert [r.doc_id for r in got if r.start == 0] == sorted(want)
+    assert packing.pack(empty).count() == 0
+
+
+def test_packing_null_and_repeated_ids(spark):
+    d = spark.createDataFrame([(None, "b c"), (1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
+    got = sorted(packing.pack(d).collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert [r.doc_id for r in got] == [None, None, 1, 1] and got[0].doc_tokens == 1
+
+
+def test_store_round_trip(spark, docs, rows, empty):
+    store = token_store.Store(spark, token_store.write_store(docs))
+    want = {i: ids_of(t, 0) for i, t, *_ in rows}
+    start = 0
+    for r in sorted(store.digests().collect(), key=lambda r: r.doc_id):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want[r.doc_id]), zlib.crc32(want[r.doc_id].tobytes()))
+        start += r.n_tokens
+    assert start == sum(map(len, want.values()))
+    assert {r.doc_id: r.ids for r in store.documents().collect()} == {i: x.astype("<u2").tobytes() for i, x in want.items()}
+    keys = [r.key for r in store.chunks.collect()]
+    assert len(keys) == len(set(keys)) < store.steps().count()
+    assert token_store.Store(spark, token_store.write_store(empty)).digests().count() == 0
+
+
+def test_store_shares_chunks_of_shifted_texts(spark):
+    rng = random.Random(2)
+    long = prose(rng, 6000)
+    d = spark.createDataFrame([(1, long), (2, "shifted by some words " + long)], "doc_id long, text string")
+    store = token_store.Store(spark, token_store.write_store(d))
+    steps, unique = store.steps().count(), store.chunks.count()
+    assert unique < 0.7 * steps
+
+
+def test_store_finds_damage(spark, docs):
+    folder = token_store.write_store(docs)
+    store = token_store.Store(spark, folder)
+    store.chunks = store.chunks.withColumn("payload", F.expr("overlay(payload placing X'7F' from 1)"))
+    with pytest.raises(Exception, match="does not match its digest"):
+        store.digests().collect()
+
+
+# ---- 3 SimHash ----
+
+
+def fingerprint(text: str | None, n: int = 4) -> int:
+    w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + n]), 42) for i in range(max(1, len(w) - n + 1))]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def simhash_brute(pairs, distance=4):
+    parent = {i: i for i, _ in pairs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, fa in pairs:
+        for b, fb in pairs:
+            if a < b and (fa ^ fb).bit_count() <= distance:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in pairs}
+
+
+def test_simhash(docs, rows, empty):
+    got = {r.doc_id: r for r in simhash.near_groups(docs).collect()}
+    pairs = [(i, fingerprint(t)) for i, t, *_ in rows]
+    assert {i: r.fingerprint for i, r in got.items()} == {i: f"{f:016x}" for i, f in pairs}
+    assert {i: r.component_id for i, r in got.items()} == simhash_brute(pairs)
+    assert simhash.near_groups(empty).count() == 0
+    kept = simhash.one_per_group(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(simhash_brute(pairs).values()))
+
+
+@pytest.mark.parametrize("distance", [0, 3, 5])
+def test_anchors_cover_every_near_pair(distance):
+    rng = np.random.default_rng(distance)
+    fps = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    flips = np.zeros(3000, np.uint64)
+    for _ in range(distance):
+        flips |= np.uint64(1) << rng.integers(0, 64, 3000).astype(np.uint64)
+    other = fps ^ flips
+    a = set(zip(*simhash.anchors_of(fps, distance // 3), strict=True))
+    b = set(zip(*simhash.anchors_of(other, distance // 3), strict=True))
+    assert {r for r, _ in a & b} == set(range(3000))
+
+
+def test_crowded_anchor_links(spark):
+    rng = np.random.default_rng(1)
+    fps = np.unique(np.concatenate([np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64), rng.integers(0, 1 << 63, 100, dtype=np.uint64)]))
+    src, dst = simhash.forest(fps, 4)
+    assert len(src) < len(fps) and (np.bitwise_count(src ^ dst) <= 4).all()
+
+
+def test_components(spark):
+    e = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (4, 9), (20, 21), (12, 30), (31, 30), (5, 5)] + [(100, k) for k in range(101, 160)] + [(k, k + 1) for k in range(300, 340)]
+    got = {tuple(r) for r in components(spark.createDataFrame(e, "src long, dst long")).collect()}
+    want = {(n, 1) for n in (1, 2, 3, 4, 9)} | {(n, 10) for n in (10, 11, 12, 30, 31)} | {(20, 20), (21, 20)} | {(n, 100) for n in range(100, 160)} | {(n, 300) for n in range(300, 341)}
+    assert got == want
+
+
+# ---- 7 substrings ----
+
+
+def substring_brute(rows):
+    seen, out = set(), {}
+    for i, t in sorted((i, t or "") for i, t, *_ in rows):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s : s + 100] in seen:
+                gone[s : s + 100] = b"\x01" * 100
+            seen.add(b[s : s + 100])
+        kept = bytes(x for x, r in zip(b, gone, strict=True) if not r)
+        out[i] = (len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_substrings(spark, docs, rows, empty):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup_substrings(docs).collect()}
+    assert got == substring_brute(rows)
+    assert substring_dedup.dedup_substrings(empty).count() == 0
+
+
+def test_substrings_periodic_and_partial(spark):
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("abcd é") for _ in range(rng.randint(60, 400))) for _ in range(12)]
+    some = []
+    for i in range(90):
+        t = "".join(rng.choice(pool) if rng.random() < 0.6 else "".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 150))) for _ in range(rng.randint(0, 6)))
+        some.append((i, t + "x" * (rng.randint(90, 400) if i % 10 == 0 else 0) + "ab" * (200 if i % 13 == 0 else 0)))
+    some += [(200, None), (201, "y" * 99), (202, "y" * 100), (203, "y" * 101)]
+    d = spark.createDataFrame(some, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup_substrings(d).collect()}
+    assert got == substring_brute(some)
+
+
+def test_substrings_repeated_ids(spark):
+    d = spark.createDataFrame([(1, "q" * 150), (1, "q" * 150), (1, "r" * 150), (None, "r" * 120), (2, "q" * 100 + "r" * 100)], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in substring_dedup.dedup_substrings(d).collect())
+    assert got == [(-1, 120, 19 + 100), (1, 150, 149), (1, 150, 149), (1, 150, 150), (2, 200, 200)]
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffix_sort(collide):
+    rng = np.random.default_rng(4)
+    n = 300
+    data = rng.integers(97, 100, (n, substring_dedup.REST)).astype(np.uint8)
+    length = rng.integers(0, substring_dedup.REST + 1, n)
+    data[np.arange(substring_dedup.REST)[None, :] >= length[:, None]] = 0
+    group = np.sort(rng.integers(0, 9, n))
+    sides = substring_dedup.Sides(data, length)
+    if collide:
+        sides.prefix[:] = sides.prefix & np.uint64(0)
+    order, lcp = sides.checked(group)
+    key = lambda i: (group[i], data[i, : length[i]].tobytes())
+    assert [key(i) for i in order] == sorted(map(key, range(n)))
+    for k in range(1, n):
+        a, b = (data[i, : length[i]].tobytes() for i in (order[k - 1], order[k]))
+        assert lcp[k] == next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+
+
+# ---- 2 lines ----
+
+
+def test_lines(spark, empty):
+    same = "one two three four five six\nno\nseven eight nine ten eleven"
+    some = [
+        (1, same + "\nmine alone here it is"), (2, "other words stand before the block\n" + same + "\nmy own last line of text"), (3, same + "\nmine alone here it is"),
+        (None, "q q q q q q q q q q q"), (5, None), (6, ""), (7, "q q q q q q q q q q q\nfoo"), (7, "q q q q q q q q q q q\nfoo"), (8, "a short line shared by two\nnext line"), (9, "a short line shared by two\nother"),
+    ]
+    got = [(r.doc_id, r.text, r.n) for r in line_dedup.dedup_lines(spark.createDataFrame(some, "doc_id long, text string"), removed="n").collect()]
+    want = [*some[:1], (2, "other words stand before the block\nmy own last line of text"), (3, ""), *some[3:6], (7, "foo"), (7, "foo"), *some[8:]]
+    assert sorted([(i, t) for i, t, _ in got], key=str) == sorted(want, key=str)
+    assert line_dedup.dedup_lines(empty).columns == empty.columns and line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_lines_against_brute_force(spark):
+    """On sf0.001 no line goes that no earlier text has, and hardly a long one that an earlier text has stays."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    new = {r.doc_id: r.text for r in line_dedup.dedup_lines(d).collect()}
+    seen, stay, shared = {}, 0, 0
+    for r in sorted(d.collect(), key=lambda r: r.doc_id):
+        left = Counter(new[r.doc_id].split("\n"))
+        for line, n in Counter(r.text.split("\n")).items():
+            if len(line.split()) >= 10:
+                earlier = line.strip() in seen and seen[line.strip()] < r.doc_id
+                assert left[line] == n or earlier
+                shared, stay = shared + earlier, stay + (earlier and left[line] == n)
+            seen.setdefault(line.strip(), r.doc_id)
+    assert shared > 20 and stay <= 0.1 * shared
+
+
+def test_patience_keeps_the_order():
+    match = lambda at, first: {"at": at, "first_at": first}
+    assert line_dedup.aligned([match([0], [5]), match([1], [0]), match([2], [1]), match([3], [2])]) == {1: 0, 2: 1, 3: 2}
+    assert line_dedup.aligned([match([0, 2], [0, 2]), match([1], [1])]) == {0: 0, 1: 1, 2: 2}
+
+
+# ---- 9 decontamination ----
+
+
+def containment_brute(docs, items, least=0.8):
+    norm = lambda s: re.findall(rb"[0-9a-z\x80-\xff]+", (s or "").encode().lower())
+    sets = lambda w: {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    texts = [(i, sets(norm(t))) for i, t in docs]
+    return {(i, j) for j, q in ((j, sets(norm(t))) for j, t in items) if q for i, s in texts if len(q & s) >= least * len(q)}
+
+
+def test_containment(spark):
+    d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    rng = random.Random(7)
+    items = [(r.item_id, r.text) for r in b.collect()]
+    more = []
+    for k, (_, t) in enumerate(items[:20]):  # leaks in other case and with other stops, whole and damaged, in long texts
+        w = t.split()
+        w[-1] = "damaged" if k % 2 else w[-1]
+        more.append((10_000 + k, prose(rng, 3000) + " " + " ".join(w).upper().replace(".", ";") + " " + prose(rng, 50)))
+    all_docs = [(r.doc_id, r.text) for r in d.collect()] + more + [(1, None), (None, items[0][1])]
+    all_items = [*items, (900, "one two three"), (901, None), (902, ""), (903, "..."), (904, "seven eight nine ten eleven twelve")]
+    all_docs += [(20_000, "One two, three"), (20_001, "zero one two three"), (20_002, "x seven eight nine ten eleven twelve y")]
+    dd, bb = spark.createDataFrame(all_docs, "doc_id long, text string"), spark.createDataFrame(all_items, "item_id long, text string")
+    want = containment_brute(all_docs, all_items)
+    assert {(r.doc_id, r.item_id) for r in decontam.contained(dd, bb).collect()} == want and len(want) > 20
+    assert {(r.doc_id, r.item_id) for r in decontam.contained(dd, bb, most_items=9).collect()} == want
+    clean = decontam.clean(dd, bb)
+    assert Counter(r.doc_id for r in clean.collect()) == Counter(i for i, t in all_docs if not containment_brute([(i, t)], all_items))
+    assert decontam.contained(dd, bb.limit(0)).count() == 0 == decontam.contained(dd.limit(0), bb).count()
+    assert decontam.clean(dd, bb.limit(0)).count() == len(all_docs)
+
+
+# ---- 1 toxicity ----
+
+
+def test_toxicity(spark, empty):
+    rng = random.Random(11)
+    docs, labels = [], []
+    for i in range(1500):
+        toxic = i % 8 == 0
+        words = prose(rng, rng.randint(5, 80)).split()
+        for _ in range(2 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(("vilest", "vilely", "dreadful")))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs += [(5000, None), (5001, ""), (None, "vilest dreadful")]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(d, lab)
+    got = {r.doc_id: r for r in toxicity.scored(d, model).collect()}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i].predicted == y for i, y in held) >= 0.98 * len(held)
+    assert got[None].predicted == 1 and got[5000].score == got[5001].score < 0.3
+    assert all(0 <= r.score <= 1 for r in got.values())
+    # Labels of the held-out third have no influence.
+    flipped = lab.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert {r.doc_id: r.score for r in toxicity.scored(d, toxicity.train(d, flipped)).collect()} == {i: r.score for i, r in got.items()}
+    none = toxicity.train(d, lab.limit(0))
+    assert {round(r.score, 6) for r in toxicity.scored(d, none).collect()} == {0.1}
+    assert toxicity.scored(empty, model).count() == 0
+
+
+def test_nnpu_risk_separates():
+    rng = np.random.default_rng(0)
+    toxic = (rng.random(800) < 0.2).astype(int)
+    found = [np.array([0] if y and rng.random() < 0.9 else [1 + int(rng.integers(3))]) for y in toxic]
+    w, _ = toxicity.fit_nnpu(found, toxic, 4, toxic.mean())
+    assert w[0] > w[1:].max() + 1
+
+
+# ---- 6 pages ----
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (None, ""), ("", ""), ("<p>", ""), ("plain & simple", ""),
+        ("<article><h1>A &amp; B</h1><p>One.</p><p>x <b>y</b>\n z<br>w</article>", "A & B\n\nOne.\n\nx y z w"),
+        ("<nav><p>the of and to in a is that for it was on are as with his they</p></nav><article><p>One</p><div class='comments'><p>Two</p></div><aside>x</aside><form>y</form></article><footer>z</footer>", "One"),
+        ("<article><p>cut &amp;am <!-- never shut", "cut &am"), ("<article><script>if (a<b) '</p>'</script><style>p{}</style><p>One</p>", "One"),
+        ("<div id=sidebar>The cat of the house is in the tree and it was on the roof for a day or two in all.</div><div><p>The cat of the house is in the tree and it was on the roof for a day or two in all.</p><p>Short.</p></div>",
+         "The cat of the house is in the tree and it was on the roof for a day or two in all.\n\nShort."),
+        ("<ul><li><a href=x>the one of the two links in this list that is as long as a text</a></li></ul>", ""),
+    ],
+)
+def test_pages(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_pages_table(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r for r in html_text.extract(pages).collect()}
+    from html import unescape
+
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
+        parts = (" ".join(unescape(re.sub(r"<[^>]*>?", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", article))
+        assert got[r.page_id].text == "\n\n".join(x for x in parts if x) and got[r.page_id].n_chars == len(got[r.page_id].text)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+# ---- 10 language models ----
+
+
+def test_lm_scores(spark, docs, empty):
+    rng = random.Random(13)
+    good = [(i, " ".join(rng.choice(WORDS[:8]) for _ in range(60))) for i in range(60)]
+    bad = [(i, " ".join(rng.choice(WORDS[8:]) for _ in range(60))) for i in range(100, 200)]
+    d = spark.createDataFrame([*good, *bad, (300, None), (301, ""), (None, "alpha beta")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in [*range(40), *range(100, 140)]], "doc_id long, quality int")
+    got = {r.doc_id: r for r in lm_score.scored(d, lm_score.fit(d, labels)).collect()}
+    assert max(got[i].score for i, _ in good) < min(got[i].score for i, _ in bad)
+    assert got[300].score == got[301].score == got[300].n_tokens == 0 and got[None].n_tokens == 2
+    assert lm_score.scored(empty, lm_score.fit(empty, labels)).count() == 0
+
+
+def test_lm_losses_by_hand(spark):
+    d = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in lm_score.scored(d, lm_score.fit(d, labels)).collect()}
+    mu, v = lm_score.MU, 4  # a, b, c and the unknown word
+
+    def loss(words, texts):
+        single, pairs = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(["<"] + t, t, strict=False))
+        single["<"] = len(texts)
+        n = sum(len(t) for t in texts)
+        return np.mean([-np.log((pairs[p] + mu * (single[p[1]] + 1) / (n + v)) / (single[p[0]] + mu)) for p in zip(["<"] + words, words, strict=False)])
+
+    for i, words in ((1, ["a", "b", "a"]), (2, ["b", "c"])):
+        assert got[i].target_loss == pytest.approx(loss(words, [["a", "b", "a"]]), rel=1e-5)
+        assert got[i].background_loss == pytest.approx(loss(words, [["a", "b", "a"], ["b", "c"]]), rel=1e-5)
