@@ -120,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_words: int = 1 << 16) -> Models
     top = words.orderBy(F.desc("n"), "word").limit(most_words).select("word").toPandas()
     vocabulary = Vocabulary(np.sort(top.word.to_numpy(np.int64).view(U)))
     good = labels.groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("quality").alias("_q")).filter("_q = 1").select("_label_id")
-    marked = docs.select("doc_id", text).join(good, F.col("doc_id") == F.col("_label_id"), "left").select("text", F.col("_label_id").isNotNull().alias("target"))
+    # A merge join whatever the number of labels: its cost follows the corpus at every size.
+    marked = docs.select("doc_id", text).join(good.hint("merge"), F.col("doc_id") == F.col("_label_id"), "left").select("text", F.col("_label_id").isNotNull().alias("target"))
     shared = spark.sparkContext.broadcast(vocabulary)
     grams = marked.mapInArrow(count_grams(shared), "slot long, target long, background long")
     summed = grams.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
