@@ -340,8 +340,11 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc long, text string), doc unique: doc, a, b of byte strings that start earlier; spans may overlap."""
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (doc long, text string), doc unique: doc, a, b of byte strings that start earlier; spans may overlap.
+
+    Also returns a written table that names (doc) every document with such a span, and some without.
+    """
     wide = docs.filter(F.octet_length("text") >= MATCH)
     sent = wide.mapInArrow(anchor_rows, FOUND + ", context long")
     names = ["kind", "doc", "a", "b", "gram", "context"]
@@ -351,7 +354,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = near.select("doc", "text", "at").mapInArrow(context_rows, "gram long, doc long, a int, bytes binary, before int")
     names = ["gram", "doc", "a", "bytes", "before"]
     compared = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(by_group(names, "gram", compare), FOUND)
-    return met.filter(F.col("kind") != ANCHOR).select("doc", "a", "b").union(compared.select("doc", "a", "b"))
+    return met.filter(F.col("kind") != ANCHOR).select("doc", "a", "b").union(compared.select("doc", "a", "b")), met
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -384,9 +387,9 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
 
 
 def results(rows: DataFrame) -> DataFrame:
-    found = written(repeated_spans(rows), "spans")
+    found, named = repeated_spans(rows)
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    marked = rows.withColumn("_maybe", bit_filter(found, rows))
+    marked = rows.withColumn("_maybe", bit_filter(named, rows))
     whole = marked.filter(~F.col("_maybe")).select(
         "doc", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")
     )
