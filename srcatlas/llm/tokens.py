@@ -24,7 +24,7 @@ def default_path() -> str:
 
 class Encoder:
     #: Distinct words remembered at most; then the memory starts anew.
-    MOST_WORDS = 1_600_000
+    MOST_WORDS = 1_200_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
