@@ -83,21 +83,22 @@ def resolve_paths(paths: DataFrame, bindings: DataFrame, module_defs: DataFrame,
     path_id, def_id (null if unresolved) and unresolved_at, the first segment that led nowhere.
     """
     n = F.size("segments")
-    now = paths.select("path_id", "module_id", "segments", F.lit(0).alias("_k"))
-    done, failed = None, None
+    nothing = F.lit(None).cast("long").alias("def_id")
+    now = paths.select("path_id", "module_id", "segments")
+    found = now.filter(n == 0).select("path_id", nothing, F.lit(0).alias("unresolved_at"))
     longest = paths.agg(F.max(n)).first()[0] or 0
     if longest > most_segments:
         raise ValueError(f"a path has {longest} segments")
     scope = bindings.select("module_id", F.col("name").alias("_name"), "ns", "def_id").distinct()
+    modules = module_defs.select("def_id", F.col("module").alias("_m"))
     for k in range(longest):
-        here = now.withColumn("_name", F.col("segments")[k])
-        hit = here.join(scope, ["module_id", "_name"])
+        here = now.filter(n > k).withColumn("_name", F.get("segments", F.lit(k)))
+        hit = here.join(scope, ["module_id", "_name"]).filter((n == k + 1) | (F.col("ns") == "t"))
         last = hit.filter(n == k + 1).select("path_id", "def_id", F.lit(None).cast("int").alias("unresolved_at"))
-        deeper = hit.filter((n > k + 1) & (F.col("ns") == "t")).join(module_defs.select("def_id", F.col("module").alias("_m")), "def_id")
-        step = deeper.select("path_id", F.col("_m").alias("module_id"), "segments", "_k").distinct()
-        arrived = last.select("path_id").union(step.select("path_id")).distinct()
-        miss = now.join(arrived, "path_id", "left_anti").select("path_id", F.lit(None).cast("long").alias("def_id"), F.lit(k).alias("unresolved_at")).distinct()
-        done = last if done is None else done.unionByName(last)
-        failed = miss if failed is None else failed.unionByName(miss)
+        step = hit.filter(n > k + 1).join(modules, "def_id").select("path_id", F.col("_m").alias("module_id"), "segments").distinct()
+        miss = here.join(hit.select("path_id"), "path_id", "left_anti").select("path_id", nothing, F.lit(k).alias("unresolved_at"))
+        # Something was found, but no module to go on from: the next segment is the one that fails.
+        dead = hit.filter(n > k + 1).join(step.select("path_id"), "path_id", "left_anti").select("path_id", nothing, F.lit(k + 1).alias("unresolved_at"))
+        found = found.unionByName(last).unionByName(miss).unionByName(dead)
         now = step
-    return done.unionByName(failed).distinct()
+    return found.distinct()
