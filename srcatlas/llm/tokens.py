@@ -15,6 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Stops that are a piece of their own after a letter, and one token.
+STOPS = ".,"
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -28,50 +31,86 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for words of letters: they are cut at spaces alone.
+        self._letters = Tokenizer.from_file(path)
+        self._letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self._clear()
+        self.stops = {c: int(self._ids(c)[0]) for c in STOPS}
 
     def _clear(self) -> None:
         self.cache: dict = {}
         self.pool, self.start, self.length = np.zeros(0, self.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+    def _ids(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
     def _learn(self, words: Iterable) -> None:
-        """Words are strings that a space precedes; a text's first word is a tuple of one string."""
-        plain, found, lengths = [], [self.pool], []
+        """Words are strings that a space precedes; a text's first word is a tuple of one string.
+
+        Words of letters alone, and those with one full stop or comma after them, are one or two pieces for sure, so they
+        need no pattern to split them, and their stems are shared.
+        """
+        plain, stopped, other, firsts = {}, [], [], []
         for w in words:
-            text = w[0] if type(w) is tuple else w
-            if "<|" in text or type(w) is str and (not w or w[0].isspace()):
+            if type(w) is tuple:
+                if "<|" in w[0]:
+                    self.cache[w] = -2
+                else:
+                    firsts.append(w)
+            elif w.isalpha():
+                plain[w] = None
+            elif w and w[-1] in STOPS and w[:-1].isalpha():
+                stopped.append(w)
+                if w[:-1] not in self.cache:
+                    plain[w[:-1]] = None
+            elif "<|" in w or not w or w[0].isspace():
                 self.cache[w] = -2
-            elif type(w) is tuple:
-                self.cache[w] = len(self.start) + len(lengths)
-                found.append(self._ids(text))
-                lengths.append(len(found[-1]))
             else:
-                plain.append(w)
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = self._ids(" " + " ".join(some))
+                other.append(w)
+        if firsts:
+            each = [self._ids(w[0]) for w in firsts]
+            self._append(firsts, np.concatenate(each), np.array([len(x) for x in each]))
+        self._add_joined(list(plain), self._letters)
+        self._add_joined(other, self.tokenizer)
+        if stopped:
+            codes = np.fromiter(map(self.cache.__getitem__, (w[:-1] for w in stopped)), np.int64, len(stopped))
+            sizes = self.length[codes] + 1
+            ends = np.cumsum(sizes)
+            at = np.repeat(self.start[codes] - (ends - sizes), sizes) + np.arange(ends[-1])
+            at[ends - 1] = 0
+            ids = self.pool[at]
+            ids[ends - 1] = [self.stops[w[-1]] for w in stopped]
+            self._append(stopped, ids, sizes)
+
+    def _append(self, words: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.length)
+        self.cache.update(zip(words, range(first, first + len(words)), strict=True))
+        self.start = np.concatenate([self.start, (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.length = np.concatenate([self.length, np.asarray(sizes, np.int32)])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _add_joined(self, words: list, tokenizer) -> None:
+        """Ids of some words by one call each 2,000; a token that opens with a space begins the next word's ids."""
+        parts, sizes = [], []
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = self._ids(" " + " ".join(some), tokenizer)
             begins = np.flatnonzero(self.opens[ids])
             if len(begins) == len(some):
-                found.append(ids)
-                sizes = np.diff(begins, append=len(ids)).tolist()
+                parts.append(ids)
+                sizes.append(np.diff(begins, append=len(ids)))
             else:
-                found += (each := [self._ids(" " + w) for w in some])
-                sizes = [len(x) for x in each]
-            base = len(self.start) + len(lengths)
-            self.cache.update(zip(some, range(base, base + len(some)), strict=True))
-            lengths += sizes
-        self.pool = np.concatenate(found)
-        self.length = np.concatenate([self.length, np.array(lengths, np.int32)])
-        self.start = np.cumsum(self.length, dtype=np.int32) - self.length
+                each = [self._ids(" " + w) for w in some]
+                parts += each
+                sizes.append(np.array([len(x) for x in each]))
+        if parts:
+            self._append(words, np.concatenate(parts), np.concatenate(sizes))
 
     def _codes(self, words: list) -> np.ndarray:
         codes = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
