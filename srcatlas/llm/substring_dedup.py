@@ -15,7 +15,11 @@ Texts move only for documents that a bit filter of fixed size does not rule out;
 
 Rows: null text is empty. A null doc_id is the earliest. Repeated rows are one document and get equal results; rows with
 one doc_id and different texts count as documents in the order of their texts' hashes. Empty tables give no rows; other
-columns are ignored. One gram's distinct contexts are sorted in one task.
+columns are ignored.
+
+Frequent grams: equal contexts leave a task once. A gram with more than HOT contexts streams through its task and is then
+divided: its strings fall into RANGES by their place around the gram, and each range is keyed by the bytes that all its
+strings share, so contexts that differ there part, and those that agree on a whole range again leave a task once.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +43,12 @@ HELD = 300_000
 #: Rows of a batch that goes back to Spark.
 ROWS = 20_000
 FILTER_BITS = 1 << 22
+#: Contexts of one gram that are compared as they are.
+HOT = 20_000
+#: Places (bytes of a string before the gram) that are compared together for a gram with more.
+RANGES = [(lo, min(lo + 9, REST)) for lo in range(0, REST + 1, 10)]
 FOUND = "kind int, doc long, a int, b int, gram long"
-ANCHOR, RESOLVED, SPAN = 0, 1, 2
+ANCHOR, RESOLVED, SPAN, DIVIDED = 0, 1, 2, 3
 
 
 def sliding(x: np.ndarray, width: int, op: Callable) -> np.ndarray:
@@ -145,39 +154,115 @@ def by_group(names: list[str], key: str, work: Callable) -> Callable:
     return run
 
 
-def meet(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Anchors of the same grams: later ones of a context are resolved, first ones of several contexts stay open."""
-    kind, doc, a, b, gram, context = (rows.column(c).to_numpy() for c in ("kind", "doc", "a", "b", "gram", "context"))
-    span = kind == SPAN
-    yield rows_of(SPAN, doc[span], a[span], b[span])
-    doc, a, gram, context = doc[~span], a[~span], gram[~span], context[~span]
-    order = np.lexsort((a, doc, context, gram))
-    doc, a, gram, context = doc[order], a[order], gram[order], context[order]
-    same_gram = np.zeros(len(doc), bool)
-    same_gram[1:] = gram[1:] == gram[:-1]
-    later = same_gram.copy()
-    later[1:] &= context[1:] == context[:-1]
-    yield rows_of(RESOLVED, doc[later], np.maximum(0, a[later] - REST), a[later] + MATCH)
-    # Among the first ones of a context, those whose gram has another context.
-    doc, a, gram = doc[~later], a[~later], gram[~later]
-    same = np.zeros(len(doc) + 1, bool)
-    same[1:-1] = gram[1:] == gram[:-1]
-    open_ = same[:-1] | same[1:]
-    yield rows_of(ANCHOR, doc[open_], a[open_], np.zeros(open_.sum(), np.int32), gram[open_])
+def meet(hot: int) -> Callable:
+    """For mapInArrow over rows in order of gram, context, doc and a: later anchors of a context are resolved, first ones
+    of several contexts stay open. Grams of more than 2 * hot rows are not held: they stream, and all their first ones stay
+    open to be divided."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, t) for t in (np.int64, np.int32, np.int64, np.int64)]
+        big, last = None, None  # the gram that streams, its context so far
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            cols = [batch.column(c).to_numpy() for c in ("doc", "a", "gram", "context")]
+            span = kind == SPAN
+            yield rows_of(SPAN, cols[0][span], cols[1][span], batch.column("b").to_numpy()[span])
+            now = [np.concatenate([k, c[~span]]) for k, c in zip(kept, cols, strict=True)]
+            if big is not None:
+                n = int(np.searchsorted(now[2] != big, True)) if (now[2] != big).any() else len(now[2])
+                yield from streamed([c[:n] for c in now], last)
+                last = now[3][n - 1] if n else last
+                now = [c[n:] for c in now]
+                big = None if len(now[2]) else big
+            cut = int(np.searchsorted(now[2], now[2][-1])) if len(now[2]) else 0
+            yield from met([c[:cut] for c in now])
+            kept = [c[cut:] for c in now]
+            if len(kept[2]) > 2 * hot:
+                yield from streamed(kept, None)
+                big, last = kept[2][-1], kept[3][-1]
+                kept = [c[:0] for c in kept]
+        yield from met(kept)
+
+    def streamed(cols: list[np.ndarray], last) -> Iterator[pa.RecordBatch]:
+        doc, a, gram, context = cols
+        later = np.zeros(len(doc), bool)
+        later[1:] = context[1:] == context[:-1]
+        later[:1] = last is not None and context[:1] == last
+        yield rows_of(RESOLVED, doc[later], np.maximum(0, a[later] - REST), a[later] + MATCH)
+        yield rows_of(DIVIDED, doc[~later], a[~later], np.zeros((~later).sum(), np.int32), gram[~later])
+
+    def met(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        doc, a, gram, context = cols
+        later = np.zeros(len(doc), bool)
+        later[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
+        yield rows_of(RESOLVED, doc[later], np.maximum(0, a[later] - REST), a[later] + MATCH)
+        # Among the first ones of a context, those whose gram has another context.
+        doc, a, gram = doc[~later], a[~later], gram[~later]
+        same = np.zeros(len(doc) + 1, bool)
+        same[1:-1] = gram[1:] == gram[:-1]
+        open_ = same[:-1] | same[1:]
+        if open_.any():
+            # A gram with more contexts than are compared at once is divided as a whole.
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            many = np.repeat(np.diff(np.append(first, len(gram))) > hot, np.diff(np.append(first, len(gram))))
+            for kind, some in ((ANCHOR, open_ & ~many), (DIVIDED, open_ & many)):
+                yield rows_of(kind, doc[some], a[some], np.zeros(some.sum(), np.int32), gram[some])
+
+    return run
 
 
 def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, at: list of (a, gram)) to (gram, doc, a, bytes, before): the context of each open anchor."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32())
+    """(doc, text, at: list of (a, gram, kind)) to (kind, gram, doc, a, b, bytes, lo, hi).
+
+    An open anchor becomes its context, b being the bytes before the gram and lo to hi the places to compare. A divided one
+    becomes one context a range, cut down to what the range's strings cover; of equal ones the task sends the earliest, and
+    the spans (kind SPAN, a to b) of the others.
+    """
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+    names = ["kind", "gram", "doc", "a", "b", "bytes", "lo", "hi"]
+    seen: dict[tuple, tuple[int, int]] = {}
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
+    def span(lo: int, hi: int, before: int, after: int, doc: int, a: int) -> tuple:
+        """What the strings of a range cover around the anchor at a."""
+        return (SPAN, doc, doc, a - min(hi, before), a - max(lo, REST - after) + MATCH, None, 0, 0)
+
     for batch in batches:
-        cols: tuple[list, ...] = ([], [], [], [], [])
+        rows: list[tuple] = []
         for doc, text, some in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "at")), strict=True):
             data = text.encode()
             for x in some:
-                begin = max(0, x["a"] - REST)
-                for c, v in zip(cols, (x["gram"], doc, x["a"], data[begin : x["a"] + MATCH], x["a"] - begin), strict=True):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["gram", "doc", "a", "bytes", "before"])
+                a = x["a"]
+                before, after = min(REST, a), min(REST, len(data) - a - K)
+                if x["kind"] == ANCHOR:
+                    rows.append((ANCHOR, x["gram"], doc, a, before, data[a - before : a + K + after], 0, REST))
+                    continue
+                for lo, hi in RANGES:
+                    if before >= lo and after >= REST - hi and before + after >= REST:
+                        left, right = min(hi, before), min(REST - lo, after)
+                        if min(hi, before) < max(lo, REST - after):
+                            continue
+                        key = (lo, left, data[a - left : a + K + right])
+                        old = seen.get(key)
+                        if old is None or (doc, a) < old:
+                            seen[key] = (doc, a)
+                        late = (doc, a) if old is not None and seen[key] == old else old
+                        if late is not None and late != seen[key]:
+                            rows.append(span(lo, hi, left, right, *late))
+        yield batch_of(rows)
+    rows = []
+    for (lo, left, blob), (doc, a) in seen.items():
+        hi = dict(RANGES)[lo]
+        shared = blob[left - lo : left + K + REST - hi]
+        key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=lo.to_bytes(8, "big")).digest(), "big", signed=True)
+        rows.append((DIVIDED, key, doc, a, left, blob, lo, hi))
+        if len(rows) >= ROWS:
+            yield batch_of(rows)
+            rows = []
+    yield batch_of(rows)
 
 
 class Sides:
@@ -262,8 +347,11 @@ def runs(order: np.ndarray, lcp: np.ndarray, group: np.ndarray, least: int) -> n
 
 
 def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Contexts of whole grams to the spans of strings that start earlier."""
-    gram, doc, a, before = (rows.column(c).to_numpy() for c in ("gram", "doc", "a", "before"))
+    """Contexts of whole grams to the spans of strings that start earlier; spans pass."""
+    done = rows.filter(pc.equal(rows.column("kind"), SPAN))
+    yield rows_of(SPAN, *(done.column(c).to_numpy() for c in ("doc", "a", "b")))
+    rows = rows.filter(pc.not_equal(rows.column("kind"), SPAN))
+    gram, doc, a, before, least, most = (rows.column(c).to_numpy() for c in ("gram", "doc", "a", "b", "lo", "hi"))
     blobs = rows.column("bytes").to_pylist()
     left, right = np.zeros((len(doc), REST), np.uint8), np.zeros((len(doc), REST), np.uint8)
     middle = np.zeros((len(doc), K), np.uint8)
@@ -278,6 +366,7 @@ def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     _, word = np.unique(cell, return_inverse=True)
     order = np.lexsort((a, doc, word, gram))
     doc, a, before, left, right, after = doc[order], a[order], before[order].astype(np.int64), left[order], right[order], after[order]
+    least, most = least[order], most[order]
     new = np.ones(len(doc), bool)
     new[1:] = (gram[order][1:] != gram[order][:-1]) | (word[order][1:] != word[order][:-1])
     group = np.cumsum(new) - 1
@@ -286,7 +375,7 @@ def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     n = len(doc)
     low, high = np.full(n, MATCH), np.full(n, -1)
     for o in range(REST + 1):
-        fit = np.flatnonzero((before >= o) & (after >= REST - o))
+        fit = np.flatnonzero((before >= o) & (after >= REST - o) & (least <= o) & (o <= most))
         if len(fit) < 2:
             continue
         key = runs(l_order, l_lcp, group, o)[fit] * n + runs(r_order, r_lcp, group, REST - o)[fit]
@@ -340,21 +429,22 @@ def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """docs (doc long, text string), doc unique: doc, a, b of byte strings that start earlier; spans may overlap.
 
     Also returns a written table that names (doc) every document with such a span, and some without.
     """
     wide = docs.filter(F.octet_length("text") >= MATCH)
     sent = wide.mapInArrow(anchor_rows, FOUND + ", context long")
-    names = ["kind", "doc", "a", "b", "gram", "context"]
-    met = written(sent.repartition("gram").sortWithinPartitions("gram").mapInArrow(by_group(names, "gram", meet), FOUND), "anchors")
-    waiting = met.filter(F.col("kind") == ANCHOR).groupBy("doc").agg(F.collect_list(F.struct("a", "gram")).alias("at"))
-    near = wide.filter(bit_filter(met.filter(F.col("kind") == ANCHOR), wide)).join(waiting, "doc")
-    contexts = near.select("doc", "text", "at").mapInArrow(context_rows, "gram long, doc long, a int, bytes binary, before int")
-    names = ["gram", "doc", "a", "bytes", "before"]
+    ordered = sent.repartition("gram").sortWithinPartitions("gram", "context", "doc", "a")
+    met = written(ordered.mapInArrow(meet(hot), FOUND), "anchors")
+    open_ = met.filter(F.col("kind").isin(ANCHOR, DIVIDED))
+    waiting = open_.groupBy("doc").agg(F.collect_list(F.struct("a", "gram", "kind")).alias("at"))
+    near = wide.filter(bit_filter(open_, wide)).join(waiting, "doc")
+    contexts = near.select("doc", "text", "at").mapInArrow(context_rows, "kind int, gram long, doc long, a int, b int, bytes binary, lo int, hi int")
+    names = ["kind", "gram", "doc", "a", "b", "bytes", "lo", "hi"]
     compared = contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(by_group(names, "gram", compare), FOUND)
-    return met.filter(F.col("kind") != ANCHOR).select("doc", "a", "b").union(compared.select("doc", "a", "b")), met
+    return met.filter(F.col("kind").isin(RESOLVED, SPAN)).select("doc", "a", "b").union(compared.select("doc", "a", "b")), met
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -374,20 +464,20 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.join(ids, ["doc_id", "copy"]).groupBy("doc").agg(F.first("text").alias("text")), ids
 
 
-def dedup_substrings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
+def dedup_substrings(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row. hot: contexts of one gram compared as they are."""
     prepare(docs.sparkSession)
     rows = docs.select(known_id().alias("doc_id"), known_text().alias("text"))
     if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return results(rows.withColumnRenamed("doc_id", "doc")).withColumn("doc", shown_id("doc")).withColumnRenamed("doc", "doc_id")
+        return results(rows.withColumnRenamed("doc_id", "doc"), hot).withColumn("doc", shown_id("doc")).withColumnRenamed("doc", "doc_id")
     keyed = rows.withColumn("copy", F.xxhash64("text"))
     one, ids = numbered(keyed)
-    back = keyed.select("doc_id", "copy").join(ids, ["doc_id", "copy"]).join(results(written(one, "documents")), "doc").drop("doc", "copy")
+    back = keyed.select("doc_id", "copy").join(ids, ["doc_id", "copy"]).join(results(written(one, "documents"), hot), "doc").drop("doc", "copy")
     return back.withColumn("doc_id", shown_id("doc_id"))
 
 
-def results(rows: DataFrame) -> DataFrame:
-    found, named = repeated_spans(rows)
+def results(rows: DataFrame, hot: int) -> DataFrame:
+    found, named = repeated_spans(rows, hot)
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     marked = rows.withColumn("_maybe", bit_filter(named, rows))
     whole = marked.filter(~F.col("_maybe")).select(

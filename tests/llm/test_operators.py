@@ -235,7 +235,8 @@ def test_substrings(spark, docs, rows, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
-def test_substrings_periodic_and_partial(spark):
+@pytest.mark.parametrize("hot", [1, 4, 20_000])
+def test_substrings_periodic_and_partial(spark, hot):
     rng = random.Random(3)
     pool = ["".join(rng.choice("abcd é") for _ in range(rng.randint(60, 400))) for _ in range(12)]
     some = []
@@ -244,10 +245,23 @@ def test_substrings_periodic_and_partial(spark):
         some.append((i, t + "x" * (rng.randint(90, 400) if i % 10 == 0 else 0) + "ab" * (200 if i % 13 == 0 else 0)))
     some += [(200, None), (201, "y" * 99), (202, "y" * 100), (203, "y" * 101)]
     d = spark.createDataFrame(some, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup_substrings(d).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup_substrings(d, hot).collect()}
     assert got == substring_brute(some)
 
 
+def test_a_frequent_gram_streams(spark):
+    """One passage in many texts with other words around it: its grams are divided, and the result is that of brute force."""
+    rng = random.Random(9)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(130))
+    some = [(i, "".join(rng.choice("abcdefgh") for _ in range(80)) + common[: 130 - i % 3] + "".join(rng.choice("abcdefgh") for _ in range(80))) for i in range(60)]
+    d = spark.createDataFrame(some, "doc_id long, text string").repartition(6)
+    want = substring_brute(some)
+    for hot in (2, 7):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup_substrings(d, hot).collect()}
+        assert got == want
+    assert sum(w[1] for w in want.values()) > 59 * 127
+
+
 def test_substrings_repeated_ids(spark):
     d = spark.createDataFrame([(1, "q" * 150), (1, "q" * 150), (1, "r" * 150), (None, "r" * 120), (2, "q" * 100 + "r" * 100)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed) for r in substring_dedup.dedup_substrings(d).collect())
