@@ -40,7 +40,8 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", lower: bool = True, co
     scan = docs.select(known_id().alias("_id"), text.alias("_text"), bucket.alias("_b"))
     hashed = scan.select("_id", "_b", norm(F.col("_text")).alias("_norm"))
     digests = written(hashed.select("_id", "_b", content_hash(F.col("_norm")).alias("_h"), F.sha2("_norm", 256).alias("text_sha256")), "digests")
-    sizes = digests.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), pick("_id").alias("_keep"))
+    # Written, so that the join back shuffles both sides anew and a hot group's side can be split.
+    sizes = written(digests.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), pick("_id").alias("_keep")), "sizes")
     several = F.broadcast(digests.join(sizes.filter("_n > 1"), "_h", "left_semi").select("_b").distinct())
     again = scan.join(several, "_b", "left_semi").select("_id", norm(F.col("_text")).alias("_norm"))
     again = again.select("_id", "_norm", content_hash(F.col("_norm")).alias("_h"))
