@@ -210,7 +210,8 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame
     labelled = comp.join(heads, comp.node == heads.fp)
     smallest = labelled.groupBy("root").agg(F.min("head").alias("least"))
     label = labelled.join(smallest, "root").select("fp", "least")
-    final = heads.join(label, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id"))
+    # Written, so that the join back shuffles both sides anew and a hot fingerprint's side can be split.
+    final = written(heads.join(label, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id")), "labels")
     return found.join(final, "fp").select(
         shown_id("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), shown_id("component_id").alias("component_id")
     )
