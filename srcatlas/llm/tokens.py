@@ -1,19 +1,19 @@
-"""Exact token ids with the tokenizers library, each distinct word of a task encoded once.
+"""Exact token ids with the tokenizers library, each distinct word of a worker encoded once.
 
-Byte-level BPE splits a text before a space that a non-space follows, so ids of such pieces can be joined.
-Texts where that doesn't hold (runs of spaces, special-token strings) are encoded whole.
+Byte-level BPE splits a text before a space that a non-space follows, so ids of such pieces can be joined. Words are
+found, hashed and looked up as arrays; only new ones become strings and are encoded. Texts where the split doesn't hold
+(runs of spaces, special-token strings) are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+
+from .textvec import U, mix, prefix_hash, span_hash, utf8
 
 #: Stops that are a piece of their own after a letter, and one token.
 STOPS = ".,"
@@ -25,9 +25,48 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class HashTable:
+    """Word hashes to codes by open addressing on arrays; a second check of 32 bits stands beside each hash."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = U(64 - bits), (1 << bits) - 1
+        self.keys, self.checks, self.codes = np.zeros(1 << bits, U), np.zeros(1 << bits, np.uint32), np.zeros(1 << bits, np.int32)
+        self.used = 0
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Codes, -1 where there is none."""
+        out = np.full(len(keys), -1, np.int32)
+        slot = (keys >> self.shift).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            have = self.keys[at]
+            hit = (have == keys[left]) & (self.checks[at] == checks[left])
+            out[left[hit]] = self.codes[at[hit]]
+            left = left[~hit & (have != 0)]
+            slot[left] = (slot[left] + 1) & self.mask
+        return out
+
+    def insert(self, keys: np.ndarray, checks: np.ndarray, codes: np.ndarray) -> None:
+        """Distinct new keys."""
+        slot = (keys >> self.shift).astype(np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            at = slot[left]
+            free = np.flatnonzero(self.keys[at] == 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.checks[at[put]], self.codes[at[put]] = keys[left[put]], checks[left[put]], codes[left[put]]
+            rest = np.ones(len(left), bool)
+            rest[put] = False
+            left = left[rest]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.used += len(keys)
+
+
 class Encoder:
-    #: Distinct words remembered at most; then the memory starts anew.
-    MOST_WORDS = 1_200_000
+    #: log2 of the table's places; at 70 % it starts anew. A place takes 16 bytes.
+    BITS = 22
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,69 +74,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         #: The same model for words of letters: they are cut at spaces alone.
-        self._letters = Tokenizer.from_file(path)
-        self._letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.letters = Tokenizer.from_file(path)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self._clear()
         self.stops = {c: int(self._ids(c)[0]) for c in STOPS}
+        self._clear()
 
     def _clear(self) -> None:
-        self.cache: dict = {}
+        self.table = HashTable(self.BITS)
         self.pool, self.start, self.length = np.zeros(0, self.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _ids(self, text: str, tokenizer=None) -> np.ndarray:
         return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
-    def _learn(self, words: Iterable) -> None:
-        """Words are strings that a space precedes; a text's first word is a tuple of one string.
-
-        Words of letters alone, and those with one full stop or comma after them, are one or two pieces for sure, so they
-        need no pattern to split them, and their stems are shared.
-        """
-        plain, stopped, other, firsts = {}, [], [], []
-        for w in words:
-            if type(w) is tuple:
-                if "<|" in w[0]:
-                    self.cache[w] = -2
-                else:
-                    firsts.append(w)
-            elif w.isalpha():
-                plain[w] = None
-            elif w and w[-1] in STOPS and w[:-1].isalpha():
-                stopped.append(w)
-                if w[:-1] not in self.cache:
-                    plain[w[:-1]] = None
-            elif "<|" in w or not w or w[0].isspace():
-                self.cache[w] = -2
-            else:
-                other.append(w)
-        if firsts:
-            each = [self._ids(w[0]) for w in firsts]
-            self._append(firsts, np.concatenate(each), np.array([len(x) for x in each]))
-        self._add_joined(list(plain), self._letters)
-        self._add_joined(other, self.tokenizer)
-        if stopped:
-            codes = np.fromiter(map(self.cache.__getitem__, (w[:-1] for w in stopped)), np.int64, len(stopped))
-            sizes = self.length[codes] + 1
-            ends = np.cumsum(sizes)
-            at = np.repeat(self.start[codes] - (ends - sizes), sizes) + np.arange(ends[-1])
-            at[ends - 1] = 0
-            ids = self.pool[at]
-            ids[ends - 1] = [self.stops[w[-1]] for w in stopped]
-            self._append(stopped, ids, sizes)
-
-    def _append(self, words: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Codes of new words with these ids, one word after another."""
         first = len(self.length)
-        self.cache.update(zip(words, range(first, first + len(words)), strict=True))
         self.start = np.concatenate([self.start, (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.length = np.concatenate([self.length, np.asarray(sizes, np.int32)])
         self.pool = np.concatenate([self.pool, ids])
+        return np.arange(first, first + len(sizes), dtype=np.int32)
 
-    def _add_joined(self, words: list, tokenizer) -> None:
-        """Ids of some words by one call each 2,000; a token that opens with a space begins the next word's ids."""
-        parts, sizes = [], []
+    def _encode_words(self, words: list[str], tokenizer) -> np.ndarray:
+        """Codes of words that a space precedes, 2,000 a call; a token that opens with a space begins the next word."""
+        parts, sizes = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
             ids = self._ids(" " + " ".join(some), tokenizer)
@@ -109,27 +111,79 @@ class Encoder:
                 each = [self._ids(" " + w) for w in some]
                 parts += each
                 sizes.append(np.array([len(x) for x in each]))
-        if parts:
-            self._append(words, np.concatenate(parts), np.concatenate(sizes))
-
-    def _codes(self, words: list) -> np.ndarray:
-        codes = np.fromiter(map(self.cache.get, words, repeat(-1)), np.int64, len(words))
-        if len(new := np.flatnonzero(codes == -1)):
-            self._learn(dict.fromkeys(words[i] for i in new))
-            codes[new] = [self.cache[words[i]] for i in new]
+        return self._append(np.concatenate(parts), np.concatenate(sizes))
+
+    def _learn(self, words: list[str], first: np.ndarray, stems: np.ndarray) -> np.ndarray:
+        """Codes of new words, -2 where a text with the word must be encoded whole.
+
+        first: the word opens its text, so no space precedes it. stems: the code of the word without its last character,
+        or -1. Words of letters alone, and those with one full stop or comma after them, are one or two pieces for sure, so
+        no pattern has to split them.
+        """
+        codes = np.full(len(words), -2, np.int32)
+        letters: dict[str, int] = {}
+        plain, stopped, other, opening = [], [], [], []
+        for i, (w, opens) in enumerate(zip(words, first.tolist(), strict=True)):
+            if opens:
+                if "<|" not in w:
+                    opening.append(i)
+            elif w.isalpha():
+                letters[w] = len(letters)
+                plain.append(i)
+            elif w and w[-1] in STOPS and w[:-1].isalpha():
+                stopped.append(i)
+            elif w and not w[0].isspace() and "<|" not in w:
+                other.append(i)
+        for i in stopped:
+            if stems[i] < 0:
+                letters.setdefault(words[i][:-1], len(letters))
+        of_letters = self._encode_words(list(letters), self.letters)
+        codes[plain] = of_letters[: len(plain)]
+        codes[other] = self._encode_words([words[i] for i in other], self.tokenizer)
+        if opening:
+            each = [self._ids(words[i]) for i in opening]
+            codes[opening] = self._append(np.concatenate(each), np.array([len(x) for x in each]))
+        if stopped:
+            stem = np.array([stems[i] if stems[i] >= 0 else of_letters[letters[words[i][:-1]]] for i in stopped])
+            sizes = self.length[stem] + 1
+            ends = np.cumsum(sizes)
+            at = np.repeat(self.start[stem] - (ends - sizes), sizes) + np.arange(ends[-1])
+            at[ends - 1] = 0
+            ids = self.pool[at]
+            ids[ends - 1] = [self.stops[words[i][-1]] for i in stopped]
+            codes[stopped] = self._append(ids, sizes)
         return codes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the offsets of each text in it. Null counts as empty."""
-        if len(self.cache) > self.MOST_WORDS:
+        if self.table.used > 0.7 * len(self.table.keys):
             self._clear()
-        texts = pc.fill_null(texts, "") if texts.null_count else texts
-        pieces = pc.split_pattern(texts, " ")
-        ptr = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-        words = pieces.flatten().dictionary_encode()
-        codes = self._codes(words.dictionary.to_pylist())[words.indices.to_numpy()]
-        # No space precedes a text's first word; a tuple tells it from the same word elsewhere.
-        codes[ptr[:-1]] = self._codes([(w,) for w in words.take(pa.array(ptr[:-1])).to_pylist()])
+        data, offsets = utf8(texts)
+        spaces = np.flatnonzero(data == 32)
+        ptr = np.arange(len(offsets)) + np.searchsorted(spaces, offsets)
+        begin, end = np.sort(np.concatenate([offsets[:-1], spaces + 1])), np.sort(np.concatenate([spaces, offsets[1:]]))
+        first = np.zeros(len(begin), bool)
+        first[ptr[:-1]] = True
+        prefix = prefix_hash(data)
+        padded = np.concatenate([data, np.zeros(4, np.uint8)])
+
+        def hashed(begin: np.ndarray, end: np.ndarray, first: np.ndarray | bool) -> tuple[np.ndarray, np.ndarray]:
+            key = span_hash(prefix, begin, end)
+            key = np.where(first, mix(key + U(1)), key) | U(1)
+            check = (end - begin).astype(np.uint32) << np.uint32(16) ^ padded[begin].astype(np.uint32) << np.uint32(8) ^ padded[np.maximum(end - 1, begin)]
+            return key, check ^ np.asarray(first).astype(np.uint32) << np.uint32(31)
+
+        keys, checks = hashed(begin, end, first)
+        codes = self.table.find(keys, checks)
+        new = np.flatnonzero(codes == -1)
+        if len(new):
+            _, at = np.unique(keys[new] ^ (checks[new].astype(U) << U(32)), return_index=True)
+            one = new[at]
+            blob = data.tobytes()
+            words = [blob[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
+            stems = self.table.find(*hashed(begin[one], np.maximum(end[one] - 1, begin[one]), False))
+            self.table.insert(keys[one], checks[one], self._learn(words, first[one], stems))
+            codes[new] = self.table.find(keys[new], checks[new])
         whole = np.unique(np.searchsorted(ptr, np.flatnonzero(codes == -2), "right") - 1)
         good = np.maximum(codes, 0)
         lengths = self.length[good] * (codes >= 0) if len(self.length) else np.zeros(len(codes), np.int32)
