@@ -62,7 +62,7 @@ def neighbours(toks: DataFrame) -> DataFrame:
     after = F.sum(step).over(upto)
     return some.withColumns({
         "depth": (after - step).cast("int"), "depth_after": after.cast("int"), "next": F.lead("token").over(order), "next2": F.lead("token", 2).over(order), "next_start": F.lead("span_start").over(order),
-        "before": F.array_join(F.transform(F.collect_list("token").over(order.rowsBetween(-10, -1)), lambda x: x), " "),
+        "before": F.array_join(F.collect_list("token").over(order.rowsBetween(-10, -1)), " "),
     })
 
 

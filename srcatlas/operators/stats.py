@@ -39,6 +39,11 @@ def package_fingerprints(files: DataFrame) -> DataFrame:
     return banded.groupBy("package").agg(F.sum("n").alias("files"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("band", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
 
 
+def artifact_identity(files: DataFrame, policy: str) -> DataFrame:
+    """L.5, L.13, J.10: file_id, identity: one digest over path, text and body policy, each tagged by its length."""
+    return files.select("file_id", fingerprint("artifact", F.col("path"), F.col("text"), F.lit(policy)).alias("identity"))
+
+
 def stale_artifacts(current: DataFrame, cached: DataFrame) -> DataFrame:
     """L.13: files whose cached hash is missing or differs: an anti-join on key and hash."""
     return current.join(cached.select("file_id", "hash"), ["file_id", "hash"], "left_anti")
@@ -49,6 +54,3 @@ def cache_probe(current: DataFrame, cached: DataFrame) -> DataFrame:
     c = cached.select("file_id", F.col("hash").alias("_old"))
     reason = F.when(F.col("_old").isNull(), "missing").when(F.col("_old") != F.col("hash"), "changed").otherwise("hit")
     return current.join(c, "file_id", "left").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
-__all__ = ["cache_probe", "counters", "counts_by_kind", "fingerprint", "memory_rollup", "package_fingerprints", "stale_artifacts"]

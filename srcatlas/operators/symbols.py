@@ -19,16 +19,19 @@ def workspace_symbols(defs: DataFrame, needle: str) -> DataFrame:
 def workspace_symbols_batch(defs: DataFrame, needles: DataFrame) -> DataFrame:
     """I.24 for many searches (query_id, needle): one pass over defs; needles are broadcast only after their count.
 
-    Above 10,000 searches, trigrams of the names and needles meet in an equi-join; shorter needles are few by nature.
+    Above 10,000 searches, the first three letters of each needle meet the names' trigrams in an equi-join; needles of one
+    or two letters meet one- and two-letter grams. An empty needle asks for all of defs, so its rows are the whole answer.
     """
     if needles.limit(10_001).count() <= 10_000:
         return defs.join(F.broadcast(needles), symbol_matches(F.col("name"), F.col("needle")))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.lower(c), i, F.lit(3)))
-    long = needles.filter(F.length("needle") >= 3).withColumn("_gram", F.substring(F.lower("needle"), 1, 3))
-    named = defs.filter(F.length("name") >= 3).withColumn("_gram", F.explode(F.array_distinct(grams(F.col("name")))))
-    found = named.join(long, "_gram").drop("_gram").filter(symbol_matches(F.col("name"), F.col("needle")))
-    short = needles.filter(F.length("needle") < 3)
-    return found.unionByName(defs.join(F.broadcast(short.dropDuplicates(["query_id"])), symbol_matches(F.col("name"), F.col("needle"))))
+    out = defs.join(needles.filter("needle = ''"))
+    for n in (1, 2, 3):
+        asked = needles.filter(F.length("needle") == n if n < 3 else F.length("needle") >= 3).withColumn("_gram", F.substring(F.lower("needle"), 1, n))
+        grams = F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i, n=n: F.substr(F.lower("name"), i, F.lit(n)))
+        named = defs.filter(F.length("name") >= n).withColumn("_gram", F.explode(F.array_distinct(grams)))
+        found = named.join(asked, "_gram").drop("_gram").filter(symbol_matches(F.col("name"), F.col("needle")))
+        out = out.unionByName(found)
+    return out
 
 
 def container_paths(modules: DataFrame, separator: str = "::", most_depth: int = 100) -> DataFrame:

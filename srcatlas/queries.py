@@ -310,13 +310,16 @@ def _ancestors(d: Driver) -> DataFrame:
     return closure.ancestors(_tree(d))
 
 
-@query(f"""WITH {BINDINGS}, {TREE}, {ANCESTORS}
-SELECT i.module_id AS importer, b.module_id, b.name, b.def_id, b.visibility, b.owner FROM tree i, bindings b JOIN tree o ON b.owner = o.module_id
+@query(f"""WITH {BINDINGS}, {TREE}, {ANCESTORS}, uses AS (
+  SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS importer, l_suppkey AS def_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
+SELECT u.importer, b.module_id, b.name, b.def_id, b.visibility, b.owner FROM uses u JOIN bindings b USING (def_id) JOIN tree i ON u.importer = i.module_id JOIN tree o ON b.owner = o.module_id
 WHERE b.visibility = 'public' OR (i.target_id = o.target_id AND (b.visibility = 'crate' OR EXISTS (
   SELECT 1 FROM anc WHERE anc.module_id = i.module_id AND anc.ancestor_id = CASE b.visibility WHEN 'private' THEN b.owner WHEN 'super' THEN o.parent_id END)))""")
 def binding_visibility(d: Driver) -> DataFrame:
-    # Every module looks at every binding: the module table is the small side, of one row a nation.
-    pairs = _bindings(d).select("module_id", "name", "def_id", "visibility", "owner").join(F.broadcast(_tree(d).select(F.col("module_id").alias("importer"))))
+    """Which modules (nations of customers) may see the bindings (suppliers) that they use."""
+    orders = d.raw("lineitem").join(d.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.col("l_suppkey").alias("def_id"))
+    uses = orders.join(d.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").cast("long").alias("importer"), "def_id").distinct()
+    pairs = _bindings(d).select("module_id", "name", "def_id", "visibility", "owner").join(uses, "def_id")
     return imports.visible_to(pairs, _tree(d), _ancestors(d))
 
 
@@ -373,7 +376,7 @@ def path_resolution(d: Driver) -> DataFrame:
     modules = d.modules()
     scope = modules.filter("parent_id is not null").select(F.col("parent_id").alias("module_id"), "name", F.lit("t").alias("ns"), F.col("module_id").alias("def_id"))
     last = F.when(F.col("c_custkey") % 10 == 0, "nobody").otherwise(F.col("c_name"))
-    paths = d.raw("customer").join(F.broadcast(d.raw("nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("path_id"), F.col("n_regionkey").cast("long").alias("module_id"), F.array("n_name", last).alias("segments"))
+    paths = d.raw("customer").join(d.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("path_id"), F.col("n_regionkey").cast("long").alias("module_id"), F.array("n_name", last).alias("segments"))
     return imports.resolve_paths(paths, scope, modules.select(F.col("module_id").alias("def_id"), F.col("module_id").alias("module")))
 
 

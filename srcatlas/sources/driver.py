@@ -45,8 +45,8 @@ class Driver:
         """def_id, name, kind, container, package_slot, start of every kind of definition."""
         part = self.raw("part").select(F.col("p_partkey").alias("def_id"), F.col("p_name").alias("name"), F.lit("struct").alias("kind"), F.col("p_brand").alias("container"), (F.col("p_size") % 25).alias("package_slot"), F.lit(0).cast("long").alias("start"))
         nations = self.raw("nation").select("n_nationkey", "n_name")
-        customer = self.raw("customer").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("def_id"), F.col("c_name").alias("name"), F.lit("function").alias("kind"), F.col("n_name").alias("container"), F.col("c_nationkey").alias("package_slot"), (F.col("c_custkey") % 97).alias("start"))
-        supplier = self.raw("supplier").join(F.broadcast(nations), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("def_id"), F.col("s_name").alias("name"), F.lit("trait").alias("kind"), F.col("n_name").alias("container"), F.col("s_nationkey").alias("package_slot"), (F.col("s_suppkey") % 97).alias("start"))
+        customer = self.raw("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("def_id"), F.col("c_name").alias("name"), F.lit("function").alias("kind"), F.col("n_name").alias("container"), F.col("c_nationkey").alias("package_slot"), (F.col("c_custkey") % 97).alias("start"))
+        supplier = self.raw("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("def_id"), F.col("s_name").alias("name"), F.lit("trait").alias("kind"), F.col("n_name").alias("container"), F.col("s_nationkey").alias("package_slot"), (F.col("s_suppkey") % 97).alias("start"))
         nation = self.raw("nation").select(F.col("n_nationkey").cast("long").alias("def_id"), F.col("n_name").alias("name"), F.lit("module").alias("kind"), F.lit(None).cast("string").alias("container"), F.col("n_nationkey").alias("package_slot"), F.lit(0).cast("long").alias("start"))
         return part.unionByName(customer).unionByName(supplier).unionByName(nation)
 
