@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import rank_of, symbol_matches
@@ -27,13 +27,16 @@ def workspace_symbols_batch(defs: DataFrame, needles: DataFrame) -> DataFrame:
     out = defs.join(needles.filter("needle = ''"))
     for n in (1, 2, 3):
         asked = needles.filter(F.length("needle") == n if n < 3 else F.length("needle") >= 3).withColumn("_gram", F.substring(F.lower("needle"), 1, n))
-        grams = F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i, n=n: F.substr(F.lower("name"), i, F.lit(n)))
-        named = defs.filter(F.length("name") >= n).withColumn("_gram", F.explode(F.array_distinct(grams)))
+        named = defs.filter(F.length("name") >= n).withColumn("_gram", F.explode(F.array_distinct(_grams(F.col("name"), n))))
         found = named.join(asked, "_gram").drop("_gram").filter(symbol_matches(F.col("name"), F.col("needle")))
         out = out.unionByName(found)
     return out
 
 
+def _grams(name: Column, n: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substr(F.lower(name), i, F.lit(n)))
+
+
 def container_paths(modules: DataFrame, separator: str = "::", most_depth: int = 100) -> DataFrame:
     """I.25: module_id, depth, path. Levels join downwards, one shuffle join a level of the tree."""
     level = durable(modules.filter("parent_id is null").select("module_id", F.lit(0).alias("depth"), F.col("name").alias("path")))
