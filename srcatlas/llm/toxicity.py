@@ -1,14 +1,14 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Features: hashes of a document's distinct words and of their first 3, 4 and 5 bytes, in 2**BITS slots. Slots that are
+Features: hashes of a document's distinct words and of their first 3 to 8 bytes, in 2**BITS slots. Slots that are
 clearly commoner in confirmed toxic texts than in unlabelled ones are kept, and a linear model over their presence is
 trained in numpy by the non-negative PU risk with logistic loss:
     prior * mean_P[loss(f, +)] + max(0, mean_U[loss(f, -)] - prior * mean_P[loss(f, -)]).
 The unlabelled sample is drawn with its toxic texts in it, labels hidden; the prior is the share of toxic rows among the
 labelled ones. Logistic loss makes the score an estimate of the probability.
 
-Bounds: at most `most_labels` labelled rows are fitted, chosen by a hash of doc_id; they, 2**BITS counts and the kept
-slots of the fitted rows are all that reaches the driver. Every document's whole text is scored where it is read.
+Bounds: at most `most_labels` labelled rows are fitted, chosen by a hash of doc_id; they, at most `most_slots` slots
+and the kept slots of the fitted rows are all that reaches the driver. Every document's whole text is scored where it is read.
 
 Rows: null text scores as the empty text; a null doc_id is scored, never learnt from, and not held out. Several labels
 of one doc_id count as toxic if one is. Without toxic labels every score is the prior. Other columns are ignored.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import prepare
 from .textvec import U, Words, mix, slices, span_hash
 
-BITS = 18
-PREFIXES = (3, 4, 5)
+BITS = 20
+PREFIXES = (3, 4, 5, 6, 7, 8)
 
 
 def slots(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -136,18 +136,16 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 60_000, most_sl
     known = labels.filter(F.col("toxic").isNotNull() & learnable(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("_label_id"), "_label_id").limit(most_labels)  # this bounds what is broadcast
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_label_id")).select("text", "toxic")
-    counts = rows.mapInArrow(count_slots, "slot int, pos long, unl long").groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
-    table = counts.toPandas()
-    totals = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first() if len(table) else (0, 0)
+    totals = rows.agg(F.sum("toxic"), F.count(F.lit(1))).first()
     n_pos, n = int(totals[0] or 0), int(totals[1])
     prior = n_pos / n if 0 < n_pos < n else default_prior
     none = Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))), prior)
     if not 0 < n_pos < n:
         return none
+    counts = rows.mapInArrow(count_slots, "slot int, pos long, unl long").groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
     # Of unlabelled texts a share `prior` is toxic, so a mark of toxic texts alone is 1 / prior times commoner among them.
-    lift = ((table.pos + 0.5) / (n_pos + 1)) / ((table.unl + 0.5) / (n + 1))
-    sure = table[(table.pos >= 3) & (lift > 0.5 / prior)].assign(lift=lift)
-    sure = sure.sort_values(["pos", "slot"], ascending=[False, True]).head(most_slots)
+    lift = ((F.col("pos") + 0.5) / (n_pos + 1)) / ((F.col("unl") + 0.5) / (n + 1))
+    sure = counts.filter((F.col("pos") >= 3) & (lift > 0.5 / prior)).orderBy(F.desc("pos"), "slot").limit(most_slots).toPandas()
     rank = np.full(1 << BITS, -1, np.int64)
     rank[sure.slot.to_numpy()] = np.arange(len(sure))
     fitted = rows.mapInArrow(kept_slots(rank), "toxic int, found array<int>").toPandas()
