@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.names import rank_of, signature
-from .operators import cursor, lexing, positions, symbols
+from .operators import cursor, lexing, positions, scopes, symbols
+from .plans.asof import last_before
 from .plans.durable import durable
 from .plans.interval import points_in_spans
 
@@ -96,6 +97,71 @@ class Analysis:
         defs = self.definitions.select("file_id", "name", "kind").distinct()
         return typed.join(defs, "file_id").filter(F.startswith("name", F.col("typed"))).select("query_id", F.col("name").alias("label"), "kind").orderBy("query_id", F.lower("label"))
 
+    @cached_property
+    def members(self) -> DataFrame:
+        """F.7, F.8, F.11, F.13: type_name, label, kind of fields, variants and functions of impls and traits, by type name."""
+        types = self.items.select("file_id", F.col("item_id").alias("type_id"), F.col("name").alias("type_name"))
+        fields = scopes.struct_fields(self.tokens, self.items).join(types, ["file_id", "type_id"]).select("type_name", F.col("name").alias("label"), F.lit("field").alias("kind"))
+        variants = scopes.enum_variants(self.tokens, self.items).join(types, ["file_id", "type_id"]).select("type_name", F.col("name").alias("label"), F.lit("enum_variant").alias("kind"))
+        inner = self.items.filter("parent_kind in ('impl', 'trait')").select("file_id", "parent_id", F.col("name").alias("label"), "kind")
+        impls = self.impls.select("file_id", F.col("impl_id").alias("parent_id"), F.col("self_name").alias("type_name"))
+        traits = types.withColumnRenamed("type_id", "parent_id")
+        own = inner.join(impls, ["file_id", "parent_id"]).select("type_name", "label", "kind")
+        of_trait = inner.join(traits, ["file_id", "parent_id"]).select("type_name", "label", "kind").filter("type_name is not null")
+        return durable(fields.unionByName(variants).unionByName(own).unionByName(of_trait).distinct(), "members")
+
+    @cached_property
+    def impls(self) -> DataFrame:
+        return durable(scopes.impl_headers(self.items, self.files), "impls")
+
+    @cached_property
+    def lets(self) -> DataFrame:
+        return durable(scopes.let_bindings(self.tokens), "lets")
+
+    def type_hints(self, ranges: DataFrame | None = None) -> DataFrame:
+        """I.8: hints of let bindings whose type shows, optionally within ranges (file_id, lo, hi)."""
+        return scopes.type_hints(self.lets, ranges)
+
+    def type_at(self, cursors: DataFrame) -> DataFrame:
+        """I.7, G.8: the type of the name under each cursor: that of the last let binding of the name up to there, or unknown."""
+        at = self.symbol_at(cursors).join(cursors.select("query_id", "file_id"), "query_id").select("query_id", "file_id", "name", F.col("span_start").alias("at"))
+        known = self.lets.select("file_id", "name", F.col("span_start").alias("from"), "ty")
+        return last_before(at, known, ["file_id", "name"], "at", "from", ["ty"]).select("query_id", "name", F.coalesce("ty", F.lit("unknown")).alias("ty"))
+
+    def goto_type_definition(self, cursors: DataFrame) -> DataFrame:
+        """I.5: the types that the names under the cursors have, to their declarations."""
+        types = self.definitions.filter("kind in ('struct', 'enum', 'union', 'trait', 'type_alias')").select(F.col("name").alias("ty"), F.col("file_id").alias("def_file"), "item_id")
+        return self.type_at(cursors).join(types, "ty").select("query_id", "ty", "def_file", "item_id")
+
+    def goto_implementation(self, cursors: DataFrame) -> DataFrame:
+        """I.6: implementations of the type or trait whose name is under each cursor."""
+        at = self.symbol_at(cursors).select("query_id", "name")
+        of = self.impls.select("file_id", "impl_id", F.explode(F.array_compact(F.array("self_name", "trait_name"))).alias("name"))
+        return at.join(of, "name").select("query_id", "file_id", "impl_id").distinct()
+
+    def member_completions(self, cursors: DataFrame) -> DataFrame:
+        """I.14, I.15, I.17: at dot sites members of the receiver's type, at path sites those of the qualifier, in records
+        its fields, all with the typed prefix."""
+        sites = scopes.completion_sites(cursors, self.tokens, self.items).join(cursors.select("query_id", "file_id", "offset"), "query_id")
+        dots = last_before(sites.filter("site_kind = 'dot'"), self.lets.select("file_id", F.col("name").alias("qualifier"), F.col("span_start").alias("from"), "ty"), ["file_id", "qualifier"], "offset", "from", ["ty"])
+        named = sites.filter("site_kind in ('path', 'record_field')").withColumn("ty", F.col("qualifier"))
+        both = dots.unionByName(named).select("query_id", "site_kind", "prefix", F.col("ty").alias("type_name"))
+        fits = F.when(F.col("site_kind") == "record_field", F.col("kind") == "field").when(F.col("site_kind") == "path", F.col("kind") != "field").otherwise(F.col("kind").isin("field", "function"))
+        found = both.join(self.members, "type_name").filter(fits & F.startswith("label", F.col("prefix")))
+        return found.select("query_id", "label", "kind").distinct().orderBy("query_id", "kind", "label")
+
+    def updated(self, changed: DataFrame) -> Analysis:
+        """L.4, L.9, L.12: an analysis with the changed files (file_id, path, text) in place. Tokens, items and lines of other
+        files are kept as they are; only changed files are read anew."""
+        ids = changed.select("file_id")
+        kept = self.files.join(ids, "file_id", "left_anti")
+        out = Analysis(kept.unionByName(changed.select(*kept.columns)))
+        new = Analysis(changed)
+        for name in ("tokens", "items", "lines"):
+            old = getattr(self, name)
+            out.__dict__[name] = old.join(ids, "file_id", "left_anti").unionByName(getattr(new, name).select(*old.columns))
+        return out
+
     def locations(self, spans: DataFrame) -> DataFrame:
         """J.9: spans (file_id, span_start) with path, line and UTF-8 column."""
         at = positions.utf8_positions(spans.withColumn("offset", F.col("span_start")), self.lines.select("file_id", "line", "start"))

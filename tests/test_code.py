@@ -11,7 +11,7 @@ from srcatlas.api import Analysis
 from srcatlas.functions.cfg import evaluate
 from srcatlas.functions.spans import byte_column, span_text, utf16_column
 from srcatlas.operators import lexing
-from srcatlas.sources import code
+from srcatlas.sources import artifacts, code
 from srcatlas.streaming import documents
 
 LIB = '''//! crate docs
@@ -121,6 +121,37 @@ def test_queries(spark, analysis):
     assert [r.kind for r in analysis.enclosing_items(spark.createDataFrame([(1, 1, LIB.index("'}'"))], "query_id int, file_id long, offset long")).collect()] == ["function", "module"]
 
 
+def test_types_members_and_updates(spark):
+    text = "struct Point { pub x: f64, y: i32 }\nenum E { Aa, Bb }\nimpl Point { fn len(&self) {} fn new() -> Self { Point { x: 1.0, y } } }\nimpl Shape for Point {}\ntrait Shape { fn area(&self); }\nfn user() { let p = Point::new(); p.l; E::A; let q = p; }\n"
+    files = spark.createDataFrame([(1, "a.rs", text), (2, "b.rs", "fn other() {}")], "file_id long, path string, text string")
+    a = Analysis(files)
+    cursor = lambda *offs: spark.createDataFrame([(k, 1, o) for k, o in enumerate(offs)], "query_id int, file_id long, offset long")
+    at = text.index("p.l")
+    assert [(r.name, r.ty) for r in a.type_at(cursor(at)).collect()] == [("p", "Point")]
+    assert [(r.ty, r.item_id) for r in a.goto_type_definition(cursor(at)).collect()] == [("Point", 0)]
+    shape, point = text.index("Shape for"), text.index("Point {")
+    assert {(r.query_id, r.impl_id) for r in a.goto_implementation(cursor(shape, point)).collect()} == {(0, text.index("impl Shape")), (1, text.index("impl Point")), (1, text.index("impl Shape"))}
+    got = {}
+    for r in a.member_completions(cursor(at + 3, text.index("E::A") + 4, text.index(", y }") + 2, at + 2)).collect():
+        got.setdefault(r.query_id, []).append((r.kind, r.label))
+    assert got == {0: [("function", "len")], 1: [("enum_variant", "Aa")], 2: [("field", "x"), ("field", "y")], 3: [("field", "x"), ("field", "y"), ("function", "len"), ("function", "new")]}
+    b = a.updated(spark.createDataFrame([(2, "b.rs", "fn changed() {}")], "file_id long, path string, text string"))
+    names = lambda x: {r.name for r in x.items.filter("file_id = 2").collect()}
+    assert names(a) == {"other"} and names(b) == {"changed"} and b.tokens.filter("file_id = 1").count() == a.tokens.filter("file_id = 1").count()
+
+
+def test_artifacts(spark, tmp_path):
+    store = artifacts.ArtifactStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "package_slot int, name string")
+    store.write("items", rows, "r1")
+    changed = spark.createDataFrame([(2,), (3,)], "package_slot int")
+    store.write("items", store.carried_over("items", "r1", "r2", changed).select("package_slot", "name").unionByName(spark.createDataFrame([(2, "d")], "package_slot int, name string")), "r2")
+    read = lambda rev, p=None: sorted((r.package_slot, r.name) for r in store.read("items", rev, p).collect())
+    assert read("r1") == [(1, "a"), (1, "b"), (2, "c")] and read("r2") == [(1, "a"), (1, "b"), (2, "d")] and read("r2", changed) == [(2, "d")]
+    assert [r.package_slot for r in store.missing("items", "r2", changed).collect()] == [3]
+    assert len(store.clean(["r2"])) == 1 and read("r2") == [(1, "a"), (1, "b"), (2, "d")] and read("r1") == []
+
+
 def test_workspace_source(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src/lib.rs").write_text("pub fn a() {}")
