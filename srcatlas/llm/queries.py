@@ -67,7 +67,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op7_substring_dedup, op8_packing, op9_decontamination, op10_lm_score)}
 
+#: Distinct shingles of five words of a table's texts, a shorter text being one; words as in decontam.py.
+SHINGLES = """SELECT DISTINCT {id} AS id, s FROM (SELECT {id}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s
+  FROM (SELECT {id}, regexp_extract_all(translate(text, '{upper}', '{small}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM {table} WHERE text IS NOT NULL))"""
+
 ORACLE_SQL = {
+    "op9_decontamination": f"""
+        WITH d AS ({SHINGLES.format(id="doc_id", table="documents", upper=UPPER, small=SMALL)}),
+        i AS ({SHINGLES.format(id="item_id", table="benchmark", upper=UPPER, small=SMALL)}),
+        n AS (SELECT id, count(*) AS n FROM i GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, n.n AS n_shingles, count(*) AS n_found, count(*) / n.n AS containment
+        FROM d JOIN i USING (s) JOIN n ON n.id = i.id GROUP BY d.id, i.id, n.n HAVING count(*) >= 0.8 * n.n""",
     "op5_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256

@@ -454,3 +454,14 @@ def test_lm_losses_by_hand(spark):
     for i, words in ((1, ["a", "b", "a"]), (2, ["b", "c"])):
         assert got[i].target_loss == pytest.approx(loss(words, [["a", "b", "a"]]), rel=1e-5)
         assert got[i].background_loss == pytest.approx(loss(words, [["a", "b", "a"], ["b", "c"]]), rel=1e-5)
+
+
+# ---- queries with SQL ----
+
+
+@pytest.mark.parametrize("name", ["op5_exact_dedup", "op9_decontamination"])
+def test_queries_against_sql(spark, name):
+    import oracle
+    from srcatlas.llm import queries
+
+    assert oracle.compare(spark, name, SF, queries.queries(), queries.oracle_sql()) == ""
