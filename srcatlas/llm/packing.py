@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import known_id, known_text, prepare, shown_id, written
+from .common import give_back, known_id, known_text, prepare, shown_id, written
 from .textvec import slices
 from .tokens import default_path, encoder
 
@@ -30,6 +30,7 @@ def encode_rows(path: str, end_id: int):
     """For mapInArrow: (doc_id, text) to ENCODED; ids are little-endian unsigned, as narrow as the vocabulary allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -47,6 +48,7 @@ def encode_rows(path: str, end_id: int):
                     names=["part", "start_in_part", "doc_id", "n_tokens", "ids"],
                 )
                 at += int(ends[-1])
+        give_back()
 
     return run
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import known_id, known_text, prepare, shared_dir, shown_id
+from .common import give_back, known_id, known_text, prepare, shared_dir, shown_id
 from .textvec import BASE, U, mix, powers, slices
 from .tokens import default_path, encoder
 
@@ -81,6 +81,7 @@ def chunk_rows(path: str, end_id: int):
     """For mapInArrow: (doc_id, text) to STAGED rows, chunks and recipes; a task sends each of its recent chunks once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         enc, part, row, sent = encoder(path), TaskContext.get().partitionId(), 0, set()
         for whole in batches:
             for batch in slices(whole, "text"):

@@ -66,15 +66,15 @@ class HashTable:
 
 class Encoder:
     #: log2 of the table's places; at 70 % it starts anew. A place takes 16 bytes.
-    BITS = 22
+    BITS = 21
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: The same model for words of letters: they are cut at spaces alone.
-        self.letters = Tokenizer.from_file(path)
+        #: The same model (shared, not a copy) for words of letters: they are cut at spaces alone.
+        self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")

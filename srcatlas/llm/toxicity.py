@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import give_back, prepare
 from .textvec import U, Words, mix, slices, span_hash
 
 BITS = 20
@@ -58,7 +58,10 @@ def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[1] += np.bincount(slot, minlength=1 << BITS)
             counts[0] += np.bincount(slot[toxic[doc]], minlength=1 << BITS)
     at = np.flatnonzero(counts[1])
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["slot", "pos", "unl"])
+    out = pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0, at]), pa.array(counts[1, at])], names=["slot", "pos", "unl"])
+    del counts
+    yield from (out.slice(i, 50_000) for i in range(0, out.num_rows, 50_000))
+    give_back()
 
 
 def kept_slots(rank: np.ndarray):
