@@ -144,6 +144,8 @@ def write_store(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
     found = spark.read.schema(STAGED).parquet(f"{folder}/chunks").filter("kind = 'recipe'").select("key", "payload", "doc_id", "n")
     ordered = found.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").mapInArrow(place_recipes, RECIPES)
     ordered.write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    staged_path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/chunks/kind=recipe")
+    staged_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged_path, True)  # the ordered ones take their place
     recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
     # A part's documents are one range partition, so a group here is no larger than a task that has already run.
     roots = recipes.select("part", "row", "n_tokens", "root").groupBy("part").applyInPandas(part_roots, "part int, n_docs long, n_tokens long, root binary")
@@ -151,7 +153,7 @@ def write_store(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
     for r in sorted(roots.collect()):
         out.append((*r[:3], base, r[3]))
         base += r[2]
-    spark.createDataFrame(out, "part int, n_docs long, n_tokens long, root binary, base long".replace("root binary, base long", "base long, root binary")).coalesce(1).write.parquet(f"{folder}/manifest")
+    spark.createDataFrame(out, "part int, n_docs long, n_tokens long, base long, root binary").coalesce(1).write.parquet(f"{folder}/manifest")
     return folder
 
 
