@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from test_operators import containment_brute, fingerprint, ids_of, simhash_brute
+from test_llm_operators import containment_brute, fingerprint, ids_of, simhash_brute
 
 import corpus_pipeline
 from srcatlas.llm import toxicity
