@@ -75,7 +75,7 @@ def fingerprint_rows(words: int):
                 hashes = [shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column("text")]
                 ptr = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
                 flat = np.fromiter((x for h in hashes for x in h), U, int(ptr[-1]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(majority(flat, ptr).view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(majority(flat, ptr).view(np.int64))], names=["doc_id", "copy", "fp"])
 
     return run
 
@@ -193,36 +193,47 @@ def links(distance: int):
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id (NULL_ID for null) and fp, the fingerprint as a signed long."""
+    """doc_id (NULL_ID for null), copy (hash of the text) and fp, the fingerprint as a signed long."""
     prepare(docs.sparkSession)
-    return docs.select(known_id().alias("doc_id"), known_text().alias("text")).mapInArrow(fingerprint_rows(words), "doc_id long, fp long")
+    some = docs.select(known_id().alias("doc_id"), F.xxhash64(known_text()).alias("copy"), known_text().alias("text"))
+    return some.mapInArrow(fingerprint_rows(words), "doc_id long, copy long, fp long")
 
 
-def near_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable by links of at most `distance` bits."""
+def labels(found: DataFrame, distance: int) -> DataFrame:
+    """fp, component (the same for all fingerprints that links of at most `distance` bits join), component_id (its smallest doc_id)."""
     if not 0 <= distance <= 5:
         raise ValueError("the anchors cover distances up to 5")
-    found = written(fingerprints(docs, words), "fingerprints")
     heads = found.groupBy("fp").agg(F.min("doc_id").alias("head"))
     anchored = heads.select("fp").mapInArrow(replicas(distance // 3), "anchor long, fp long")
     pairs = anchored.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(links(distance), "src long, dst long")
     comp = components(pairs)
     labelled = comp.join(heads, comp.node == heads.fp)
     smallest = labelled.groupBy("root").agg(F.min("head").alias("least"))
-    label = labelled.join(smallest, "root").select("fp", "least")
+    label = labelled.join(smallest, "root").select("fp", "root", "least")
     # Written, so that the join back shuffles both sides anew and a hot fingerprint's side can be split.
-    final = written(heads.join(label, "fp", "left").select("fp", F.coalesce("least", "head").alias("component_id")), "labels")
-    return found.join(final, "fp").select(
+    return written(heads.join(label, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"), F.coalesce("least", "head").alias("component_id")), "labels")
+
+
+def near_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable by links of at most `distance` bits."""
+    found = written(fingerprints(docs, words), "fingerprints")
+    return found.join(labels(found, distance), "fp").select(
         shown_id("doc_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), shown_id("component_id").alias("component_id")
     )
 
 
 def one_per_group(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """The rows of docs, all columns, one of each group: the one with the smallest doc_id (of repeated ids, one row)."""
-    from pyspark.sql import Window
+    found = written(fingerprints(docs, words), "fingerprints")
+    return first_rows(docs, found.join(labels(found, distance), "fp"))
+
+
+def first_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The first row of docs of each component, by doc_id and hash of the text; members: doc_id, copy, component.
 
-    kept = near_groups(docs, words, distance).filter("doc_id <=> component_id").select(known_id().alias("__id"), F.col("fingerprint").alias("__fp")).distinct()
-    keyed = docs.withColumn("__id", known_id()).join(kept, "__id", "left_semi")
-    # Only rows that repeat an id share a window; of those, texts of one group come down to the first.
-    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.col("text").asc_nulls_first()))
-    return keyed.withColumn("__n", first).filter("__n = 1").drop("__id", "__n")
+    A row is known by its id and its text, since many rows can have the same id or none; equal texts share a component.
+    """
+    kept = members.groupBy("component").agg(F.min(F.struct("doc_id", "copy")).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.copy").alias("__copy"))
+    keyed = docs.withColumns({"__id": known_id(), "__copy": F.xxhash64(known_text())}).join(kept, ["__id", "__copy"], "left_semi")
+    # Rows that repeat an id and a text come down to one where they are read, so a hot id is no hot task.
+    return keyed.dropDuplicates(["__id", "__copy"]).drop("__id", "__copy")

@@ -185,6 +185,16 @@ def test_simhash(docs, rows, empty):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(simhash_brute(pairs).values()))
 
 
+def test_every_group_keeps_one_row(spark):
+    """Null and repeated ids with unrelated texts are rows of their own; a group's row is the one with the smallest id."""
+    rng = random.Random(9)
+    t = [prose(rng, 60) for _ in range(8)]
+    some = [(None, t[0]), (None, t[1]), (None, t[2]), (None, t[2]), (2, t[3]), (5, t[3]), (5, t[4]), (5, t[5]), (5, t[5]), (6, t[1]), (7, None), (7, ""), (8, "")]
+    got = simhash.one_per_group(spark.createDataFrame(some, "doc_id long, text string")).collect()
+    want = [(None, t[0]), (None, t[1]), (None, t[2]), (2, t[3]), (5, t[4]), (5, t[5]), (7, "")]
+    assert sorted(((r.doc_id, r.text or "") for r in got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("distance", [0, 3, 5])
 def test_anchors_cover_every_near_pair(distance):
     rng = np.random.default_rng(distance)
