@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from srcatlas.llm import decontam, exact_dedup, html_text, line_dedup, lm_score, packing, simhash, substring_dedup, token_store, tokens, toxicity
+from srcatlas.llm import decontam, exact_dedup, html_text, line_dedup, lm_score, near_copies, packing, simhash, substring_dedup, token_store, tokens, toxicity
 from srcatlas.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, _id string"
@@ -195,6 +195,64 @@ def test_every_group_keeps_one_row(spark):
     assert sorted(((r.doc_id, r.text or "") for r in got), key=str) == sorted(want, key=str)
 
 
+def jaccard_brute(rows) -> set[frozenset]:
+    """Groups of ids by five-word similarity of 0.8 or more."""
+    shingles = lambda w: frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    sets = {i: shingles((t or "").encode().lower().split()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 5 * len(a & b) >= 4 * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = defaultdict(set)
+    for i in sets:
+        groups[find(i)].add(i)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_jaccard_groups(spark, empty):
+    """Edits at and around 0.8, chains of them, a shingle that half of the texts share, short, empty and null texts."""
+    rng = random.Random(3)
+    some: list = [(1, None), (2, ""), (3, "one two"), (4, "One  TWO"), (5, "one two three")]
+    for k in range(60):
+        w = prose(rng, rng.choice((12, 40, 90, 200))).split()
+        for step in range(4):
+            text = " ".join(w)
+            some.append((10 * k + step + 100, ("the same five words open this text " + text) if k % 2 else text))
+            for _ in range(rng.randint(1, 2)):
+                w[rng.randrange(len(w))] = f"edit{rng.random()}"
+    docs = spark.createDataFrame(some, "doc_id long, text string")
+    groups = defaultdict(set)
+    for r in near_copies.members(docs).collect():
+        groups[r.component].add(r.doc_id)
+    want = jaccard_brute(some)
+    assert {frozenset(g) for g in groups.values()} == want and 60 < len(want) < 220
+    assert sorted(r.doc_id for r in near_copies.one_per_group(docs).collect()) == sorted(min(g) for g in want)
+    assert near_copies.one_per_group(empty).count() == 0
+
+
+def test_near_copies_at_a_similarity_of_80_percent(spark):
+    """The pipeline's stage drops copies whose fingerprints differ in more than 4 bits."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    some = []
+    for k in range(40):
+        w = prose(rng, 104).split()
+        some.append((2 * k, " ".join(w)))
+        w[30] = w[80] = "edited"
+        some.append((2 * k + 1, " ".join(w)))
+    far = sum((fingerprint(some[i][1], 5) ^ fingerprint(some[i + 1][1], 5)).bit_count() > 4 for i in range(0, 80, 2))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(some, "doc_id long, text string"), SF)
+    assert far > 20 and sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
+
+
 @pytest.mark.parametrize("distance", [0, 3, 5])
 def test_anchors_cover_every_near_pair(distance):
     rng = np.random.default_rng(distance)
