@@ -78,21 +78,59 @@ def rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def anchors(later: dict[int, int], first: dict[int, int], some: list[int], others: list[int]) -> list[tuple[int, int]]:
+    """Rising pairs of places with one line: of lines that occur once on either side, else of all, the k-th with the k-th."""
+    places: dict[int, tuple[list[int], list[int]]] = {}
+    for side, (line, at) in enumerate(((later, some), (first, others))):
+        for k in at:
+            places.setdefault(line[k], ([], []))[side].append(k)
+    pairs = sorted((x[0], y[0]) for x, y in places.values() if len(x) == len(y) == 1)
+    if not pairs:
+        pairs = sorted(p for x, y in places.values() for p in zip(x, y, strict=False))
+    return [pairs[i] for i in rising([b for _, b in pairs])]
+
+
 def aligned(matches: list[dict]) -> dict[int, int]:
-    """Units of the later document to their partners: once-only lines in patience order, then neighbours."""
-    single = sorted((m["at"][0], m["first_at"][0]) for m in matches if len(m["at"]) == len(m["first_at"]) == 1)
-    if not single:
-        single = sorted((m["at"][0], m["first_at"][0]) for m in matches)
-    pairs = dict(single[i] for i in rising([b for _, b in single]))
-    equal = {(a, b) for m in matches if len(m["at"]) + len(m["first_at"]) > 2 for a in m["at"] for b in (m["first_at"] if len(m["at"]) * len(m["first_at"]) < 10_000 else m["first_at"][:1])}
-    used = set(pairs.values())
-    for step in (1, -1) if equal else ():
-        for a in sorted(pairs, reverse=step < 0):
-            b = pairs[a]
-            while (a + step, b + step) in equal and a + step not in pairs and b + step not in used:
-                a, b = a + step, b + step
-                pairs[a] = b
-                used.add(b)
+    """Units of the later document to their partners, by patience diff that goes on between its anchors.
+
+    Then units that repeat an aligned one get its partner, or the one after their neighbour's: a passage that the later
+    document holds twice is shared twice.
+    """
+    later = {a: m for m, x in enumerate(matches) for a in x["at"]}
+    first = {b: m for m, x in enumerate(matches) for b in x["first_at"]}
+    pairs: dict[int, int] = {}
+    ranges = [(sorted(later), sorted(first), -1, -1, None, None)]
+    while ranges:
+        some, others, a, b, c, d = ranges.pop()
+        # Runs grow from the anchors at both ends of a range (at the first and last range, from the texts' begin).
+        i = j = 0
+        while i < len(some) and j < len(others) and some[i] == a + 1 and others[j] == b + 1 and later[some[i]] == first[others[j]]:
+            a, b = some[i], others[j]
+            pairs[a] = b
+            i, j = i + 1, j + 1
+        m, n = len(some), len(others)
+        while c is not None and m > i and n > j and some[m - 1] == c - 1 and others[n - 1] == d - 1 and later[some[m - 1]] == first[others[n - 1]]:
+            c, d = some[m - 1], others[n - 1]
+            pairs[c] = d
+            m, n = m - 1, n - 1
+        some, others = some[i:m], others[j:n]
+        found = anchors(later, first, some, others) if some and others else []
+        if not found:
+            continue
+        pairs.update(found)
+        ends = [(a, b), *found, (c, d)]
+        for (a0, b0), (a1, b1) in zip(ends, ends[1:], strict=False):
+            x = some[bisect_left(some, a0 + 1) : len(some) if a1 is None else bisect_left(some, a1)]
+            y = others[bisect_left(others, b0 + 1) : len(others) if b1 is None else bisect_left(others, b1)]
+            if x and y:
+                ranges.append((x, y, a0, b0, a1, b1))
+    partner: dict[int, int] = {}
+    for a in sorted(pairs):
+        partner.setdefault(later[a], pairs[a])
+    for a in sorted(later):
+        if a not in pairs and later[a] in partner:
+            b = pairs.get(a - 1, -2) + 1
+            pairs[a] = b if first.get(b) == later[a] else partner[later[a]]
     return pairs
 
 

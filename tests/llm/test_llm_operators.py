@@ -392,6 +392,21 @@ def test_patience_keeps_the_order():
     assert line_dedup.aligned([match([0, 2], [0, 2]), match([1], [1])]) == {0: 0, 1: 1, 2: 2}
 
 
+def test_patience_goes_on_between_anchors(spark):
+    """Copies of a text with one line 150 times, and passages that the later document holds twice beside a single line."""
+    line = lambda name: f"{name} is a line of seven words"
+    same, p = line("same"), [line(f"passage{k}") for k in range(3)]
+    long = "\n".join([line("head"), *[same] * 150, line("mid"), *[same] * 120, line("foot")])
+    some = [
+        (1, long), (2, long), (3, "\n".join([same] * 150)), (4, "\n".join([same] * 150)),
+        (10, "\n".join(["only here one two three", line("single"), "only here four five six", *p])),
+        (11, "\n".join([*p, "mine alone one two three", line("single"), "mine alone four five six", *p, "mine alone seven eight nine"])),
+    ]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    own = ["mine alone one two three", line("single"), "mine alone four five six", "mine alone seven eight nine"]
+    assert got == {1: long, 2: "", 3: "", 4: "", 10: some[4][1], 11: "\n".join(own)}
+
+
 # ---- 9 decontamination ----
 
 
