@@ -1,11 +1,12 @@
 """Line dedup by pairwise alignment: later documents lose the blocks of lines that they share with an earlier one.
 
-Lines of at least RARE_WORDS words are units; their 128-bit hashes pair documents, and shorter lines belong to the unit
-before them. A document is paired with the first holder (smallest doc_id) of each of its lines, so a line with many
-holders makes one pair a holder, never all pairs, and no frequency has to be cut off. In a pair, lines that occur once on
-either side are aligned by patience diff (the longest increasing sequence), runs of neighbours grow from them over
-repeated lines, and blocks of at least `least_words` words go from the later document, with the short lines inside them.
-What a later document loses stays in the smallest document that has it.
+Lines of at least RARE_WORDS words are units with 128-bit hashes, and shorter lines belong to the unit before them. A
+document is paired with the first holder (smallest doc_id) of each of its runs: the shortest ones of consecutive units,
+from each unit on and up to each unit, that have `least_words` words. Any block that an earlier document holds has such
+runs, so it is met as a whole, and a run with many holders makes one pair a holder, never all pairs; no frequency has to
+be cut off. In a pair, lines that occur once on either side are aligned by patience diff (the longest increasing
+sequence), which goes on between them, and blocks of at least `least_words` words go from the later document, with the
+short lines inside them. What a later document loses stays in the smallest document that has it.
 
 Rows: null text stays null, the empty text empty. A null doc_id is the earliest. Rows with the same doc_id are neither
 earlier nor later than each other, so they lose lines only to smaller ids, and repeated rows lose the same lines. A text
@@ -14,8 +15,9 @@ that is a copy of an earlier one becomes empty. Empty tables give empty results;
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,23 +45,45 @@ def units(text: str) -> list[tuple[list[int], bytes, int, bytes]]:
     return [(lines, h, n, xx("\n".join(run).encode())) for lines, h, n, run in out]
 
 
-def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, copy, text) to UNITS: one row per distinct unit hash of a document, with its places."""
+def run_keys(hashes: list[bytes], words: list[int], least_words: int) -> set[bytes]:
+    """Hashes of the shortest runs of least_words words or more that start or end at each unit."""
+    from xxhash import xxh3_128_digest as xx
+
+    sums = [0, *accumulate(words)]
+    out = set()
+    for k in range(len(words)):
+        end = bisect_left(sums, sums[k] + least_words)
+        if end < len(sums):
+            out.add((k, end))
+        if sums[k + 1] >= least_words:
+            out.add((bisect_right(sums, sums[k + 1] - least_words) - 1, k + 1))
+    return {xx(b"".join(hashes[i:j])) for i, j in out}
+
+
+def unit_rows(least_words: int):
+    """(id, copy, text) to UNITS: a row per distinct unit hash of a document, with its places, and one per run, with none."""
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.int32(), pa.binary())
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            cols: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, copy, text in zip(*(batch.column(c).to_pylist() for c in ("id", "copy", "text")), strict=True):
-                seen: dict[bytes, list] = {}
-                for k, (_, h, n, run) in enumerate(units(text)):
-                    if h in seen:
-                        seen[h][0].append(k)
-                    else:
-                        seen[h] = [[k], n, run]
-                for h, (at, n, run) in seen.items():
-                    for c, v in zip(cols, (doc, copy, h, at, n, run), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "copy", "h", "at", "words", "run"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                cols: tuple[list, ...] = ([], [], [], [], [], [])
+                for doc, copy, text in zip(*(batch.column(c).to_pylist() for c in ("id", "copy", "text")), strict=True):
+                    seen: dict[bytes, list] = {}
+                    some = units(text)
+                    for k, (_, h, n, run) in enumerate(some):
+                        if h in seen:
+                            seen[h][0].append(k)
+                        else:
+                            seen[h] = [[k], n, run]
+                    found = [(h, at, n, run) for h, (at, n, run) in seen.items()]
+                    found += [(h, None, None, None) for h in run_keys([u[1] for u in some], [u[2] for u in some], least_words)]
+                    for h, at, n, run in found:
+                        for c, v in zip(cols, (doc, copy, h, at, n, run), strict=True):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["id", "copy", "h", "at", "words", "run"])
+
+    return rows
 
 
 def rising(values: list[int]) -> list[int]:
@@ -175,12 +199,18 @@ def lost_units(docs: DataFrame, least_words: int = 10) -> DataFrame:
     """id, copy (hash of the text), lost: the units that each document loses; documents that lose none are absent."""
     prepare(docs.sparkSession)
     rows = docs.select(known_id().alias("id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    found = written(rows.mapInArrow(unit_rows, UNITS), "units")
-    # Written, so that the join shuffles both sides anew and a hot line's side can be split.
-    first = written(found.groupBy("h").agg(F.min(F.struct("id", "copy", "at", "run")).alias("first"), F.max("id").alias("last")).filter("last > first.id").select("h", "first"), "holders")
-    matched = found.join(first, "h").filter("id > first.id")
-    pairs = matched.groupBy("id", "copy", F.col("first.id").alias("holder"), F.col("first.copy").alias("holder_copy")).agg(
-        F.collect_set(F.struct("at", F.col("first.at").alias("first_at"), "words", (F.col("run") == F.col("first.run")).alias("same_run"))).alias("matches")
+    found = written(rows.mapInArrow(unit_rows(least_words), UNITS), "units")
+    runs, lines = found.filter("at is null").select("id", "copy", "h"), found.filter("at is not null")
+    # Written, so that the joins shuffle both sides anew and the side of a hot run or document can be split.
+    first = written(runs.groupBy("h").agg(F.min(F.struct("id", "copy")).alias("first"), F.max("id").alias("last")).filter("last > first.id").select("h", "first"), "holders")
+    paired = runs.join(first, "h").filter("id > first.id").select("id", "copy", F.col("first.id").alias("holder"), F.col("first.copy").alias("holder_copy")).distinct()
+    paired = written(paired, "pairs")
+    held = lines.join(paired.select(F.col("holder").alias("id"), F.col("holder_copy").alias("copy")).distinct(), ["id", "copy"], "left_semi")
+    held = held.select(F.col("id").alias("holder"), F.col("copy").alias("holder_copy"), "h", F.col("at").alias("first_at"), F.col("run").alias("first_run")).distinct()
+    mine = lines.distinct().join(paired, ["id", "copy"])
+    matched = mine.join(held, ["holder", "holder_copy", "h"])
+    pairs = matched.groupBy("id", "copy", "holder", "holder_copy").agg(
+        F.collect_set(F.struct("at", "first_at", "words", (F.col("run") == F.col("first_run")).alias("same_run"))).alias("matches")
     )
     lost = pairs.select("id", "copy", "matches").mapInArrow(removed_units(least_words), "id long, copy long, lost array<int>").filter("size(lost) > 0")
     return lost.groupBy("id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("lost"))).alias("lost"))

@@ -407,6 +407,23 @@ def test_patience_goes_on_between_anchors(spark):
     assert got == {1: long, 2: "", 3: "", 4: "", 10: some[4][1], 11: "\n".join(own)}
 
 
+def test_a_passage_is_met_in_the_document_that_has_it_whole(spark):
+    """Each line of a passage of 48 words has a first holder of its own, and one earlier document has all of it."""
+    passage = [f"sentence{k} goes on for six" + " words" * (k % 2 + 1) for k in range(8)]
+    own = [f"my own opening line number {k}" for k in range(8)]
+    some = [(k, f"{own[k]}\n{passage[k]}\nand an own end of {k}") for k in range(8)]
+    some += [(20, "\n".join(["the first whole text begins here", *passage])), (21, "\n".join([*passage, "the second whole text ends here"]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    assert got == {**dict(some), 21: "the second whole text ends here"}
+    for words in ([10, 5], [5, 5, 10], [6, 3, 7, 12, 5, 5], [10], [9], []):  # any block of ten words has a run, its last unit too
+        hashes = [bytes([k]) for k in range(len(words))]
+        for i in range(len(words)):
+            for j in range(i + 1, len(words) + 1):
+                if sum(words[i:j]) >= 10:
+                    block = line_dedup.run_keys(hashes[i:j], words[i:j], 10)
+                    assert block and block <= line_dedup.run_keys(hashes, words, 10)
+
+
 # ---- 9 decontamination ----
 
 
