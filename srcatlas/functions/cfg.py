@@ -1,10 +1,14 @@
-"""cfg predicates as columns: gates are small JSON trees, evaluated without Python.
+"""cfg predicates as columns: gates are small JSON trees.
 
-A gate node is {"op": all|any|not|atom|kv|true|false, "key", "value", "args": [node, ...]}; trees are read to DEPTH levels.
+A gate node is {"op": all|any|not|atom|kv|true|false, "key", "value", "args": [node, ...]}; trees are read to DEPTH levels by column expressions, deeper
+ones by a small helper.
 """
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,11 +25,33 @@ def parse_cfg_line(line: Column) -> Column:
     )
 
 
-def evaluate(gate: Column, atoms: Column, pairs: Column, is_test: Column, depth: int = DEPTH) -> Column:
+def evaluate(gate: Column, atoms: Column, pairs: Column, is_test: Column) -> Column:
     """C.4: truth of a gate. atoms: array<string>, pairs: array<string> of key=value; `test` is the target's flag.
 
-    A `not` with other than one argument and anything malformed or too deep are enabled.
+    A `not` with other than one argument and anything malformed are enabled. Gates with nodes below DEPTH levels, which
+    hardly occur, go through a helper; for all others it gets nulls.
     """
+    deep = F.try_variant_get(gate, "$.args", "array<variant>")
+    for _ in range(DEPTH):
+        deep = F.flatten(F.transform(deep, lambda a: F.coalesce(F.try_variant_get(a, "$.args", "array<variant>"), F.expr("cast(array() as array<variant>)"))))
+    below = F.when(F.size(deep) > 0, F.to_json(gate))
+    return F.coalesce(F.arrow_udf(_deep_truth, "boolean")(below, atoms, pairs, is_test), _evaluated(gate, atoms, pairs, is_test, DEPTH))
+
+
+def _deep_truth(gates: pa.Array, atoms: pa.Array, pairs: pa.Array, is_test: pa.Array) -> pa.Array:
+    def truth(node, have: set, kv: set, test: bool) -> bool:
+        op, args = (node.get("op"), node.get("args") or []) if isinstance(node, dict) else (None, [])
+        if op == "atom":
+            return test if node.get("key") == "test" else node.get("key") in have
+        if op == "kv":
+            return f"{node.get('key')}={node.get('value')}" in kv
+        inner = [truth(a, have, kv, test) for a in args] if op in ("all", "any", "not") else []
+        return all(inner) if op == "all" else any(inner) if op == "any" else not inner[0] if op == "not" and len(inner) == 1 else op != "false"
+
+    return pa.array([None if g is None else truth(json.loads(g), set(a or ()), set(p or ()), bool(t)) for g, a, p, t in zip(*(x.to_pylist() for x in (gates, atoms, pairs, is_test)), strict=True)], pa.bool_())
+
+
+def _evaluated(gate: Column, atoms: Column, pairs: Column, is_test: Column, depth: int) -> Column:
     node = F.variant_get(gate, "$.op", "string")
     atom = F.variant_get(gate, "$.key", "string")
     value = F.variant_get(gate, "$.value", "string")
@@ -44,7 +70,7 @@ def evaluate(gate: Column, atoms: Column, pairs: Column, is_test: Column, depth:
     if not depth:
         return verdict(None)
     args = F.coalesce(F.try_variant_get(gate, "$.args", "array<variant>"), F.expr("cast(array() as array<variant>)"))
-    results = F.transform(args, lambda a: evaluate(a, atoms, pairs, is_test, depth - 1))
+    results = F.transform(args, lambda a: _evaluated(a, atoms, pairs, is_test, depth - 1))
     # One-element transform: the results are named once, so the expression does not double at every level.
     return F.get(F.transform(F.array(results), verdict), F.lit(0))
 

@@ -9,16 +9,26 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.interval import smallest_cover
+from ..plans.interval import points_in_spans, smallest_cover
+
+#: Block comments nest; deeper ones are left open, as unterminated ones are. Runs are possessive, so that a long token needs no stack.
+NESTED = 16
+
+
+def _block_comment(depth: int) -> str:
+    inner = "|" + _block_comment(depth - 1) if depth else ""
+    return r"/\*(?:[^*/]++|\*(?!/)|/(?!\*)" + inner + r")*+\*/"
+
 
 # Token classes of the language, tried in this order; the last takes any one character.
 TOKEN = "|".join([
-    r"\s+", r"//[^\n]*", r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/", r"(?:b|c)?r(#*)\"(?s:.*?)\"\1", r"(?:b|c)?\"(?:[^\"\\]|\\(?s:.))*\"",
-    r"b?'(?:\\u\{[0-9a-fA-F_]+\}|\\x[0-9a-fA-F]{2}|\\.|[^\\'\n])'", r"'[\p{L}_][\p{L}\p{N}_]*", r"r#[\p{L}_][\p{L}\p{N}_]*", r"[\p{L}_][\p{L}\p{N}_]*",
-    r"[0-9][0-9A-Za-z_]*(?:\.[0-9][0-9A-Za-z_]*)?(?:(?<=[eE])[+-][0-9_]+)?", r"(?s:.)",
+    r"\s++", r"//[^\n]*+", _block_comment(NESTED), r"(?:b|c)?r(#*+)\"(?s:.*?)\"\1", r"(?:b|c)?\"[^\"\\]*+(?:\\(?s:.)[^\"\\]*+)*+\"",
+    r"b?'(?:\\u\{[0-9a-fA-F_]+\}|\\x[0-9a-fA-F]{2}|\\.|[^\\'\n])'", r"'[\p{L}_][\p{L}\p{N}_]*+", r"r#[\p{L}_][\p{L}\p{N}_]*+", r"[\p{L}_][\p{L}\p{N}_]*+",
+    r"[0-9][0-9A-Za-z_]*+(?:\.[0-9][0-9A-Za-z_]*+)?(?:(?<=[eE])[+-][0-9_]+)?", r"(?s:.)",
 ])
 # Words that begin an item, and their kinds.
 ITEM_KINDS = {
@@ -34,7 +44,7 @@ def token_kind(token: Column) -> Column:
     first = F.substring(token, 1, 1)
     return (
         F.when(F.rlike(token, F.lit(r"^\s")), "whitespace").when(F.startswith(token, F.lit("//")), "comment").when(F.startswith(token, F.lit("/*")) & (F.length(token) > 1), "comment")
-        .when(F.rlike(token, F.lit(r'^(?:b|c)?r?#*"')), "string").when(F.rlike(token, F.lit(r"^b?'.+'$")), "char").when(first == "'", "lifetime")
+        .when(F.rlike(token, F.lit(r'^(?:b|c)?r?#*"')), "string").when(F.rlike(F.substring(token, 1, 16), F.lit(r"^b?'.+'$")), "char").when(first == "'", "lifetime")
         .when(F.rlike(token, F.lit(r"^(?:r#)?[\p{L}_]")), "ident").when(F.rlike(token, F.lit(r"^[0-9]")), "number").otherwise("punct")
     )
 
@@ -164,17 +174,29 @@ def flatten_use(text: str) -> Iterator[tuple[list[str], str | None, str]]:
     yield from walk(flat, [])
 
 
-def use_leaves(found: DataFrame, files: DataFrame) -> DataFrame:
-    """B.16, D.5: file_id, item_id, segments, binding, import_kind, absolute of every leaf of every use item."""
+LEAVES = "array<struct<segments:array<string>,binding:string,import_kind:string>>"
+
+
+def _leaves(texts: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("segments", pa.list_(pa.string())), ("binding", pa.string()), ("import_kind", pa.string())]))
+    once = {t: [dict(zip(("segments", "binding", "import_kind"), x, strict=True)) for x in flatten_use(t)] for t in set(texts.to_pylist())}
+    return pa.array([once[t] for t in texts.to_pylist()], kind)
+
 
-    @F.udf("array<struct<segments:array<string>,binding:string,import_kind:string>>")
-    def leaves(text: str):
-        return list(flatten_use(text))
+def item_text(found: DataFrame, toks: DataFrame, alias: str) -> DataFrame:
+    """file_id, item_id and the significant tokens of each item as one string, a space between them."""
+    near = toks.filter(~F.col("kind").isin("whitespace", "comment")).select("file_id", "n", F.col("span_start").alias("_at"), "token")
+    inside = points_in_spans(near, found.select("file_id", "item_id", "span_start", "span_end"), ["file_id"], at="_at", closed=False)
+    return inside.groupBy("file_id", "item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]), " ").alias(alias))
 
-    text = F.expr("cast(substring(encode(text, 'utf-8'), cast(span_start as int) + 1, cast(span_end - span_start as int)) as string)")
-    some = found.filter("kind = 'use'").join(files.select("file_id", "text"), "file_id").select("file_id", "item_id", "parent_id", "visibility", text.alias("_use"))
-    clean = F.regexp_replace(F.regexp_replace("_use", r"//[^\n]*|/\*(?s:.*?)\*/", " "), r"\s+", " ")
-    out = some.select("file_id", "item_id", "parent_id", "visibility", F.startswith(F.ltrim(F.regexp_replace(clean, "^use", "")), F.lit("::")).alias("absolute"), F.explode(leaves(clean)).alias("l"))
+
+def use_leaves(found: DataFrame, toks: DataFrame) -> DataFrame:
+    """B.16, D.5: file_id, item_id, parent_id, visibility, segments, binding, import_kind, absolute of every leaf of every use item."""
+    some = found.filter("kind = 'use'")
+    text = item_text(some, toks, "_use").withColumn("_use", F.replace("_use", F.lit(": :"), F.lit("::")))
+    leaves = F.arrow_udf(_leaves, LEAVES)
+    out = some.select("file_id", "item_id", "parent_id", "visibility").join(text, ["file_id", "item_id"])
+    out = out.select("file_id", "item_id", "parent_id", "visibility", F.rlike("_use", F.lit(r"^use ::")).alias("absolute"), F.explode(leaves(F.col("_use"))).alias("l"))
     return out.select("file_id", "item_id", "parent_id", "visibility", "absolute", "l.*")
 
 
@@ -203,14 +225,25 @@ def cfg_tree(text: str) -> str:
     return json.dumps(parse(text))
 
 
-def cfg_gates(toks: DataFrame, found: DataFrame, files: DataFrame) -> DataFrame:
-    """C.1: file_id, item_id, gate (JSON) of each #[cfg(...)] before an item: attributes join the next item by an as-of window."""
-    tree = F.udf(cfg_tree, "string")
-    attrs = files.select("file_id", F.explode(F.regexp_extract_all("text", F.lit(r"#\[cfg\(((?:[^()\[\]]|\((?:[^()]|\([^()]*\))*\))*)\)\]"), F.lit(0))).alias("attr")).distinct()
-    hashes = neighbours(toks).filter("token = '#' and next = '['").select("file_id", "span_start")
-    text = files.join(hashes, "file_id").join(attrs, "file_id").filter(F.expr("startswith(cast(substring(encode(text, 'utf-8'), cast(span_start as int) + 1, 4000) as string), attr)"))
+def cfg_gates(toks: DataFrame, found: DataFrame) -> DataFrame:
+    """C.1: file_id, item_id, gate (JSON) of each #[cfg(...)] before an item, of any length and depth.
+
+    An attribute ends at the bracket that brings the depth of its `#` back; it belongs to the next item of its file.
+    """
+    near = neighbours(toks)
+    level = F.when(F.col("token") == "]", F.col("depth_after")).otherwise(F.col("depth"))
+    ends = Window.partitionBy("file_id", "_level").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
+    marks = near.withColumn("_level", level).filter("token = ']' or (token = '#' and next = '[' and next2 = 'cfg')")
+    stop = F.first(F.when(F.col("token") == "]", F.col("span_end")), ignorenulls=True).over(ends)
+    attrs = marks.withColumn("_end", stop).filter("token = '#' and _end is not null").select("file_id", F.col("span_start").alias("item_id"), "span_start", F.col("_end").alias("span_end"))
+    texts = item_text(attrs, toks, "attr").select("file_id", F.col("item_id").alias("span_start"), "attr").filter(F.startswith("attr", F.lit("# [ cfg (")))
     ahead = Window.partitionBy("file_id").orderBy("span_start").rowsBetween(1, Window.unboundedFollowing)
-    both = text.select("file_id", "span_start", "attr", F.lit(None).cast("long").alias("item_id")).unionByName(found.select("file_id", "span_start", F.lit(None).cast("string").alias("attr"), "item_id"))
+    both = texts.withColumn("item_id", F.lit(None).cast("long")).unionByName(found.select("file_id", "span_start", F.lit(None).cast("string").alias("attr"), "item_id"))
     owned = both.withColumn("_item", F.first("item_id", ignorenulls=True).over(ahead)).filter("attr is not null and _item is not null")
-    inner = F.regexp_extract("attr", r"(?s)^#\[cfg\((.*)\)\]$", 1)
-    return owned.select("file_id", F.col("_item").alias("item_id"), tree(inner).alias("gate"))
+    inner = F.regexp_extract("attr", r"(?s)^# \[ cfg \((.*)\) \]$", 1)
+    return owned.select("file_id", F.col("_item").alias("item_id"), F.arrow_udf(_cfg_trees, "string")(inner).alias("gate"))
+
+
+def _cfg_trees(texts: pa.Array) -> pa.Array:
+    once = {t: cfg_tree(t) for t in set(texts.to_pylist())}
+    return pa.array([once[t] for t in texts.to_pylist()], pa.string())

@@ -19,10 +19,10 @@ def workspace_symbols(defs: DataFrame, needle: str) -> DataFrame:
 def workspace_symbols_batch(defs: DataFrame, needles: DataFrame) -> DataFrame:
     """I.24 for many searches (query_id, needle): one pass over defs; needles are broadcast only after their count.
 
-    Above 10,000 searches, the first three letters of each needle meet the names' trigrams in an equi-join; needles of one
+    Above 32 searches, the first three letters of each needle meet the names' trigrams in an equi-join; needles of one
     or two letters meet one- and two-letter grams. An empty needle asks for all of defs, so its rows are the whole answer.
     """
-    if needles.limit(10_001).count() <= 10_000:
+    if needles.limit(33).count() <= 32:
         return defs.join(F.broadcast(needles), symbol_matches(F.col("name"), F.col("needle")))
     out = defs.join(needles.filter("needle = ''"))
     for n in (1, 2, 3):

@@ -1,30 +1,44 @@
-"""Interval joins with equi-keys: spans are dealt into fixed-width buckets, so no join is a nested loop."""
+"""Interval joins with equi-keys: spans are dealt into buckets as wide as they are, so no join is a nested loop."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bucket widths: a span goes to the first that is no shorter than its sixteenth, so it lies in at most 17 buckets, whatever its length.
+WIDTHS = [256 << 4 * k for k in range(7)]
 
-def buckets(start: Column, end: Column, width: int) -> Column:
-    return F.sequence(F.floor(start / width), F.floor(end / width))
 
+def _width(length: Column) -> Column:
+    out = F.lit(WIDTHS[-1])
+    for w in reversed(WIDTHS[:-1]):
+        out = F.when(length < 16 * w, F.lit(w)).otherwise(out)
+    return out
 
-def points_in_spans(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "offset", width: int = 256, closed: bool = True) -> DataFrame:
+
+def dealt_spans(spans: DataFrame, start: str = "span_start", end: str = "span_end") -> DataFrame:
+    """spans with _width and _bucket, one row for each bucket that they lie in."""
+    wide = spans.withColumn("_width", _width(F.col(end) - F.col(start)))
+    return wide.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / F.col("_width")), F.floor(F.col(end) / F.col("_width")))))
+
+
+def dealt_points(points: DataFrame, at: str) -> DataFrame:
+    """points with the bucket that they lie in at each width."""
+    return points.withColumn("_width", F.explode(F.array(*map(F.lit, WIDTHS)))).withColumn("_bucket", F.floor(F.col(at) / F.col("_width")))
+
+
+def points_in_spans(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "offset", closed: bool = True) -> DataFrame:
     """points joined to the spans (span_start, span_end) over them; closed also takes a point at the end (C.6, C.7)."""
-    dealt = spans.withColumn("_bucket", F.explode(buckets(F.col("span_start"), F.col("span_end"), width)))
-    found = points.withColumn("_bucket", F.floor(F.col(at) / width)).join(dealt, [*keys, "_bucket"]).drop("_bucket")
+    found = dealt_points(points, at).join(dealt_spans(spans), [*keys, "_width", "_bucket"]).drop("_width", "_bucket")
     return found.filter((F.col("span_start") <= F.col(at)) & ((F.col(at) <= F.col("span_end")) if closed else (F.col(at) < F.col("span_end"))))
 
 
-def smallest_cover(children: DataFrame, parents: DataFrame, keys: list[str], width: int = 256) -> DataFrame:
+def smallest_cover(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """children with parent_id: the shortest span of parents that covers the child's and differs from it (C.8); else null.
 
     children: keys, id, span_start, span_end; parents likewise. Ties go to the smaller id.
     """
-    p = parents.select(*keys, F.col("id").alias("_pid"), F.col("span_start").alias("_ps"), F.col("span_end").alias("_pe"))
-    p = p.withColumn("_bucket", F.explode(buckets(F.col("_ps"), F.col("_pe"), width)))
-    c = children.withColumn("_bucket", F.floor(F.col("span_start") / width))
-    over = c.join(p, [*keys, "_bucket"]).filter("_ps <= span_start and span_end <= _pe and (_ps <> span_start or _pe <> span_end)")
+    p = dealt_spans(parents.select(*keys, F.col("id").alias("_pid"), F.col("span_start").alias("_ps"), F.col("span_end").alias("_pe")), "_ps", "_pe")
+    over = dealt_points(children, "span_start").join(p, [*keys, "_width", "_bucket"]).filter("_ps <= span_start and span_end <= _pe and (_ps <> span_start or _pe <> span_end)")
     best = over.groupBy(*keys, "id").agg(F.min(F.struct((F.col("_pe") - F.col("_ps")).alias("n"), F.col("_pid").alias("parent_id"))).alias("best"))
     return children.join(best.select(*keys, "id", F.col("best.parent_id").alias("parent_id")), [*keys, "id"], "left")

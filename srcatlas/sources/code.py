@@ -62,9 +62,12 @@ def source_files(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def reparsed(files: DataFrame, changed: DataFrame) -> DataFrame:
-    """A.5, A.6: files with the text of changed ones (path, text) in place; unknown paths are not added."""
-    new = changed.select("path", F.col("text").alias("_new"))
-    return files.join(new, "path", "left").select("file_id", "path", F.coalesce("_new", "text").alias("text"))
+    """A.5, A.6: files with the text of changed ones (path, text) in place, and was_known: false for changed paths that no
+    file has; they get the hash of the path as their id. Several texts of one path: the greatest counts."""
+    new = changed.groupBy("path").agg(F.max("text").alias("_new"))
+    return files.withColumn("_old", F.lit(True)).join(new, "path", "full").select(
+        F.coalesce("file_id", F.xxhash64("path")).alias("file_id"), "path", F.coalesce("_new", "text").alias("text"), F.coalesce("_old", F.lit(False)).alias("was_known")
+    )
 
 
 def owning_package(files: DataFrame, packages: DataFrame) -> DataFrame:

@@ -57,6 +57,34 @@ def test_tokens_are_the_text(analysis, files):
     assert [(r.file_id, r.error) for r in lexing.lexical_errors(analysis.tokens).collect()] == [(5, "unterminated")]
 
 
+def nested(op: str, levels: int) -> str:
+    return "{" + f'"op":"{op}","args":[' + (nested(op, levels - 1) if levels else '{"op":"atom","key":"windows"}') + "]}"
+
+
+def test_very_long_tokens(spark):
+    """Literals and comments of 1 MB, and nested comments, are one token each."""
+    mb = 1 << 20
+    parts = ['"' + 'x\\"' * (mb // 3) + '"', "r##\"" + 'y"# ' * (mb // 4) + '"##', "/*" + "z*" * (mb // 2) + "*/", "//" + "w" * mb, "/* a /* b /* c /* d */ c */ b */ a */", "v" * mb, " " * mb, "'a'"]
+    files = spark.createDataFrame([(1, "\n".join(parts)), (2, '"' + "x" * mb), (3, "/* /* */")], "file_id long, text string")
+    toks = lexing.tokens(files)
+    got = [r.token for r in toks.filter("file_id = 1").orderBy("n").collect()]
+    assert "".join(got) == "\n".join(parts) and [t for t in got if t.strip(" ") != "\n" and not t.isspace()] == [p for p in parts if not p.isspace()]
+    assert {r.file_id for r in lexing.lexical_errors(toks).collect()} >= {2}
+
+
+def test_long_and_deep_gates(spark):
+    long = "any(" + ", ".join(f'feature = "f{k}"' for k in range(2000)) + ")"
+    deep = "all(" * 9 + "unix" + ")" * 9
+    text = f"#[cfg({long})]\nfn a() {{}}\n#[cfg({deep})]\nmod b {{ fn c() {{}} }}\n"
+    toks = lexing.tokens(spark.createDataFrame([(1, text)], "file_id long, text string"))
+    found = lexing.items(toks)
+    gates = {r.item_id: json.loads(r.gate) for r in lexing.cfg_gates(toks, found).collect()}
+    assert set(gates) == {text.index("fn a"), text.index("mod b")} and len(gates[text.index("fn a")]["args"]) == 2000
+    d = spark.createDataFrame([(nested("all", 8), False), (nested("not", 8), True), (nested("not", 9), False)], "gate string, want boolean")
+    got = d.select("want", evaluate(F.parse_json("gate"), F.array(F.lit("unix")), F.array(F.lit("x")), F.lit(True)).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
 def test_items(analysis):
     got = [(r.kind, r.name, r.visibility, r.is_inline, r.parent_kind) for r in analysis.items.filter("file_id = 1").orderBy("span_start").collect()]
     assert got == [
@@ -70,9 +98,9 @@ def test_items(analysis):
 def test_docs_modules_uses_gates(analysis, files):
     assert [(r.item_id, r.docs) for r in lexing.item_docs(analysis.tokens, analysis.items).collect()] == [(LIB.index("struct Point"), "A point.\nSecond line.")]
     assert {(r.name, r.module_file) for r in analysis.module_links.collect()} == {("other", 2), ("sub", 3)}
-    uses = {(tuple(r.segments), r.binding, r.import_kind) for r in lexing.use_leaves(analysis.items, files).collect()}
+    uses = {(tuple(r.segments), r.binding, r.import_kind) for r in lexing.use_leaves(analysis.items, analysis.tokens).collect()}
     assert uses == {(("std", "fmt"), None, "self"), (("std", "fmt", "Display"), "D", "named"), (("std", "io"), None, "glob"), (("super", "o"), "_", "named")}
-    (gate,) = lexing.cfg_gates(analysis.tokens, analysis.items, files).collect()
+    (gate,) = lexing.cfg_gates(analysis.tokens, analysis.items).collect()
     assert gate.item_id == LIB.index("mod inner") and json.loads(gate.gate) == {"op": "all", "args": [{"op": "atom", "key": "test"}, {"op": "kv", "key": "feature", "value": "a"}]}
 
 

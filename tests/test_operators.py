@@ -42,11 +42,15 @@ def test_rounds_may_take_rows_away(spark):
 def test_intervals(spark):
     spans = table(spark, "f int, s int, span_start long, span_end long", (1, 1, 0, 1000), (1, 2, 100, 110), (1, 3, 110, 110), (2, 4, 0, 5))
     at = table(spark, "f int, offset long", (1, 110), (1, 100), (2, 5), (3, 0))
-    assert rows(points_in_spans(at, spans, ["f"], width=16), "f", "offset", "s") == [(1, 100, 1), (1, 100, 2), (1, 110, 1), (1, 110, 2), (1, 110, 3), (2, 5, 4)]
-    assert rows(points_in_spans(at, spans, ["f"], width=16, closed=False), "f", "offset", "s") == [(1, 100, 1), (1, 100, 2), (1, 110, 1)]
+    assert rows(points_in_spans(at, spans, ["f"]), "f", "offset", "s") == [(1, 100, 1), (1, 100, 2), (1, 110, 1), (1, 110, 2), (1, 110, 3), (2, 5, 4)]
+    assert rows(points_in_spans(at, spans, ["f"], closed=False), "f", "offset", "s") == [(1, 100, 1), (1, 100, 2), (1, 110, 1)]
     kids = table(spark, "f int, id long, span_start long, span_end long", (1, 7, 101, 105), (1, 8, 100, 110), (1, 9, 2000, 2001))
     parents = spans.select("f", F.col("s").cast("long").alias("id"), "span_start", "span_end")
-    assert rows(smallest_cover(kids, parents, ["f"], width=16), "id", "parent_id") == [(7, 2), (8, 1), (9, None)]
+    assert rows(smallest_cover(kids, parents, ["f"]), "id", "parent_id") == [(7, 2), (8, 1), (9, None)]
+    wide = [(1, k, k * 7919 % 300_000, k * 7919 % 300_000 + (1 << k % 28)) for k in range(200)]
+    points = [(1, p) for p in range(0, 400_000, 3_001)]
+    want = sorted((1, p, k) for _, p in points for _, k, a, b in wide if a <= p <= b)
+    assert rows(points_in_spans(table(spark, "f int, offset long", *points), table(spark, "f int, s int, span_start long, span_end long", *wide), ["f"]), "f", "offset", "s") == want
 
 
 def test_asof_strict_and_ties(spark):
