@@ -402,7 +402,7 @@ def cfg_eval(d: Driver) -> DataFrame:
     gate = F.element_at(F.array(*[F.lit(g) for g in gates]), (F.col("p_size") % 4 + 1).cast("int"))
     atoms = F.array_compact(F.array(F.when(F.contains("p_type", F.lit("A")), F.lit("has_a")), F.when(F.col("p_size") > 25, F.lit("large"))))
     pairs = F.array(F.concat(F.lit("brand="), "p_brand"))
-    return d.raw("part").select("p_partkey", evaluate(F.parse_json(gate), atoms, pairs, F.lit(False), depth=3).alias("enabled"))
+    return d.raw("part").select("p_partkey", evaluate(F.parse_json(gate), atoms, pairs, F.lit(False)).alias("enabled"))
 
 
 @query("""WITH b AS (SELECT o_orderkey AS site, 'l' || (o_custkey % 5) AS label, o_orderstatus AS ns, o_custkey AS def_id, 0 AS priority FROM orders WHERE o_custkey % 2 = 0
