@@ -26,39 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .textvec import U, Words, mix, slices
+from .textvec import U, Words, permuted, shingle_sets, slices
 
 PERMUTATIONS = 48
 
 
-def shingle_sets(column: pa.Array, words: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and the hash, first word and document pointer of all shingles; a short text is one shingle."""
-    w = Words(column)
-    h, first = w.shingles(words)
-    count = np.diff(w.ptr)
-    short = np.flatnonzero((count > 0) & (count < words))
-    if len(short):
-        own = np.array([_one(w.hash[w.ptr[d] : w.ptr[d + 1]]) for d in short], U)
-        h, first = np.concatenate([h, own]), np.concatenate([first, w.ptr[short]])
-        order = np.argsort(first, kind="stable")
-        h, first = h[order], first[order]
-    return w, h, first, np.searchsorted(first, w.ptr)
-
-
-def _one(hashes: np.ndarray) -> np.uint64:
-    out = U(len(hashes))
-    with np.errstate(over="ignore"):
-        for x in hashes:
-            out = out * U(0x9E3779B97F4A7C15) + x
-    return mix(np.array([out]))[0]
-
-
-def permuted(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th permutation's value of each hash, 32 bits."""
-    a, b = mix(np.array([2 * k + 1, 2 * k + 2], U))
-    return ((h * (a | U(1)) + b) >> U(32)).astype(np.uint32)
-
-
 def partition_bits(size: np.ndarray) -> np.ndarray:
     """k of the partition with upper bound 2**k."""
     return np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)

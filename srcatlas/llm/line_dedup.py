@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import known_id, prepare, written
+from .common import free_names, known_id, maybe_in, prepare, written
 from .textvec import slices
 
 RARE_WORDS = 5
@@ -221,9 +221,14 @@ def dedup_lines(docs: DataFrame, least_words: int = 10, removed: str | None = No
 
     removed: the name of a column to add with the number of lines that went.
     """
-    lost = lost_units(docs, least_words).select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), F.col("lost").alias("__lost"))
-    keyed = docs.withColumns({"__id": known_id(), "__copy": F.xxhash64("text")}).join(lost, ["__id", "__copy"], "left")
-    out = keyed.withColumn("__new", F.arrow_udf(cleaned, "struct<text: string, n: int>")(F.col("text").cast("string"), "__lost"))
-    cols = {c: F.col("__new.text") if c == "text" else F.when(F.col("__lost").isNull(), F.col(c)).otherwise(F.length("__new.text")) if c == "n_chars" else F.col(c) for c in docs.columns}
-    extra = [F.col("__new.n").alias(removed)] if removed else []
-    return out.select(*(v.alias(c) for c, v in cols.items()), *extra)
+    i, c, gone, new, maybe = free_names(docs, "id", "copy", "lost", "new", "maybe")
+    lost = written(lost_units(docs, least_words).toDF(i, c, gone), "lost")
+    keyed = docs.withColumns({i: known_id(), c: F.xxhash64("text")})
+    marked = keyed.withColumn(maybe, maybe_in(F.xxhash64(i, c), lost, F.xxhash64(i, c)))
+    # Only documents that lose lines are shuffled; the others are answered where they are read.
+    again = marked.filter(maybe).join(lost, [i, c], "left")
+    again = again.withColumn(new, F.arrow_udf(cleaned, "struct<text: string, n: int>")(F.col("text").cast("string"), gone))
+    cols = {x: F.col(f"`{new}`.text") if x == "text" else F.when(F.col(gone).isNull(), F.col(x)).otherwise(F.length(F.col(f"`{new}`.text"))) if x == "n_chars" else F.col(x) for x in docs.columns}
+    extra = [] if removed is None else [removed]
+    same = marked.filter(~F.col(maybe)).select(*(F.col(x).cast("string") if x == "text" else F.col(x) for x in docs.columns), *(F.lit(0).alias(x) for x in extra))
+    return same.union(again.select(*(v.cast(docs.schema[x].dataType if x != "text" else "string").alias(x) for x, v in cols.items()), *(F.col(f"`{new}`.n").alias(x) for x in extra)))

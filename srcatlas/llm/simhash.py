@@ -6,8 +6,9 @@ sequence), XXH64 with seed 42, a bit is set if it is set in over half of the shi
 Search: fingerprints within `distance` bits agree but for floor(distance / 3) bits in one of three blocks. In a block the
 anchors are a covering code: the [15, 11] Hamming code times all values of the other bits, of covering radius 1. Every
 distinct fingerprint goes to all anchors within radius + that many bits, so a near pair meets at the anchor of either one;
-pairs are compared there on all 64 bits. Copies of one fingerprint travel once. An anchor with many fingerprints gives a
-spanning forest of its links, never all pairs.
+pairs are compared there on all 64 bits. Copies of one fingerprint travel once. In an anchor with many fingerprints only
+those are compared that agree in one of distance + 1 parts of their bits, and many that do give a spanning forest of their
+links, never all pairs.
 
 Rows: null text is empty; empty texts share fingerprint zero and link as any other. A null doc_id sorts first. Rows that
 repeat a doc_id are rows of their own with one component if their texts are alike. Empty table: empty result.
@@ -24,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import known_id, known_text, prepare, shown_id, written
+from .common import free_names, known_id, known_text, maybe_in, prepare, shown_id, written
 from .graph import components
 from .textvec import U, slices
 
 SEED = 42
 #: First bit and width of each block.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: From this many fingerprints on, an anchor gives a spanning forest of its links.
+#: From this many fingerprints on, an anchor is divided by parts, and a part gives a spanning forest of its links.
 CROWDED = 48
 
 
@@ -130,6 +131,41 @@ def replicas(slack: int):
     return run
 
 
+def near_in_parts(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same fingerprints as all links among distinct ones do, for an anchor with many.
+
+    Fingerprints within `distance` bits agree in one of distance + 1 parts of the 64 bits, so each is compared with those
+    that share a part with it: runs of sorted parts, of which long ones give a spanning forest.
+    """
+    src, dst = [np.zeros(0, U)], [np.zeros(0, U)]
+    for k in range(distance + 1):
+        low, high = 64 * k // (distance + 1), 64 * (k + 1) // (distance + 1)
+        part = (fps >> U(low)) & U((1 << (high - low)) - 1)
+        order = np.argsort(part, kind="stable")
+        for a, b in pairs_in_runs(part[order], fps[order], distance):
+            src.append(a)
+            dst.append(b)
+    return np.concatenate(src), np.concatenate(dst)
+
+
+def pairs_in_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links inside runs of equal keys: all of short runs, a spanning forest of long ones."""
+    cut = np.flatnonzero(np.diff(keys)) + 1
+    begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
+    size = end - begin
+    for g in np.flatnonzero(size > CROWDED):
+        yield forest(np.unique(fps[begin[g] : end[g]]), distance)
+    small = np.flatnonzero((size > 1) & (size <= CROWDED))
+    for at in range(0, len(small), 4000):
+        g = small[at : at + 4000]
+        left = np.repeat(begin[g], size[g]) + np.arange(size[g].sum()) - np.repeat(np.cumsum(size[g]) - size[g], size[g])
+        count = np.repeat(end[g], size[g]) - left - 1
+        i = np.repeat(left, count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        near = np.flatnonzero((np.bitwise_count(fps[i] ^ fps[j]) <= distance) & (fps[i] != fps[j]))
+        yield fps[i[near]], fps[j[near]]
+
+
 def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links among distinct fingerprints: every step takes all unseen neighbours of one."""
     left, src, dst = fps, [], []
@@ -153,24 +189,14 @@ def links(distance: int):
     def compare(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.flatnonzero(np.diff(keys)) + 1
         begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(keys)]])
-        size = end - begin
-        src, dst = [], []
-        for g in np.flatnonzero(size > CROWDED):
-            a, b = forest(np.unique(fps[begin[g] : end[g]]), distance)
-            src.append(a)
-            dst.append(b)
-        small = np.flatnonzero((size > 1) & (size <= CROWDED))
-        for at in range(0, len(small), 4000):
-            g = small[at : at + 4000]
-            left = np.repeat(begin[g], size[g]) + np.arange(size[g].sum()) - np.repeat(np.cumsum(size[g]) - size[g], size[g])
-            count = np.repeat(end[g], size[g]) - left - 1
-            i = np.repeat(left, count)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-            near = np.flatnonzero((np.bitwise_count(fps[i] ^ fps[j]) <= distance) & (fps[i] != fps[j]))
-            src.append(fps[i[near]])
-            dst.append(fps[j[near]])
+        big = np.flatnonzero(end - begin > CROWDED)
+        found = [near_in_parts(np.unique(fps[begin[g] : end[g]]), distance) for g in big]
+        rest = np.ones(len(keys), bool)
+        for g in big:
+            rest[begin[g] : end[g]] = False
+        found += pairs_in_runs(keys[rest], fps[rest], distance) if rest.any() else []
         none = np.zeros(0, U)
-        return np.concatenate([none, *src]), np.concatenate([none, *dst])
+        return np.concatenate([none, *(a for a, _ in found)]), np.concatenate([none, *(b for _, b in found)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, fps = np.zeros(0, np.int64), np.zeros(0, U)
@@ -225,15 +251,22 @@ def near_groups(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame
 def one_per_group(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """The rows of docs, all columns, one of each group: the one with the smallest doc_id (of repeated ids, one row)."""
     found = written(fingerprints(docs, words), "fingerprints")
-    return first_rows(docs, found.join(labels(found, distance), "fp"))
+    return first_rows(docs, written(found.join(labels(found, distance), "fp"), "members"))
 
 
 def first_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The first row of docs of each component, by doc_id and hash of the text; members: doc_id, copy, component.
+    """The first row of docs of each component, by doc_id and hash of the text; members (written): doc_id, copy, component.
 
     A row is known by its id and its text, since many rows can have the same id or none; equal texts share a component.
+    Only rows that go, or that repeat an id and a text, are shuffled; the others stay where they are read.
     """
-    kept = members.groupBy("component").agg(F.min(F.struct("doc_id", "copy")).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.copy").alias("__copy"))
-    keyed = docs.withColumns({"__id": known_id(), "__copy": F.xxhash64(known_text())}).join(kept, ["__id", "__copy"], "left_semi")
+    first = written(members.groupBy("component").agg(F.min(F.struct("doc_id", "copy")).alias("m")), "first")
+    counted = members.groupBy("doc_id", "copy", "component").agg(F.count(F.lit(1)).alias("n")).join(first, "component")
+    stays = (F.col("doc_id") == F.col("m.doc_id")) & (F.col("copy") == F.col("m.copy"))
+    i, c, stay, maybe = free_names(docs, "id", "copy", "stays", "maybe")
+    special = written(counted.select(F.col("doc_id").alias(i), F.col("copy").alias(c), stays.alias(stay), "n").filter(~F.col(stay) | (F.col("n") > 1)).drop("n"), "special")
+    keyed = docs.withColumns({i: known_id(), c: F.xxhash64(known_text())})
+    marked = keyed.withColumn(maybe, maybe_in(F.xxhash64(i, c), special, F.xxhash64(i, c)))
     # Rows that repeat an id and a text come down to one where they are read, so a hot id is no hot task.
-    return keyed.dropDuplicates(["__id", "__copy"]).drop("__id", "__copy")
+    again = marked.filter(maybe).join(special, [i, c], "left").filter(F.coalesce(F.col(stay), F.lit(True))).dropDuplicates([i, c])
+    return marked.filter(~F.col(maybe)).select(*docs.columns).union(again.select(*docs.columns))

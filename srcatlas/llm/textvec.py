@@ -89,15 +89,18 @@ LOWER[65:91] += 32
 #: Bytes of words: letters and digits of ASCII and every byte of other characters.
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
+#: Bytes of words that ASCII white space alone divides.
+SPACED = np.ones(256, dtype=bool)
+SPACED[[9, 10, 11, 12, 13, 32]] = False
 
 
 class Words:
-    """Words of a batch: start, end, hash; ptr[d]:ptr[d+1] are the words of document d."""
+    """Words of a batch: start, end, hash; ptr[d]:ptr[d+1] are the words of document d. word: the bytes that words consist of."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, word: np.ndarray = WORD):
         data, self.offsets = utf8(column)
         self.low = low = LOWER[data]
-        is_word = WORD[low]
+        is_word = word[low]
         before = np.empty(len(low), bool)
         if len(low):
             before[0] = False
@@ -128,3 +131,31 @@ class Words:
             h += self.hash[i : m + i]
         first = np.flatnonzero(self.doc[:m] == self.doc[n - 1 :])
         return mix(h[first]), first
+
+
+def shingle_sets(column: pa.Array, words: int, word: np.ndarray = WORD) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and the hash, first word and document pointer of all shingles; a short text is one shingle."""
+    w = Words(column, word)
+    h, first = w.shingles(words)
+    count = np.diff(w.ptr)
+    short = np.flatnonzero((count > 0) & (count < words))
+    if len(short):
+        own = np.array([_one(w.hash[w.ptr[d] : w.ptr[d + 1]]) for d in short], U)
+        h, first = np.concatenate([h, own]), np.concatenate([first, w.ptr[short]])
+        order = np.argsort(first, kind="stable")
+        h, first = h[order], first[order]
+    return w, h, first, np.searchsorted(first, w.ptr)
+
+
+def _one(hashes: np.ndarray) -> np.uint64:
+    out = U(len(hashes))
+    with np.errstate(over="ignore"):
+        for x in hashes:
+            out = out * U(0x9E3779B97F4A7C15) + x
+    return mix(np.array([out]))[0]
+
+
+def permuted(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th permutation's value of each hash, 32 bits."""
+    a, b = mix(np.array([2 * k + 1, 2 * k + 2], U))
+    return ((h * (a | U(1)) + b) >> U(32)).astype(np.uint32)

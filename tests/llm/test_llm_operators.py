@@ -273,6 +273,53 @@ def test_crowded_anchor_links(spark):
     assert len(src) < len(fps) and (np.bitwise_count(src ^ dst) <= 4).all()
 
 
+def test_an_anchor_with_very_many_fingerprints():
+    """10**5 fingerprints that share an anchor: the same groups as by brute force, in linear work."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 99_000, dtype=np.uint64) & np.uint64(0xFFFFFFFFFFE00000)
+    near = base[:1000].copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(21, 64, 1000).astype(np.uint64)
+    fps = np.unique(np.concatenate([base, near]))
+    links = simhash.links(4)([pa.RecordBatch.from_arrays([pa.array(np.zeros(len(fps), np.int64)), pa.array(fps.view(np.int64))], names=["anchor", "fp"])])
+    got = {(r["src"], r["dst"]) for b in links for r in b.to_pylist()}
+    want = {tuple(sorted((int(a), int(b)), reverse=True)) for a, b in zip(base[:1000].view(np.int64), near.view(np.int64), strict=True) if a != b}
+    assert want <= got and len(got) < 1100 and all(bin((a ^ b) & (2**64 - 1)).count("1") <= 4 for a, b in got)
+    crowd = np.unique(np.array([0, *(1 << k for k in range(64)), *(1 << k | 1 << j for k in range(64) for j in range(k))], np.uint64))
+    src, dst = simhash.near_in_parts(crowd, 4)
+    parent = {int(x): int(x) for x in crowd}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(src.tolist(), dst.tolist(), strict=True):
+        parent[find(a)] = find(b)
+    assert len({find(int(x)) for x in crowd}) == 1
+
+
+def test_helper_columns_do_not_clash(spark):
+    """Columns of the input that have the names of helper columns stay as they are."""
+    rng = random.Random(12)
+    t = [prose(rng, 40) for _ in range(6)]
+    names = ["id", "copy", "lost", "new", "maybe", "stays", "id_", "Copy_", "__id", "__copy", "__n", "__fp", "__new", "__lost"]
+    rows = [(k, t[k % 5] + "\n" + t[5], *(f"{n}{k}" for n in names)) for k in range(10)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for out, left in ((simhash.one_per_group(docs), 5), (near_copies.one_per_group(docs), 5), (line_dedup.dedup_lines(docs), 10)):
+        got = {r.doc_id: tuple(r)[2:] for r in out.collect()}
+        assert out.columns == docs.columns and len(got) == left and all(got[k] == rows[k][2:] for k in got)
+
+
+def test_bit_filter_never_misses(spark):
+    from srcatlas.llm.common import maybe_in
+
+    have = spark.range(0, 50_000, 7).withColumnRenamed("id", "k")
+    marked = spark.range(100_000).withColumn("m", maybe_in(F.col("id"), have, F.col("k")))
+    assert marked.filter("id < 50000 and id % 7 = 0 and not m").count() == 0
+    assert marked.filter("m").count() < 7_143 + 0.1 * 93_000 and marked.withColumn("none", maybe_in(F.col("id"), have.limit(0), F.col("k"))).filter("none").count() == 0
+
+
 def test_components(spark):
     e = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (4, 9), (20, 21), (12, 30), (31, 30), (5, 5)] + [(100, k) for k in range(101, 160)] + [(k, k + 1) for k in range(300, 340)]
     got = {tuple(r) for r in components(spark.createDataFrame(e, "src long, dst long")).collect()}
