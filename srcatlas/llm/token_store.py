@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, known_id, known_text, prepare, shared_dir, shown_id
@@ -158,7 +158,8 @@ def write_store(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
 
 
 class Store:
-    """A written store; reads check every chunk against its digest and every document against its Merkle root."""
+    """A written store. Every read checks each chunk against its digest, each document against its Merkle root, and each
+    recipe partition (documents, ids, root and place) against the manifest; what is damaged or missing is an error."""
 
     def __init__(self, spark: SparkSession, folder: str, dtype: str | None = None):
         prepare(spark)
@@ -167,10 +168,18 @@ class Store:
         self.recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
         self.manifest = spark.read.schema("part int, n_docs long, n_tokens long, base long, root binary").parquet(f"{folder}/manifest")
 
+    def parts(self) -> DataFrame:
+        """part, base of the manifest, once the recipes have been held against it; one row a partition."""
+        found = self.recipes.select("part", "row", "n_tokens", "root").groupBy("part").applyInPandas(part_roots, "part int, n_docs long, n_tokens long, root binary")
+        have = found.select("part", *(F.col(c).alias(f"_{c}") for c in ("n_docs", "n_tokens", "root")))
+        before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        both = self.manifest.withColumn("_base", before).join(have, "part", "full")  # the manifest's window is over partitions, not rows
+        same = F.coalesce((F.col("base") == F.col("_base")) & (F.col("n_docs") == F.col("_n_docs")) & (F.col("n_tokens") == F.col("_n_tokens")) & (F.col("root") == F.col("_root")), F.lit(False))
+        return both.select("part", F.when(same, F.col("base")).otherwise(F.raise_error(F.concat(F.lit("the manifest does not match recipe partition "), F.col("part").cast("string")))).cast("long").alias("base"))
+
     def placed(self) -> DataFrame:
-        """Recipes with the global start; the manifest has one row a partition."""
-        base = F.broadcast(self.manifest.select("part", "base"))
-        return self.recipes.join(base, "part").withColumn("start", F.col("base") + F.col("start_in_part"))
+        """Recipes with the global start. All of parts() is read for the broadcast, so what it finds missing is an error here."""
+        return self.recipes.join(F.broadcast(self.parts()), "part", "left").withColumn("start", F.col("base") + F.col("start_in_part"))
 
     def steps(self) -> DataFrame:
         """One row per document and chunk: part, row, pos, key."""
@@ -191,9 +200,9 @@ class Store:
 
     def documents(self) -> DataFrame:
         """doc_id, start, n_tokens, ids (the document's bytes), rebuilt by joining chunks to recipes."""
-        parts = self.steps().join(self.chunks, "key").groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "payload"))).alias("steps"))
-        ids = F.expr("aggregate(steps.payload, X'', (a, b) -> a || b)")
-        return self.placed().join(parts, ["part", "row"], "left").select(shown_id("doc_id").alias("doc_id"), "start", "n_tokens", ids.alias("ids"))
+        parts = self.steps().join(self.chunks, "key").groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "payload", "key"))).alias("steps"))
+        found = self.placed().join(parts, ["part", "row"], "left").select("doc_id", "start", "n_tokens", "root", F.col("steps.payload").alias("payloads"), F.col("steps.key").alias("keys"))
+        return found.mapInArrow(rebuilt(self.dtype), "doc_id long, start long, n_tokens long, ids binary").withColumn("doc_id", shown_id("doc_id"))
 
 
 def checksums(dtype: str):
@@ -217,6 +226,25 @@ def checksums(dtype: str):
     return run
 
 
+def rebuilt(dtype: str):
+    """(doc_id, start, n_tokens, root, payloads, keys) to the documents' bytes, once chunks, root and length agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for n, root, payloads, keys in zip(*(batch.column(c).to_pylist() for c in ("n_tokens", "root", "payloads", "keys")), strict=True):
+                payloads, keys = payloads or [], keys or []
+                ids = b"".join(payloads)
+                if any(digest(p) != k for p, k in zip(payloads, keys, strict=True)):
+                    raise ValueError("a chunk does not match its digest")
+                if merkle_root(keys) != root or len(ids) != n * np.dtype(dtype).itemsize:
+                    raise ValueError("a document does not match its recipe")
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+
+    return run
+
+
 @lru_cache(maxsize=1)
 def _shifts() -> list[np.ndarray]:
     """Operators on CRC-32 registers: the k-th appends 2**k zero ids of four bytes. Four tables, one a byte of the register."""

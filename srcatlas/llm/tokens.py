@@ -1,8 +1,9 @@
 """Exact token ids with the tokenizers library, each distinct word of a worker encoded once.
 
 Byte-level BPE splits a text before a space that a non-space follows, so ids of such pieces can be joined. Words are
-found, hashed and looked up as arrays; only new ones become strings and are encoded. Texts where the split doesn't hold
-(runs of spaces, special-token strings) are encoded whole.
+found, hashed and looked up as arrays; only new ones become strings and are encoded. A word that is found is compared with
+the stored one byte by byte, so equal hashes are no matter: the texts of another word with the hash are encoded whole, as
+are texts where the split doesn't hold (runs of spaces, special-token strings).
 """
 
 from __future__ import annotations
@@ -85,6 +86,33 @@ class Encoder:
     def _clear(self) -> None:
         self.table = HashTable(self.BITS)
         self.pool, self.start, self.length = np.zeros(0, self.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        #: The bytes of all words with a code, and where each code's word is in them. Eight zeros follow the last.
+        self.bytes, self.word_at, self.word_size = np.zeros(8, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _remember(self, codes: np.ndarray, words: list[bytes]) -> None:
+        """Store the bytes of words by their codes (-2: none)."""
+        some = np.flatnonzero(codes >= 0)
+        sizes = np.array([len(words[i]) for i in some], np.int64)
+        grown = np.zeros(len(self.length) - len(self.word_at), np.int64)
+        self.word_at, self.word_size = np.concatenate([self.word_at, grown]), np.concatenate([self.word_size, grown - 1])
+        self.word_at[codes[some]] = len(self.bytes) - 8 + np.cumsum(sizes) - sizes
+        self.word_size[codes[some]] = sizes
+        self.bytes = np.concatenate([self.bytes[:-8], np.frombuffer(b"".join(words[i] for i in some), np.uint8), np.zeros(8, np.uint8)])
+
+    def _differ(self, codes: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of words data[begin:end] with a code of another word; data ends with eight bytes that are no word's."""
+        some = np.flatnonzero(codes >= 0)
+        at, own, left = begin[some], self.word_at[codes[some]], end[some] - begin[some]
+        wrong = [some[left != self.word_size[codes[some]]]]
+        here, there = (np.ndarray(len(x) - 7, "<u8", x, strides=(1,)) for x in (data, self.bytes))
+        while len(some):
+            unlike = here[at] ^ there[own]
+            tail = np.minimum(left, 8)
+            unlike &= np.where(tail < 8, (U(1) << (U(8) * (tail % 8).astype(U))) - U(1), ~U(0))
+            wrong.append(some[unlike != 0])
+            go = np.flatnonzero((left > 8) & (unlike == 0))
+            some, at, own, left = some[go], at[go] + 8, own[go] + 8, left[go] - 8
+        return np.concatenate(wrong)
 
     def _ids(self, text: str, tokenizer=None) -> np.ndarray:
         return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
@@ -165,7 +193,7 @@ class Encoder:
         first = np.zeros(len(begin), bool)
         first[ptr[:-1]] = True
         prefix = prefix_hash(data)
-        padded = np.concatenate([data, np.zeros(4, np.uint8)])
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
 
         def hashed(begin: np.ndarray, end: np.ndarray, first: np.ndarray | bool) -> tuple[np.ndarray, np.ndarray]:
             key = span_hash(prefix, begin, end)
@@ -181,9 +209,14 @@ class Encoder:
             one = new[at]
             blob = data.tobytes()
             words = [blob[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
-            stems = self.table.find(*hashed(begin[one], np.maximum(end[one] - 1, begin[one]), False))
-            self.table.insert(keys[one], checks[one], self._learn(words, first[one], stems))
+            stem_end = np.maximum(end[one] - 1, begin[one])
+            stems = self.table.find(*hashed(begin[one], stem_end, False))
+            stems[self._differ(stems, padded, begin[one], stem_end)] = -1
+            learnt = self._learn(words, first[one], stems)
+            self._remember(learnt, [blob[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)])
+            self.table.insert(keys[one], checks[one], learnt)
             codes[new] = self.table.find(keys[new], checks[new])
+        codes[self._differ(codes, padded, begin, end)] = -2
         whole = np.unique(np.searchsorted(ptr, np.flatnonzero(codes == -2), "right") - 1)
         good = np.maximum(codes, 0)
         lengths = self.length[good] * (codes >= 0) if len(self.length) else np.zeros(len(codes), np.int32)

@@ -95,6 +95,27 @@ def test_encoder_equals_the_library():
             assert ids[a:b].tolist() == ids_of(t, 0)[:-1].tolist(), repr(t)
 
 
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(b if bin(k).count("1") % 2 else a for k in range(n))
+
+
+def test_words_with_equal_hashes():
+    """A polynomial modulo 2**64 is equal for a Thue-Morse string and its complement, in one batch and over batches."""
+    from srcatlas.llm.textvec import prefix_hash, span_hash
+
+    pair = ["x" + thue_morse(2048, *ab) + "z" for ab in ("ab", "ba")]
+    h = [span_hash(prefix_hash(np.frombuffer(t.encode(), np.uint8)), np.array([0]), np.array([len(t)]))[0] for t in pair]
+    assert h[0] == h[1] and pair[0] != pair[1]
+    texts = ["q " + pair[0], "q " + pair[1], "q " + pair[0] + ".", pair[1], "q " + pair[1] + ",", pair[0] + " r"]
+    for order in (texts, texts[::-1]):
+        enc = tokens.Encoder(tokens.default_path())
+        for part in ([order], [[t] for t in order]):
+            for some in part:
+                ids, offsets = enc.encode(pa.array(some))
+                for t, a, b in zip(some, offsets, offsets[1:], strict=False):
+                    assert ids[a:b].tolist() == ids_of(t, 0)[:-1].tolist()
+
+
 def test_packing(docs, rows, empty):
     got = sorted(packing.pack(docs, length=64, end_id=1).collect(), key=lambda r: (r.sequence_id, r.offset))
     want = {i: ids_of(t, 1) for i, t, *_ in rows}
@@ -148,6 +169,29 @@ def test_store_finds_damage(spark, docs):
         store.digests().collect()
 
 
+@pytest.mark.parametrize("damage", ["root", "row", "base", "documents"])
+def test_store_finds_a_changed_manifest(spark, docs, damage):
+    """A changed root or place, a lost row of the manifest and lost recipes are errors, in both ways to read."""
+    folder = token_store.write_store(docs)
+    for read in ("digests", "documents"):
+        store = token_store.Store(spark, folder)
+        last = store.manifest.agg(F.max("part")).first()[0]
+        if damage == "root":
+            store.manifest = store.manifest.withColumn("root", F.expr("overlay(root placing X'7F01' from 1)"))
+        elif damage == "row":
+            store.manifest = store.manifest.filter(F.col("part") < last)
+        elif damage == "base":
+            store.manifest = store.manifest.withColumn("base", F.col("base") + 1)
+        else:
+            store.recipes = store.recipes.filter(F.col("row") > 0)
+        with pytest.raises(Exception, match="the manifest does not match"):
+            getattr(store, read)().collect()
+    store = token_store.Store(spark, folder)
+    store.chunks = store.chunks.withColumn("payload", F.expr("overlay(payload placing X'7F' from 1)"))
+    with pytest.raises(Exception, match="does not match its digest"):
+        store.documents().collect()
+
+
 # ---- 3 SimHash ----
 
 
