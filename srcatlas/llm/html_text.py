@@ -1,8 +1,9 @@
 """Main text of web pages by two passes of block rules.
 
 A tolerant scan cuts a page into blocks and drops raw elements and containers that name themselves as boilerplate
-(menus, page headers, footers, sidebars, notices, adverts, forms, reader comments). Pass one labels a block by link
-density, length and stop-word density: good, bad or undecided. In pass two an undecided block takes the label of its
+(menus, page headers, footers, sidebars, notices, adverts, forms, reader comments); forms, headers and names that only hint
+at it stay where all of a page's running text is in them. Pass one labels a block by link density, length and stop-word
+density: good, bad or undecided; a page without stop words of the listed languages is judged by length and links alone. In pass two an undecided block takes the label of its
 nearest decided neighbours: good if both sides or the only decided side are good, or the nearer one is. Blocks inside
 <article> or <main> are bad only for their links, and good if nothing around them is decided.
 
@@ -13,6 +14,7 @@ give repeated results; other columns are ignored. Truncated tags, comments and r
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,65 +35,92 @@ STOP_WORDS = frozenset(
 )
 # Names in class, id or role attributes that mark boilerplate.
 HINTS = frozenset(
-    "nav navbar navigation menu menubar header masthead banner footer sidebar aside side ad ads advert advertisement adverts "
-    "sponsor sponsored promo promotion cookie cookies consent notice alert gdpr popup modal overlay comment comments commentlist "
-    "disqus reply replies share sharing social related recommended breadcrumb breadcrumbs newsletter subscribe signup login "
-    "pagination pager toolbar widget tags copyright legal complementary contentinfo search".split()
+    "nav navbar navigation menu menubar masthead footer sidebar aside ad ads advert advertisement adverts sponsor sponsored promo "
+    "promotion cookie cookies consent notice gdpr popup modal comment comments commentlist disqus reply replies share sharing social "
+    "related recommended breadcrumb breadcrumbs newsletter subscribe signup login pagination pager toolbar copyright legal "
+    "complementary contentinfo".split()
 )
+# Names that mark boilerplate unless they hold all of a page's text.
+SOFT_HINTS = frozenset("header banner side alert overlay widget tags search form".split())
+# First parts of names that tell of a layout, not of what is inside.
+LAYOUT = frozenset("with has no without is not hide show".split())
 #: Elements whose whole content is dropped.
-DROPPED = frozenset("head nav footer aside form noscript template iframe svg canvas object select button textarea dialog menu fieldset".split())
-CONTAINERS = DROPPED | frozenset("html body main article section div header ul ol dl table figure details blockquote".split())
+DROPPED = frozenset("head nav footer aside noscript template iframe svg canvas object select button textarea dialog menu".split())
+#: Elements that are dropped unless they hold all of a page's text; a header only outside of articles.
+SOFT = frozenset("form fieldset header".split())
+CONTAINERS = DROPPED | SOFT | frozenset("html body main article section div ul ol dl table figure details blockquote".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption pre figcaption hr address summary tbody thead title".split())
 
+#: Attributes up to the tag's end: quoted values may hold `<` and `>`, a quote that is never shut is one character. Nothing is
+#: tried twice, so a tag takes time linear in its length.
+ATTRIBUTES = r"(?>\"[^\"]*\"|'[^']*'|[^>\"']++|[\"'])*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|noembed|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<shut>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*)(?P<attrs>(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|\"|')*)(?:>|\Z)"
+    r"|<(?P<raw>script|style|title|noembed|xmp)\b" + ATTRIBUTES + r"(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<shut>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9]*+)(?P<attrs>" + ATTRIBUTES + r")(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-SPLIT = re.compile(r"[^a-z]+")
-
-SHORT, LINKED, STOPPED, UNSTOPPED = 70, 0.34, 0.12, 0.04
-
-
-def is_hinted(attrs: str) -> bool:
-    if not attrs or attrs.isspace():
-        return False
-    if HIDDEN.search(attrs):
-        return True
-    return any(not HINTS.isdisjoint(SPLIT.split("".join(m.groups("")).lower())) for m in NAMES.finditer(attrs))
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
+UNSHOWN = re.compile(r"display\s*:\s*none")
+
+SHORT, LONG, LINKED, STOPPED, UNSTOPPED = 70, 140, 0.34, 0.12, 0.04
+SHOWN, MAYBE, GONE = 0, 1, 2
+
+
+def hint(attrs: str) -> int:
+    """What a tag's attributes say of its content: SHOWN, MAYBE boilerplate, or GONE.
+
+    Names count as a whole; of names with hyphens the first or last part only says MAYBE.
+    """
+    out = SHOWN
+    for m in ATTRIBUTE.finditer(attrs) if attrs and not attrs.isspace() else ():
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and UNSHOWN.search(value):
+            return GONE
+        for x in value.split() if name in ("class", "id", "role") else ():
+            if x in HINTS:
+                return GONE
+            parts = x.replace("_", "-").split("-")
+            if x in SOFT_HINTS or len(parts) > 1 and parts[0] not in LAYOUT and (parts[0] in HINTS or parts[-1] in HINTS):
+                out = MAYBE
+    return out
 
 
 class Block:
-    __slots__ = ("text", "links", "inside", "label")
+    __slots__ = ("text", "links", "inside", "maybe", "label")
 
-    def __init__(self, text: str, links: int, inside: bool):
-        self.text, self.links, self.inside, self.label = text, links, inside, 0
+    def __init__(self, text: str, links: int, inside: bool, maybe: bool):
+        self.text, self.links, self.inside, self.maybe, self.label = text, links, inside, maybe, 0
 
 
 def blocks(html: str) -> list[Block]:
-    """Blocks outside dropped parts, in page order."""
+    """Blocks outside dropped parts, in page order; maybe: inside something that is boilerplate unless it holds all text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, inside an article
+    stack: list[tuple[str, int, bool]] = []  # tag, SHOWN, MAYBE or GONE, inside an article
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    state = {"links": 0, "in_link": 0, "bad_block": False}
+    state = {"links": 0, "in_link": 0, "own": SHOWN}
 
     def end_block() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
-            if text and not state["bad_block"]:
-                out.append(Block(text, state["links"], bool(stack) and stack[-1][2]))
-        state["links"], state["bad_block"] = 0, False
+            if text and state["own"] != GONE:
+                _, around, inside = stack[-1] if stack else ("", SHOWN, False)
+                out.append(Block(text, state["links"], inside, MAYBE in (around, state["own"])))
+        state["links"], state["own"] = 0, SHOWN
 
     def take(text: str) -> None:
-        if text and not (stack and stack[-1][1]):
+        if text and not (stack and stack[-1][1] == GONE):
             parts.append(text)
             if state["in_link"]:
-                state["links"] += len(text.split()) and len(" ".join(text.split()))
+                state["links"] += len(" ".join(text.split()))
+
+    def pop_from(k: int) -> None:
+        for tag, *_ in stack[k:]:
+            open_tags[tag] -= 1
+        del stack[k:]
 
     at = 0
     for m in TOKEN.finditer(html):
@@ -112,33 +141,39 @@ def blocks(html: str) -> list[Block]:
         end_block()
         state["in_link"] = 0
         if tag not in CONTAINERS:
-            state["bad_block"] = not shut and is_hinted(m["attrs"])
+            state["own"] = SHOWN if shut else hint(m["attrs"])
         elif shut:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if open_tags[tag]:
+                pop_from(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
         else:
-            if tag == "body":
-                stack[:] = [s for s in stack if s[0] != "head"]
-            _, dropped, inside = stack[-1] if stack else ("", False, False)
+            if tag == "body" and open_tags["head"]:
+                pop_from(next(k for k, s in enumerate(stack) if s[0] == "head"))
+            _, around, inside = stack[-1] if stack else ("", SHOWN, False)
             inside = inside or tag in ("article", "main")
-            named = tag not in ("html", "body", "article", "main") and is_hinted(m["attrs"])
-            stack.append((tag, dropped or named or tag in DROPPED or tag == "header" and not inside, inside))
+            named = hint(m["attrs"]) if tag not in ("html", "body", "article", "main") else SHOWN
+            own = GONE if tag in DROPPED else max(named, MAYBE if tag in SOFT and not (tag == "header" and inside) else SHOWN)
+            stack.append((tag, max(around, own), inside))
+            open_tags[tag] += 1
     take(html[at:])
     end_block()
     return out
 
 
-def first_pass(b: Block) -> int:
-    """1 good, -1 bad, 0 undecided."""
+def stop_share(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(b: Block, known: bool) -> int:
+    """1 good, -1 bad, 0 undecided. known: the page is in a language with stop words; in others the length decides."""
     n = len(b.text)
     if b.links / n > LINKED:
         return -1 if not b.inside or b.links / n > 0.9 else 0
     if n < SHORT:
         return 0
-    words = b.text.lower().split()
-    share = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if not known:
+        return 1 if n >= LONG else 0
+    share = stop_share(b.text)
     if share >= STOPPED:
         return 1
     return -1 if share < UNSTOPPED and not b.inside else 0
@@ -146,8 +181,15 @@ def first_pass(b: Block) -> int:
 
 def main_text(html: str | None) -> str:
     some = blocks(html) if html else []
+    sure = [b for b in some if not b.maybe]
+    # What may be boilerplate stays if it is all that a page says in running text.
+    if not any(b.links <= LINKED * len(b.text) for b in sure):
+        sure = some
+    some = sure
+    prose = [b.text for b in some if len(b.text) >= SHORT and b.links <= LINKED * len(b.text)]
+    known = not prose or stop_share(" ".join(prose)) >= UNSTOPPED
     for b in some:
-        b.label = first_pass(b)
+        b.label = first_pass(b, known)
     decided = [i for i, b in enumerate(some) if b.label]
     k, kept = 0, []
     for i, b in enumerate(some):

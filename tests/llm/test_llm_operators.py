@@ -603,6 +603,67 @@ def test_pages(html, want):
     assert html_text.main_text(html) == want
 
 
+PROSE = "The cat of the house is in the tree and it was on the roof for a day or two, and all of the birds that were there had to go."
+RUSSIAN = "Старый рыбак каждое утро выходил к берегу, смотрел на серую воду и ждал, пока солнце поднимется над дальним лесом, а потом медленно спускал лодку."
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="overflow-hidden"><p>{PROSE}</p></div>', f'<div class="content with-sidebar"><p>{PROSE}</p></div>', f'<div id="search-results"><p>{PROSE}</p></div>',
+    f"<body><form action=x><div><p>{PROSE}</p></div></form></body>", f"<article><div class='rounded overflow-hidden'><p>{PROSE}</p></div></article>",
+    f'<div title="x > y" data-a=\'<b> class="ad"\'><p>{PROSE}</p></div>', f'<img src=x alt="a<b"><p>{PROSE}</p>', f'<div class="header-image"><div id=side><p>{PROSE}</p></div></div>',
+    f'<div class="ad">{PROSE}</div><div class="cookie-banner">{PROSE}</div><form>{PROSE}</form><div hidden>{PROSE}</div><p style="display: none">{PROSE}</p><p>{PROSE}</p>',
+])
+def test_pages_that_keep_their_prose(page):
+    assert html_text.main_text(page) == PROSE
+
+
+def test_a_page_in_another_language():
+    page = f"<nav><a href=x>Главная</a></nav><div><h2>Рыбак</h2><p>{RUSSIAN}</p><p>Коротко.</p><p>{RUSSIAN}</p></div><ul><li><a href=y>Ещё новости этого раздела и других разделов сайта за прошлую неделю</a></li></ul>"
+    assert html_text.main_text(page) == f"Рыбак\n\n{RUSSIAN}\n\nКоротко.\n\n{RUSSIAN}"
+
+
+def test_tags_take_linear_time():
+    """200 quoted attributes in a tag that never ends, with quotes left open, and very deep and very long pages."""
+    import time
+
+    many = " ".join(f'a{k}="v > {k}"' for k in range(200))
+    pages = [f"<div {many}", f'<div {many} x="', f"<img {many} alt=\"a<b\"", "<p " + "x='y\" " * 500, '<a "' * 2000, "<script " + '"' * 999, "<div>" * 50_000 + "</section>" * 50_000, "<!--" * 20_000, "a" * 2_000_000 + "<b>" * 1000]
+    for page in pages:
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 2, page[:40]
+    began = time.perf_counter()
+    html_text.main_text(pages[0])
+    assert time.perf_counter() - began < 0.05
+
+
+def labelled_pages():
+    """Pages without <article> in four languages and one more: (html, main text), boilerplate of many names around it."""
+    rng = random.Random(21)
+    words = {"en": "the of and to in a is that for it house river garden mountain letter window", "de": "der die und das den von zu mit sich des Haus Fluss Garten Berg Brief Fenster", "fr": "le la les de des du et en un une maison fleuve jardin montagne lettre fenêtre", "es": "el los las y que en un una por con casa jardín carta ventana montaña camino", "pl": "dom rzeka ogród góra okno droga morze zima lato pies kot ptak drzewo kamień"}
+    say = lambda lang, n: " ".join(rng.choice(words[lang].split()) for _ in range(n)).capitalize() + "."
+    for k in range(100):
+        lang = list(words)[k % 5]
+        paragraphs = [say(lang, rng.randint(30, 90)) for _ in range(rng.randint(2, 6))]
+        paragraphs.insert(rng.randrange(1, len(paragraphs)), say(lang, 4))
+        links = "".join(f"<li><a href=/{i}>{say(lang, rng.randint(2, 12))}</a></li>" for i in range(8))
+        noise = [f"<nav><ul>{links}</ul></nav>", f"<div class='{rng.choice(('ad', 'ad-slot', 'sponsored'))}'>{say(lang, 20)}</div>", f"<div id=cookie-notice><p>{say(lang, 30)}</p></div>", f"<form><label>{say(lang, 5)}</label></form>"]
+        after = [f"<section class=comments><p>{say(lang, 40)}</p></section>", f"<ul>{links}</ul>", f"<footer>{say(lang, 25)}</footer>"]
+        rng.shuffle(noise)
+        body = "".join(f"<p>{p}</p>" if rng.random() < 0.7 else f"<div>{p}</div>" for p in paragraphs)
+        yield f"<html><body>{''.join(noise)}<div class='{rng.choice(('content', 'post-body', 'col-8 overflow-hidden', 'entry'))}'>{body}</div>{''.join(after)}</body></html>", paragraphs
+
+
+def test_pages_without_article():
+    """Precision and recall by block on labelled pages."""
+    hit = found = want = 0
+    for html, paragraphs in labelled_pages():
+        got = html_text.main_text(html).split("\n\n")
+        hit, found, want = hit + sum((Counter(got) & Counter(paragraphs)).values()), found + len(got), want + len(paragraphs)
+    print(f"precision {hit / found:.3f} recall {hit / want:.3f}")
+    assert hit / found >= 0.97 and hit / want >= 0.97
+
+
 def test_pages_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
