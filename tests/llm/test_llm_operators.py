@@ -576,6 +576,48 @@ def test_toxicity(spark, empty):
     assert toxicity.scored(empty, model).count() == 0
 
 
+def test_training_reads_unlabelled_texts_and_bounds_rows(spark):
+    """Texts without a label change the model; ids that repeat are one row; the bounds hold."""
+    rng = random.Random(17)
+    docs = [(i, prose(rng, 20) + (" vilest" if i % 9 == 0 else "")) for i in range(400)]
+    d = spark.createDataFrame([*docs, *docs[:50], (None, "vilest"), (7, None)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(200)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.chosen(d, lab, 60_000, 20_000).collect()
+    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(got) == len(learnt) + 200 and sum(r.toxic is None for r in got) == 200 and sum(r.toxic or 0 for r in got) == sum(i % 9 == 0 for i in learnt)
+    assert Counter(r.toxic is None for r in toxicity.chosen(d, lab, 30, 20).collect()) == {False: 30, True: 20}
+    assert toxicity.train(d, lab).bias != toxicity.train(d, lab, most_unlabelled=0).bias
+
+
+def test_model_equals_a_plain_version(spark):
+    """The distributed counts and features give the scores of the same rules in plain Python over all rows."""
+    rng = random.Random(19)
+    docs = [(i, prose(rng, 30) + (" vilest dreadful" if i % 7 == 0 else "")) for i in range(300)]
+    lab = [(i, int(i % 7 == 0)) for i in range(150)]
+    d, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, toxic int")
+    texts = dict(docs)
+    known = [(i, y) for i, y in lab if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(texts[i], y) for i, y in known] + [(t, None) for i, t in docs if i >= 150]
+
+    def features(t: str) -> set[int]:
+        return set(toxicity.slots(toxicity.Words(pa.array([t])))[1].tolist())
+
+    found = [features(t) for t, _ in rows]
+    n_known, n_pos = len(known), sum(y for _, y in known)
+    prior, usual, pos = n_pos / n_known, defaultdict(float), Counter()
+    for f, (_, y) in zip(found, rows, strict=True):
+        for k in f:
+            usual[k] += (1 - toxicity.SHARE) / n_known if y is not None else toxicity.SHARE / 150
+            pos[k] += y == 1
+    marks = sorted(k for k in pos if pos[k] >= 3 and ((pos[k] + 0.5) / (n_pos + 1)) / ((usual[k] * n_known + 0.5) / (n_known + 1)) > toxicity.LIFT / prior)
+    share = np.array([(1 - toxicity.SHARE) / n_known if y is not None else toxicity.SHARE / 150 for _, y in rows])
+    w, bias = toxicity.fit_nnpu([np.array([marks.index(k) for k in f if k in set(marks)], int) for f in found], np.array([int(y == 1) for _, y in rows]), len(marks), prior, share)
+    model = toxicity.train(d, labels)
+    for r in toxicity.scored(d, model).collect():
+        f = sum(w[marks.index(k)] for k in features(r.text) if k in set(marks)) + bias
+        assert r.score == pytest.approx(1 / (1 + np.exp(-f)), abs=1e-4)
+
+
 def test_nnpu_risk_separates():
     rng = np.random.default_rng(0)
     toxic = (rng.random(800) < 0.2).astype(int)
