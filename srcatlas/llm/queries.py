@@ -61,8 +61,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_score.scored(docs, lm_score.fit(docs, table(spark, sf_dir, "labels")))
+    return lm_score.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op7_substring_dedup, op8_packing, op9_decontamination, op10_lm_score)}

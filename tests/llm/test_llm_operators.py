@@ -721,33 +721,60 @@ def test_pages_table(spark):
 # ---- 10 language models ----
 
 
+def lm_brute(docs: list[tuple], targets: set) -> list[float]:
+    """The score of each row by counts of all other rows in plain Python."""
+    texts = [re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()) for _, t in docs]
+    pairs = [[(a, b) for a, b in zip([b"<", *t], t, strict=False)] for t in texts]
+    all_of = lambda some: (Counter(p for x in some for p in x), Counter(p[0] for x in some for p in x))
+    aim = [i in targets for i, _ in docs]
+    models = all_of([p for p, a in zip(pairs, aim, strict=True) if a]), all_of(pairs)
+    n_target, n = (sum(len(t) for t, a in zip(texts, aim, strict=True) if a or every) for every in (False, True))
+    v, out = len({w for t in texts for w in t}) + any(texts), []
+    for own, a in zip(pairs, aim, strict=True):
+        mine = all_of([own])
+        total = 0.0
+        for p in own:
+            for (gram, hist), scale, counted, sign in ((models[0], 1.0, a, 1), (models[1], n_target / n, True, -1)):
+                g, h = gram[p] - counted * mine[0][p], hist[p[0]] - counted * mine[1][p[0]]
+                total += sign * np.log((g * scale + lm_score.MU / v) / (h * scale + lm_score.MU))
+        out.append(float(-total / len(own)) if own else 0.0)
+    return out
+
+
+def lm_equals(spark, docs: list[tuple], labels: list[tuple]) -> None:
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id is None, r.doc_id, round(r.score, 4)) for r in lm_score.scored(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect()), key=str)
+    want = lm_brute(docs, {i for i, q in labels if q == 1 and i is not None})
+    for x, y in zip(got, sorted(((i is None, i, round(s, 4)) for (i, _), s in zip(docs, want, strict=True)), key=str), strict=True):
+        assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], abs=2e-4)
+
+
 def test_lm_scores(spark, docs, empty):
     rng = random.Random(13)
     good = [(i, " ".join(rng.choice(WORDS[:8]) for _ in range(60))) for i in range(60)]
     bad = [(i, " ".join(rng.choice(WORDS[8:]) for _ in range(60))) for i in range(100, 200)]
     d = spark.createDataFrame([*good, *bad, (300, None), (301, ""), (None, "alpha beta")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 60)) for i in [*range(40), *range(100, 140)]], "doc_id long, quality int")
-    got = {r.doc_id: r for r in lm_score.scored(d, lm_score.fit(d, labels)).collect()}
+    got = {r.doc_id: r for r in lm_score.scored(d, labels).collect()}
     assert max(got[i].score for i, _ in good) < min(got[i].score for i, _ in bad)
     assert got[300].score == got[301].score == got[300].n_tokens == 0 and got[None].n_tokens == 2
-    assert lm_score.scored(empty, lm_score.fit(empty, labels)).count() == 0
+    assert lm_score.scored(empty, labels).count() == 0 and lm_score.scored(d, labels.limit(0)).count() == d.count()
 
 
-def test_lm_losses_by_hand(spark):
-    d = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in lm_score.scored(d, lm_score.fit(d, labels)).collect()}
-    mu, v = lm_score.MU, 4  # a, b, c and the unknown word
+def test_lm_scores_against_brute_force(spark):
+    """Rare, frequent and hot words and pairs, repeated rows, ids without labels, nulls, one very long text."""
+    rng = random.Random(14)
+    own = [f"w{k}" for k in range(3000)]
+    docs = [(i, " ".join("the" if rng.random() < 0.2 else "of the" if rng.random() < 0.1 else rng.choice(own[: rng.choice((20, 300, 3000))]) for _ in range(rng.randint(1, 80)))) for i in range(300)]
+    docs += [docs[5], docs[5], (7, "another text with the id of seven"), (None, "the of the"), (None, None), (400, ""), (401, " ".join(rng.choice(own) for _ in range(20_000)))]
+    lm_equals(spark, docs, [(i, int(i % 3 == 0)) for i in range(0, 300, 2)] + [(5, 1), (5, 0), (None, 1), (9, None)])
+    lm_equals(spark, docs[:40], [])
+    lm_equals(spark, [(1, "a b a"), (2, "b c")], [(1, 1)])
 
-    def loss(words, texts):
-        single, pairs = Counter(w for t in texts for w in t), Counter(p for t in texts for p in zip(["<"] + t, t, strict=False))
-        single["<"] = len(texts)
-        n = sum(len(t) for t in texts)
-        return np.mean([-np.log((pairs[p] + mu * (single[p[1]] + 1) / (n + v)) / (single[p[0]] + mu)) for p in zip(["<"] + words, words, strict=False)])
 
-    for i, words in ((1, ["a", "b", "a"]), (2, ["b", "c"])):
-        assert got[i].target_loss == pytest.approx(loss(words, [["a", "b", "a"]]), rel=1e-5)
-        assert got[i].background_loss == pytest.approx(loss(words, [["a", "b", "a"], ["b", "c"]]), rel=1e-5)
+def test_lm_scores_of_the_table(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    lm_equals(spark, [(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.quality) for r in labels.collect()])
 
 
 # ---- queries with SQL ----
