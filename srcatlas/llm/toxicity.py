@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, give_back, prepare, written
+from .common import give_back, prepare, written
 from .textvec import U, Words, mix, slices, span_hash
 
 BITS = 20
@@ -146,18 +146,20 @@ def chosen(docs: DataFrame, labels: DataFrame, most_labels: int, most_unlabelled
     """text, toxic (1, 0, null without label) of the documents to fit, one row for each id."""
     ids = labels.filter("doc_id is not null")
     known = ids.filter(F.col("toxic").isNotNull() & learnable(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_fit")).agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("_fit"), "_fit").limit(most_labels)
+    sample = written(known.orderBy(F.xxhash64("_fit"), "_fit").limit(most_labels), "labelled")
     # The first ids by hash among those of documents: labelled ones go by an anti-join of ids alone.
     rest = docs.select(F.col("doc_id").cast("long").alias("_fit")).filter("_fit is not null").join(ids.select(F.col("doc_id").cast("long").alias("_fit")), "_fit", "left_anti").distinct()
-    more = rest.orderBy(F.xxhash64("_fit"), "_fit").limit(most_unlabelled).withColumn("toxic", F.lit(None).cast("int"))
+    more = written(rest.orderBy(F.xxhash64("_fit"), "_fit").limit(most_unlabelled).withColumn("toxic", F.lit(None).cast("int")), "unlabelled")
     fit = F.broadcast(sample.union(more))  # the limits bound what is broadcast
-    some = docs.select(F.col("doc_id").cast("long").alias("_fit"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(fit, "_fit")
-    return some.groupBy("_fit").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_fit"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(fit, "_fit")
+    if not rows.groupBy("_fit").count().filter("count > 1").isEmpty():  # ids that repeat; else no text has to move
+        rows = rows.groupBy("_fit").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    return rows.select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_labels: int = 60_000, most_unlabelled: int = 20_000, default_prior: float = 0.1) -> Model:
     prepare(docs.sparkSession)
-    rows = written(chosen(docs, labels, most_labels, most_unlabelled), "fitted")
+    rows = chosen(docs, labels, most_labels, most_unlabelled)
     totals = rows.agg(F.sum("toxic"), F.count("toxic"), F.count(F.lit(1))).first()
     n_pos, n_known, n = int(totals[0] or 0), int(totals[1]), int(totals[2])
     prior = n_pos / n_known if 0 < n_pos < n_known else default_prior
@@ -179,7 +181,6 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 60_000, most_un
     w, bias = fit_nnpu([np.asarray(x) for x in fitted.found], (fitted.toxic == 1).to_numpy().astype(int), len(sure), prior, weight)
     none.weights[sure.slot.to_numpy()] = w
     none.bias = bias
-    forget(rows)
     return none
 
 
