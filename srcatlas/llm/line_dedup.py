@@ -226,7 +226,7 @@ def dedup_lines(docs: DataFrame, least_words: int = 10, removed: str | None = No
     keyed = docs.withColumns({i: known_id(), c: F.xxhash64("text")})
     marked = keyed.withColumn(maybe, maybe_in(F.xxhash64(i, c), lost, F.xxhash64(i, c)))
     # Only documents that lose lines are shuffled; the others are answered where they are read.
-    again = marked.filter(maybe).join(lost, [i, c], "left")
+    again = marked.filter(maybe).join(lost.hint("merge"), [i, c], "left")  # alike at every size
     again = again.withColumn(new, F.arrow_udf(cleaned, "struct<text: string, n: int>")(F.col("text").cast("string"), gone))
     cols = {x: F.col(f"`{new}`.text") if x == "text" else F.when(F.col(gone).isNull(), F.col(x)).otherwise(F.length(F.col(f"`{new}`.text"))) if x == "n_chars" else F.col(x) for x in docs.columns}
     extra = [] if removed is None else [removed]
