@@ -145,7 +145,23 @@ def near_in_parts(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarra
         for a, b in pairs_in_runs(part[order], fps[order], distance):
             src.append(a)
             dst.append(b)
-    return np.concatenate(src), np.concatenate(dst)
+    return spanning(np.concatenate(src), np.concatenate(dst))
+
+
+def spanning(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those links, in their order, that join what those before have not joined."""
+    _, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    root = list(range(int(at.max(initial=-1)) + 1))
+    keep = []
+    for k, (a, b) in enumerate(zip(at[: len(src)].tolist(), at[len(src) :].tolist(), strict=True)):
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[a] = b
+            keep.append(k)
+    return src[keep], dst[keep]
 
 
 def pairs_in_runs(keys: np.ndarray, fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -268,5 +284,5 @@ def first_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
     keyed = docs.withColumns({i: known_id(), c: F.xxhash64(known_text())})
     marked = keyed.withColumn(maybe, maybe_in(F.xxhash64(i, c), special, F.xxhash64(i, c)))
     # Rows that repeat an id and a text come down to one where they are read, so a hot id is no hot task.
-    again = marked.filter(maybe).join(special, [i, c], "left").filter(F.coalesce(F.col(stay), F.lit(True))).dropDuplicates([i, c])
+    again = marked.filter(maybe).join(special.hint("merge"), [i, c], "left").filter(F.coalesce(F.col(stay), F.lit(True))).dropDuplicates([i, c])
     return marked.filter(~F.col(maybe)).select(*docs.columns).union(again.select(*docs.columns))
