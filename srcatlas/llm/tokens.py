@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .textvec import U, mix, prefix_hash, span_hash, utf8
+from .textvec import BASE, U, mix, utf8
 
 #: Stops that are a piece of their own after a letter, and one token.
 STOPS = ".,"
@@ -26,6 +26,27 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_hash(eights: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[begin:end], by runs of eight bytes; one to one for words of one length of up to eight bytes.
+
+    eights[i]: the eight bytes from i on as a number.
+    """
+    size = end - begin
+    tail = np.minimum(size, 8)
+    out = mix(eights[begin] & KEEP[tail])
+    left = np.flatnonzero(size > 8)
+    at, size = begin[left] + 8, size[left] - 8
+    while len(left):
+        out[left] = mix(out[left] * U(BASE) + (eights[at] & KEEP[np.minimum(size, 8)]))
+        go = size > 8
+        left, at, size = left[go], at[go] + 8, size[go] - 8
+    return out
+
+
+#: Masks of the first k of eight bytes.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
 class HashTable:
     """Word hashes to codes by open addressing on arrays; a second check of 32 bits stands beside each hash."""
 
@@ -99,16 +120,17 @@ class Encoder:
         self.word_size[codes[some]] = sizes
         self.bytes = np.concatenate([self.bytes[:-8], np.frombuffer(b"".join(words[i] for i in some), np.uint8), np.zeros(8, np.uint8)])
 
-    def _differ(self, codes: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Places of words data[begin:end] with a code of another word; data ends with eight bytes that are no word's."""
-        some = np.flatnonzero(codes >= 0)
+    def _differ(self, codes: np.ndarray, keys: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of words data[begin:end] with a code of another word; data ends with eight bytes that are no word's.
+
+        Short words have the code of their own bytes, as hash and length tell them apart, but for the key that stands for two.
+        """
+        some = np.flatnonzero((codes >= 0) & ((end - begin > 8) | (keys <= U(1))))
         at, own, left = begin[some], self.word_at[codes[some]], end[some] - begin[some]
         wrong = [some[left != self.word_size[codes[some]]]]
         here, there = (np.ndarray(len(x) - 7, "<u8", x, strides=(1,)) for x in (data, self.bytes))
         while len(some):
-            unlike = here[at] ^ there[own]
-            tail = np.minimum(left, 8)
-            unlike &= np.where(tail < 8, (U(1) << (U(8) * (tail % 8).astype(U))) - U(1), ~U(0))
+            unlike = (here[at] ^ there[own]) & KEEP[np.minimum(left, 8)]
             wrong.append(some[unlike != 0])
             go = np.flatnonzero((left > 8) & (unlike == 0))
             some, at, own, left = some[go], at[go] + 8, own[go] + 8, left[go] - 8
@@ -192,12 +214,13 @@ class Encoder:
         begin, end = np.sort(np.concatenate([offsets[:-1], spaces + 1])), np.sort(np.concatenate([spaces, offsets[1:]]))
         first = np.zeros(len(begin), bool)
         first[ptr[:-1]] = True
-        prefix = prefix_hash(data)
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
         def hashed(begin: np.ndarray, end: np.ndarray, first: np.ndarray | bool) -> tuple[np.ndarray, np.ndarray]:
-            key = span_hash(prefix, begin, end)
-            key = np.where(first, mix(key + U(1)), key) | U(1)
+            key = word_hash(eights, begin, end)
+            key = np.where(first, mix(key + U(1)), key)
+            key = np.where(key == 0, U(1), key)  # zero marks a free place
             check = (end - begin).astype(np.uint32) << np.uint32(16) ^ padded[begin].astype(np.uint32) << np.uint32(8) ^ padded[np.maximum(end - 1, begin)]
             return key, check ^ np.asarray(first).astype(np.uint32) << np.uint32(31)
 
@@ -210,13 +233,14 @@ class Encoder:
             blob = data.tobytes()
             words = [blob[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)]
             stem_end = np.maximum(end[one] - 1, begin[one])
-            stems = self.table.find(*hashed(begin[one], stem_end, False))
-            stems[self._differ(stems, padded, begin[one], stem_end)] = -1
+            of_stems = hashed(begin[one], stem_end, False)
+            stems = self.table.find(*of_stems)
+            stems[self._differ(stems, of_stems[0], padded, begin[one], stem_end)] = -1
             learnt = self._learn(words, first[one], stems)
             self._remember(learnt, [blob[a:b] for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)])
             self.table.insert(keys[one], checks[one], learnt)
             codes[new] = self.table.find(keys[new], checks[new])
-        codes[self._differ(codes, padded, begin, end)] = -2
+        codes[self._differ(codes, keys, padded, begin, end)] = -2
         whole = np.unique(np.searchsorted(ptr, np.flatnonzero(codes == -2), "right") - 1)
         good = np.maximum(codes, 0)
         lengths = self.length[good] * (codes >= 0) if len(self.length) else np.zeros(len(codes), np.int32)

@@ -116,6 +116,20 @@ def test_words_with_equal_hashes():
                     assert ids[a:b].tolist() == ids_of(t, 0)[:-1].tolist()
 
 
+def test_equal_hashes_of_all_words(monkeypatch):
+    """Ids are the library's even where every long word has one hash."""
+    real = tokens.word_hash
+    monkeypatch.setattr(tokens, "word_hash", lambda e, a, b: np.where(b - a > 8, np.uint64(5), real(e, a, b)))
+    rng = random.Random(6)
+    pool = ["".join(rng.choice("abcdé") for _ in range(rng.choice((3, 8, 9, 12, 12, 30)))) for _ in range(60)]
+    texts = [" ".join(rng.choice(pool) + rng.choice(("", ".", ",")) for _ in range(rng.randint(0, 12))) for _ in range(80)]
+    enc = tokens.Encoder(tokens.default_path())
+    for part in (texts, texts[::-1]):
+        ids, offsets = enc.encode(pa.array(part))
+        for t, a, b in zip(part, offsets, offsets[1:], strict=False):
+            assert ids[a:b].tolist() == ids_of(t, 0)[:-1].tolist()
+
+
 def test_packing(docs, rows, empty):
     got = sorted(packing.pack(docs, length=64, end_id=1).collect(), key=lambda r: (r.sequence_id, r.offset))
     want = {i: ids_of(t, 1) for i, t, *_ in rows}
