@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 60_000, most_un
     rank[sure.slot.to_numpy()] = np.arange(len(sure))
     # In a fixed order, so that sums of floats, and with them all scores, are the same in every run.
     fitted = rows.mapInArrow(kept_slots(rank), "toxic int, found array<int>").toPandas()
-    fitted = fitted.iloc[sorted(range(len(fitted)), key=lambda i: (str(fitted.toxic[i]), fitted.found[i].tobytes()))]
+    fitted = fitted.iloc[sorted(range(len(fitted)), key=lambda i: (str(fitted.toxic[i]), tuple(fitted.found[i])))]
     weight = np.where(fitted.toxic.notna(), (1 - share) / n_known, share / max(1, n - n_known))
     w, bias = fit_nnpu([np.asarray(x) for x in fitted.found], (fitted.toxic == 1).to_numpy().astype(int), len(sure), prior, weight)
     none.weights[sure.slot.to_numpy()] = w
