@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.cfg import evaluate
+from .functions.cfg import evaluate, gate_admits, parse_cfg_line
 from .functions.names import KINDS, call_snippet, completion_sort_key, rank_of, signature
 from .functions.spans import utf16_length
-from .operators import closure, completion, cursor, imports, incremental, positions, references, semantic, stats, symbols
+from .operators import closure, completion, cursor, imports, incremental, lexing, positions, references, scopes, semantic, stats, symbols
 from .plans.asof import last_before
 from .sources.driver import CUSTOMER, NATION, SUPPLIER, Driver
 
@@ -548,6 +548,112 @@ def rebuild_set(d: Driver) -> DataFrame:
     return incremental.rebuild_set(changed, closure.reverse_dependency_closure(changed, d.dependencies()))
 
 
+# ---- real code: texts that a rule makes of the tables' rows, so that SQL knows what lexing must find -----------------
+
+CODE = r"""code AS (SELECT s_suppkey AS file_id, '/// Docs of ' || s_name || chr(10) || 'pub struct S' || s_suppkey || ' { pub key: u64, bal: f64 }' || chr(10) || '/* fn not_here() {} */ #[cfg(unix)]' || chr(10)
+  || 'pub(crate) fn get' || s_suppkey || '(s: &str) -> u64 { let t = "}"; 7 }' || chr(10) || 'enum E { A' || s_suppkey || ', B(i32) }' || chr(10) AS text, CAST(s_suppkey AS VARCHAR) AS k, s_name FROM supplier)"""
+
+
+def code_files(d: Driver) -> DataFrame:
+    """Small files of Rust text, one a supplier: the same text as CODE."""
+    k = F.col("s_suppkey").cast("string")
+    lines = [
+        F.concat(F.lit("/// Docs of "), "s_name"), F.concat(F.lit("pub struct S"), k, F.lit(" { pub key: u64, bal: f64 }")), F.lit("/* fn not_here() {} */ #[cfg(unix)]"),
+        F.concat(F.lit("pub(crate) fn get"), k, F.lit('(s: &str) -> u64 { let t = "}"; 7 }')), F.concat(F.lit("enum E { A"), k, F.lit(", B(i32) }")), F.lit(""),
+    ]
+    return d.raw("supplier").select(F.col("s_suppkey").alias("file_id"), F.concat_ws("\n", *lines).alias("text"))
+
+
+@query(f"""WITH {CODE} SELECT file_id, 'struct' AS kind, 'S' || k AS name, 'pub' AS visibility, CAST(strpos(text, 'struct') - 1 AS BIGINT) AS item_id, CAST(strpos(text, '}}') AS BIGINT) AS span_end FROM code
+  UNION ALL SELECT file_id, 'function', 'get' || k, 'pub(crate)', strpos(text, 'fn get') - 1, strpos(text, '7 }}') + 2 FROM code
+  UNION ALL SELECT file_id, 'enum', 'E', 'private', strpos(text, 'enum E') - 1, length(text) - 1 FROM code""")
+def code_items(d: Driver) -> DataFrame:
+    return lexing.items(lexing.tokens(code_files(d))).select("file_id", "kind", "name", "visibility", "item_id", "span_end")
+
+
+@query(f"WITH {CODE} SELECT file_id, CAST(strpos(text, 'struct') - 1 AS BIGINT) AS item_id, 'Docs of ' || s_name AS docs FROM code")
+def code_docs(d: Driver) -> DataFrame:
+    toks = lexing.tokens(code_files(d))
+    return lexing.item_docs(toks, lexing.items(toks))
+
+
+@query(f"""WITH {CODE} SELECT file_id, CAST(strpos(text, 'fn get') - 1 AS BIGINT) AS item_id, '{{"op": "atom", "key": "unix"}}' AS gate FROM code""")
+def code_cfg_gates(d: Driver) -> DataFrame:
+    toks = lexing.tokens(code_files(d))
+    return lexing.cfg_gates(toks, lexing.items(toks))
+
+
+@query(f"""WITH {CODE} SELECT file_id, 'key' AS name, CAST(0 AS INT) AS ordinal, CAST(strpos(text, 'key:') - 1 AS BIGINT) AS name_start FROM code UNION ALL SELECT file_id, 'bal', 1, strpos(text, 'bal:') - 1 FROM code
+  UNION ALL SELECT file_id, 'A' || k, 0, strpos(text, '{{ A') + 1 FROM code UNION ALL SELECT file_id, 'B', 1, strpos(text, 'B(i32)') - 1 FROM code""")
+def code_members(d: Driver) -> DataFrame:
+    toks = lexing.tokens(code_files(d))
+    found = lexing.items(toks)
+    variants = scopes.enum_variants(toks, found).select("file_id", "name", F.col("index").alias("ordinal"), "name_start")
+    return scopes.struct_fields(toks, found).select("file_id", "name", "ordinal", "name_start").unionByName(variants)
+
+
+@query(f"""WITH {CODE} SELECT file_id, 'S' || k AS name, 't' AS ns, 'pub' AS visibility FROM code UNION ALL SELECT file_id, 'S' || k, 'v', 'pub' FROM code
+  UNION ALL SELECT file_id, 'get' || k, 'v', 'pub(crate)' FROM code UNION ALL SELECT file_id, 'E', 't', 'private' FROM code""")
+def code_bindings(d: Driver) -> DataFrame:
+    return scopes.base_bindings(lexing.items(lexing.tokens(code_files(d)))).select("file_id", "name", "ns", "visibility")
+
+
+@query(f"""WITH {CODE} SELECT file_id, 't' AS name, CAST(strpos(text, 't = "') - 1 AS BIGINT) AS span_start, '&str' AS ty FROM code""")
+def code_let_bindings(d: Driver) -> DataFrame:
+    return scopes.let_bindings(lexing.tokens(code_files(d))).select("file_id", "name", "span_start", "ty")
+
+
+# ---- operators that no other query covers ----------------------------------------------------------------------------
+
+LATE = "late AS (SELECT user_id AS path, event_id * 7919 % 10007 AS version, ts FROM events)"
+
+
+@query(f"WITH {LATE} SELECT path, version, ts FROM (SELECT *, max(version) OVER (PARTITION BY path ORDER BY ts, version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM late) WHERE version < top")
+def late_events_out_of_order(d: Driver) -> DataFrame:
+    return incremental.late_events(d.raw("events").select(F.col("user_id").alias("path"), (F.col("event_id") * 7919 % 10007).alias("version"), "ts"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_brand END AS atom, CASE WHEN p_size % 3 = 0 THEN 'brand' END AS key, CASE WHEN p_size % 3 = 0 THEN p_brand END AS value FROM part""")
+def cfg_lines(d: Driver) -> DataFrame:
+    line = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(' brand = "'), "p_brand", F.lit('" '))).otherwise(F.concat(F.lit("  "), "p_brand", F.lit(" ")))
+    return d.raw("part").select("p_partkey", parse_cfg_line(line).alias("c")).select("p_partkey", "c.*")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size <= 25 OR p_brand = 'Brand#1' ELSE p_size > 25 END AS admitted FROM part")
+def cfg_attr_admission(d: Driver) -> DataFrame:
+    kind = F.when(F.col("p_size") % 2 == 0, "cfg_attr").otherwise("cfg")
+    return d.raw("part").select("p_partkey", gate_admits(kind, F.col("p_size") > 25, F.col("p_brand") == "Brand#1").alias("admitted"))
+
+
+@query("""WITH impls AS (SELECT DISTINCT l_partkey AS type_id, l_suppkey AS trait, l_suppkey AS impl_id FROM lineitem WHERE NOT (l_partkey % 2 = 0 AND l_suppkey % 2 = 0))
+  SELECT DISTINCT type_id, o_orderkey AS function_id FROM impls JOIN orders ON trait = o_custkey % 1000 UNION SELECT type_id, c_custkey + 1000000 FROM impls JOIN customer ON impl_id = c_custkey % 500""")
+def trait_functions(d: Driver) -> DataFrame:
+    functions = d.raw("orders").select((F.col("o_custkey") % 1000).alias("trait"), F.col("o_orderkey").alias("function_id"))
+    own = d.raw("customer").select((F.col("c_custkey") % 500).alias("impl_id"), (F.col("c_custkey") + 1_000_000).alias("function_id"))
+    return semantic.trait_functions(semantic.traits_for_types(d.impls()), functions, own, d.impls())
+
+
+@query("SELECT o_orderkey AS lookup_id, min(l_linenumber) AS index FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linestatus = o_orderstatus GROUP BY o_orderkey")
+def variant_by_name(d: Driver) -> DataFrame:
+    lookups = d.raw("orders").select(F.col("o_orderkey").alias("lookup_id"), F.col("o_orderkey").alias("type_id"), F.col("o_orderstatus").alias("name"))
+    return semantic.variant_by_name(lookups, d.raw("lineitem").select(F.col("l_orderkey").alias("type_id"), F.col("l_linestatus").alias("name"), F.col("l_linenumber").alias("index")))
+
+
+@query("SELECT event_id AS query_id, user_id AS path, event_id % 5 AS version FROM events JOIN customer ON user_id = c_custkey AND event_id % 5 = c_nationkey % 5")
+def stale_query_rejection(d: Driver) -> DataFrame:
+    asked = d.raw("events").select(F.col("event_id").alias("query_id"), F.col("user_id").alias("path"), (F.col("event_id") % 5).alias("version"))
+    return incremental.still_current(asked, d.raw("customer").select(F.col("c_custkey").alias("path"), (F.col("c_nationkey") % 5).cast("long").alias("version"))).select("query_id", "path", "version")
+
+
+@query("""SELECT path, CASE WHEN m = 0 THEN 'lockfile' WHEN m = 1 AND k % 2 = 0 THEN 'manifest' WHEN m = 1 THEN 'new_manifest' ELSE 'target_root' END AS reason FROM (
+  SELECT c_custkey AS k, c_custkey % 4 AS m, '/w/' || c_custkey || '/' || CASE c_custkey % 4 WHEN 0 THEN 'Cargo.lock' WHEN 1 THEN 'Cargo.toml' WHEN 2 THEN 'lib.rs' ELSE 'util.rs' END AS path FROM customer) WHERE m < 3""")
+def graph_change_reasons(d: Driver) -> DataFrame:
+    m = F.col("c_custkey") % 4
+    name = F.when(m == 0, "Cargo.lock").when(m == 1, "Cargo.toml").when(m == 2, "lib.rs").otherwise("util.rs")
+    saved = d.raw("customer").select("c_custkey", m.alias("m"), F.concat(F.lit("/w/"), F.col("c_custkey").cast("string"), F.lit("/"), name).alias("path"))
+    return incremental.graph_changed(saved.select("path"), saved.filter("m = 1 and c_custkey % 2 = 0").select("path"), saved.filter("m = 2").select("path"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
