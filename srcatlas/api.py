@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.names import rank_of, signature
-from .operators import cursor, lexing, positions, scopes, symbols
-from .plans.asof import last_before
+from .operators import cursor, lexing, positions, resolution, scopes, symbols
 from .plans.durable import durable
 from .plans.interval import points_in_spans
 
 
 class Analysis:
-    def __init__(self, files: DataFrame):
-        self.files = files
+    def __init__(self, files: DataFrame, extern_roots: DataFrame | None = None):
+        """extern_roots: file_id, name, root_file: names that lead from the crate of file_id to that of root_file."""
+        self.files, self.extern_roots = files, extern_roots
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -66,49 +66,68 @@ class Analysis:
         spans = self.items.select("file_id", "item_id", "kind", "name", "span_start", "span_end")
         return points_in_spans(cursors, spans, ["file_id"]).withColumn("length", F.col("span_end") - F.col("span_start")).orderBy("query_id", "length")
 
+    @cached_property
+    def names(self) -> resolution.Names:
+        """Scopes after imports, members, and what each name means."""
+        return resolution.Names(self.files, self.tokens, self.items, self.module_links, self.lets, self.impls, self.extern_roots)
+
+    def _sites_at(self, cursors: DataFrame) -> DataFrame:
+        return self.symbol_at(cursors).join(cursors.select("query_id", "file_id"), "query_id").select("query_id", "file_id", "span_start", "name")
+
+    def _resolved(self, cursors: DataFrame) -> DataFrame:
+        """query_id, def_id of the symbols under the cursors."""
+        at = self._sites_at(cursors)
+        sites = self.names.sites.join(at.select("file_id", "span_start"), ["file_id", "span_start"], "left_semi")
+        return at.join(self.names.resolve(sites), ["file_id", "span_start"]).select("query_id", "def_id").distinct()
+
     def goto_definition(self, cursors: DataFrame) -> DataFrame:
-        """I.2, I.4: candidates by name for the symbol under each cursor: its file's definitions hide those of other files."""
-        at = self.symbol_at(cursors).join(cursors.select("query_id", "file_id"), "query_id")
-        defs = self.definitions.select(F.col("file_id").alias("def_file"), "item_id", "name", "kind", "name_start", "name_end")
-        hit = at.select("query_id", "file_id", "name").join(defs, "name").withColumn("_here", (F.col("file_id") == F.col("def_file")).cast("int"))
-        best = hit.groupBy("query_id").agg(F.max("_here").alias("_best"))
-        return hit.join(best, "query_id").filter("_here = _best").select("query_id", "def_file", "item_id", "kind", "name", "name_start", "name_end")
-
-    def references(self, names: DataFrame, include_declarations: bool = False) -> DataFrame:
-        """I.10: (query_id, name) to identifier sites of the name, declarations only if asked for; sorted, each once."""
+        """I.2, I.4: definitions of the symbol under each cursor, by scopes, imports and receiver types; none if they do not tell.
+        A module that is a whole file has no item_id."""
+        defs = self.names.definitions.withColumnRenamed("file_id", "def_file").withColumn("name_end", F.col("name_start") + F.coalesce(F.octet_length("name"), F.lit(0)))
+        return self._resolved(cursors).join(defs, "def_id").select("query_id", "def_file", "item_id", "kind", "name", "name_start", "name_end")
+
+    def occurrences(self, names: DataFrame, include_declarations: bool = False) -> DataFrame:
+        """(query_id, name) to identifiers of that spelling, whatever they mean; sorted, each once."""
         sites = self.tokens.filter("kind = 'ident'").select("file_id", "span_start", "span_end", F.col("token").alias("name"))
         found = sites.join(names.select("query_id", "name").distinct(), "name")
         if not include_declarations:
             found = found.join(self.definitions.select("file_id", F.col("name_start").alias("span_start"), "name"), ["file_id", "span_start", "name"], "left_anti")
         return found.select("query_id", "file_id", "span_start", "span_end").distinct().orderBy("query_id", "file_id", "span_start")
 
+    def references(self, cursors: DataFrame, include_declarations: bool = False) -> DataFrame:
+        """I.10: sites that mean what the symbol under each cursor means, declarations only if asked for; sorted, each once.
+
+        Only identifiers that a subject can be called by are resolved: its own name and the names imports give it.
+        """
+        subjects = durable(self._resolved(cursors), "subjects")
+        defs = self.names.definitions.join(subjects, "def_id", "left_semi")
+        called = defs.select("name").unionByName(self.names.scopes.join(subjects, "def_id", "left_semi").select("name")).distinct()
+        found = self.names.resolve(self.names.sites.join(called, "name", "left_semi")).join(subjects, "def_id")
+        if not include_declarations:
+            found = found.join(defs.select("file_id", F.col("name_start").alias("span_start"), "def_id"), ["file_id", "span_start", "def_id"], "left_anti")
+        ends = self.names.sites.select("file_id", "span_start", "span_end")
+        return found.join(ends, ["file_id", "span_start"]).select("query_id", "file_id", "span_start", "span_end").distinct().orderBy("query_id", "file_id", "span_start")
+
     def hover(self, cursors: DataFrame) -> DataFrame:
-        """I.9: signature and docs of the definitions under each cursor."""
+        """I.9: signature, with parameters and result, and docs of the definitions under each cursor."""
         defs = self.goto_definition(cursors)
         docs = lexing.item_docs(self.tokens, self.items).select(F.col("file_id").alias("def_file"), "item_id", "docs")
         vis = self.items.select(F.col("file_id").alias("def_file"), "item_id", "visibility")
-        text = signature(F.col("kind"), F.col("name"), F.col("visibility"), F.array(), F.lit(None).cast("string"))
-        return defs.join(vis, ["def_file", "item_id"]).join(docs, ["def_file", "item_id"], "left").select("query_id", "def_file", "item_id", text.alias("signature"), "docs")
+        heads = self.names.heads.select(F.col("file_id").alias("def_file"), "item_id", "params", "result")
+        text = signature(F.col("kind"), F.col("name"), F.col("visibility"), F.coalesce("params", F.array().cast("array<string>")), F.col("result"))
+        keys = ["def_file", "item_id"]
+        return defs.join(vis, keys).join(docs, keys, "left").join(heads, keys, "left").select("query_id", "def_file", "item_id", text.alias("signature"), "docs")
 
     def completions_at(self, cursors: DataFrame) -> DataFrame:
-        """I.13, I.16: definitions of the cursor's file whose name begins with the identifier before the cursor."""
+        """I.13, I.16, H.17: locals in scope and names of the cursor's module, imported ones too, that begin with the identifier
+        before the cursor."""
         prefix = points_in_spans(cursors, self.tokens.filter("kind = 'ident'").select("file_id", "span_start", "span_end", "token"), ["file_id"])
-        typed = prefix.filter("span_start < offset").select("query_id", "file_id", F.expr("substring(token, 1, cast(offset - span_start as int))").alias("typed"))
-        defs = self.definitions.select("file_id", "name", "kind").distinct()
-        return typed.join(defs, "file_id").filter(F.startswith("name", F.col("typed"))).select("query_id", F.col("name").alias("label"), "kind").orderBy("query_id", F.lower("label"))
-
-    @cached_property
-    def members(self) -> DataFrame:
-        """F.7, F.8, F.11, F.13: type_name, label, kind of fields, variants and functions of impls and traits, by type name."""
-        types = self.items.select("file_id", F.col("item_id").alias("type_id"), F.col("name").alias("type_name"))
-        fields = scopes.struct_fields(self.tokens, self.items).join(types, ["file_id", "type_id"]).select("type_name", F.col("name").alias("label"), F.lit("field").alias("kind"))
-        variants = scopes.enum_variants(self.tokens, self.items).join(types, ["file_id", "type_id"]).select("type_name", F.col("name").alias("label"), F.lit("enum_variant").alias("kind"))
-        inner = self.items.filter("parent_kind in ('impl', 'trait')").select("file_id", "parent_id", F.col("name").alias("label"), "kind")
-        impls = self.impls.select("file_id", F.col("impl_id").alias("parent_id"), F.col("self_name").alias("type_name"))
-        traits = types.withColumnRenamed("type_id", "parent_id")
-        own = inner.join(impls, ["file_id", "parent_id"]).select("type_name", "label", "kind")
-        of_trait = inner.join(traits, ["file_id", "parent_id"]).select("type_name", "label", "kind").filter("type_name is not null")
-        return durable(fields.unionByName(variants).unionByName(own).unionByName(of_trait).distinct(), "members")
+        typed = prefix.filter("span_start < offset").select("query_id", "file_id", "offset", F.expr("substring(token, 1, cast(offset - span_start as int))").alias("typed"))
+        near = points_in_spans(typed, self.names.locals.select("file_id", "name", "kind", "span_start", "span_end"), ["file_id"]).select("query_id", "typed", "name", "kind")
+        scope = self.names.scopes.join(self.names.definitions.select("def_id", "kind"), "def_id").select("module_id", "name", "kind")
+        far = resolution.in_module(typed, self.names.modules, "offset", ["query_id"]).join(scope, "module_id").select("query_id", "typed", "name", "kind")
+        found = near.unionByName(far).filter(F.startswith("name", F.col("typed"))).select("query_id", F.col("name").alias("label"), "kind").distinct()
+        return found.orderBy("query_id", F.lower("label"), "kind")
 
     @cached_property
     def impls(self) -> DataFrame:
@@ -123,31 +142,37 @@ class Analysis:
         return scopes.type_hints(self.lets, ranges)
 
     def type_at(self, cursors: DataFrame) -> DataFrame:
-        """I.7, G.8: the type of the name under each cursor: that of the last let binding of the name up to there, or unknown."""
-        at = self.symbol_at(cursors).join(cursors.select("query_id", "file_id"), "query_id").select("query_id", "file_id", "name", F.col("span_start").alias("at"))
-        known = self.lets.select("file_id", "name", F.col("span_start").alias("from"), "ty")
-        return last_before(at, known, ["file_id", "name"], "at", "from", ["ty"]).select("query_id", "name", F.coalesce("ty", F.lit("unknown")).alias("ty"))
+        """I.7, G.8: the type, as written, of the local in scope that is under each cursor, or unknown."""
+        at = self._sites_at(cursors)
+        known = self.names.local_at(at, "name").select("file_id", "span_start", "ty")
+        return at.join(known, ["file_id", "span_start"], "left").select("query_id", "name", F.coalesce("ty", F.lit("unknown")).alias("ty"))
 
     def goto_type_definition(self, cursors: DataFrame) -> DataFrame:
         """I.5: the types that the names under the cursors have, to their declarations."""
-        types = self.definitions.filter("kind in ('struct', 'enum', 'union', 'trait', 'type_alias')").select(F.col("name").alias("ty"), F.col("file_id").alias("def_file"), "item_id")
-        return self.type_at(cursors).join(types, "ty").select("query_id", "ty", "def_file", "item_id")
+        at = self._sites_at(cursors)
+        types = self.names.definitions.select(F.col("def_id").alias("type_def"), F.col("name").alias("ty"), F.col("file_id").alias("def_file"), "item_id")
+        return at.join(self.names.receiver_types(at, "name"), ["file_id", "span_start"]).join(types, "type_def").select("query_id", "ty", "def_file", "item_id")
 
     def goto_implementation(self, cursors: DataFrame) -> DataFrame:
-        """I.6: implementations of the type or trait whose name is under each cursor."""
-        at = self.symbol_at(cursors).select("query_id", "name")
-        of = self.impls.select("file_id", "impl_id", F.explode(F.array_compact(F.array("self_name", "trait_name"))).alias("name"))
-        return at.join(of, "name").select("query_id", "file_id", "impl_id").distinct()
+        """I.6: implementations of the type or trait that is under each cursor."""
+        of = self.names.impls.select("file_id", "impl_id", F.explode(F.array_compact(F.array("self_def", "trait_def"))).alias("def_id"))
+        return self._resolved(cursors).join(of, "def_id").select("query_id", "file_id", "impl_id").distinct()
 
     def member_completions(self, cursors: DataFrame) -> DataFrame:
-        """I.14, I.15, I.17: at dot sites members of the receiver's type, at path sites those of the qualifier, in records
-        its fields, all with the typed prefix."""
-        sites = scopes.completion_sites(cursors, self.tokens, self.items).join(cursors.select("query_id", "file_id", "offset"), "query_id")
-        dots = last_before(sites.filter("site_kind = 'dot'"), self.lets.select("file_id", F.col("name").alias("qualifier"), F.col("span_start").alias("from"), "ty"), ["file_id", "qualifier"], "offset", "from", ["ty"])
-        named = sites.filter("site_kind in ('path', 'record_field')").withColumn("ty", F.col("qualifier"))
-        both = dots.unionByName(named).select("query_id", "site_kind", "prefix", F.col("ty").alias("type_name"))
+        """I.14, I.15, I.17: at dot sites members of the receiver's type, at path sites those of the qualifier (a type or a
+        module), in records its fields, all with the typed prefix."""
+        n = self.names
+        sites = scopes.completion_sites(cursors, self.tokens, self.items).join(cursors.select("query_id", "file_id", "offset"), "query_id").withColumnRenamed("offset", "span_start")
+        dots = sites.filter("site_kind = 'dot' and qualifier is not null")
+        typed = dots.join(n.receiver_types(dots, "qualifier"), ["file_id", "span_start"]).select("query_id", "site_kind", "prefix", F.col("type_def").alias("module_id"))
+        led = resolution.in_module(sites.filter("site_kind in ('path', 'record_field')"), n.modules, "span_start", ["query_id"])
+        paths = led.select(F.col("query_id").alias("path_id"), "module_id", F.array("qualifier").alias("segments"), F.lit(False).alias("absolute"))
+        to = n.walked(paths, n.scopes).join(n.module_defs, "def_id").select(F.col("path_id").alias("query_id"), F.col("module").alias("module_id")).distinct()
+        both = typed.unionByName(led.drop("module_id").join(to, "query_id").select("query_id", "site_kind", "prefix", "module_id"))
+        named = n.scopes.join(n.definitions.select("def_id", "kind"), "def_id").select("module_id", F.col("name").alias("label"), "kind")
+        members = n.members.select("module_id", F.col("name").alias("label"), "kind").unionByName(named)
         fits = F.when(F.col("site_kind") == "record_field", F.col("kind") == "field").when(F.col("site_kind") == "path", F.col("kind") != "field").otherwise(F.col("kind").isin("field", "function"))
-        found = both.join(self.members, "type_name").filter(fits & F.startswith("label", F.col("prefix")))
+        found = both.join(members, "module_id").filter(fits & F.startswith("label", F.col("prefix")))
         return found.select("query_id", "label", "kind").distinct().orderBy("query_id", "kind", "label")
 
     def updated(self, changed: DataFrame) -> Analysis:
@@ -155,7 +180,7 @@ class Analysis:
         files are kept as they are; only changed files are read anew."""
         ids = changed.select("file_id")
         kept = self.files.join(ids, "file_id", "left_anti")
-        out = Analysis(kept.unionByName(changed.select(*kept.columns)))
+        out = Analysis(kept.unionByName(changed.select(*kept.columns)), self.extern_roots)
         new = Analysis(changed)
         for name in ("tokens", "items", "lines"):
             old = getattr(self, name)

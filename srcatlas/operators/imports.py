@@ -80,15 +80,16 @@ def resolve_paths(paths: DataFrame, bindings: DataFrame, module_defs: DataFrame,
     """D.9, D.11: paths (path_id, module_id, segments) walked left to right; one join a segment for all paths at once.
 
     Prefix segments go through modules only (module_defs: def_id, module); the last one takes any namespace. Returns
-    path_id, def_id (null if unresolved) and unresolved_at, the first segment that led nowhere.
+    path_id, def_id (null if unresolved) and unresolved_at, the first segment that led nowhere; a path of more than
+    most_segments is unresolved there.
     """
     n = F.size("segments")
-    nothing = F.lit(None).cast("long").alias("def_id")
+    nothing = F.lit(None).cast(bindings.schema["def_id"].dataType).alias("def_id")
     now = paths.select("path_id", "module_id", "segments")
     found = now.filter(n == 0).select("path_id", nothing, F.lit(0).alias("unresolved_at"))
-    longest = paths.agg(F.max(n)).first()[0] or 0
-    if longest > most_segments:
-        raise ValueError(f"a path has {longest} segments")
+    found = found.unionByName(now.filter(n > most_segments).select("path_id", nothing, F.lit(most_segments).alias("unresolved_at")))
+    now = now.filter(n <= most_segments)
+    longest = now.agg(F.max(n)).first()[0] or 0
     scope = bindings.select("module_id", F.col("name").alias("_name"), "ns", "def_id").distinct()
     modules = module_defs.select("def_id", F.col("module").alias("_m"))
     for k in range(longest):

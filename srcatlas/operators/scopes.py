@@ -73,7 +73,7 @@ def macro_calls(toks: DataFrame) -> DataFrame:
 
 
 def impl_headers(items: DataFrame, files: DataFrame) -> DataFrame:
-    """F.2: file_id, impl_id, self_name, trait_name (null for inherent ones), is_negative: names from `impl<..> Trait for Type`."""
+    """F.2: file_id, impl_id, self_name, trait_name (null for inherent ones), is_negative, self_path, trait_path, from `impl<..> Trait for Type`."""
     text = F.expr("cast(substring(encode(text, 'utf-8'), cast(span_start as int) + 1, cast(span_end - span_start as int)) as string)")
     head = items.filter("kind = 'impl'").join(files.select("file_id", "text"), "file_id").select("file_id", F.col("item_id").alias("impl_id"), F.regexp_replace(F.regexp_extract(text, r"(?s)^impl([^{;]*)", 1), r"\s+", " ").alias("h"))
     # Generic arguments nest to three levels; the innermost go first.
@@ -83,8 +83,11 @@ def impl_headers(items: DataFrame, files: DataFrame) -> DataFrame:
     flat = F.trim(F.regexp_replace(flat, r"\bwhere\b.*$", ""))
     parts = F.split(flat, r"\bfor\b")
     last = lambda c: F.regexp_extract(F.trim(c), r"([\p{L}_][\p{L}\p{N}_]*)\s*$", 1)
+    whole = lambda c: F.regexp_extract(c, r"((?:[\p{L}_][\p{L}\p{N}_]*\s*::\s*)*[\p{L}_][\p{L}\p{N}_]*)\s*$", 1)
+    path = lambda c: F.when(whole(c) != "", F.split(F.regexp_replace(whole(c), r"\s+", ""), "::"))
     two = F.size(parts) > 1
-    return head.select("file_id", "impl_id", last(F.when(two, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0)))).alias("self_name"), F.when(two, last(F.get(parts, F.lit(0)))).alias("trait_name"), F.startswith(flat, F.lit("!")).alias("is_negative"))
+    self_type, trait = F.when(two, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))), F.when(two, F.get(parts, F.lit(0)))
+    return head.select("file_id", "impl_id", last(self_type).alias("self_name"), last(trait).alias("trait_name"), F.startswith(flat, F.lit("!")).alias("is_negative"), path(self_type).alias("self_path"), path(trait).alias("trait_path"))
 
 
 def _inside(toks: DataFrame, items: DataFrame, kind: str) -> DataFrame:
@@ -142,7 +145,7 @@ def let_bindings(toks: DataFrame) -> DataFrame:
     ty = F.when(at(2) == ":", at(3)).when((at(2) == "=") & (at(4) == ";") & literal.isNotNull(), literal).when(at(2) == "=", made)
     name = at(1)
     start = F.when(mut, F.col("s2")).otherwise(F.col("s1"))
-    out = let.select("file_id", name.alias("name"), start.alias("span_start"), (start + F.octet_length(name)).alias("span_end"), (at(2) == ":").alias("annotated"), F.coalesce(ty, F.lit("unknown")).alias("ty"))
+    out = let.select("file_id", name.alias("name"), start.alias("span_start"), (start + F.octet_length(name)).alias("span_end"), (at(2) == ":").alias("annotated"), F.coalesce(ty, F.lit("unknown")).alias("ty"), F.col("span_start").alias("let_at"))
     return out.filter(F.rlike("name", F.lit(r"^(?:r#)?[\p{Ll}_]")))
 
 

@@ -136,8 +136,10 @@ def test_queries(spark, analysis):
     assert {(r.query_id, r.def_file, r.item_id) for r in analysis.goto_definition(cursors).collect()} == {(1, 1, LIB.index("struct Point")), (2, 1, LIB.index("struct Point")), (3, 2, 4)}
     assert {(r.query_id, r.signature, r.docs) for r in analysis.hover(cursors).collect()} >= {(1, "pub struct Point", "A point.\nSecond line.")}
     names = spark.createDataFrame([(7, "Point")], "query_id int, name string")
-    uses = [r.span_start for r in analysis.references(names).collect()]
-    assert uses == [LIB.index("impl Point") + 5, LIB.index("-> Point") + 3, at] and len(analysis.references(names, True).collect()) == 4
+    spelled = [r.span_start for r in analysis.occurrences(names).collect()]
+    assert spelled == [LIB.index("impl Point") + 5, LIB.index("-> Point") + 3, at] and len(analysis.occurrences(names, True).collect()) == 4
+    one = cursors.filter("query_id = 1")
+    assert [r.span_start for r in analysis.references(one).collect()] == spelled and len(analysis.references(one, True).collect()) == 4
     found = [r.name for r in analysis.workspace_symbols(spark.createDataFrame([(1, "E")], "query_id int, needle string")).collect()]
     assert found == ["area", "deep", "E", "inner", "len", "other", "Shape", "user"]
     outline = analysis.document_symbols(spark.createDataFrame([(2,)], "file_id long")).collect()
@@ -162,7 +164,7 @@ def test_types_members_and_updates(spark):
     got = {}
     for r in a.member_completions(cursor(at + 3, text.index("E::A") + 4, text.index(", y }") + 2, at + 2)).collect():
         got.setdefault(r.query_id, []).append((r.kind, r.label))
-    assert got == {0: [("function", "len")], 1: [("enum_variant", "Aa")], 2: [("field", "x"), ("field", "y")], 3: [("field", "x"), ("field", "y"), ("function", "len"), ("function", "new")]}
+    assert got == {0: [("function", "len")], 1: [("enum_variant", "Aa")], 2: [("field", "x"), ("field", "y")], 3: [("field", "x"), ("field", "y"), ("function", "area"), ("function", "len"), ("function", "new")]}
     b = a.updated(spark.createDataFrame([(2, "b.rs", "fn changed() {}")], "file_id long, path string, text string"))
     names = lambda x: {r.name for r in x.items.filter("file_id = 2").collect()}
     assert names(a) == {"other"} and names(b) == {"changed"} and b.tokens.filter("file_id = 1").count() == a.tokens.filter("file_id = 1").count()
