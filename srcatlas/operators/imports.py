@@ -76,30 +76,27 @@ def first_segment(uses: DataFrame, scopes: DataFrame, extern_roots: DataFrame, p
     return first_of([own.distinct(), root.distinct(), last.distinct()], ["use_id"])
 
 
-def resolve_paths(paths: DataFrame, bindings: DataFrame, module_defs: DataFrame, most_segments: int = 32) -> DataFrame:
+def resolve_paths(paths: DataFrame, bindings: DataFrame, module_defs: DataFrame, most_segments: int = 32, longest: int | None = None) -> DataFrame:
     """D.9, D.11: paths (path_id, module_id, segments) walked left to right; one join a segment for all paths at once.
 
     Prefix segments go through modules only (module_defs: def_id, module); the last one takes any namespace. Returns
     path_id, def_id (null if unresolved) and unresolved_at, the first segment that led nowhere; a path of more than
-    most_segments is unresolved there.
+    most_segments is unresolved there. Rows of one path_id count as its alternatives: those that lead somewhere are kept,
+    if none does the one that came farthest. longest: a bound of the number of segments, counted if not given.
     """
     n = F.size("segments")
-    nothing = F.lit(None).cast(bindings.schema["def_id"].dataType).alias("def_id")
-    now = paths.select("path_id", "module_id", "segments")
-    found = now.filter(n == 0).select("path_id", nothing, F.lit(0).alias("unresolved_at"))
-    found = found.unionByName(now.filter(n > most_segments).select("path_id", nothing, F.lit(most_segments).alias("unresolved_at")))
-    now = now.filter(n <= most_segments)
-    longest = now.agg(F.max(n)).first()[0] or 0
-    scope = bindings.select("module_id", F.col("name").alias("_name"), "ns", "def_id").distinct()
-    modules = module_defs.select("def_id", F.col("module").alias("_m"))
-    for k in range(longest):
-        here = now.filter(n > k).withColumn("_name", F.get("segments", F.lit(k)))
-        hit = here.join(scope, ["module_id", "_name"]).filter((n == k + 1) | (F.col("ns") == "t"))
-        last = hit.filter(n == k + 1).select("path_id", "def_id", F.lit(None).cast("int").alias("unresolved_at"))
-        step = hit.filter(n > k + 1).join(modules, "def_id").select("path_id", F.col("_m").alias("module_id"), "segments").distinct()
-        miss = here.join(hit.select("path_id"), "path_id", "left_anti").select("path_id", nothing, F.lit(k).alias("unresolved_at"))
-        # Something was found, but no module to go on from: the next segment is the one that fails.
-        dead = hit.filter(n > k + 1).join(step.select("path_id"), "path_id", "left_anti").select("path_id", nothing, F.lit(k + 1).alias("unresolved_at"))
-        found = found.unionByName(last).unionByName(miss).unionByName(dead)
-        now = step
-    return found.distinct()
+    if longest is None:
+        longest = paths.agg(F.max(n)).first()[0] or 0
+    at = F.when(n > most_segments, F.lit(most_segments)).when(n == 0, F.lit(0))
+    now = paths.select("path_id", "module_id", "segments", F.lit(None).cast(bindings.schema["def_id"].dataType).alias("def_id"), at.alias("unresolved_at"))
+    to = module_defs.select(F.col("def_id").alias("_hit"), F.col("module").alias("_m"))
+    scope = bindings.select(F.col("module_id").alias("_in"), F.col("name").alias("_name"), (F.col("ns") == "t").alias("_t"), F.col("def_id").alias("_hit")).distinct().join(to, "_hit", "left")
+    for k in range(min(longest, most_segments)):
+        # Paths that ended keep their module and ask for no name, so they stay spread over the tasks of the join.
+        here = now.withColumn("_want", F.when((n > k) & F.col("unresolved_at").isNull(), F.get("segments", F.lit(k))))
+        last = n == k + 1
+        met = here.join(scope, (F.col("module_id") == F.col("_in")) & (F.col("_want") == F.col("_name")) & (last | F.col("_t")), "left")
+        lost = F.when(F.col("_want").isNull(), F.col("unresolved_at")).when(F.col("_hit").isNull(), F.lit(k)).when(~last & F.col("_m").isNull(), F.lit(k + 1))
+        now = met.select("path_id", F.coalesce("_m", "module_id").alias("module_id"), "segments", F.when(F.col("_want").isNotNull() & last, F.col("_hit")).otherwise(F.col("def_id")).alias("def_id"), lost.alias("unresolved_at"))
+    ends = now.groupBy("path_id").agg(F.collect_set("def_id").alias("_defs"), F.max("unresolved_at").alias("_at"))
+    return ends.select("path_id", F.explode_outer("_defs").alias("def_id"), "_at").withColumn("unresolved_at", F.when(F.col("def_id").isNull(), F.col("_at"))).drop("_at")

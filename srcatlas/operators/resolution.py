@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..plans.durable import durable
 from ..plans.fixpoint import rounds
 from ..plans.interval import points_in_spans
-from ..plans.priority import first_of
 from . import imports, lexing, scopes
 from .closure import ancestors
 
@@ -29,8 +28,9 @@ def key(file: str, place: str | None = None) -> Column:
     return F.concat(F.col(file).cast("string"), F.lit(":"), F.col(place).cast("string") if place else F.lit(""))
 
 
-def modules(files: DataFrame, items: DataFrame, links: DataFrame) -> DataFrame:
-    """D.4: module_id, parent_id, target_id (the module at the root), file_id, span_start, span_end of files and inline modules."""
+def modules(files: DataFrame, items: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """D.4: module_id, parent_id, target_id (the module at the root), file_id, span_start, span_end of files and
+    inline modules; and each module's ancestors."""
     whole = files.select("file_id", key("file_id").alias("module_id"), F.lit(0).cast("long").alias("span_start"), F.octet_length("text").cast("long").alias("span_end"))
     inline = items.filter("kind = 'module' and is_inline").select("file_id", key("file_id", "item_id").alias("module_id"), "span_start", "span_end")
     spans = whole.unionByName(inline)
@@ -38,8 +38,9 @@ def modules(files: DataFrame, items: DataFrame, links: DataFrame) -> DataFrame:
     places = inline.select("module_id", "file_id", F.col("span_start").alias("at")).unionByName(links.select(key("module_file").alias("module_id"), "file_id", F.col("item_id").alias("at")))
     up = points_in_spans(places, spans.withColumnRenamed("module_id", "_around"), ["file_id"], at="at", closed=False).filter("_around <> module_id").groupBy("module_id").agg(F.max_by("_around", F.struct("span_start", -F.col("span_end"))).alias("parent_id"))
     tree = durable(spans.join(up, "module_id", "left"), "modules")
-    roots = ancestors(tree).join(tree.filter("parent_id is null").select(F.col("module_id").alias("ancestor_id")), "ancestor_id").select("module_id", F.col("ancestor_id").alias("target_id"))
-    return tree.join(roots, "module_id")
+    over = durable(ancestors(tree), "ancestors")
+    roots = over.join(tree.filter("parent_id is null").select(F.col("module_id").alias("ancestor_id")), "ancestor_id").select("module_id", F.col("ancestor_id").alias("target_id"))
+    return tree.join(roots, "module_id"), over
 
 
 def in_module(points: DataFrame, mods: DataFrame, at: str, keys: list[str]) -> DataFrame:
@@ -116,8 +117,9 @@ class Names:
 
     def __init__(self, files: DataFrame, toks: DataFrame, items: DataFrame, links: DataFrame, lets: DataFrame, impls: DataFrame, extern_roots: DataFrame | None = None):
         """extern_roots: file_id, name, root_file: in the crate whose root is file_id, name leads to the crate of root_file (D.6, D.7)."""
-        self.toks, self.items = toks, items
-        self.modules = durable(modules(files, items, links), "modules")
+        self.toks, self.items, self.has_extern = toks, items, extern_roots is not None
+        mods, self.ancestors = modules(files, items, links)
+        self.modules = durable(mods, "modules")
         self.heads = durable(function_heads(toks, items), "heads")
         self.locals = durable(locals_of(toks, items, lets, self.heads), "locals")
         self.sites = durable(path_sites(toks), "sites")
@@ -165,28 +167,31 @@ class Names:
             F.concat_ws("|", key("file_id", "item_id"), "_leaf").alias("import_id"), "file_id", "item_id", "module_id", F.col("import_kind").alias("kind"), "segments", "absolute", F.slice("segments", F.lit(1), n).alias("source_path"),
             F.when(~glob, last).alias("item"), F.when(~glob, F.coalesce("binding", last)).alias("binding"), shown(F.col("visibility")).alias("visibility"),
         ).distinct(), "leaves")
-        info, over = mods.select("module_id", "target_id", "parent_id"), durable(ancestors(mods), "ancestors")
-        self.scopes = rounds(self.base, lambda now: imports.import_round(now, self.base, self.imports(now), info, over))
+        info = mods.select("module_id", "target_id", "parent_id")
+        self.deepest = self.leaves.agg(F.max(F.size("source_path"))).first()[0] or 0
+        self.scopes = rounds(self.base, lambda now: imports.import_round(now, self.base, self.imports(now), info, self.ancestors))
 
     def imports(self, now: DataFrame) -> DataFrame:
         """D.5, D.16: the imports with the module that each one's path leads to when scopes are as in now."""
         paths = self.leaves.select(F.col("import_id").alias("path_id"), "module_id", F.col("source_path").alias("segments"), "absolute", F.col("item").alias("_first"))
-        led = self.walked(paths.filter(F.size("segments") > 0), now).join(self.module_defs, "def_id").select(F.col("path_id").alias("import_id"), F.col("module").alias("source"))
+        led = self.walked(paths.filter(F.size("segments") > 0), now, self.deepest).join(self.module_defs, "def_id").select(F.col("path_id").alias("import_id"), F.col("module").alias("source"))
         # use name; : the crate of that name, or what the module itself has.
         bare = self.started(paths.filter(F.size("segments") == 0).withColumn("segments", F.array("_first")), now).select(F.col("path_id").alias("import_id"), F.col("module_id").alias("source"))
         return self.leaves.join(led.unionByName(bare).distinct(), "import_id").select("import_id", "module_id", "kind", "source", "item", "binding", "visibility")
 
     def started(self, paths: DataFrame, now: DataFrame) -> DataFrame:
         """D.10: paths with the module to begin in: their own if it has the first name, else the crates beside theirs."""
+        if not self.has_extern:
+            return paths.filter("not absolute")
         has = now.select("module_id", "name").unionByName(self.words.select("module_id", "name")).distinct().select("module_id", F.col("name").alias("_n"), F.lit(True).alias("_has"))
         first = paths.withColumn("_n", F.get("segments", F.lit(0))).join(has, ["module_id", "_n"], "left").join(self.modules.select("module_id", "target_id"), "module_id", "left")
-        begin = F.when(F.col("_has") & ~F.col("absolute") | F.col("target_id").isNull(), F.col("module_id")).otherwise(F.concat(F.lit("extern:"), "target_id"))
+        begin = F.when((F.col("_has") & ~F.col("absolute")) | F.col("target_id").isNull(), F.col("module_id")).otherwise(F.concat(F.lit("extern:"), "target_id"))
         return first.withColumn("module_id", begin).drop("_n", "_has", "target_id")
 
-    def walked(self, paths: DataFrame, now: DataFrame) -> DataFrame:
+    def walked(self, paths: DataFrame, now: DataFrame, longest: int | None = None) -> DataFrame:
         """D.9-D.13: path_id, def_id of the paths (path_id, module_id, segments, absolute) that lead somewhere."""
         scope = now.select("module_id", "name", "ns", "def_id").unionByName(self.words)
-        return imports.resolve_paths(self.started(paths, now), scope, self.module_defs).filter("def_id is not null").select("path_id", "def_id")
+        return imports.resolve_paths(self.started(paths, now), scope, self.module_defs, longest=longest).filter("def_id is not null").select("path_id", "def_id")
 
     def _members(self, impls: DataFrame) -> None:
         """F.2, F.9-F.13, G.10, G.12: implementations with the types and traits they name, and the members of every type:
@@ -224,8 +229,8 @@ class Names:
         typed = self.local_at(points.filter(F.col(name) != "self"), name).filter("type_path is not null")
         mine = typed.filter("get(type_path, 0) = 'Self'")
         in_impl = self._self_types(mine).filter("_self is not null").select(*at, F.col("_self").alias("type_def"))
-        paths = in_module(typed.filter("get(type_path, 0) <> 'Self'"), self.modules, "span_start", at).select(*at, key("file_id", "span_start").alias("path_id"), "module_id", F.col("type_path").alias("segments"), F.lit(False).alias("absolute"))
-        led = self.walked(paths, self.scopes).join(paths.select(*at, "path_id"), "path_id").select(*at, F.col("def_id").alias("type_def"))
+        paths = in_module(typed.filter("get(type_path, 0) <> 'Self'"), self.modules, "span_start", at).select(F.struct(*at).alias("path_id"), "module_id", F.col("type_path").alias("segments"), F.lit(False).alias("absolute"))
+        led = self.walked(paths, self.scopes).select("path_id.*", F.col("def_id").alias("type_def"))
         kinds = self.definitions.filter(F.col("kind").isin(*TYPES)).select(F.col("def_id").alias("type_def"))
         return own.unionByName(in_impl).unionByName(led).join(kinds, "type_def", "left_semi").distinct()
 
@@ -243,17 +248,21 @@ class Names:
         uses = self.items.filter("kind = 'use'").select("file_id", "item_id", F.col("span_start").alias("_s"), "span_end").withColumnRenamed("_s", "span_start")
         in_use = points_in_spans(free.select("file_id", F.col("span_start").alias("_at"), "name"), uses, ["file_id"], at="_at").select("file_id", "item_id", F.col("_at").alias("span_start"), "name").join(self.leaves.select("file_id", "item_id", "module_id", "segments", "absolute", "binding"), ["file_id", "item_id"])
         place = F.when(F.array_contains("segments", F.col("name")), F.array_position("segments", F.col("name")).cast("int")).when(F.col("binding") == F.col("name"), F.size("segments"))
-        led_use = in_use.withColumn("_n", place).filter("_n is not null").withColumn("segments", F.slice("segments", F.lit(1), F.col("_n"))).withColumn("path_id", F.concat_ws("|", key("file_id", "span_start"), F.array_join("segments", "::"))).select(*at, "path_id", "module_id", "segments", "absolute").distinct()
-        led = in_module(free, self.modules, "span_start", at).withColumn("path_id", key("file_id", "span_start"))
+        led_use = in_use.withColumn("_n", place).filter("_n is not null").withColumn("segments", F.slice("segments", F.lit(1), F.col("_n"))).select(*at, "module_id", "segments", "absolute").distinct()
+        led = in_module(free, self.modules, "span_start", at)
         mine = led.filter("get(segments, 0) = 'Self'")
         mine = mine.join(self._self_types(mine), at).filter("_self is not null")
         alone = mine.filter(F.size("segments") == 1).select(*at, F.col("_self").alias("def_id"))
-        rest = mine.filter(F.size("segments") > 1).select(*at, "path_id", F.col("_self").alias("module_id"), F.slice("segments", F.lit(2), F.size("segments") - 1).alias("segments"), F.lit(False).alias("absolute"))
-        paths = led.filter("get(segments, 0) <> 'Self'").select(*at, "path_id", "module_id", "segments", "absolute").unionByName(rest)
+        rest = mine.filter(F.size("segments") > 1).select(*at, F.col("_self").alias("module_id"), F.slice("segments", F.lit(2), F.size("segments") - 1).alias("segments"), F.lit(False).alias("absolute"))
+        paths = led.filter("get(segments, 0) <> 'Self'").select(*at, "module_id", "segments", "absolute").unionByName(rest)
         reach = self.scopes.select("module_id", "name", "ns", "def_id").unionByName(self.associated.select("module_id", "name", "ns", "def_id"))
-        both = paths.withColumn("_use", F.lit(False)).unionByName(led_use.withColumn("_use", F.lit(True)).withColumn("path_id", F.concat(F.lit("use|"), "path_id")))
-        ends = durable(self.walked(both, reach).join(both.select(*at, "path_id", "_use"), "path_id"), "ends")
-        out = first_of([here, member, local, alone, ends.filter("_use").select(*at, "def_id"), ends.filter("not _use").select(*at, "def_id")], at).select(*at, "def_id").distinct()
+        both = durable(paths.withColumn("_use", F.lit(False)).unionByName(led_use.withColumn("_use", F.lit(True))).withColumn("path_id", F.struct(*at, "_use")), "paths")
+        ends = self.walked(both, reach).select("path_id.*", "def_id")
+        out = here.withColumn("_place", F.lit(0))
+        for place, branch in enumerate((member, local, alone), 1):
+            out = out.unionByName(branch.withColumn("_place", F.lit(place)))
+        out = out.unionByName(ends.select(*at, "def_id", F.when(F.col("_use"), 4).otherwise(5).alias("_place")))
+        out = out.withColumn("_first", F.min("_place").over(Window.partitionBy(*at))).filter("_place = _first").select(*at, "def_id").distinct()
         # A call, a path's prefix or a macro call picks the namespace where several definitions have the name.
         kinds = out.join(self.definitions.select("def_id", "kind"), "def_id").join(sites.select(*at, "ns_hint"), at)
         space = F.when(F.col("kind") == "macro", "m").when(F.col("kind").isin("module", "extern_crate", *TYPES[1:]), "t").otherwise("v")

@@ -51,11 +51,12 @@ def closure(seed: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds
 def rounds(start: DataFrame, step: Callable[[DataFrame], DataFrame], most_rounds: int = 128) -> DataFrame:
     """step(step(...start)) until a whole round equals the one before (D.19): for steps that may also take rows away."""
     now = durable(start.distinct())
+    now_is = digest(now)
     for _ in range(most_rounds):
         new = durable(step(now).select(now.columns).distinct())
-        now_is, new_is = digest(now), digest(new)
+        new_is = digest(new)
         forget(now)
         if now_is == new_is:
             return new
-        now = new
+        now, now_is = new, new_is
     raise NotSettled(f"no end after {most_rounds} rounds")
