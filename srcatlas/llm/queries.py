@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_score
+from . import conversations, lm_score
+from .alignment import align
 from .common import table
 from .decontam import contained
 from .exact_dedup import SMALL, UPPER, exact_groups
@@ -16,6 +17,7 @@ from .simhash import near_groups
 from .substring_dedup import dedup_substrings
 from .token_store import Store, write_store
 from .toxicity import learnable, scored, train
+from .vector_dedup import near_vectors
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +66,24 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op7_substring_dedup, op8_packing, op9_decontamination, op10_lm_score)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_ = table(spark, sf_dir, "conversations")
+    return conversations.repaired_conversations(table_, conversations.damaged(table_))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), digests=True)
+
+
+def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+ALL = (
+    op1_toxicity, op2_line_dedup, op3_simhash, op4_token_store, op5_exact_dedup, op6_html_text, op7_substring_dedup, op8_packing, op9_decontamination, op10_lm_score,
+    op11_conversation_repair, op12_alignment, op13_vector_dedup,
+)
+QUERIES = {f.__name__: f for f in ALL}
 
 #: Distinct shingles of five words of a table's texts, a shorter text being one; words as in decontam.py.
 SHINGLES = """SELECT DISTINCT {id} AS id, s FROM (SELECT {id}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
