@@ -132,6 +132,18 @@ def pick(ids: np.ndarray, offsets: np.ndarray, docs: np.ndarray) -> tuple[np.nda
     return ids[np.repeat(docs, np.diff(offsets))], np.concatenate([[0], np.cumsum(sizes)])
 
 
+@lru_cache(maxsize=1)
+def decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below n as digits with a free place after them, and how many digits each has."""
+    ids, width = np.arange(n), len(str(n - 1))
+    size = np.array([len(str(i)) for i in range(n)])
+    text = np.zeros((n, width + 1), np.uint8)
+    for k in range(width):
+        some = np.flatnonzero(size > k)
+        text[some, k] = ord("0") + ids[some] // 10 ** (size[some] - 1 - k) % 10
+    return text, size
+
+
 class Aligned:
     """Tokens, cuts and links of a batch of texts."""
 
@@ -152,17 +164,21 @@ class Aligned:
                 docs[np.unique(of[~same])] = False
         (self.a, self.ptr_a), (self.b, self.ptr_b) = (pick(ids, ptr, docs) for _, ids, ptr in pair)
         self.rows = len(texts)
-        end_a, end_b = np.cumsum(a.size[self.a]), np.cumsum(b.size[self.b])
-        shared = np.intersect1d(end_a, end_b, assume_unique=True)
-        cuts = np.union1d(end_a, end_b)
-        #: Token of either side, and document, of each link.
-        self.link_a, self.link_b = np.searchsorted(end_a, cuts), np.searchsorted(end_b, cuts)
-        self.ends = np.cumsum(size * docs)  # bytes up to each document's end
-        self.link_doc = np.searchsorted(self.ends, cuts)
-        self.group_a, self.group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
-        self.closes_a, self.closes_b = (np.diff(g, append=len(shared)) > 0 for g in (self.group_a, self.group_b))
-        self.n_links = np.bincount(self.link_doc, minlength=self.rows)
-        self.n_groups = np.bincount(np.searchsorted(self.ends, shared), minlength=self.rows)
+        ends = np.cumsum(size * docs)  # bytes up to each document's end
+        cut_a, cut_b = np.zeros((2, 1 + (ends[-1] if len(ends) else 0)), bool)
+        cut_a[np.cumsum(a.size[self.a])] = cut_b[np.cumsum(b.size[self.b])] = True
+        cuts = np.flatnonzero(cut_a | cut_b)
+        own_a, own_b = cut_a[cuts], cut_b[cuts]
+        both = own_a & own_b
+        upto = np.searchsorted(cuts, ends, "right")
+        #: Token of either side, and document, of each link; a link ends at each cut.
+        self.link_a, self.link_b = np.cumsum(own_a) - own_a, np.cumsum(own_b) - own_b
+        self.n_links = np.diff(upto, prepend=0)
+        self.link_doc = np.repeat(np.arange(self.rows), self.n_links)
+        group = np.cumsum(both) - both
+        self.group_a, self.group_b = group[own_a], group[own_b]
+        self.closes_a, self.closes_b = both[own_a], both[own_b]
+        self.n_groups = np.bincount(self.link_doc[both], minlength=self.rows)
 
     def groups(self) -> list[str]:
         """a1,a2|b1;a3|b2,b3 of each document."""
@@ -175,15 +191,10 @@ class Aligned:
         ids[at_a], ids[at_b] = self.a, self.b
         after[at_a] = np.where(self.closes_a, ord("|"), ord(","))
         after[at_b] = np.where(self.closes_b, ord(";"), ord(","))
-        width = len(str(int(ids.max(initial=0))))
-        digits = np.full(len(ids), 1, np.int64)
-        text = np.zeros((len(ids), width + 1), np.uint8)
-        for k in range(1, width):
-            digits += ids >= 10**k
-        for k in range(width):
-            some = np.flatnonzero(digits > k)
-            text[some, k] = ord("0") + ids[some] // 10 ** (digits[some] - 1 - k) % 10
+        shown, size = decimals(1 << max(10, int(ids.max(initial=0)).bit_length()))
+        text, digits = shown[ids], size[ids]
         text[np.arange(len(ids)), digits] = after
+        width = text.shape[1] - 1
         flat = text[np.arange(width + 1) <= digits[:, None]].tobytes()
         ends = np.concatenate([[0], np.cumsum(digits + 1)])[np.concatenate([[0], np.cumsum(np.diff(self.ptr_a) + np.diff(self.ptr_b))])]
         return [flat[i : j - 1].decode() if j > i else "" for i, j in itertools.pairwise(ends.tolist())]

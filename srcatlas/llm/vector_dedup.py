@@ -54,14 +54,19 @@ class Index(NamedTuple):
     books: np.ndarray  # subspace, code, place
 
 
-def unit_vectors(column: pa.Array, width: int) -> np.ndarray:
-    """The vectors, padded with zeros to a width, of length one."""
-    column = column.cast(pa.large_list(pa.float64()))
+def padded(column: pa.Array, width: int, kind: str) -> np.ndarray:
+    """The vectors, padded with zeros to a width."""
     sizes = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(column), width))
-    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy()
-    out /= np.abs(out).max(axis=1, initial=0, keepdims=True)
-    return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+    out = np.zeros((len(column), width), kind)
+    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length one, in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, initial=0, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def squares(x: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -114,15 +119,15 @@ def encode(x: np.ndarray, index: Index, reach: float) -> tuple[np.ndarray, np.nd
 ROW = "u long, n long, label string, size int, home int, code binary, error double, visits array<int>, vec binary"
 
 
-def index_rows(index: Index, least: float, width: int):
+def index_rows(index: Index, least: float, width: int, kind: str):
     reach = math.sqrt(2 - 2 * least) / 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
-                x = unit_vectors(batch.column("vec"), width)
-                home, code, error, far = encode(x, index, reach)
+                x = padded(batch.column("vec"), width, kind)
+                home, code, error, far = encode(unit(x), index, reach)
                 some = [batch.column("u"), batch.column("n"), batch.column("label"), batch.column("size"), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error)]
                 yield pa.RecordBatch.from_arrays([*some, pa.array(far, pa.list_(pa.int32())), pa.array([v.tobytes() for v in x], pa.binary())], names=[c.split()[0] for c in ROW.split(", ")])
 
@@ -132,9 +137,9 @@ def index_rows(index: Index, least: float, width: int):
 class Tile:
     """Units of one tile of a list, and what their links with visitors add up to."""
 
-    def __init__(self, index: Index, least: float, key: tuple, rows: pa.RecordBatch):
-        self.index, self.least, self.list = index, least, key[2]
-        self.u, self.n, self.x = rows.column("u").to_numpy(), rows.column("n").to_numpy(), vectors(rows)
+    def __init__(self, index: Index, least: float, kind: str, key: tuple, rows: pa.RecordBatch):
+        self.index, self.least, self.kind, self.list = index, least, kind, key[2]
+        self.u, self.n, self.x = rows.column("u").to_numpy(), rows.column("n").to_numpy(), vectors(rows, kind)
         self.code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, SUBSPACES).astype(np.int64)
         self.within = (math.sqrt(2 - 2 * least) + rows.column("error").to_numpy() + SLACK) ** 2
         self.visits = [set(v) for v in rows.column("visits").to_pylist()]
@@ -161,7 +166,7 @@ class Tile:
         for at in range(0, rows.num_rows, 512):
             some = rows.slice(at, 512)
             home = some.column("home").to_numpy()
-            i, j = self.near(vectors(some))
+            i, j = self.near(vectors(some, self.kind))
             # Who visits the other's list too is met there as well: the smaller list counts.
             once = np.array([h >= self.list or h not in self.visits[k] for h, k in zip(home[i].tolist(), j.tolist(), strict=True)], bool)
             yield self.totals(some.column("u").to_numpy(), some.column("n").to_numpy(), i[once], j[once])
@@ -186,11 +191,11 @@ class Tile:
         return seen, count, seen[root], seen
 
 
-def vectors(rows: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("vec").to_pylist()), np.float64).reshape(rows.num_rows, -1)
+def vectors(rows: pa.RecordBatch, kind: str) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(rows.column("vec").to_pylist()), kind).reshape(rows.num_rows, -1))
 
 
-def compare(index: Index, least: float):
+def compare(index: Index, least: float, kind: str):
     """For rows by tile and part, units before visitors: u, linked (rows linked with it), root (a unit joined with it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +209,7 @@ def compare(index: Index, least: float):
         def opened() -> Iterator[pa.RecordBatch]:
             nonlocal tile, held
             if tile is None and held:
-                tile = Tile(index, least, key, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                tile = Tile(index, least, kind, key, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
                 held = []
                 if key[4] == 0:  # one part alone compares the tile's own units
                     yield from done(tile.met(None))
@@ -246,7 +251,7 @@ def fitted(units: DataFrame, lists: int | None) -> tuple[Index, int] | None:
     width = -(-longest // SUBSPACES) * SUBSPACES
     most = max(64, min(MOST_FITTED, (1 << 28) // (8 * width)))  # 256 MB of sample
     some = units if n <= most else units.filter(F.pmod(F.xxhash64("u"), F.lit(1 << 40)) < int(most * 0.95 / n * (1 << 40)))
-    sample = np.concatenate([unit_vectors(x.combine_chunks(), width) for x in [some.select("vec").toArrow().column("vec")] if len(x)] or [np.eye(1, width)])
+    sample = np.concatenate([unit(padded(x.combine_chunks(), width, "f8")) for x in [some.select("vec").toArrow().column("vec")] if len(x)] or [np.eye(1, width)])
     k = lists or min(MOST_LISTS, max(LEAST_LISTS, 1 << round(math.log2(n) / 2)))
     return fit(sample, min(k, max(1, len(sample) // 8))), width
 
@@ -256,18 +261,21 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     if not 0 < least <= 1:
         raise ValueError("the cosine of a link is above 0 and at most 1")
     prepare(table.sparkSession)
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("string").alias("label"))
+    kind, type_ = ("<f4", "array<float>") if table.schema[vec_col].dataType.simpleString() == "array<float>" else ("<f8", "array<double>")
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(type_).alias("vec"), F.col(label_col).cast("string").alias("label"))
     units = written(units_of(rows, "vec", "label"), "units")
     if (made := fitted(units, lists)) is None:
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     index, width = made
-    indexed = written(units.select("u", "n", "label", "size", "vec").mapInArrow(index_rows(index, least, width), ROW), "indexed")
+    indexed = written(units.select("u", "n", "label", "size", "vec").mapInArrow(index_rows(index, least, width, kind), ROW), "indexed")
     visits = indexed.select("*", F.explode("visits").alias("list"))
     place = ["label", "size", "list"]
     # Tiles and parts of each list; a visitor without units in the list goes nowhere.
     lists_ = indexed.groupBy("label", "size", F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("r"))
     guests = visits.groupBy(place).agg(F.count(F.lit(1)).alias("v"))
-    sized = lists_.join(guests, place, "left").select(*place, F.ceil(F.col("r") / TILE).cast("int").alias("tiles"), F.ceil((F.col("r") + F.coalesce("v", F.lit(0))) / PART).cast("int").alias("parts"))
+    tiles, parts = F.ceil(F.col("r") / TILE).cast("int"), F.ceil((F.col("r") + F.coalesce("v", F.lit(0))) / PART).cast("int")
+    # Written, so that its size is known: where it is small, no vector is shuffled to meet it.
+    sized = written(lists_.join(guests, place, "left").select(*place, tiles.alias("tiles"), parts.alias("parts")), "lists")
     dealt = lambda n: F.pmod(F.xxhash64("u"), F.col(n)).cast("int")
     own = indexed.withColumn("list", F.col("home")).join(sized, place).withColumn("tile", dealt("tiles"))
     to_range = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -280,7 +288,7 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     outer = visits.join(sized, place).withColumns(bare | {"part": part, "visitor": F.lit(True)}).withColumn("tile", to_range("tiles"))
     all_ = residents.select(columns).union(inner.select(columns)).union(outer.select(columns))
     keys = [*place, "tile", "part"]
-    met = written(all_.repartition(*keys).sortWithinPartitions(*keys, "visitor").mapInArrow(compare(index, least), "u long, linked long, root long"), "met")
+    met = written(all_.repartition(*keys).sortWithinPartitions(*keys, "visitor").mapInArrow(compare(index, least, kind), "u long, linked long, root long"), "met")
     joined = components(met.filter("u <> root").select(F.col("u").alias("src"), F.col("root").alias("dst")))
     heads = joined.join(units.select(F.col("u").alias("node"), "head"), "node")
     least_ids = heads.groupBy("root").agg(F.min("head").alias("least"))
