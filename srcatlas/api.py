@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.names import rank_of, signature
-from .operators import cursor, lexing, positions, resolution, scopes, symbols
+from .operators import brackets, cursor, lexing, positions, resolution, scopes, symbols
 from .plans.durable import durable
 from .plans.interval import points_in_spans
 
@@ -26,9 +26,14 @@ class Analysis:
     def tokens(self) -> DataFrame:
         return durable(lexing.tokens(self.files.select("file_id", "text")), "tokens")
 
+    @cached_property
+    def near(self) -> DataFrame:
+        """Significant tokens with their neighbours and brackets."""
+        return durable(brackets.structure(self.tokens), "structure")
+
     @cached_property
     def items(self) -> DataFrame:
-        return durable(lexing.items(self.tokens), "items")
+        return durable(lexing.items(self.near), "items")
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -57,8 +62,9 @@ class Analysis:
         return found.orderBy("query_id", F.lower("name"), rank_of(F.col("kind")), F.col("container").asc_nulls_first(), "file_id", "start")
 
     def symbol_at(self, cursors: DataFrame) -> DataFrame:
-        """I.1: (query_id, file_id, offset) to the narrowest identifier that touches the cursor."""
-        ids = self.tokens.filter("kind in ('ident', 'lifetime')").select("file_id", "span_start", "span_end", F.col("n").alias("scan_order"), F.col("token").alias("entity_id"))
+        """I.1: (query_id, file_id, offset) to the narrowest identifier, or tuple field, that touches the cursor."""
+        named = "kind in ('ident', 'lifetime') or (kind = 'number' and prev = '.' and token not like '%.%')"
+        ids = self.near.filter(named).select("file_id", "span_start", "span_end", F.col("n").alias("scan_order"), F.col("token").alias("entity_id"))
         return cursor.symbol_at(cursors, ids, ["file_id"]).withColumnRenamed("entity_id", "name")
 
     def enclosing_items(self, cursors: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ class Analysis:
     @cached_property
     def names(self) -> resolution.Names:
         """Scopes after imports, members, and what each name means."""
-        return resolution.Names(self.files, self.tokens, self.items, self.module_links, self.lets, self.impls, self.extern_roots)
+        return resolution.Names(self.files, self.near, self.items, self.module_links, self.lets, self.impls, self.extern_roots)
 
     def _sites_at(self, cursors: DataFrame) -> DataFrame:
         return self.symbol_at(cursors).join(cursors.select("query_id", "file_id"), "query_id").select("query_id", "file_id", "span_start", "name")
@@ -131,11 +137,11 @@ class Analysis:
 
     @cached_property
     def impls(self) -> DataFrame:
-        return durable(scopes.impl_headers(self.items, self.files), "impls")
+        return durable(scopes.impl_headers(self.items, self.near), "impls")
 
     @cached_property
     def lets(self) -> DataFrame:
-        return durable(scopes.let_bindings(self.tokens), "lets")
+        return durable(scopes.let_bindings(self.near), "lets")
 
     def type_hints(self, ranges: DataFrame | None = None) -> DataFrame:
         """I.8: hints of let bindings whose type shows, optionally within ranges (file_id, lo, hi)."""
@@ -162,7 +168,7 @@ class Analysis:
         """I.14, I.15, I.17: at dot sites members of the receiver's type, at path sites those of the qualifier (a type or a
         module), in records its fields, all with the typed prefix."""
         n = self.names
-        sites = scopes.completion_sites(cursors, self.tokens, self.items).join(cursors.select("query_id", "file_id", "offset"), "query_id").withColumnRenamed("offset", "span_start")
+        sites = scopes.completion_sites(cursors, self.near, self.items).join(cursors.select("query_id", "file_id", "offset"), "query_id").withColumnRenamed("offset", "span_start")
         dots = sites.filter("site_kind = 'dot' and qualifier is not null")
         typed = dots.join(n.receiver_types(dots, "qualifier"), ["file_id", "span_start"]).select("query_id", "site_kind", "prefix", F.col("type_def").alias("module_id"))
         led = resolution.in_module(sites.filter("site_kind in ('path', 'record_field')"), n.modules, "span_start", ["query_id"])

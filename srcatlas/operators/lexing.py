@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.interval import points_in_spans, smallest_cover
+from .brackets import following, siblings, structure
 
 #: Block comments nest; deeper ones are left open, as unterminated ones are. Runs are possessive, so that a long token needs no stack.
 NESTED = 16
@@ -36,7 +37,7 @@ ITEM_KINDS = {
     "type": "type_alias", "const": "const", "static": "static", "use": "use", "macro_rules": "macro", "extern": "extern_crate",
 }
 # Words that may stand between a visibility and an item word.
-MODIFIERS = "unsafe async default auto const extern".split()
+MODIFIERS = "unsafe async default auto".split()
 
 
 def token_kind(token: Column) -> Column:
@@ -63,46 +64,44 @@ def lexical_errors(toks: DataFrame) -> DataFrame:
     return toks.filter(open_).select("file_id", "span_start", F.lit("unterminated").alias("error"))
 
 
-def neighbours(toks: DataFrame) -> DataFrame:
-    """B.9: significant tokens with the ones before and after, and the brackets open before each (depth)."""
-    some = toks.filter(~F.col("kind").isin("whitespace", "comment"))
-    order = Window.partitionBy("file_id").orderBy("n")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("token").isin("{", "(", "["), 1).when(F.col("token").isin("}", ")", "]"), -1).otherwise(0)
-    after = F.sum(step).over(upto)
-    return some.withColumns({
-        "depth": (after - step).cast("int"), "depth_after": after.cast("int"), "next": F.lead("token").over(order), "next2": F.lead("token", 2).over(order), "next_start": F.lead("span_start").over(order),
-        "before": F.array_join(F.collect_list("token").over(order.rowsBetween(-10, -1)), " "),
-    })
-
-
 def items(toks: DataFrame) -> DataFrame:
     """B.10-B.13: file_id, item_id (start), kind, name, visibility, span, name_start, is_inline, parent_id, parent_kind, header.
 
-    An item ends at the bracket that brings the depth back, or at a semicolon of its own depth; `use`, `const`, `static` and
-    `type` always at the semicolon. The next end is found by a window per file and depth, not by a join.
+    An item's word stands first in its block, or after a semicolon, a block or an attribute, but for visibility and modifiers,
+    whatever their length. It ends at the bracket that brings the depth back, or at a semicolon of its own depth; `use`,
+    `const`, `static` and `type` always at the semicolon. The next end is found by a window per file and depth, not by a join.
     """
-    near = neighbours(toks)
-    lead = r"(?:^|[{};\]]|\) (?=pub|fn))\s*(?:(pub(?: \( [^)]*\))?|crate) )?(?:(?:" + "|".join(MODIFIERS) + r"|(?:b|c)?\"[^\"]*\") )*$"
+    near = structure(toks)
     word = F.col("token")
-    starts = word.isin(*ITEM_KINDS) & F.rlike(F.concat("before", F.lit(" ")), F.lit(lead))
+    limited = (word == "(") & (F.col("prev") == "pub") & F.col("next").isin("crate", "super", "self", "in")
+    before_fn = F.col("next").isin("fn", "unsafe", "async", "extern")
+    leads = word.isin("pub", "crate", *MODIFIERS) | ((word == "const") & before_fn) | ((word == "extern") & (F.col("next") != "crate")) | ((F.col("kind") == "string") & (F.col("prev") == "extern")) | limited
+    earlier = siblings().rowsBetween(Window.unboundedPreceding, -1)
+    bound = F.last(F.when(~leads, F.struct("n", "token", "prev")), ignorenulls=True).over(earlier)
+    shown = F.last(F.when(word.isin("pub", "crate"), F.struct("n", "token", F.when(F.col("next") == "(", F.col("next_start")).alias("at"))), ignorenulls=True).over(earlier)
+    near = near.withColumns({"_bound": bound, "_shown": shown})
+    free = F.col("_bound").isNull() | F.col("_bound.token").isin(";", "{") | ((F.col("_bound.token") == "[") & F.col("_bound.prev").isin("#", "!")) | ((F.col("_bound.token") == "(") & (word == "fn"))
+    starts = word.isin(*ITEM_KINDS) & free & (F.col("open_token").isNull() | (F.col("open_token") == "{"))
     starts = starts & ~((word == "const") & F.col("next").isin("fn", "unsafe", "async", "{", "extern")) & ~((word == "extern") & (F.col("next") != "crate"))
     starts = starts & ~((word == "macro_rules") & (F.col("next") != "!")) & ~((word == "union") & ~F.rlike("next", F.lit(r"^[\p{L}_]")))
     kind = F.create_map(*[F.lit(x) for pair in ITEM_KINDS.items() for x in pair])[word]
-    visibility = F.regexp_replace(F.regexp_extract(F.concat("before", F.lit(" ")), lead, 1), " ", "")
+    own = F.when(F.col("_bound").isNull() | (F.col("_shown.n") > F.col("_bound.n")), F.col("_shown"))
     shut = (word == "}") | (word == ";")
     level = F.when(word == "}", F.col("depth_after")).otherwise(F.col("depth"))
-    events = near.withColumns({"_starts": starts, "_level": level, "_item": kind, "_vis": visibility, "_shut": shut}).filter("_starts or _shut")
-    ahead = Window.partitionBy("file_id", "_level").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    end_any = F.first(F.when(F.col("_shut"), F.struct("span_end", "token")), ignorenulls=True).over(ahead)
-    end_semi = F.first(F.when(word == ";", F.struct("span_end", "token")), ignorenulls=True).over(ahead)
+    events = near.withColumns({"_starts": starts, "_level": level, "_item": kind, "_vis": own, "_shut": shut}).filter("_starts or _shut")
+    end_any = following(F.col("_shut"), F.struct("span_end", "token"), "file_id", "_level")
+    end_semi = following(word == ";", F.struct("span_end", "token"), "file_id", "_level")
     found = events.withColumn("_end", F.when(F.col("_item").isin("use", "const", "static", "type_alias", "extern_crate"), end_semi).otherwise(end_any)).filter("_starts")
     name = F.when(F.col("_item").isin("impl", "use"), F.lit(None)).when(F.col("_item").isin("macro", "extern_crate"), F.col("next2")).otherwise(F.col("next"))
     rows = found.select(
         "file_id", F.col("span_start").alias("item_id"), F.col("_item").alias("kind"), F.regexp_replace(name, "^r#", "").alias("name"),
-        F.when(F.col("_vis") == "", "private").otherwise(F.col("_vis")).alias("visibility"), "span_start", F.coalesce(F.col("_end.span_end"), F.col("span_end")).alias("span_end"),
+        F.col("_vis.token").alias("_vis"), F.col("_vis.at").alias("_vis_at"), "span_start", F.coalesce(F.col("_end.span_end"), F.col("span_end")).alias("span_end"),
         F.when(name.isNotNull(), F.col("next_start")).alias("name_start"), (F.col("_end.token") == "}").alias("is_inline"),
     )
+    # pub(in a::b): what stands in the brackets after a pub.
+    inside = near.filter("open_prev = 'pub' and open_token = '(' and token <> ')'").groupBy("file_id", F.col("open_start").alias("_vis_at")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]), "").alias("_path"))
+    limit = F.rlike("_path", F.lit("^(?:crate|super|self|in)"))
+    rows = rows.join(inside, ["file_id", "_vis_at"], "left").withColumn("visibility", F.when(F.col("_vis").isNull(), "private").when((F.col("_vis") == "pub") & limit, F.concat(F.lit("pub("), "_path", F.lit(")"))).otherwise(F.col("_vis"))).drop("_vis", "_vis_at", "_path")
     as_id = rows.withColumn("id", F.col("item_id"))
     owners = as_id.filter(F.col("kind").isin("module", "impl", "trait", "function", "struct", "enum", "union")).select("file_id", "id", "span_start", "span_end")
     nested = smallest_cover(as_id, owners, ["file_id"]).drop("id")
@@ -230,16 +229,14 @@ def cfg_gates(toks: DataFrame, found: DataFrame) -> DataFrame:
 
     An attribute ends at the bracket that brings the depth of its `#` back; it belongs to the next item of its file.
     """
-    near = neighbours(toks)
+    near = structure(toks)
     level = F.when(F.col("token") == "]", F.col("depth_after")).otherwise(F.col("depth"))
-    ends = Window.partitionBy("file_id", "_level").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
     marks = near.withColumn("_level", level).filter("token = ']' or (token = '#' and next = '[' and next2 = 'cfg')")
-    stop = F.first(F.when(F.col("token") == "]", F.col("span_end")), ignorenulls=True).over(ends)
+    stop = following(F.col("token") == "]", F.col("span_end"), "file_id", "_level")
     attrs = marks.withColumn("_end", stop).filter("token = '#' and _end is not null").select("file_id", F.col("span_start").alias("item_id"), "span_start", F.col("_end").alias("span_end"))
     texts = item_text(attrs, toks, "attr").select("file_id", F.col("item_id").alias("span_start"), "attr").filter(F.startswith("attr", F.lit("# [ cfg (")))
-    ahead = Window.partitionBy("file_id").orderBy("span_start").rowsBetween(1, Window.unboundedFollowing)
     both = texts.withColumn("item_id", F.lit(None).cast("long")).unionByName(found.select("file_id", "span_start", F.lit(None).cast("string").alias("attr"), "item_id"))
-    owned = both.withColumn("_item", F.first("item_id", ignorenulls=True).over(ahead)).filter("attr is not null and _item is not null")
+    owned = both.withColumn("_item", following(F.col("item_id").isNotNull(), F.col("item_id"), "file_id", order="span_start")).filter("attr is not null and _item is not null")
     inner = F.regexp_extract("attr", r"(?s)^# \[ cfg \((.*)\) \]$", 1)
     return owned.select("file_id", F.col("_item").alias("item_id"), F.arrow_udf(_cfg_trees, "string")(inner).alias("gate"))
 

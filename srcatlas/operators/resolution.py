@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from ..plans.durable import durable
 from ..plans.fixpoint import rounds
 from ..plans.interval import points_in_spans
-from . import imports, lexing, scopes
+from . import binders, brackets, imports, lexing, scopes
 from .closure import ancestors
 
 # How a written visibility is called in scopes.
 VISIBILITY = {"pub": "public", "crate": "crate", "pub(crate)": "crate", "pub(incrate)": "crate", "pub(super)": "super", "pub(insuper)": "super"}
 TYPES = ["struct", "enum", "union", "trait", "type_alias"]
-PIECE = r"(?:->|[^,()\[\]<>]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)|\[[^\]]*\]|<(?:->|[^<>]|<(?:->|[^<>]|<(?:->|[^<>])*>)*>)*>)+"
-HEAD = r"(?s)^fn\s+[\w#]+\s*(?:<(?:->|[^<>]|<(?:->|[^<>]|<(?:->|[^<>])*>)*>)*+>)?\s*\(((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*+)\)\s*(?:->\s*(.*?))?\s*(?:\bwhere\b.*)?$"
+#: Kinds whose names in a pattern are values to compare with, not binders.
+CONSTANTS = ["const", "static", "enum_variant", "struct"]
 
 
 def key(file: str, place: str | None = None) -> Column:
@@ -51,58 +51,47 @@ def in_module(points: DataFrame, mods: DataFrame, at: str, keys: list[str]) -> D
     return points.join(best.select("_k.*", "module_id"), keys)
 
 
-def function_heads(toks: DataFrame, items: DataFrame) -> DataFrame:
-    """J.1: file_id, item_id, params (as written), result, head_end of functions."""
-    near = lexing.neighbours(toks).filter("token in ('fn', '{', ';')")
-    ahead = Window.partitionBy("file_id", "depth").orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    ends = near.withColumn("head_end", F.first(F.when(F.col("token") != "fn", F.col("span_start")), ignorenulls=True).over(ahead)).filter("token = 'fn'").select("file_id", F.col("span_start").alias("item_id"), "head_end")
-    heads = items.filter("kind = 'function'").select("file_id", "item_id").join(ends, ["file_id", "item_id"]).select("file_id", "item_id", F.col("item_id").alias("span_start"), F.coalesce("head_end", "item_id").alias("span_end"))
-    written = toks.filter("kind <> 'comment'").select("file_id", "n", F.col("span_start").alias("_at"), F.when(F.col("kind") == "whitespace", " ").otherwise(F.col("token")).alias("token"))
-    inside = points_in_spans(written, heads, ["file_id"], at="_at", closed=False)
-    text = inside.groupBy("file_id", "item_id", "span_end").agg(F.trim(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]), "")).alias("h"))
-    result = F.trim(F.regexp_extract("h", HEAD, 2))
-    pieces = F.filter(F.transform(F.regexp_extract_all(F.regexp_extract("h", HEAD, 1), F.lit(PIECE), F.lit(0)), lambda p: F.trim(p)), lambda p: p != "")
-    return text.select("file_id", "item_id", pieces.alias("params"), F.when(result != "", result).alias("result"), F.col("span_end").alias("head_end"))
+def owners(points: DataFrame, items: DataFrame, at: str) -> DataFrame:
+    """F.6: file_id, at, owner: the innermost function around each place."""
+    spans = items.filter("kind = 'function'").select("file_id", F.col("item_id").alias("_f"), "span_start", "span_end")
+    inside = points_in_spans(points.select("file_id", F.col(at).alias("_at")).distinct(), spans, ["file_id"], at="_at", closed=False)
+    return inside.groupBy("file_id", F.col("_at").alias(at)).agg(F.max_by("_f", "span_start").alias("owner"))
 
 
-def _type_path(written: Column) -> Column:
-    """The path of a written type without references, lifetimes and generic arguments; null when it is no path."""
-    bare = F.regexp_replace(F.regexp_replace(written, r"^(?:\s|&|'\w+\b|\bmut\b|\bdyn\b|\bimpl\b)+", ""), r"(?s)<.*$", "")
-    return F.when(F.rlike(bare, F.lit(r"^[\p{L}_][\p{L}\p{N}_]*(?:\s*::\s*[\p{L}_][\p{L}\p{N}_]*)*\s*$")), F.split(F.regexp_replace(bare, r"\s+", ""), "::"))
-
-
-def locals_of(toks: DataFrame, items: DataFrame, lets: DataFrame, heads: DataFrame) -> DataFrame:
-    """G.4, G.8, H.17: file_id, name, name_start, kind, def_id, ty, type_path, span_start, span_end: parameters, let bindings and
-    items of bodies with the span in which they can be named. A let counts from its semicolon to the end of its block."""
-    near = lexing.neighbours(toks).filter("token in ('let', ';', '}')")
-    block = F.when(F.col("token") == "}", F.col("depth_after")).when(F.col("token") == "let", F.col("depth") - 1)
-    near = near.withColumns({"_block": block, "_line": F.when(F.col("token") != "}", F.col("depth"))})
-    ahead = lambda level: Window.partitionBy("file_id", level).orderBy("n").rowsBetween(1, Window.unboundedFollowing)
-    spans = near.withColumns({
-        "_to": F.first(F.when(F.col("token") == "}", F.col("span_start")), ignorenulls=True).over(ahead("_block")),
-        "_from": F.first(F.when(F.col("token") == ";", F.col("span_end")), ignorenulls=True).over(ahead("_line")),
-    }).filter("token = 'let'").select("file_id", F.col("span_start").alias("let_at"), "_from", "_to")
-    bound = lets.withColumnRenamed("span_start", "name_start").drop("span_end").join(spans, ["file_id", "let_at"]).filter("_from <= _to").select("file_id", "name", "name_start", F.lit("local").alias("kind"), "ty", _type_path(F.col("ty")).alias("type_path"), F.col("_from").alias("span_start"), F.col("_to").alias("span_end"))
-    functions = items.filter("kind = 'function'").select("file_id", "item_id", "span_start", "span_end")
-    split = r"^(?:mut )?([\p{L}_][\p{L}\p{N}_]*)\s*:\s*(.*)$"
-    written = heads.select("file_id", "item_id", "head_end", F.explode("params").alias("p")).select("file_id", "item_id", "head_end", F.regexp_extract("p", split, 1).alias("name"), F.regexp_extract("p", split, 2).alias("ty")).filter("name <> ''")
-    names = lexing.neighbours(toks).filter("kind = 'ident' and next = ':' and next2 <> ':'").select("file_id", F.col("span_start").alias("name_start"), F.col("token").alias("name"))
-    placed = points_in_spans(names, written.select("file_id", "item_id", "name", "ty", F.col("item_id").alias("span_start"), F.col("head_end").alias("span_end")), ["file_id", "name"], at="name_start").groupBy("file_id", "item_id", "name").agg(F.min_by("ty", "name_start").alias("ty"), F.min("name_start").alias("name_start"))
-    params = placed.join(functions, ["file_id", "item_id"]).select("file_id", "name", "name_start", F.lit("parameter").alias("kind"), "ty", _type_path(F.col("ty")).alias("type_path"), "span_start", "span_end")
-    around = functions.select("file_id", F.col("item_id").alias("parent_id"), F.col("span_start").alias("_s"), F.col("span_end").alias("_e"))
-    inner = items.filter("parent_kind = 'function' and name is not null").join(around, ["file_id", "parent_id"]).select("file_id", "name", "name_start", "kind", F.lit(None).cast("string").alias("ty"), F.lit(None).cast("array<string>").alias("type_path"), F.col("_s").alias("span_start"), F.col("_e").alias("span_end"), key("file_id", "item_id").alias("def_id"))
-    return bound.unionByName(params).withColumn("def_id", key("file_id", "name_start")).unionByName(inner)
+def locals_of(names: DataFrame, lets: DataFrame, pieces: DataFrame, items: DataFrame) -> DataFrame:
+    """G.4, G.5, G.8, H.17: file_id, name, name_start, kind, def_id, ty, type_path, owner, span_start, span_end: names that
+    patterns bind and items of bodies, with the span in which they can be named. owner: the function that a binder belongs to;
+    an item, which functions inside can name too, has none."""
+    first = names.filter("at = first_at").withColumn("name_start", F.col("at"))
+    seeds = lets.select("file_id", F.col("span_start").alias("name_start"), F.col("ty").alias("_let"))
+    whole = (F.col("at") + F.octet_length("name") == F.col("to_at")) & (F.startswith("text", F.col("name")) | F.startswith("text", F.lit("mut ")))
+    given = pieces.filter("ordinal is not null").select("file_id", "from_at", "to_at", "text", F.col("ty").alias("_ty"), F.col("type_path").alias("_path"))
+    typed = first.filter("source = 'parameter'").join(given, ["file_id", "from_at"]).filter(whole).select("file_id", "name_start", "_ty", "_path")
+    both = first.join(seeds, ["file_id", "name_start"], "left").join(typed, ["file_id", "name_start"], "left")
+    word = F.when(F.rlike("_let", F.lit(r"^(?:r#)?[\p{L}_][\p{L}\p{N}_]*+$")), F.array("_let"))
+    bound = both.select(
+        "file_id", "name", "name_start", F.when(F.col("source") == "parameter", "parameter").otherwise("local").alias("kind"), F.coalesce("_ty", "_let", F.lit("unknown")).alias("ty"),
+        F.coalesce("_path", F.when(F.col("_let") != "unknown", word)).alias("type_path"), F.col("scope_start").alias("span_start"), F.col("scope_end").alias("span_end"),
+    )
+    # Later alternatives of a pattern name what the first one binds.
+    later = names.filter("at <> first_at").select("file_id", "name", F.col("first_at").alias("name_start"), F.lit("alternative").alias("kind"), F.lit(None).cast("string").alias("ty"), F.lit(None).cast("array<string>").alias("type_path"), F.col("at").alias("span_start"), (F.col("at") + 1).alias("span_end"))
+    every = bound.unionByName(later).withColumn("def_id", key("file_id", "name_start"))
+    every = every.join(owners(every, items, "name_start"), ["file_id", "name_start"], "left")
+    around = items.filter("kind = 'function'").select("file_id", F.col("item_id").alias("parent_id"), F.col("span_start").alias("_s"), F.col("span_end").alias("_e"))
+    inner = items.filter("parent_kind = 'function' and name is not null").join(around, ["file_id", "parent_id"]).select("file_id", "name", "name_start", "kind", F.col("_s").alias("span_start"), F.col("_e").alias("span_end"), key("file_id", "item_id").alias("def_id"))
+    return every.unionByName(inner, allowMissingColumns=True)
 
 
 def path_sites(toks: DataFrame) -> DataFrame:
     """H.6-H.9: file_id, span_start, span_end, name, segments (the path up to here), absolute, receiver and ns_hint of every
     identifier. receiver is null unless a dot stands before, and empty when what is before the dot is no plain name."""
     order = Window.partitionBy("file_id").orderBy("n")
-    near = lexing.neighbours(toks).withColumns({f"p{k}": F.lag("token", k).over(order) for k in (1, 2, 3)} | {f"k{k}": F.lag("kind", k).over(order) for k in (2, 3)})
+    near = brackets.structure(toks).withColumns({f"p{k}": F.lag("token", k).over(order) for k in (1, 2, 3)} | {f"k{k}": F.lag("kind", k).over(order) for k in (2, 3)})
     two = (F.col("p1") == ":") & (F.col("p2") == ":")
     joined = F.coalesce(two & (F.col("k3") == "ident"), F.lit(False))
     label = (F.col("next") == ":") & (F.col("next2") != ":") & F.col("p1").isin("{", ",")
-    some = near.filter("kind = 'ident'").withColumns({"_two": F.coalesce(two, F.lit(False)), "_joined": joined, "name": F.regexp_replace("token", "^r#", ""), "is_label": F.coalesce(label, F.lit(False))})
+    # Fields of tuples are numbers after a dot.
+    some = near.filter("kind = 'ident' or (kind = 'number' and p1 = '.' and token not like '%.%')").withColumns({"_two": F.coalesce(two, F.lit(False)), "_joined": joined, "name": F.regexp_replace("token", "^r#", ""), "is_label": F.coalesce(label, F.lit(False))})
     some = some.withColumn("_chain", F.sum((~joined).cast("int")).over(order))
     chain = Window.partitionBy("file_id", "_chain").orderBy("n")
     dot = (F.col("p1") == ".") & (F.coalesce("p2", F.lit("")) != ".")
@@ -120,22 +109,32 @@ class Names:
         self.toks, self.items, self.has_extern = toks, items, extern_roots is not None
         mods, self.ancestors = modules(files, items, links)
         self.modules = durable(mods, "modules")
-        self.heads = durable(function_heads(toks, items), "heads")
-        self.locals = durable(locals_of(toks, items, lets, self.heads), "locals")
+        self.pieces = durable(binders.function_parts(toks, items), "pieces")
+        self.heads = binders.heads_of(self.pieces)
         self.sites = durable(path_sites(toks), "sites")
         named = items.filter("name is not null")
         variants = scopes.enum_variants(toks, items).withColumn("kind", F.lit("enum_variant"))
         fields = scopes.struct_fields(toks, items).withColumn("kind", F.lit("field"))
-        owned = variants.drop("index").unionByName(fields.drop("ordinal"))
-        bound = self.locals.filter("kind in ('local', 'parameter')").select("def_id", "file_id", F.col("name_start").alias("item_id"), "kind", "name", "name_start")
+        owned = variants.drop("index").unionByName(fields.drop("ordinal", "ty", "type_path"))
         whole = self.modules.filter("module_id like '%:'").select(F.col("module_id").alias("def_id"), "file_id", F.lit(None).cast("long").alias("item_id"), F.lit("module").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("long").alias("name_start"))
         own = named.select(key("file_id", "item_id").alias("def_id"), "file_id", "item_id", "kind", "name", "name_start")
         small = owned.select(key("file_id", "name_start").alias("def_id"), "file_id", F.col("name_start").alias("item_id"), "kind", "name", "name_start")
-        self.definitions = durable(own.unionByName(small).unionByName(bound).unionByName(whole), "definitions")
+        self.definitions = durable(own.unionByName(small).unionByName(whole), "definitions")
         self.owned = durable(owned.select(key("file_id", "type_id").alias("module_id"), "name", key("file_id", "name_start").alias("def_id"), "kind"), "owned")
         self._scopes(extern_roots, links)
+        self.locals = durable(locals_of(self._binders(), lets, self.pieces, items), "locals")
+        bound = self.locals.filter("kind in ('local', 'parameter')").select("def_id", "file_id", F.col("name_start").alias("item_id"), "kind", "name", "name_start")
+        self.definitions = durable(self.definitions.unionByName(bound.distinct()), "definitions")
         self._members(impls)
 
+    def _binders(self) -> DataFrame:
+        """G.3: names in patterns that bind: not those that the module's scope knows as constants, unit types or variants,
+        nor unknown ones in capitals."""
+        names = binders.pattern_names(self.toks, binders.patterns(self.toks, self.pieces, self.items))
+        placed = in_module(names, self.modules, "at", ["file_id", "at"])
+        values = self.scopes.filter("ns = 'v'").join(self.definitions.filter(F.col("kind").isin(*CONSTANTS)).select("def_id"), "def_id", "left_semi").select("module_id", "name").distinct()
+        return placed.join(values, ["module_id", "name"], "left_anti").filter(~binders.constant(F.col("name")))
+
     def _scopes(self, extern_roots: DataFrame | None, links: DataFrame) -> None:
         """D.1-D.6, D.15-D.19, D.21: the scopes of all modules after every import; a written table, so they are frozen."""
         mods, items = self.modules, self.items
@@ -220,6 +219,9 @@ class Names:
     def local_at(self, points: DataFrame, name: str) -> DataFrame:
         """G.8: file_id, span_start with def_id, ty, type_path of the innermost local of that name whose scope holds the place."""
         found = points_in_spans(points.select("file_id", F.col("span_start").alias("_at"), F.col(name).alias("name")), self.locals.drop("kind"), ["file_id", "name"], at="_at", closed=False)
+        # A function inside another one doesn't see that one's binders.
+        near = owners(found, self.items, "_at").withColumnRenamed("owner", "_own")
+        found = found.join(near, ["file_id", "_at"], "left").filter("owner is null or owner = _own")
         return found.groupBy("file_id", "_at").agg(F.max_by(F.struct("def_id", "ty", "type_path"), F.struct("span_start", "name_start")).alias("b")).select("file_id", F.col("_at").alias("span_start"), "b.*")
 
     def receiver_types(self, points: DataFrame, name: str) -> DataFrame:

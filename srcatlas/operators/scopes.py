@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.asof import last_before
 from ..plans.interval import points_in_spans
 from ..plans.priority import first_of
-from .lexing import neighbours
+from .brackets import as_written, in_order, next_sibling, parts, regions, structure
 from .semantic import unique_or_unknown
 
 # Namespaces that a definition of a kind enters.
@@ -67,58 +67,98 @@ def macro_definitions_for_calls(calls: DataFrame, textual: DataFrame, module_mac
 def macro_calls(toks: DataFrame) -> DataFrame:
     """E.10, E.11: calls name!(...) with what is done about them: ignore, handle, unsupported or expand."""
     known = F.create_map(*[F.lit(x) for pair in BUILTINS.items() for x in pair])
-    near = neighbours(toks)
+    near = structure(toks)
     called = near.filter((F.col("kind") == "ident") & (F.col("next") == "!") & F.col("next2").isin("(", "[", "{") & (F.col("token") != "macro_rules"))
     return called.select("file_id", "n", F.col("token").alias("name"), "span_start", F.coalesce(known[F.col("token")], F.lit("expand")).alias("disposition"))
 
 
-def impl_headers(items: DataFrame, files: DataFrame) -> DataFrame:
-    """F.2: file_id, impl_id, self_name, trait_name (null for inherent ones), is_negative, self_path, trait_path, from `impl<..> Trait for Type`."""
-    text = F.expr("cast(substring(encode(text, 'utf-8'), cast(span_start as int) + 1, cast(span_end - span_start as int)) as string)")
-    head = items.filter("kind = 'impl'").join(files.select("file_id", "text"), "file_id").select("file_id", F.col("item_id").alias("impl_id"), F.regexp_replace(F.regexp_extract(text, r"(?s)^impl([^{;]*)", 1), r"\s+", " ").alias("h"))
-    # Generic arguments nest to three levels; the innermost go first.
-    flat = F.col("h")
-    for _ in range(3):
-        flat = F.regexp_replace(F.regexp_replace(flat, "->", "  "), r"<[^<>]*>", "")
-    flat = F.trim(F.regexp_replace(flat, r"\bwhere\b.*$", ""))
-    parts = F.split(flat, r"\bfor\b")
-    last = lambda c: F.regexp_extract(F.trim(c), r"([\p{L}_][\p{L}\p{N}_]*)\s*$", 1)
-    whole = lambda c: F.regexp_extract(c, r"((?:[\p{L}_][\p{L}\p{N}_]*\s*::\s*)*[\p{L}_][\p{L}\p{N}_]*)\s*$", 1)
-    path = lambda c: F.when(whole(c) != "", F.split(F.regexp_replace(whole(c), r"\s+", ""), "::"))
-    two = F.size(parts) > 1
-    self_type, trait = F.when(two, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))), F.when(two, F.get(parts, F.lit(0)))
-    return head.select("file_id", "impl_id", last(self_type).alias("self_name"), last(trait).alias("trait_name"), F.startswith(flat, F.lit("!")).alias("is_negative"), path(self_type).alias("self_path"), path(trait).alias("trait_path"))
-
-
-def _inside(toks: DataFrame, items: DataFrame, kind: str) -> DataFrame:
-    """Significant tokens whose innermost bracket is the body of an item of the kind: with owner_id and their place."""
-    near = neighbours(toks)
-    owner = items.filter((F.col("kind") == kind) & F.col("is_inline")).select("file_id", F.col("item_id").alias("owner_id"), "span_start", "span_end")
-    starts = near.select("file_id", F.col("span_start").alias("_s"), F.col("depth").alias("_d"))
-    owner = owner.join(starts, (owner.file_id == starts.file_id) & (owner.span_start == starts._s)).drop(starts.file_id).drop("_s")
-    points = near.withColumnsRenamed({"span_start": "_from", "span_end": "_to"})
-    return points_in_spans(points, owner, ["file_id"], at="_from", closed=False).filter(F.col("depth") == F.col("_d") + 1)
+def path_of(tokens: Column) -> Column:
+    """The path that a type's tokens are (without those in brackets of any kind), after references and the like; else null."""
+    bare = F.filter(tokens, lambda t: ~t.isin("&", "*", "mut", "dyn", "const", "impl") & ~F.startswith(t, F.lit("'")))
+    names = F.filter(bare, lambda t: F.rlike(t, F.lit(r"^(?:r#)?[\p{L}_]")))
+    joints = F.size(bare) - F.size(names)
+    fits = (F.size(names) > 0) & ((joints == 2 * F.size(names) - 2) | (joints == 2 * F.size(names))) & F.forall(bare, lambda t: (t == ":") | F.rlike(t, F.lit(r"^(?:r#)?[\p{L}_]")))
+    return F.when(fits, F.transform(names, lambda t: F.regexp_replace(t, "^r#", "")))
+
+
+def impl_headers(items: DataFrame, toks: DataFrame) -> DataFrame:
+    """F.2: file_id, impl_id, self_name, trait_name (null for inherent ones), is_negative, self_path, trait_path, from
+    `impl<..> Trait for Type where ..`; generic arguments may nest as deep as they like."""
+    near = structure(toks)
+    starts = head_starts(near, items.filter("kind = 'impl'"), ("{", ";"))
+    inside = regions(near, starts).filter("n > region.from_n")
+    # Sides: before and after `for`; a where clause belongs to neither.
+    order = Window.partitionBy("file_id", "region").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    flat = (F.col("angle") == 0) & (F.col("depth") == F.col("base"))
+    for_ = (F.col("token") == "for") & flat & (F.col("next") != "<")
+    side = F.sum(F.when((F.col("token") == "where") & flat, 2).when(for_, 1).otherwise(0)).over(order)
+    split = inside.withColumn("_side", side).filter("_side < 2 and token <> 'for' and token <> 'where'")
+    plain = flat & ~F.col("token").isin("<", ">")
+    sides = split.groupBy("file_id", "region").agg(in_order(plain & (F.col("_side") == 0)).alias("a"), in_order(plain & (F.col("_side") == 1)).alias("b"), F.max("_side").alias("two"))
+    sides = starts.select("file_id", "region").join(sides, ["file_id", "region"], "left")
+    two = F.coalesce(F.col("two"), F.lit(0)) > 0
+    a = F.filter("a", lambda t: t != "!")
+    self_path, trait_path = path_of(F.when(two, F.col("b")).otherwise(a)), F.when(two, path_of(a))
+    last = lambda c: F.when(c.isNotNull(), F.get(c, F.size(c) - 1)).otherwise("")
+    trait_name = F.when(two, last(trait_path))
+    return sides.select("file_id", F.col("region.item_id").alias("impl_id"), last(self_path).alias("self_name"), trait_name.alias("trait_name"), F.coalesce(F.get("a", F.lit(0)) == "!", F.lit(False)).alias("is_negative"), self_path.alias("self_path"), trait_path.alias("trait_path"))
+
+
+def head_starts(near: DataFrame, items: DataFrame, ends: tuple[str, ...]) -> DataFrame:
+    """Regions from each item's word to the first of the tokens `ends` beside it: file_id, region (item_id, from_n), from_n, to_n, head_end."""
+    stop = next_sibling(F.col("token").isin(*ends), F.struct("n", "span_start"))
+    marked = near.select("file_id", "n", "open_n", "token", "span_start").withColumn("_stop", stop)
+    found = marked.join(items.select("file_id", F.col("item_id").alias("span_start")), ["file_id", "span_start"])
+    to = F.coalesce("_stop.n", F.col("n"))
+    return found.select("file_id", F.struct(F.col("span_start").alias("item_id"), F.col("n").alias("from_n")).alias("region"), F.col("n").alias("from_n"), to.alias("to_n"), F.coalesce("_stop.span_start", "span_start").alias("head_end"))
+
+
+def members(toks: DataFrame, items: DataFrame) -> DataFrame:
+    """Parts of the bodies of structs, unions and enums: file_id, type_id, type_kind, ordinal, name, name_start, ty (as
+    written), type_path. Fields of tuple structs are named by their places."""
+    near = structure(toks)
+    bodies = items.filter("kind in ('struct', 'union', 'enum')").select("file_id", F.col("item_id").alias("span_start"), F.col("kind").alias("type_kind"))
+    # The head's first ( or { outside of generic arguments opens the body.
+    heads = head_starts(near, items.filter("kind in ('struct', 'union', 'enum')"), ("{", ";"))
+    in_head = regions(near, heads.withColumn("to_n", F.col("to_n") + 1))
+    body = in_head.filter("angle = 0 and depth = base and token in ('(', '{')").groupBy("file_id", "region").agg(F.min(F.struct("n", "close_n", "token")).alias("_b"))
+    starts = body.select("file_id", F.struct("region.item_id", F.col("_b.token").alias("open"), F.col("_b.n").alias("at")).alias("region"), F.col("_b.n").alias("from_n"), F.col("_b.close_n").alias("to_n")).filter("to_n is not null")
+    inside = parts(regions(near, starts).filter("n > region.at"))
+    # What stands before a field: attributes and visibility.
+    deep = F.col("depth") - F.col("base")
+    outer = (deep == 1) & (F.col("angle") == 0)
+    limited = (F.col("token") == "(") & (F.col("prev") == "pub") & F.col("next").isin("crate", "super", "self", "in")
+    attr = F.col("token").isin("#", "[") & ((F.col("token") == "#") | (F.col("prev") == "#"))
+    mine = outer & ~attr & ~limited & (F.col("token") != "pub") & ~((F.col("token") == "crate") & (F.col("next") != ":"))
+    first = F.min(F.when(mine, F.struct("n", "span_start", "token", "kind"))).over(Window.partitionBy("file_id", "region", "part"))
+    told = inside.withColumn("_first", first).filter("n >= _first.n")
+    of_type = (F.col("region.open") == "(") | (F.col("n") > F.col("colon"))
+    plain = of_type & outer & ~F.col("token").isin("<", ">")
+    ty = as_written(of_type)
+    found = told.groupBy("file_id", "region", "part", "_first", "colon").agg(F.when(ty != "", ty).alias("ty"), path_of(in_order(plain)).alias("type_path"))
+    kinds = bodies.select("file_id", F.col("span_start").alias("type_id"), "type_kind")
+    rows = found.select("file_id", F.col("region.item_id").alias("type_id"), F.col("region.open").alias("open"), F.col("part").cast("int").alias("ordinal"), F.col("_first.token").alias("_t"), F.col("_first.kind").alias("_k"), F.col("_first.span_start").alias("name_start"), "colon", "ty", "type_path").join(kinds, ["file_id", "type_id"])
+    is_tuple = F.col("open") == "("
+    name = F.when(is_tuple, F.col("ordinal").cast("string")).otherwise(F.regexp_replace("_t", "^r#", ""))
+    fits = is_tuple | ((F.col("_k") == "ident") & ((F.col("type_kind") == "enum") | F.col("colon").isNotNull()))
+    return rows.filter(fits).select("file_id", "type_id", "type_kind", "ordinal", name.alias("name"), "name_start", "ty", "type_path")
 
 
 def struct_fields(toks: DataFrame, items: DataFrame) -> DataFrame:
-    """F.7: file_id, type_id, ordinal, name, name_start of the named fields of structs."""
-    some = _inside(toks, items, "struct").filter((F.col("kind") == "ident") & (F.col("next") == ":") & F.rlike("before", F.lit(r"(?:[{,\])]|pub|crate)$")))
-    place = F.row_number().over(Window.partitionBy("file_id", "owner_id").orderBy("n")) - 1
-    return some.select("file_id", F.col("owner_id").alias("type_id"), place.alias("ordinal"), F.col("token").alias("name"), F.col("_from").alias("name_start"))
+    """F.7: file_id, type_id, ordinal, name, name_start, ty, type_path of the fields of structs and unions, by name or place."""
+    return members(toks, items).filter("type_kind <> 'enum'").drop("type_kind")
 
 
 def enum_variants(toks: DataFrame, items: DataFrame) -> DataFrame:
     """F.8: file_id, type_id, index, name, name_start of enum variants."""
-    some = _inside(toks, items, "enum").filter((F.col("kind") == "ident") & F.rlike("before", F.lit(r"[{,\]]$")) & F.col("next").isin(",", "}", "(", "{", "="))
-    place = F.row_number().over(Window.partitionBy("file_id", "owner_id").orderBy("n")) - 1
-    return some.select("file_id", F.col("owner_id").alias("type_id"), place.alias("index"), F.col("token").alias("name"), F.col("_from").alias("name_start"))
+    return members(toks, items).filter("type_kind = 'enum'").select("file_id", "type_id", F.col("ordinal").alias("index"), "name", "name_start")
 
 
 def signature_sites(toks: DataFrame, items: DataFrame) -> DataFrame:
     """F.14, F.15: file_id, item_id, name, span, site_kind: declared names and the type names before an item's body."""
-    near = neighbours(toks).filter("kind = 'ident'").withColumnsRenamed({"span_start": "_from", "span_end": "_to", "kind": "_kind"})
-    body = neighbours(toks).filter("token in ('{', ';', '=')").select("file_id", F.col("n").alias("_n"), F.col("span_start").alias("_body"), F.col("depth").alias("_depth"))
-    starts = neighbours(toks).select("file_id", "span_start", F.col("depth").alias("_d"), F.col("n").alias("_start_n"))
+    near = structure(toks).filter("kind = 'ident'").withColumnsRenamed({"span_start": "_from", "span_end": "_to", "kind": "_kind"})
+    body = structure(toks).filter("token in ('{', ';', '=')").select("file_id", F.col("n").alias("_n"), F.col("span_start").alias("_body"), F.col("depth").alias("_depth"))
+    starts = structure(toks).select("file_id", "span_start", F.col("depth").alias("_d"), F.col("n").alias("_start_n"))
     named = items.filter(F.col("kind").isin("function", "struct", "trait", "impl", "const", "static", "type_alias", "enum")).join(starts, ["file_id", "span_start"])
     first = named.join(body, "file_id").filter((F.col("_n") > F.col("_start_n")) & (F.col("_depth") == F.col("_d")) & (F.col("_body") < F.col("span_end"))).groupBy("file_id", "item_id").agg(F.min("_body").alias("head_end"))
     head = named.join(first, ["file_id", "item_id"], "left").select("file_id", "item_id", "name_start", "span_start", F.coalesce("head_end", "span_end").alias("span_end"))
@@ -131,7 +171,7 @@ def let_bindings(toks: DataFrame) -> DataFrame:
     """G.4, G.5: file_id, name, span, annotated, ty of `let name` statements: the annotation's name, or the type that the
     initialiser shows: a literal's, or that of `Type { .. }`, `Type(..)` and `Type::f(..)`; else unknown."""
     order = Window.partitionBy("file_id").orderBy("n")
-    near = neighbours(toks)
+    near = structure(toks)
     cols = {f"t{i}": F.lead("token", i).over(order) for i in range(1, 8)} | {f"s{i}": F.lead("span_start", i).over(order) for i in (1, 2)}
     let = near.withColumns(cols).filter("token = 'let'")
     mut = F.col("t1") == "mut"
@@ -166,22 +206,27 @@ def completion_sites(cursors: DataFrame, toks: DataFrame, items: DataFrame) -> D
     path site with its qualifier, inside a `use` item an import site, after `{` or `,` of a record a field site by its
     type, else an unqualified one.
     """
-    near = neighbours(toks).withColumn("tail", F.concat_ws(" ", "before", "token")).select("file_id", "span_start", "span_end", "token", "kind", "before", "tail", "depth")
-    found = last_before(cursors, near, ["file_id"], "offset", "span_start", ["span_end", "token", "kind", "before", "tail"], strict=True)
+    near = structure(toks).select("file_id", "span_start", "span_end", "token", "kind", "depth", "prev", "prev2", "prev3", "open_token", "open_prev", "open_start", "close_start")
+    found = last_before(cursors, near, ["file_id"], "offset", "span_start", [c for c in near.columns if c not in ("file_id", "span_start")], strict=True)
     typed = (F.col("kind") == "ident") & (F.col("offset") <= F.col("span_end"))
-    lead = F.when(typed, F.col("before")).otherwise(F.col("tail"))
+    # The three tokens before the identifier that is being typed, or before the cursor.
+    back = [F.when(typed, F.col(a)).otherwise(F.col(b)) for a, b in (("prev", "token"), ("prev2", "prev"), ("prev3", "prev2"))]
     size = (F.col("offset") - F.col("span_end") + F.octet_length("token")).cast("int")
     prefix = F.when(typed, F.substring("token", F.lit(1), size)).otherwise("")
-    ident = r"([\p{L}_][\p{L}\p{N}_]*)"
+    name = lambda c: F.when(F.rlike(c, F.lit(r"^(?:r#)?[\p{L}_]")), c)
     uses = points_in_spans(cursors, items.filter("kind = 'use'").select("file_id", "span_start", "span_end"), ["file_id"]).select("query_id", F.lit(True).alias("_use")).distinct()
-    both = found.withColumns({"_lead": lead, "prefix": prefix}).join(uses, "query_id", "left")
-    record = F.regexp_extract("_lead", ident + r" \{(?: [\p{L}_][\p{L}\p{N}_]*(?: : [^{},]+)? ,)*$", 1)
+    both = found.withColumns({"_b1": back[0], "_b2": back[1], "_b3": back[2], "prefix": prefix}).join(uses, "query_id", "left")
+    # The bracket around the cursor: what the last token opens, or what is around it; a name before a brace makes a record.
+    opens = ~typed & (F.col("token") == "{")
+    record = F.when(opens, F.col("prev")).when(F.col("open_token") == "{", F.col("open_prev"))
+    record = F.when(F.col("_b1").isin("{", ","), name(record))
+    path = (F.col("_b1") == ":") & (F.col("_b2") == ":")
     kind = (
-        F.when(F.col("_use"), F.when(F.rlike("_lead", F.lit(r": :$")), "use_path").otherwise("use_root")).when(F.rlike("_lead", F.lit(r"\.$")), "dot").when(F.rlike("_lead", F.lit(r": :$")), "path")
+        F.when(F.col("_use"), F.when(path, "use_path").otherwise("use_root")).when(F.col("_b1") == ".", "dot").when(path, "path")
         .when(F.rlike(record, F.lit(r"^\p{Lu}")), "record_field").otherwise("unqualified")
     )
-    qualifier = F.when(kind == "dot", F.regexp_extract("_lead", ident + r" \.$", 1)).when(kind.isin("path", "use_path"), F.regexp_extract("_lead", ident + r" : :$", 1)).when(kind == "record_field", record)
-    return both.select("query_id", kind.alias("site_kind"), "prefix", F.when(qualifier != "", qualifier).alias("qualifier"))
+    qualifier = F.when(kind == "dot", name(F.col("_b2"))).when(kind.isin("path", "use_path"), name(F.col("_b3"))).when(kind == "record_field", record)
+    return both.select("query_id", kind.alias("site_kind"), "prefix", qualifier.alias("qualifier"))
 
 
 def routed(documents: DataFrame, open_files: DataFrame, roots: DataFrame, last_active: str | None) -> DataFrame:
@@ -203,5 +248,5 @@ def lowest_common_items(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 def unbalanced(toks: DataFrame) -> DataFrame:
     """B.6: files whose brackets do not close, with the depth left at their end and the lowest depth."""
-    near = neighbours(toks)
+    near = structure(toks)
     return near.groupBy("file_id").agg(F.max_by("depth_after", "n").alias("left_open"), F.min("depth_after").alias("lowest")).filter("left_open <> 0 or lowest < 0")

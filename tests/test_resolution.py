@@ -31,12 +31,36 @@ impl Area for super::shapes::Point { fn all(&self) { self.len(); } }
 fn x() {}
 '''
 OUTER = "pub struct Thing; impl Thing { pub fn new() -> Thing { Thing } }\n"
-TEXTS = {1: LIB, 2: SHAPES, 3: OUTER}
+PATTERNS = '''fn count() {} fn item() {} fn other() {}
+const LIMIT: u8 = 3;
+pub(in crate::deep::er) fn limited() {}
+enum Kind { Round, Square(u8), Named { n: u8 } }
+use Kind::Round;
+struct Pair(pub u8, pub(crate) Vec<(u8, String)>);
+struct Point { x: u8, y: u8 }
+impl Other for Holder<A<B<C<D<u8>>>>> { fn held(&self) { self.inside; } }
+struct Holder<T> { inside: T }
+trait Other {}
+fn loops(v: Vec<u8>, pair: Pair, (left, right): (u8, u8), Point { x, y: why }: Point) {
+    for count in v { count /*1*/; }
+    if let Some(item) = item /*2*/ { item /*3*/; } else { item /*4*/ (); }
+    v.map(|item| item /*5*/ + left /*6*/);
+    let (count, other) = pair; count /*7*/; other /*8*/;
+    pair.0 /*9*/; pair.1 /*10*/; why /*11*/; x /*12*/; right /*13*/;
+    while let Some(Kind::Square(w)) = next() { w /*14*/; }
+    let Some(late) = late /*15*/ else { return; }; late /*16*/;
+    match v { Round /*17*/ => count /*18*/, Kind::Square(s) | Kind::Named { n: s /*19*/ } if s /*20*/ > 1 => s /*21*/, LIMIT /*22*/ => 1, other @ 1..=4 => { other /*23*/ } _ => other /*24*/ };
+    let fold = v.fold(0, move |acc, (a, b): (u8, u8)| { let acc = acc /*25*/ + a; acc /*26*/ + b /*27*/ }); acc /*28*/;
+    a || b; if let Kind::Named { n } = k && n /*29*/ > 1 { n /*30*/; }
+    fn nested(p: u8) { count /*31*/; p /*32*/; other /*33*/; limited /*34*/ (); }
+}
+'''
+TEXTS = {1: LIB, 2: SHAPES, 3: OUTER, 4: PATTERNS}
 
 
 @pytest.fixture(scope="module")
 def code(spark):
-    rows = [(1, "/a/src/lib.rs", LIB), (2, "/a/src/shapes.rs", SHAPES), (3, "/b/src/lib.rs", OUTER)]
+    rows = [(1, "/a/src/lib.rs", LIB), (2, "/a/src/shapes.rs", SHAPES), (3, "/b/src/lib.rs", OUTER), (4, "/c/src/lib.rs", PATTERNS)]
     extern = spark.createDataFrame([(1, "outer", 3)], "file_id long, name string, root_file long")
     return Analysis(spark.createDataFrame(rows, "file_id long, path string, text string"), extern)
 
@@ -71,6 +95,37 @@ def test_goto_definition(spark, code):
     assert {cases[k][0]: (got.get(k), want.get(k)) for k in range(len(cases)) if got.get(k) != want.get(k)} == {}
 
 
+#: Marks of PATTERNS and what stands right before the definition's name; None: no definition.
+BOUND = {
+    1: "for count", 2: "} fn item", 3: "Some(item", 4: "} fn item", 5: "map(|item", 6: "(left", 7: "let (count", 8: "let (count, other", 9: "Pair(pub u8", 10: "pub(crate) Vec", 11: "y: why", 12: "(left, right): (u8, u8), Point { x",
+    13: "(left, right", 14: "Square(w", 15: None, 16: "let Some(late", 17: "Kind { Round", 18: "let (count", 19: "Square(s", 20: "Square(s", 21: "Square(s", 22: "const LIMIT", 23: "1, other", 24: "let (count, other", 25: "|acc", 26: "let acc",
+    27: "|acc, (a, b", 28: None, 29: "Named { n } = k", 30: "Named { n } = k", 31: "fn count", 32: "nested(p", 33: "fn other", 34: "fn limited",
+}
+
+
+def test_names_bound_by_patterns(spark, code):
+    at = {k: PATTERNS.index(f"/*{k}*/") - 2 for k in BOUND}
+    got = {r.query_id: (r.def_file, r.name_start) for r in code.goto_definition(spark.createDataFrame([(k, 4, o) for k, o in at.items()], "query_id int, file_id long, offset long")).collect()}
+
+    def name_at(before: str) -> int:
+        assert PATTERNS.count(before) == 1, before
+        end = PATTERNS.index(before) + len(before.removesuffix(" } = k"))
+        start = end
+        while PATTERNS[start - 1].isalnum():
+            start -= 1
+        return start
+
+    want = {k: (4, name_at(b)) for k, b in BOUND.items() if b}
+    assert {k: (got.get(k), want.get(k)) for k in BOUND if got.get(k) != want.get(k)} == {}
+
+
+def test_headers_of_any_depth(code):
+    inside = PATTERNS.index("self.inside") + 5
+    spark = code.files.sparkSession
+    (r,) = code.goto_definition(spark.createDataFrame([(1, 4, inside)], "query_id int, file_id long, offset long")).collect()
+    assert r.name_start == PATTERNS.index("inside: T")
+
+
 def test_references_hover_types(spark, code):
     at = ask(spark, [(2, place(2, "struct Point", "Point")), (1, place(1, "\nfn both", "both"))])
     got = {(r.query_id, r.file_id, r.span_start) for r in code.references(at).collect()}

@@ -37,7 +37,7 @@ def test_bindings(code):
 
 def test_headers_and_members(code):
     files, toks, items = code
-    assert values(scopes.impl_headers(items, files), "self_name", "trait_name", "is_negative") == [("Point", None, False), ("Wrapper", "Display", False)]
+    assert values(scopes.impl_headers(items, toks), "self_name", "trait_name", "is_negative") == [("Point", None, False), ("Wrapper", "Display", False)]
     assert values(scopes.struct_fields(toks, items), "ordinal", "name") == [(0, "x"), (1, "y"), (2, "z")]
     assert values(scopes.enum_variants(toks, items), "index", "name") == [(0, "A"), (1, "B"), (2, "C"), (3, "D")]
     sites = values(scopes.signature_sites(toks, items).filter("site_kind = 'declaration'"), "name")
