@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.names import rank_of, signature
-from .operators import brackets, cursor, lexing, positions, resolution, scopes, symbols
+from .operators import brackets, cursor, gates as gates_, lexing, positions, resolution, scopes, symbols
 from .plans.durable import durable
 from .plans.interval import points_in_spans
 
 
 class Analysis:
-    def __init__(self, files: DataFrame, extern_roots: DataFrame | None = None):
-        """extern_roots: file_id, name, root_file: names that lead from the crate of file_id to that of root_file."""
-        self.files, self.extern_roots = files, extern_roots
+    def __init__(self, files: DataFrame, extern_roots: DataFrame | None = None, cfg: DataFrame | None = None):
+        """extern_roots: file_id, name, root_file: names that lead from the crate of file_id to that of root_file.
+        cfg: one row of atoms, pairs and is_test; names then are those of the items that it enables. Without it, of all."""
+        self.files, self.extern_roots, self.cfg = files, extern_roots, cfg
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -41,7 +42,18 @@ class Analysis:
 
     @cached_property
     def module_links(self) -> DataFrame:
-        return durable(lexing.module_files(self.items, self.files), "modules")
+        return durable(lexing.module_files(self.items, self.files, lexing.path_attributes(self.near, self.items)), "modules")
+
+    @cached_property
+    def active(self) -> tuple[DataFrame, DataFrame]:
+        """C.2: items and module links that the cfg leaves, for crates whose roots are the files that no module links to."""
+        if self.cfg is None:
+            return self.items, self.module_links
+        roots = self.files.select("file_id").join(self.module_links.select(F.col("module_file").alias("file_id")), "file_id", "left_anti")
+        targets = roots.select(F.col("file_id").alias("target_id"), F.col("file_id").alias("root_file")).join(self.cfg.limit(1))
+        gates = lexing.cfg_gates(self.near, self.items)
+        some = durable(gates_.enabled_items(self.items, gates, self.module_links, targets).select("file_id", "item_id").distinct(), "enabled")
+        return self.items.join(some, ["file_id", "item_id"], "left_semi"), self.module_links.join(some, ["file_id", "item_id"], "left_semi")
 
     @cached_property
     def definitions(self) -> DataFrame:
@@ -75,7 +87,9 @@ class Analysis:
     @cached_property
     def names(self) -> resolution.Names:
         """Scopes after imports, members, and what each name means."""
-        return resolution.Names(self.files, self.near, self.items, self.module_links, self.lets, self.impls, self.extern_roots)
+        items, links = self.active
+        impls = self.impls.join(items.select("file_id", F.col("item_id").alias("impl_id")), ["file_id", "impl_id"], "left_semi")
+        return resolution.Names(self.files, self.near, items, links, self.lets, impls, self.extern_roots)
 
     def _sites_at(self, cursors: DataFrame) -> DataFrame:
         return self.symbol_at(cursors).join(cursors.select("query_id", "file_id"), "query_id").select("query_id", "file_id", "span_start", "name")
@@ -182,13 +196,13 @@ class Analysis:
         return found.select("query_id", "label", "kind").distinct().orderBy("query_id", "kind", "label")
 
     def updated(self, changed: DataFrame) -> Analysis:
-        """L.4, L.9, L.12: an analysis with the changed files (file_id, path, text) in place. Tokens, items and lines of other
+        """L.4, L.9, L.12: an analysis with the changed files (file_id, path, text) in place. Tokens, brackets, items and lines of other
         files are kept as they are; only changed files are read anew."""
         ids = changed.select("file_id")
         kept = self.files.join(ids, "file_id", "left_anti")
-        out = Analysis(kept.unionByName(changed.select(*kept.columns)), self.extern_roots)
+        out = Analysis(kept.unionByName(changed.select(*kept.columns)), self.extern_roots, self.cfg)
         new = Analysis(changed)
-        for name in ("tokens", "items", "lines"):
+        for name in ("tokens", "near", "items", "lines"):
             old = getattr(self, name)
             out.__dict__[name] = old.join(ids, "file_id", "left_anti").unionByName(getattr(new, name).select(*old.columns))
         return out

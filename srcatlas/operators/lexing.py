@@ -110,7 +110,8 @@ def items(toks: DataFrame) -> DataFrame:
 
 
 def item_docs(toks: DataFrame, found: DataFrame) -> DataFrame:
-    """B.17: file_id, item_id, docs: outer doc comments that stand right before an item, joined by line.
+    """B.17: file_id, item_id, docs: `///`, `/** */` and #[doc = ".."] right before an item, and `//!` and `/*! */` first inside
+    it, joined by line; those first in a file have no item_id.
 
     Runs of doc comments and attributes end at any other significant token; a window numbers the runs.
     """
@@ -120,26 +121,70 @@ def item_docs(toks: DataFrame, found: DataFrame) -> DataFrame:
     order = Window.partitionBy("file_id").orderBy("n")
     stop = F.col("token").isin("{", "}", ";").cast("int")
     run = F.coalesce(F.sum(stop).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    doc = F.when(F.rlike("token", F.lit(r"^///(?!/)")), F.regexp_replace("token", r"^/// ?", ""))
-    numbered = marked.withColumns({"_run": run, "_doc": doc})
+    token = F.col("token")
+    back = [F.lag("token", k).over(Window.partitionBy("file_id", "_plain").orderBy("n")) for k in (1, 2, 3, 4)]
+    attribute = (F.col("kind") == "string") & (back[0] == "=") & (back[1] == "doc") & (back[2] == "[") & (back[3] == "#")
+    unquoted = F.regexp_replace(F.regexp_replace(token, r'^r?#*"', ""), r'"#*$', "")
+    # Of a block, the marks and each line's leading star go.
+    block = lambda mark: F.regexp_replace(F.trim(F.expr(f"substring(token, {mark}, length(token) - {mark + 1})")), r"(?m)^[ \t]*\* ?", "")
+    outer = F.when(F.rlike(token, F.lit(r"^///(?!/)")), F.regexp_replace(token, r"^/// ?", "")).when(F.rlike(token, F.lit(r"^/\*\*[^*/]")), block(4)).when(attribute, F.regexp_replace(unquoted, "^ ", ""))
+    inner = F.when(F.startswith(token, F.lit("//!")), F.regexp_replace(token, r"^//! ?", "")).when(F.startswith(token, F.lit("/*!")), block(4))
+    numbered = marked.withColumn("_plain", F.col("kind") != "comment").withColumns({"_run": run, "_doc": outer, "_in": inner})
     heads = numbered.filter("_item").groupBy("file_id", "_run").agg(F.min("n").alias("_first"), F.min_by("span_start", "n").alias("item_id"))
-    lines = numbered.filter("_doc is not null").join(heads, ["file_id", "_run"]).filter("n < _first")
-    return lines.groupBy("file_id", "item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "_doc"))), lambda x: x["_doc"]), "\n").alias("docs"))
+    lines = numbered.filter("_doc is not null").join(heads, ["file_id", "_run"]).filter("n < _first").select("file_id", "item_id", "n", F.col("_doc").alias("_line"))
+    # Inner ones: nothing but their like stands between them and the item's brace, or the file's begin.
+    last = F.last(F.when(F.col("kind") != "comment", F.struct("span_start", "span_end", "token")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    within = numbered.withColumn("_last", last).filter("_in is not null and (_last is null or _last.token = '{')")
+    spans = found.select("file_id", "item_id", "span_start", "span_end")
+    owner = points_in_spans(within.filter("_last is not null").select("file_id", "n", F.col("_last.span_start").alias("_at"), F.col("_in").alias("_line")), spans, ["file_id"], at="_at", closed=False)
+    owner = owner.groupBy("file_id", "n", "_line").agg(F.max_by("item_id", "span_start").alias("item_id")).select("file_id", "item_id", "n", "_line")
+    whole = within.filter("_last is null").select("file_id", F.lit(None).cast("long").alias("item_id"), "n", F.col("_in").alias("_line"))
+    every = lines.unionByName(owner).unionByName(whole)
+    return every.groupBy("file_id", "item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "_line"))), lambda x: x["_line"]), "\n").alias("docs"))
+
+
+def path_attributes(toks: DataFrame, found: DataFrame) -> DataFrame:
+    """A.7: file_id, item_id, literal of each #[path = "..."] before an item."""
+    near = structure(toks)
+    given = near.filter("kind = 'string' and prev = '=' and prev2 = 'path' and prev3 = '[' and open_prev = '#'").select("file_id", "span_start", F.regexp_extract("token", r'"(.*)"', 1).alias("literal"))
+    both = given.unionByName(found.select("file_id", "span_start", "item_id"), allowMissingColumns=True)
+    owned = both.withColumn("item_id", following(F.col("item_id").isNotNull(), F.col("item_id"), "file_id", order="span_start"))
+    return owned.filter("literal is not null and item_id is not null").select("file_id", "item_id", "literal")
+
 
+def normal_path(path: Column) -> Column:
+    """A path without `.`, doubled slashes and `..`; those that lead above the root stay there."""
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
 
-def module_files(found: DataFrame, files: DataFrame) -> DataFrame:
-    """A.7, A.8: out-of-line modules to their file: x.rs or x/mod.rs in the directory of the declaring file's children.
 
-    lib.rs, main.rs and mod.rs keep their children beside them, other files in a folder of their own name. files: file_id, path.
+def module_files(found: DataFrame, files: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """A.7, A.8, D.4: out-of-line modules to their file: x.rs or x/mod.rs in the directory of the declaring file's children, or
+    what a #[path] names (paths: file_id, item_id, literal of path_attributes).
+
+    lib.rs, main.rs and mod.rs keep their children beside them, other files in a folder of their own name; modules inside
+    inline ones in a folder of the inline module's name. A path is meant from the declaring file's folder, inside inline
+    modules from where their children are. A module whose file is not among the files has no link.
     """
     path = F.col("path")
     folder = F.regexp_replace(path, r"[^/]*$", "")
     stem = F.regexp_extract(path, r"([^/]*)\.rs$", 1)
     home = F.when(stem.isin("lib", "main", "mod"), folder).otherwise(F.concat(folder, stem, F.lit("/")))
-    declared = found.filter("kind = 'module' and not is_inline").join(files.select("file_id", home.alias("_home")), "file_id")
-    options = declared.select("file_id", "item_id", "name", F.explode(F.array(F.struct(F.lit(0).alias("rank"), F.concat("_home", "name", F.lit(".rs")).alias("path")), F.struct(F.lit(1).alias("rank"), F.concat("_home", "name", F.lit("/mod.rs")).alias("path")))).alias("o"))
+    declared = found.filter("kind = 'module' and not is_inline").join(files.select("file_id", home.alias("_home"), folder.alias("_folder")), "file_id")
+    # Names of the inline modules around, the outermost first.
+    inline = found.filter("kind = 'module' and is_inline").select("file_id", "span_start", "span_end", F.col("name").alias("_in"))
+    around = points_in_spans(declared.select("file_id", "item_id", F.col("span_start").alias("_at")), inline, ["file_id"], at="_at", closed=False)
+    around = around.groupBy("file_id", "item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("span_start", "_in"))), lambda x: x["_in"]).alias("_around"))
+    declared = declared.join(around, ["file_id", "item_id"], "left").withColumn("_below", F.coalesce(F.concat(F.array_join("_around", "/"), F.lit("/")), F.lit("")))
+    given = declared.join(paths, ["file_id", "item_id"], "left") if paths is not None else declared.withColumn("literal", F.lit(None).cast("string"))
+    option = lambda rank, p: F.struct(F.lit(rank).alias("rank"), p.alias("path"))
+    base = F.when(F.col("_below") == "", F.col("_folder")).otherwise(F.concat("_home", "_below"))
+    own = F.array(option(0, F.when(F.startswith("literal", F.lit("/")), F.col("literal")).otherwise(F.concat(base, "literal"))))
+    usual = F.array(option(0, F.concat("_home", "_below", "name", F.lit(".rs"))), option(1, F.concat("_home", "_below", "name", F.lit("/mod.rs"))))
+    options = given.select("file_id", "item_id", "name", F.explode(F.when(F.col("literal").isNotNull(), own).otherwise(usual)).alias("o"))
     target = files.select(F.col("file_id").alias("module_file"), F.col("path").alias("_p"))
-    return options.join(target, F.col("o.path") == F.col("_p")).groupBy("file_id", "item_id", "name").agg(F.min_by("module_file", "o.rank").alias("module_file"))
+    return options.join(target, normal_path(F.col("o.path")) == normal_path(F.col("_p"))).groupBy("file_id", "item_id", "name").agg(F.min_by("module_file", "o.rank").alias("module_file"))
 
 
 def flatten_use(text: str) -> Iterator[tuple[list[str], str | None, str]]:
@@ -199,46 +244,62 @@ def use_leaves(found: DataFrame, toks: DataFrame) -> DataFrame:
     return out.select("file_id", "item_id", "parent_id", "visibility", "absolute", "l.*")
 
 
-def cfg_tree(text: str) -> str:
-    """C.1: the inside of cfg(...) as a JSON tree of functions/cfg.py: a small per-attribute helper."""
+def cfg_tree(text: str) -> str | None:
+    """C.1: an attribute's inside, cfg(..) or cfg_attr(.., ..), as a JSON tree of functions/cfg.py: a small per-attribute helper.
+
+    cfg_attr(p, cfg(q)) gates by not p or q; with no cfg among its attributes it gates nothing (None).
+    """
+
+    def pieces(s: str) -> list[str]:
+        out, depth, quoted, last = [], 0, False, ""
+        start = 0
+        for k, c in enumerate(s + ","):
+            quoted ^= c == '"' and last != "\\"
+            last = "" if last == "\\" else c
+            if not quoted:
+                depth += (c == "(") - (c == ")")
+                if c == "," and not depth:
+                    out.append(s[start:k])
+                    start = k + 1
+        return [x for x in out if x.strip()]
 
     def parse(s: str) -> dict:
         s = s.strip()
-        if s.endswith(")") and "(" in s:
+        if s.endswith(")") and "(" in s and not ("=" in s.split("(", 1)[0]):
             op, inner = s[:-1].split("(", 1)
-            args, depth, piece = [], 0, ""
-            for c in inner + ",":
-                if c == "," and not depth:
-                    if piece.strip():
-                        args.append(parse(piece))
-                    piece = ""
-                else:
-                    depth += (c == "(") - (c == ")")
-                    piece += c
-            return {"op": op.strip(), "args": args}
+            return {"op": op.strip(), "args": [parse(x) for x in pieces(inner)]}
         if "=" in s:
             key, value = s.split("=", 1)
             return {"op": "kv", "key": key.strip(), "value": value.strip().strip('"')}
         return {"op": s} if s in ("true", "false") else {"op": "atom", "key": s}
 
-    return json.dumps(parse(text))
+    def gate(node: dict) -> dict | None:
+        args = node.get("args") or []
+        if node["op"] == "cfg":
+            return args[0] if args else {"op": "all", "args": []}
+        inner = [g for a in args[1:] if (g := gate(a))] if node["op"] == "cfg_attr" else []
+        whole = inner[0] if len(inner) == 1 else {"op": "all", "args": inner}
+        return {"op": "any", "args": [{"op": "not", "args": [args[0]]}, whole]} if inner else None
+
+    found = gate(parse(text))
+    return found and json.dumps(found)
 
 
 def cfg_gates(toks: DataFrame, found: DataFrame) -> DataFrame:
-    """C.1: file_id, item_id, gate (JSON) of each #[cfg(...)] before an item, of any length and depth.
+    """C.1: file_id, item_id, gate (JSON) of each #[cfg(...)] and gating #[cfg_attr(...)] before an item, of any length and depth.
 
     An attribute ends at the bracket that brings the depth of its `#` back; it belongs to the next item of its file.
     """
     near = structure(toks)
     level = F.when(F.col("token") == "]", F.col("depth_after")).otherwise(F.col("depth"))
-    marks = near.withColumn("_level", level).filter("token = ']' or (token = '#' and next = '[' and next2 = 'cfg')")
+    marks = near.withColumn("_level", level).filter("token = ']' or (token = '#' and next = '[' and next2 in ('cfg', 'cfg_attr'))")
     stop = following(F.col("token") == "]", F.col("span_end"), "file_id", "_level")
     attrs = marks.withColumn("_end", stop).filter("token = '#' and _end is not null").select("file_id", F.col("span_start").alias("item_id"), "span_start", F.col("_end").alias("span_end"))
-    texts = item_text(attrs, toks, "attr").select("file_id", F.col("item_id").alias("span_start"), "attr").filter(F.startswith("attr", F.lit("# [ cfg (")))
+    texts = item_text(attrs, toks, "attr").select("file_id", F.col("item_id").alias("span_start"), "attr").filter(F.startswith("attr", F.lit("# [ cfg (")) | F.startswith("attr", F.lit("# [ cfg_attr (")))
     both = texts.withColumn("item_id", F.lit(None).cast("long")).unionByName(found.select("file_id", "span_start", F.lit(None).cast("string").alias("attr"), "item_id"))
     owned = both.withColumn("_item", following(F.col("item_id").isNotNull(), F.col("item_id"), "file_id", order="span_start")).filter("attr is not null and _item is not null")
-    inner = F.regexp_extract("attr", r"(?s)^# \[ cfg \((.*)\) \]$", 1)
-    return owned.select("file_id", F.col("_item").alias("item_id"), F.arrow_udf(_cfg_trees, "string")(inner).alias("gate"))
+    inner = F.expr("substring(attr, 4, length(attr) - 5)")
+    return owned.select("file_id", F.col("_item").alias("item_id"), F.arrow_udf(_cfg_trees, "string")(inner).alias("gate")).filter("gate is not null")
 
 
 def _cfg_trees(texts: pa.Array) -> pa.Array:
