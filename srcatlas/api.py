@@ -50,7 +50,7 @@ class Analysis:
         if self.cfg is None:
             return self.items, self.module_links
         roots = self.files.select("file_id").join(self.module_links.select(F.col("module_file").alias("file_id")), "file_id", "left_anti")
-        targets = roots.select(F.col("file_id").alias("target_id"), F.col("file_id").alias("root_file")).join(self.cfg.limit(1))
+        targets = roots.select(F.col("file_id").alias("target_id"), F.col("file_id").alias("root_file")).crossJoin(F.broadcast(self.cfg.limit(1)))
         gates = lexing.cfg_gates(self.near, self.items)
         some = durable(gates_.enabled_items(self.items, gates, self.module_links, targets).select("file_id", "item_id").distinct(), "enabled")
         return self.items.join(some, ["file_id", "item_id"], "left_semi"), self.module_links.join(some, ["file_id", "item_id"], "left_semi")

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .api import Analysis
 from .functions.cfg import evaluate, gate_admits, parse_cfg_line
 from .functions.names import KINDS, call_snippet, completion_sort_key, rank_of, signature
 from .functions.spans import utf16_length
-from .operators import closure, completion, cursor, imports, incremental, lexing, positions, references, scopes, semantic, stats, symbols
+from .operators import brackets, closure, completion, cursor, gates, imports, incremental, lexing, positions, references, scopes, semantic, stats, symbols
 from .plans.asof import last_before
+from .plans.durable import durable
 from .sources.driver import CUSTOMER, NATION, SUPPLIER, Driver
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -603,6 +605,52 @@ def code_let_bindings(d: Driver) -> DataFrame:
     return scopes.let_bindings(lexing.tokens(code_files(d))).select("file_id", "name", "span_start", "ty")
 
 
+SCOPED = r"""scoped AS (SELECT s_suppkey AS file_id, 'fn count() {} fn item' || s_suppkey || '() {} enum K { One, Two(u8) }' || chr(10) || 'fn f(v: Vec<(u8, K)>, (left, right): (u8, u8)) {' || chr(10)
+  || 'for count in v { count; } count(); let g = |left| left; if let Some(late) = late { late; } left;' || chr(10) || 'match v { K::Two(n) | K::Three { n } if n > 1 => n, other => { other } } item' || s_suppkey || '(); }' || chr(10) AS text, CAST(s_suppkey AS VARCHAR) AS k FROM supplier)"""
+#: Place of a use: what stands before its name; and what stands before the name of its definition.
+USES = [("v { ", "for "), ("count; } ", "fn "), ("|left| ", "g = |"), (") = late { ", "let Some("), ("late; } ", "), ("), ("if n > 1 => ", "K::Two("), ("K::Three { ", "K::Two("), ("=> { ", "=> n, "), ("other } } ", "{} fn ")]
+
+
+def scoped_files(d: Driver) -> DataFrame:
+    """Small files of Rust text whose names are bound by patterns, one a supplier: the same text as SCOPED."""
+    k = F.col("s_suppkey").cast("string")
+    lines = [
+        F.concat(F.lit("fn count() {} fn item"), k, F.lit("() {} enum K { One, Two(u8) }")), F.lit("fn f(v: Vec<(u8, K)>, (left, right): (u8, u8)) {"),
+        F.lit("for count in v { count; } count(); let g = |left| left; if let Some(late) = late { late; } left;"),
+        F.concat(F.lit("match v { K::Two(n) | K::Three { n } if n > 1 => n, other => { other } } item"), k, F.lit("(); }")), F.lit(""),
+    ]
+    return d.raw("supplier").select(F.col("s_suppkey").alias("file_id"), F.concat(F.lit("/"), k, F.lit("/src/lib.rs")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+
+
+@query(f"""WITH {SCOPED} """ + " UNION ALL ".join(f"""SELECT file_id, {n} AS use_no, CAST({'strpos(text, chr(40) || chr(108))' if to == '), (' else f"strpos(text, '{to}') + {len(to)} - 1"} AS BIGINT) AS name_start FROM scoped""" for n, (_, to) in enumerate(USES)))
+def code_definitions(d: Driver) -> DataFrame:
+    files = scoped_files(d)
+    spots = F.array(*[F.struct(F.lit(n).alias("use_no"), (F.instr("text", at) + len(at) - 1).cast("long").alias("offset")) for n, (at, _) in enumerate(USES)])
+    cursors = files.select("file_id", F.explode(spots).alias("s")).select(F.concat_ws("|", "file_id", "s.use_no").alias("query_id"), "file_id", "s.*")
+    found = Analysis(files).goto_definition(cursors.select("query_id", "file_id", "offset"))
+    return found.select(F.col("def_file").alias("file_id"), F.split("query_id", "\\|")[1].cast("int").alias("use_no"), "name_start")
+
+
+GATED = r"""gated AS (SELECT s_suppkey AS file_id, s_suppkey % 2 AS odd, CAST(s_suppkey AS VARCHAR) AS k FROM supplier)"""
+
+
+@query(f"""WITH {GATED}, targets AS (SELECT 1 AS target_id UNION ALL SELECT 2) SELECT target_id, file_id, name FROM (
+  SELECT target_id, file_id, unnest(CASE WHEN target_id = 1 THEN ['os' || k, 'on_unix', 'all'] || CASE WHEN odd = 1 THEN ['featured'] ELSE [] END ELSE ['os' || k, 'on_windows', 'tested', 'only', 'all'] END) AS name FROM gated, targets)""")
+def code_enabled_items(d: Driver) -> DataFrame:
+    k = F.col("s_suppkey").cast("string")
+    lines = [
+        F.concat(F.lit("#[cfg(unix)] mod os"), k, F.lit(" { pub fn on_unix() {} #[cfg(test)] fn unix_test() {} }")), F.concat(F.lit("#[cfg(not(unix))] mod os"), k, F.lit(" { fn on_windows() {} #[cfg(test)] fn tested() {} }")),
+        F.lit("#[cfg_attr(unix, cfg(test))] fn only() {} fn all() {}"), F.concat(F.lit('#[cfg(all(unix, feature = "f'), (F.col("s_suppkey") % 2).cast("string"), F.lit('"))] fn featured() {}')),
+    ]
+    files = d.raw("supplier").select(F.col("s_suppkey").alias("file_id"), F.concat(F.lit("/"), k, F.lit("/src/lib.rs")).alias("path"), F.concat_ws("\n", *lines).alias("text"))
+    near = durable(brackets.structure(lexing.tokens(files)), "structure")
+    items = durable(lexing.items(near), "items")
+    kinds = F.array(F.struct(F.lit(1).alias("t"), F.array(F.lit("unix")).alias("atoms"), F.array(F.lit("feature=f1")).alias("pairs"), F.lit(False).alias("is_test")), F.struct(F.lit(2).alias("t"), F.array(F.lit("windows")).alias("atoms"), F.array().cast("array<string>").alias("pairs"), F.lit(True).alias("is_test")))
+    targets = files.select("file_id", F.explode(kinds).alias("k")).select(F.concat_ws(":", "k.t", "file_id").alias("target_id"), F.col("file_id").alias("root_file"), "k.atoms", "k.pairs", "k.is_test")
+    on = gates.enabled_items(items, lexing.cfg_gates(near, items), lexing.module_files(items, files), targets)
+    return on.join(items, ["file_id", "item_id"]).select(F.split("target_id", ":")[0].cast("int").alias("target_id"), "file_id", "name")
+
+
 # ---- operators that no other query covers ----------------------------------------------------------------------------
 
 LATE = "late AS (SELECT user_id AS path, event_id * 7919 % 10007 AS version, ts FROM events)"

@@ -96,7 +96,7 @@ def test_items(analysis):
 
 
 def test_docs_modules_uses_gates(analysis, files):
-    assert [(r.item_id, r.docs) for r in lexing.item_docs(analysis.tokens, analysis.items).collect()] == [(LIB.index("struct Point"), "A point.\nSecond line.")]
+    assert [(r.item_id, r.docs) for r in lexing.item_docs(analysis.tokens, analysis.items).orderBy(F.col("item_id").desc_nulls_last()).collect()] == [(LIB.index("struct Point"), "A point.\nSecond line."), (None, "crate docs")]
     assert {(r.name, r.module_file) for r in analysis.module_links.collect()} == {("other", 2), ("sub", 3)}
     uses = {(tuple(r.segments), r.binding, r.import_kind) for r in lexing.use_leaves(analysis.items, analysis.tokens).collect()}
     assert uses == {(("std", "fmt"), None, "self"), (("std", "fmt", "Display"), "D", "named"), (("std", "io"), None, "glob"), (("super", "o"), "_", "named")}
