@@ -11,6 +11,7 @@ import pytest
 from test_llm_operators import containment_brute, ids_of, jaccard_brute
 
 import corpus_pipeline
+from srcatlas.llm import queries as llm_queries
 from srcatlas.llm import toxicity
 from srcatlas.llm.common import table, written
 
@@ -91,3 +92,12 @@ def test_the_rest_works_without_these_folders(tmp_path):
     code = "import __spark_entry__ as e; assert len(e.queries()) > 40 and set(e.oracle_sql()) <= set(e.queries()); assert not any(k.startswith('op') or k == 'pipeline' for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": "/tmp", "PYTHONPATH": ""} | {k: v for k, v in __import__("os").environ.items() if k.startswith(("JAVA", "SPARK", "LD_"))})
     assert importlib.util.find_spec("srcatlas.llm")
+
+
+def test_names_of_results_may_be_taken(spark, tmp_path):
+    """Columns called as results are, in any case, pass through the toxicity stage, and op2 does not read them."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("*", "1 AS Score", "'x' AS PREDICTED", "2 AS N_removed_lines")
+    kept = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert kept.columns == docs.columns and 0 < kept.count() <= 60
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert llm_queries.queries()["op2_line_dedup"](spark, str(tmp_path)).columns == ["doc_id", "text", "n_chars", "n_removed_lines"]
