@@ -2,10 +2,12 @@
 
 A tolerant scan cuts a page into blocks and drops raw elements and containers that name themselves as boilerplate
 (menus, page headers, footers, sidebars, notices, adverts, forms, reader comments); forms, headers and names that only hint
-at it stay where all of a page's running text is in them. Pass one labels a block by link density, length and stop-word
+at it stay where all of a page's running text is in them, and names that an article may have too (legal, social, related, promo)
+where they hold a long text and the rest of the page next to none. Pass one labels a block by link density, length and stop-word
 density: good, bad or undecided; a page without stop words of the listed languages is judged by length and links alone. In pass two an undecided block takes the label of its
 nearest decided neighbours: good if both sides or the only decided side are good, or the nearer one is. Blocks inside
-<article> or <main> are bad only for their links, and good if nothing around them is decided.
+<article> or <main> are bad only for their links, and good if nothing around them is decided; of a page without such an
+element and without a good block, the undecided blocks are the text.
 
 Rows: null or empty html, and pages without main text, give the empty text. Null ids and urls stay null; repeated rows
 give repeated results; other columns are ignored. Truncated tags, comments and raw elements end with the page.
@@ -40,6 +42,9 @@ HINTS = frozenset(
     "related recommended breadcrumb breadcrumbs newsletter subscribe signup login pagination pager toolbar copyright legal "
     "complementary contentinfo".split()
 )
+# Names among them that an article may have for its subject or its place.
+SUBJECTS = frozenset("ad ads advert advertisement adverts aside legal menu notice promo promotion related recommended share sharing social sponsor sponsored subscribe newsletter".split())
+CERTAIN = HINTS - SUBJECTS
 # Names that mark boilerplate unless they hold all of a page's text.
 SOFT_HINTS = frozenset("header banner side alert overlay widget tags search form".split())
 # First parts of names that tell of a layout, not of what is inside.
@@ -62,14 +67,15 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?")
+ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 UNSHOWN = re.compile(r"display\s*:\s*none")
 
 SHORT, LONG, LINKED, STOPPED, UNSTOPPED = 70, 140, 0.34, 0.12, 0.04
-SHOWN, MAYBE, GONE = 0, 1, 2
+SHOWN, MAYBE, NAMED, GONE = 0, 1, 2, 3
 
 
 def hint(attrs: str) -> int:
-    """What a tag's attributes say of its content: SHOWN, MAYBE boilerplate, or GONE.
+    """What a tag's attributes say of its content: SHOWN, MAYBE boilerplate, NAMED as such, or GONE.
 
     Names count as a whole; of names with hyphens the first or last part only says MAYBE.
     """
@@ -79,25 +85,31 @@ def hint(attrs: str) -> int:
         if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and UNSHOWN.search(value):
             return GONE
         for x in value.split() if name in ("class", "id", "role") else ():
-            if x in HINTS:
+            if x in CERTAIN:
                 return GONE
+            if x in SUBJECTS:
+                out = NAMED
             parts = x.replace("_", "-").split("-")
             if x in SOFT_HINTS or len(parts) > 1 and parts[0] not in LAYOUT and (parts[0] in HINTS or parts[-1] in HINTS):
-                out = MAYBE
+                out = max(out, MAYBE)
     return out
 
 
 class Block:
-    __slots__ = ("text", "links", "inside", "maybe", "label")
+    __slots__ = ("text", "links", "inside", "doubt", "label")
 
-    def __init__(self, text: str, links: int, inside: bool, maybe: bool):
-        self.text, self.links, self.inside, self.maybe, self.label = text, links, inside, maybe, 0
+    def __init__(self, text: str, links: int, inside: bool, doubt: int):
+        self.text, self.links, self.inside, self.doubt, self.label = text, links, inside, doubt, 0
+
+    def runs(self, least: int = 1) -> bool:
+        """Whether this is running text, of some length, rather than links."""
+        return len(self.text) >= least and self.links <= LINKED * len(self.text)
 
 
 def blocks(html: str) -> list[Block]:
-    """Blocks outside dropped parts, in page order; maybe: inside something that is boilerplate unless it holds all text."""
+    """Blocks outside dropped parts, in page order; doubt: SHOWN, MAYBE or NAMED, of the block and what it is in."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, SHOWN, MAYBE or GONE, inside an article
+    stack: list[tuple[str, int, bool]] = []  # tag, SHOWN to GONE, inside an article
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
     state = {"links": 0, "in_link": 0, "own": SHOWN}
@@ -108,7 +120,7 @@ def blocks(html: str) -> list[Block]:
             parts.clear()
             if text and state["own"] != GONE:
                 _, around, inside = stack[-1] if stack else ("", SHOWN, False)
-                out.append(Block(text, state["links"], inside, MAYBE in (around, state["own"])))
+                out.append(Block(text, state["links"], inside, max(around, state["own"])))
         state["links"], state["own"] = 0, SHOWN
 
     def take(text: str) -> None:
@@ -180,16 +192,21 @@ def first_pass(b: Block, known: bool) -> int:
 
 
 def main_text(html: str | None) -> str:
-    some = blocks(html) if html else []
-    sure = [b for b in some if not b.maybe]
+    every = blocks(html) if html else []
+    some = [b for b in every if b.doubt == SHOWN]
     # What may be boilerplate stays if it is all that a page says in running text.
-    if not any(b.links <= LINKED * len(b.text) for b in sure):
-        sure = some
-    some = sure
-    prose = [b.text for b in some if len(b.text) >= SHORT and b.links <= LINKED * len(b.text)]
+    if not any(b.runs() for b in some):
+        some = [b for b in every if b.doubt <= MAYBE]
+    # So does what is named like it, if it is long and little is said outside of it.
+    if not any(b.inside for b in some) and sum(len(b.text) for b in some if b.runs()) < LONG and any(b.runs(LONG) for b in every if b.doubt == NAMED):
+        some = every
+    prose = [b.text for b in some if b.runs(SHORT)]
     known = not prose or stop_share(" ".join(prose)) >= UNSTOPPED
     for b in some:
         b.label = first_pass(b, known)
+    # Short text counts only where there is markup that could have set it apart.
+    if some and "<" in html and not any(b.label > 0 or b.inside for b in some) and not ARTICLE.search(html):
+        return "\n\n".join(b.text for b in some if b.label == 0)
     decided = [i for i, b in enumerate(some) if b.label]
     k, kept = 0, []
     for i, b in enumerate(some):

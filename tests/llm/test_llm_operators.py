@@ -673,6 +673,22 @@ def test_pages_that_keep_their_prose(page):
     assert html_text.main_text(page) == PROSE
 
 
+@pytest.mark.parametrize("name", "legal social related promo subscribe share ad menu".split())
+def test_names_give_way_to_a_long_text(name):
+    """An article in a container that is named like boilerplate stays where the page says little else, and only there."""
+    box = f'<div class="{name}"><p>{PROSE} {PROSE}</p></div>'
+    around = '<nav><a href=x>Home</a></nav>{}<div class="cookies"><p>' + PROSE * 2 + "</p></div><footer>z</footer>"
+    assert html_text.main_text(around.format(box)) == f"{PROSE} {PROSE}"
+    assert html_text.main_text(around.format(f"<p>{PROSE}</p><p>{PROSE}</p>" + box)) == f"{PROSE}\n\n{PROSE}"
+    assert html_text.main_text(around.format("<article><p>One.</p></article>" + box)) == "One."
+    assert html_text.main_text(around.format("")) == ""
+
+
+def test_a_page_of_one_short_line():
+    assert html_text.main_text("<div><a href=x>Home of the house</a></div><p>One short line.</p>") == "One short line."
+    assert html_text.main_text("<article></article><p>x y</p>") == ""
+
+
 def test_a_page_in_another_language():
     page = f"<nav><a href=x>Главная</a></nav><div><h2>Рыбак</h2><p>{RUSSIAN}</p><p>Коротко.</p><p>{RUSSIAN}</p></div><ul><li><a href=y>Ещё новости этого раздела и других разделов сайта за прошлую неделю</a></li></ul>"
     assert html_text.main_text(page) == f"Рыбак\n\n{RUSSIAN}\n\nКоротко.\n\n{RUSSIAN}"
