@@ -30,6 +30,18 @@ def debounced(events: DataFrame, quiet_seconds: float) -> DataFrame:
     return events.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= int(quiet_seconds * 1_000_000))).drop("_gap")
 
 
+def debounced_with_flush(events: DataFrame, quiet_seconds: float) -> DataFrame:
+    """L.7, L.8: path, op, ts, fired_at of what fires: each flush at once, and each trigger after a quiet time without another
+    event of its path, or for good; several triggers of one moment are one. op: flush, anything else is a trigger."""
+    quiet = int(quiet_seconds * 1_000_000)
+    flush = F.coalesce(F.col("op") == "flush", F.lit(False)).alias("_flush")
+    rows = events.filter("path is not null and ts is not null").select("path", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"), flush)
+    gap = F.lead("_at").over(Window.partitionBy("path").orderBy("_at", "_flush")) - F.col("_at")
+    some = rows.withColumn("_gap", gap).filter(F.col("_flush") | F.col("_gap").isNull() | (F.col("_gap") >= quiet))
+    fired_at = F.col("_at") + F.when(F.col("_flush"), 0).otherwise(quiet)
+    return some.select("path", F.when(F.col("_flush"), "flush").otherwise("trigger").alias("op"), F.timestamp_micros("_at").alias("ts"), F.timestamp_micros(fired_at).alias("fired_at"))
+
+
 def overlay(files: DataFrame, dirty: DataFrame) -> DataFrame:
     """L.4: files with the dirty ones (file_id, text) in their place."""
     kept = files.join(dirty.select("file_id"), "file_id", "left_anti").select("file_id", "text", F.lit(False).alias("is_dirty"))

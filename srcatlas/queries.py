@@ -521,6 +521,14 @@ def debounce_last(d: Driver) -> DataFrame:
     return incremental.debounced(d.document_events(), 60)
 
 
+@query(f"""WITH {EVENTS}, e AS (SELECT path, epoch_us(ts) AS us, op = 'save' AS flush FROM doc_events WHERE path IS NOT NULL AND ts IS NOT NULL),
+n AS (SELECT *, lead(us) OVER (PARTITION BY path ORDER BY us, flush) - us AS gap FROM e)
+SELECT path, CASE WHEN flush THEN 'flush' ELSE 'trigger' END AS op, make_timestamp(us) AS ts, make_timestamp(us + CASE WHEN flush THEN 0 ELSE 60000000 END) AS fired_at
+FROM n WHERE flush OR gap IS NULL OR gap >= 60000000""")
+def debounce_flush(d: Driver) -> DataFrame:
+    return incremental.debounced_with_flush(d.document_events().withColumn("op", F.when(F.col("op") == "save", "flush").otherwise("trigger")), 60)
+
+
 @query("SELECT doc_id AS file_id, CASE WHEN doc_id % 4 = 0 THEN upper(source) ELSE text END AS text, doc_id % 4 = 0 AS is_dirty FROM documents")
 def dirty_overlay(d: Driver) -> DataFrame:
     return incremental.overlay(d.files(), d.files().filter("file_id % 4 = 0").select("file_id", F.upper("package").alias("text")))
