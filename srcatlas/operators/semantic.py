@@ -54,10 +54,28 @@ def goto_implementation(entities: DataFrame, impls: DataFrame) -> DataFrame:
 
 
 def trait_functions(traits_of_types: DataFrame, functions: DataFrame, impl_functions: DataFrame, impls: DataFrame) -> DataFrame:
-    """F.13: functions that a type gets from its traits and from its trait implementations, each once."""
-    declared = traits_of_types.join(functions, "trait").select("type_id", "function_id")
-    own = impls.filter("trait is not null").join(impl_functions, "impl_id").select(F.col("self_type").alias("type_id"), "function_id")
-    return declared.unionByName(own).distinct()
+    """F.13: functions that a type gets from its traits and from its trait implementations, each once.
+
+    The sources of a function, nearly always one trait or implementation, are ordered: traits before implementations, each in
+    order. A type takes a function from the first of them that it has, so the pairs need no distinct and are never shuffled.
+    """
+    has_trait = traits_of_types.filter("trait is not null").select("type_id", "trait").distinct()
+    has_impl = impls.filter("trait is not null and impl_id is not null").select(F.col("self_type").alias("type_id"), "impl_id").distinct()
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    sources = functions.select("function_id", "trait", none(impl_functions, "impl_id")).unionByName(impl_functions.select("function_id", none(functions, "trait"), "impl_id"))
+    by_function = sources.groupBy("function_id").agg(F.array_sort(F.collect_set("trait")).alias("_traits"), F.array_sort(F.collect_set("impl_id")).alias("_impls"))
+    declared = by_function.select("function_id", "_traits", F.posexplode("_traits").alias("_n", "trait")).select("function_id", "trait", F.slice("_traits", F.lit(1), F.col("_n")).alias("_before"))
+    own = by_function.select("function_id", "_traits", "_impls", F.posexplode("_impls").alias("_n", "impl_id")).select("function_id", "impl_id", "_traits", F.slice("_impls", F.lit(1), F.col("_n")).alias("_before"))
+    # Of a type's sources only those that stand before another one in some function are looked at.
+    firsts = declared.select(F.explode("_before").alias("trait")).unionByName(own.select(F.explode("_traits").alias("trait"))).distinct()
+    first_impls = own.select(F.explode("_before").alias("impl_id")).distinct()
+    traits_had = has_trait.join(firsts, "trait", "left_semi").groupBy("type_id").agg(F.collect_set("trait").alias("_had_traits"))
+    impls_had = has_impl.join(first_impls, "impl_id", "left_semi").groupBy("type_id").agg(F.collect_set("impl_id").alias("_had_impls"))
+    new = lambda had, before: ~F.coalesce(F.arrays_overlap(had, before), F.lit(False))
+    by_trait = declared.join(has_trait.join(traits_had, "type_id", "left"), "trait").filter((F.size("_before") == 0) | new("_had_traits", "_before"))
+    of_impl = has_impl.join(traits_had, "type_id", "left").join(impls_had, "type_id", "left")
+    by_impl = own.join(of_impl, "impl_id").filter(((F.size("_traits") == 0) | new("_had_traits", "_traits")) & ((F.size("_before") == 0) | new("_had_impls", "_before")))
+    return by_trait.select("type_id", "function_id").unionByName(by_impl.select("type_id", "function_id"))
 
 
 def inherent_applicability(receiver_args: Column, impl_args: Column) -> Column:

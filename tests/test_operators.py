@@ -169,3 +169,17 @@ def test_empty_tables(spark):
     assert stats.package_fingerprints(files).count() == 0
     assert closure.reverse_dependency_closure(table(spark, "package_slot int"), table(spark, "package_slot int, dep_slot int")).count() == 0
     assert imports.resolve_paths(table(spark, "path_id int, module_id long, segments array<string>"), table(spark, "module_id long, name string, ns string, def_id long"), table(spark, "def_id long, module long")).count() == 0
+
+
+def above_joins(df) -> str:
+    """The optimized plan from its root down to the first join: what is done with the joined rows."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split("Join ")[0]
+
+
+def test_trait_functions_come_once_without_a_distinct(spark):
+    impls = table(spark, "self_type long, trait long, impl_id long", (1, 10, 100), (1, 11, 101), (2, 11, 102), (2, None, 103), (3, 12, 104), (1, 10, 105), (1, 10, 105))
+    functions = table(spark, "trait long, function_id long", (10, 7), (11, 7), (11, 8), (11, 8), (12, 9), (13, 6))
+    own = table(spark, "impl_id long, function_id long", (100, 7), (101, 5), (102, 5), (102, 4), (105, 5), (103, 3), (104, 9), (105, 2), (100, 2))
+    found = semantic.trait_functions(semantic.traits_for_types(impls), functions, own, impls)
+    assert rows(found) == [(1, 2), (1, 5), (1, 7), (1, 8), (2, 4), (2, 5), (2, 7), (2, 8), (3, 9)]
+    assert "Aggregate" not in above_joins(found)
