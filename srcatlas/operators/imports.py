@@ -7,11 +7,12 @@ glob), source (module the path leads to), item (name taken, null for globs), bin
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import rounds
-from ..plans.priority import first_of
 
 BINDING = ["module_id", "name", "ns", "def_id", "visibility", "owner", "origin"]
 
@@ -67,13 +68,23 @@ def unresolved_imports(imports: DataFrame, bindings: DataFrame) -> DataFrame:
 def first_segment(uses: DataFrame, scopes: DataFrame, extern_roots: DataFrame, prelude: DataFrame) -> DataFrame:
     """D.10: module scope hides extern roots, which hide the prelude; several definitions of the winning place stay.
 
-    uses: use_id, module_id, target_id, name, absolute. Absolute paths look at extern roots only.
+    uses: use_id, module_id, target_id, name, absolute. Absolute paths look at extern roots only. The winning place is found
+    by the names alone; only then a use meets its definitions, whose rows are not shuffled again. Rows of one use_id count as
+    its alternatives; of those alone the definitions are made distinct.
     """
-    relative = uses.filter("not absolute")
-    own = relative.join(scopes.select("module_id", "name", "def_id"), ["module_id", "name"]).select("use_id", "def_id")
-    root = uses.join(extern_roots.select("target_id", "name", "def_id"), ["target_id", "name"]).select("use_id", "def_id")
-    last = relative.join(prelude.select("target_id", "name", "def_id"), ["target_id", "name"]).select("use_id", "def_id")
-    return first_of([own.distinct(), root.distinct(), last.distinct()], ["use_id"])
+    places = [(scopes, "module_id"), (extern_roots, "target_id"), (prelude, "target_id")]
+    asked = uses.select("use_id", "module_id", "target_id", "name", "absolute")
+    for k, (defs, at) in enumerate(places):
+        asked = asked.join(defs.select(at, "name").distinct().withColumn(f"_has{k}", F.lit(True)), [at, "name"], "left")
+    place = F.when(F.col("_has0") & ~F.col("absolute"), 0).when(F.col("_has1"), 1).when(F.col("_has2") & ~F.col("absolute"), 2)
+    one = Window.partitionBy("use_id")
+    won = asked.withColumn("priority", place).filter("priority is not null").withColumns({"_first": F.min("priority").over(one), "_n": F.count(F.lit(1)).over(one)}).filter("priority = _first")
+
+    def met(some: DataFrame) -> DataFrame:
+        each = [some.filter(F.col("priority") == k).join(defs.select(at, "name", "def_id").distinct(), [at, "name"]) for k, (defs, at) in enumerate(places)]
+        return reduce(DataFrame.unionByName, (e.select("use_id", "def_id", "priority") for e in each))
+
+    return met(won.filter("_n = 1")).unionByName(met(won.filter("_n > 1")).distinct())
 
 
 def resolve_paths(paths: DataFrame, bindings: DataFrame, module_defs: DataFrame, most_segments: int = 32, longest: int | None = None) -> DataFrame:

@@ -183,3 +183,13 @@ def test_trait_functions_come_once_without_a_distinct(spark):
     found = semantic.trait_functions(semantic.traits_for_types(impls), functions, own, impls)
     assert rows(found) == [(1, 2), (1, 5), (1, 7), (1, 8), (2, 4), (2, 5), (2, 7), (2, 8), (3, 9)]
     assert "Aggregate" not in above_joins(found)
+
+
+def test_first_segment_picks_the_place_before_definitions(spark):
+    uses = table(spark, "use_id long, module_id long, target_id long, name string, absolute boolean", (1, 1, 5, "a", False), (2, 1, 5, "a", True), (3, 2, 5, "p", False), (4, 2, 5, "p", True), (5, 2, 5, "b", False), (6, 1, 5, "p", False), (6, 1, 5, "b", False), (6, 2, 5, "b", False), (7, 1, 6, "z", False))
+    scopes = table(spark, "module_id long, name string, def_id long", (1, "a", 10), (1, "a", 11), (1, "a", 11), (9, "b", 12))
+    roots = table(spark, "target_id long, name string, def_id long", (5, "a", 20), (5, "b", 21), (5, "b", 22))
+    prelude = table(spark, "target_id long, name string, def_id long", (5, "p", 30), (5, "a", 31))
+    found = imports.first_segment(uses, scopes, roots, prelude)
+    assert rows(found, "use_id", "def_id", "priority") == [(1, 10, 0), (1, 11, 0), (2, 20, 1), (3, 30, 2), (5, 21, 1), (5, 22, 1), (6, 21, 1), (6, 22, 1)]
+    assert "Window" not in above_joins(found) and "Aggregate" not in above_joins(found)
