@@ -193,3 +193,14 @@ def test_first_segment_picks_the_place_before_definitions(spark):
     found = imports.first_segment(uses, scopes, roots, prelude)
     assert rows(found, "use_id", "def_id", "priority") == [(1, 10, 0), (1, 11, 0), (2, 20, 1), (3, 30, 2), (5, 21, 1), (5, 22, 1), (6, 21, 1), (6, 22, 1)]
     assert "Window" not in above_joins(found) and "Aggregate" not in above_joins(found)
+
+
+def test_points_go_to_the_widths_that_spans_have(spark):
+    from srcatlas.plans.interval import dealt_points, with_width
+
+    points = table(spark, "f int, offset long", *[(1, 10 * k) for k in range(100)])
+    one = table(spark, "f int, span_start long, span_end long", (1, 0, 450), (1, 150, 380))
+    assert dealt_points(points, "offset", with_width(one)).count() == 100
+    two = one.union(table(spark, "f int, span_start long, span_end long", (1, 0, 9000)))
+    assert dealt_points(points, "offset", with_width(two)).count() == 200
+    assert points_in_spans(points, two.filter("f = 3"), ["f"]).count() == 0
