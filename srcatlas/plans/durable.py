@@ -6,7 +6,12 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+#: Spark broadcasts a side of a join by the size of its files, and those of token tables are a hundredth of their rows: millions of
+#: rows would pass through the driver. Tables of more rows than this are joined by shuffles, whatever their files' size.
+MOST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,10 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame, tag: str = "round") -> DataFrame:
-    """df written to the shared folder and read back."""
+    """df written to the shared folder and read back; of more than MOST_ROWS rows, it asks its joins not to broadcast."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out.hint("merge") if seen.get["n"] > MOST_ROWS else out
 
 
 def forget(df: DataFrame) -> None:

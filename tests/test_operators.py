@@ -204,3 +204,14 @@ def test_points_go_to_the_widths_that_spans_have(spark):
     two = one.union(table(spark, "f int, span_start long, span_end long", (1, 0, 9000)))
     assert dealt_points(points, "offset", with_width(two)).count() == 200
     assert points_in_spans(points, two.filter("f = 3"), ["f"]).count() == 0
+
+
+def test_durable_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    from srcatlas.plans import durable as module
+
+    monkeypatch.setattr(module, "MOST_ROWS", 50)
+    few, many = module.durable(spark.range(40)), module.durable(spark.range(60))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    derived = many.filter("id > 3").select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).groupBy("id").count()
+    assert "Broadcast" not in plan(spark.range(1000).join(derived, "id")) and spark.range(1000).join(derived, "id").count() == 56
+    assert "Broadcast" in plan(spark.range(1000).join(few, "id"))
