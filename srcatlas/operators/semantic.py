@@ -46,11 +46,13 @@ def variant_by_name(lookups: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def goto_implementation(entities: DataFrame, impls: DataFrame) -> DataFrame:
-    """I.6: a type leads to its implementations, a trait to the implementations of it (entity_id, entity_kind)."""
-    of_type = entities.filter("entity_kind = 'type'").join(impls, F.col("entity_id") == F.col("self_type"))
-    of_trait = entities.filter("entity_kind = 'trait'").join(impls, F.col("entity_id") == F.col("trait"))
+    """I.6: a type leads to its implementations, a trait to the implementations of it (entity_id, entity_kind). Both sides are
+    distinct before they meet, so the joined rows need no distinct."""
+    asked = lambda kind: entities.filter(F.col("entity_kind") == kind).select("entity_id", "entity_kind").distinct()
+    of_type = asked("type").join(impls.select("impl_id", "self_type").distinct(), F.col("entity_id") == F.col("self_type"))
+    of_trait = asked("trait").join(impls.select("impl_id", "self_type", "trait").distinct(), F.col("entity_id") == F.col("trait"))
     cols = ["entity_id", "entity_kind", "impl_id", "self_type"]
-    return of_type.select(*cols).unionByName(of_trait.select(*cols)).distinct()
+    return of_type.select(*cols).unionByName(of_trait.select(*cols))
 
 
 def trait_functions(traits_of_types: DataFrame, functions: DataFrame, impl_functions: DataFrame, impls: DataFrame) -> DataFrame:

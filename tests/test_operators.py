@@ -215,3 +215,11 @@ def test_durable_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
     derived = many.filter("id > 3").select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).groupBy("id").count()
     assert "Broadcast" not in plan(spark.range(1000).join(derived, "id")) and spark.range(1000).join(derived, "id").count() == 56
     assert "Broadcast" in plan(spark.range(1000).join(few, "id"))
+
+
+def test_implementations_come_once_without_a_last_distinct(spark):
+    impls = table(spark, "self_type long, trait long, impl_id long", (1, 10, 100), (1, 10, 100), (1, None, 100), (2, 10, 101))
+    asked = table(spark, "entity_id long, entity_kind string", (1, "type"), (1, "type"), (10, "trait"), (2, "trait"))
+    found = semantic.goto_implementation(asked, impls)
+    assert rows(found) == [(1, "type", 100, 1), (10, "trait", 100, 1), (10, "trait", 101, 2)]
+    assert "Aggregate" not in above_joins(found)
