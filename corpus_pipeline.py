@@ -20,7 +20,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, similarity 0.8) stays, the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (SimHash links checked on five-word sets, similarity 0.8) stays, the one with the smallest doc_id."""
     return near_copies.one_per_group(docs, words=5)
 
 

@@ -1,17 +1,21 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingle sets.
+"""Near-duplicates by SimHash and the exact Jaccard similarity of word shingle sets.
 
 A text is the set of its shingles of `words` words (A-Z lower-cased, words are runs of anything but ASCII white space; fewer
 words: the whole sequence) by their 64-bit hashes; equal sets travel once. Two texts are linked if their sets have a
 similarity of `LEAST` or more, and a group is what links join.
 
-Search: 128 MinHashes in BANDS bands of ROWS. Sets of similarity 0.8 agree in a band but for one pair in twenty million
-(0.5904 ** 32), so a set that agrees with no other one in any band has no link and goes no further, and only pairs that agree
-in a band are candidates. Only these sets' texts are fetched. Candidates are compared on their whole sets. Up to ROUNDS times
-each set is compared with one other: every band's sets have a pivot, another one each time, and of the pivots in other groups
-than its own a set takes the one that it shares most bands with. That joins groups of near copies in linear work. Then those
-that are still in different groups are compared with each other, each pair once, unless sketches of SKETCH bits tell them
-apart: a bit of two sets agrees with probability (1 + similarity) / 2, and pairs that differ in more than FARTHEST bits, 5.5
-standard deviations beyond similarity 0.8, have no link but for one in fifty million. Such pairs are never emitted.
+Search: SimHash fingerprints of the texts within DISTANCE bits, found by simhash.py's covering anchors, are compared on their
+whole sets, and those that are alike are linked. DISTANCE is all that these anchors cover. At a similarity of 0.8 fingerprints
+differ in ten bits on average, so some links are beyond it, and a crowded anchor names only some pairs. For these links there
+are 128 MinHashes in BANDS bands of ROWS. Sets of similarity 0.8 agree in a band but for one pair in twenty million
+(0.5904 ** 32), so a set without a near fingerprint that agrees with no other one in any band has no link and goes no further.
+Only the other sets' texts are fetched, and candidates are compared on their whole sets. Up to ROUNDS times each set is
+compared with one other of those that fingerprints have not joined with it: every band's sets have a pivot, another one each
+time, and of the pivots in other groups than its own a set takes the one that it shares most bands with. That joins groups of
+near copies in linear work. Then those that are still in different groups are compared with each other, each pair once, unless
+sketches of SKETCH bits tell them apart: a bit of two sets agrees with probability (1 + similarity) / 2, and pairs that differ
+in more than FARTHEST bits, 5.5 standard deviations beyond similarity 0.8, have no link but for one in fifty million. Such
+pairs are never emitted.
 
 Rows: null text is empty; empty texts are one group. A null doc_id sorts first. Rows that repeat a doc_id are rows of
 their own. Empty table: empty result.
@@ -30,11 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import forget, known_id, known_text, maybe_in, prepare, written
 from .graph import components
-from .simhash import SEED, first_rows
+from .simhash import FARTHEST as COVERED
+from .simhash import SEED, first_rows, near_fingerprints, text_fingerprints
 from .textvec import BASE, SPACED, U, mix, permuted, shingle_sets, slices
 
 #: The least similarity of a link, as a fraction, so that it is compared in whole numbers.
 LEAST = (4, 5)
+#: Bits between fingerprints whose sets are compared.
+DISTANCE = COVERED
 BANDS, ROWS = 32, 4
 ROUNDS = 5
 SKETCH = 2048
@@ -59,7 +66,7 @@ def band_keys(h: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 
 def signature_rows(words: int):
-    """(doc_id, copy, text) to (doc_id, copy, sid, bands): the set's own hash and its band keys; none for texts without words."""
+    """(doc_id, copy, text) to (doc_id, copy, sid, fp, bands): the set's own hash, the text's fingerprint and the set's band keys; no bands without words."""
     from xxhash import xxh3_64_intdigest as xx
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +77,8 @@ def signature_rows(words: int):
                 full = np.diff(ptr) > 0
                 ends = np.concatenate([[0], np.cumsum(full) * BANDS]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(h, ptr).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(sid), bands], names=["doc_id", "copy", "sid", "bands"])
+                fp = pa.array(text_fingerprints(batch.column("text"), words))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(sid), fp, bands], names=["doc_id", "copy", "sid", "fp", "bands"])
 
     return run
 
@@ -121,8 +129,7 @@ def fits(a: str, b: str):
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose sets are alike; a set of src travels once a pair, so a hot dst is only a skewed join."""
-    pairs = written(pairs, "candidates")
+    """The pairs (src, dst; written) whose sets are alike; a set of src travels once a pair, so a hot dst is only a skewed join."""
     some = sets.select("sid", "shingles")
     both = pairs.join(some.toDF("src", "_a"), "src").join(some.toDF("dst", "_b"), "dst")
     out = written(both.filter(F.arrow_udf(alike, "boolean")("_a", "_b")).select("src", "dst"), "links")
@@ -130,12 +137,25 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def candidate_sets(rows: DataFrame, signatures: DataFrame, words: int) -> DataFrame:
-    """sid, n, shingles of every distinct set that agrees with another one in a band; one text a set is read again."""
+def fingerprint_pairs(signatures: DataFrame) -> DataFrame:
+    """(src, dst) of different sets whose fingerprints are equal or near: each with its fingerprint's first set, and first sets."""
+    held = written(signatures.select("fp", "sid").distinct(), "fingerprints")
+    heads = written(held.groupBy("fp").agg(F.min("sid").alias("head")), "heads")
+    near = written(near_fingerprints(heads, DISTANCE).distinct(), "near")
+    equal = held.join(heads, "fp").select(F.col("sid").alias("src"), F.col("head").alias("dst"))
+    across = near.join(heads.toDF("src", "a"), "src").join(heads.toDF("dst", "b"), "dst").select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst"))
+    out = written(equal.union(across).filter("src <> dst").distinct(), "candidates")
+    for table in (held, heads, near):
+        forget(table)
+    return out
+
+
+def candidate_sets(rows: DataFrame, signatures: DataFrame, near: DataFrame, words: int) -> DataFrame:
+    """sid, n, shingles of every distinct set of the pairs near or that agrees with another one in a band; one text a set is read again."""
     banded = signatures.select("sid", F.explode("bands").alias("key"))  # a band's number is part of its key
     several = banded.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).filter("a < b").select("key")
     # Written, so that the joins shuffle both sides anew and the side of a hot band or set can be split.
-    named = banded.join(written(several, "bands"), "key", "left_semi").select("sid").distinct()
+    named = banded.join(written(several, "bands"), "key", "left_semi").select("sid").union(near.select("src")).union(near.select("dst")).distinct()
     heads = signatures.groupBy("sid").agg(F.min(F.struct("doc_id", "copy")).alias("head")).join(named, "sid", "left_semi")
     heads = written(heads.select("sid", F.col("head.doc_id").alias("doc_id"), F.col("head.copy").alias("copy")), "heads")
     near = rows.filter(maybe_in(F.xxhash64("doc_id", "copy"), heads, F.xxhash64("doc_id", "copy")))
@@ -153,7 +173,7 @@ def pivot_links(cands: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
     pivots = written(pivots.select("key", F.col("p.sid").alias("dst"), F.col("p.n").alias("_n"), F.col("p.root").alias("_root")), "pivots")
     met = entries.join(pivots, "key").filter("root <> _root").filter(fits("n", "_n")).groupBy("sid", "dst").agg(F.count(F.lit(1)).alias("k"))
     best = met.groupBy("sid").agg(F.max(F.struct("k", "dst")).alias("b"))
-    out = verified(best.select(F.col("sid").alias("src"), F.col("b.dst").alias("dst")), sets)
+    out = verified(written(best.select(F.col("sid").alias("src"), F.col("b.dst").alias("dst")), "candidates"), sets)
     forget(pivots)
     return out
 
@@ -169,7 +189,7 @@ def other_links(cands: DataFrame, sets: DataFrame) -> DataFrame:
     apart = reduce(Column.__add__, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in LONGS))
     first = F.array_position(F.zip_with("bands", "_bands", lambda x, y: x == y), True) == F.col("band") + 1
     pairs = left.join(right, (left.key == right.key) & (F.col("root") < F.col("_root")) & fits("n", "_n") & (apart <= FARTHEST) & first)
-    out = verified(pairs.select(F.col("sid").alias("src"), F.col("_sid").alias("dst")), sets)
+    out = verified(written(pairs.select(F.col("sid").alias("src"), F.col("_sid").alias("dst")), "candidates"), sets)
     forget(opened)
     forget(left)
     return out
@@ -180,10 +200,12 @@ def members(docs: DataFrame, words: int = 5) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(known_id().alias("doc_id"), F.xxhash64(known_text()).alias("copy"), known_text().alias("text"))
-    signatures = written(rows.mapInArrow(signature_rows(words), "doc_id long, copy long, sid long, bands array<long>"), "signatures")
-    sets = candidate_sets(rows, signatures, words)
+    signatures = written(rows.mapInArrow(signature_rows(words), "doc_id long, copy long, sid long, fp long, bands array<long>"), "signatures")
+    near = fingerprint_pairs(signatures)
+    sets = candidate_sets(rows, signatures, near, words)
     cands = written(signatures.join(sets.select("sid", "n"), "sid").groupBy("sid", "n").agg(F.first("bands").alias("bands")), "candidates")
-    links, labels = spark.createDataFrame([], "src long, dst long"), None
+    links = verified(near, sets)
+    labels = None if links.isEmpty() else written(components(links), "labels")
 
     def grouped() -> DataFrame:
         return cands.withColumn("root", F.col("sid")) if labels is None else cands.join(labels, cands.sid == labels.node, "left").select("sid", "n", "bands", F.coalesce("root", "sid").alias("root"))

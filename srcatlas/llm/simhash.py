@@ -5,8 +5,8 @@ sequence), XXH64 with seed 42, a bit is set if it is set in over half of the shi
 
 Search: fingerprints within `distance` bits agree but for floor(distance / 3) bits in one of three blocks. In a block the
 anchors are a covering code: the [15, 11] Hamming code times all values of the other bits, of covering radius 1. Every
-distinct fingerprint goes to all anchors within radius + that many bits, so a near pair meets at the anchor of either one;
-pairs are compared there on all 64 bits. Copies of one fingerprint travel once. In an anchor with many fingerprints only
+distinct fingerprint goes to all anchors within radius + half that many bits, rounded up, so a near pair meets at the anchor
+of a value half way between the two; radius 2 covers FARTHEST bits. Pairs are compared there on all 64 bits. Copies of one fingerprint travel once. In an anchor with many fingerprints only
 those are compared that agree in one of distance + 1 parts of their bits, and many that do give a spanning forest of their
 links, never all pairs.
 
@@ -32,6 +32,8 @@ from .textvec import U, slices
 SEED = 42
 #: First bit and width of each block.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
+#: The widest distance that anchors within radius 2 cover: two bits in one of three blocks.
+FARTHEST = 8
 #: From this many fingerprints on, an anchor is divided by parts, and a part gives a spanning forest of its links.
 CROWDED = 48
 
@@ -69,14 +71,18 @@ def majority(hashes: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_fingerprints(column: pa.Array, words: int) -> np.ndarray:
+    """The fingerprint of each text as a signed long."""
+    hashes = [shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in column]
+    ptr = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
+    return majority(np.fromiter((x for h in hashes for x in h), U, int(ptr[-1])), ptr).view(np.int64)
+
+
 def fingerprint_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                hashes = [shingle_hashes(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column("text")]
-                ptr = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
-                flat = np.fromiter((x for h in hashes for x in h), U, int(ptr[-1]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(majority(flat, ptr).view(np.int64))], names=["doc_id", "copy", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(text_fingerprints(batch.column("text"), words))], names=["doc_id", "copy", "fp"])
 
     return run
 
@@ -241,14 +247,18 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return some.mapInArrow(fingerprint_rows(words), "doc_id long, copy long, fp long")
 
 
+def near_fingerprints(fps: DataFrame, distance: int) -> DataFrame:
+    """(src, dst) of the distinct fp of fps: an anchor's links of at most `distance` bits, of a crowded one a spanning forest."""
+    if not 0 <= distance <= FARTHEST:
+        raise ValueError(f"the anchors cover distances up to {FARTHEST}")
+    anchored = fps.select("fp").mapInArrow(replicas((distance // 3 + 1) // 2), "anchor long, fp long")
+    return anchored.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(links(distance), "src long, dst long")
+
+
 def labels(found: DataFrame, distance: int) -> DataFrame:
     """fp, component (the same for all fingerprints that links of at most `distance` bits join), component_id (its smallest doc_id)."""
-    if not 0 <= distance <= 5:
-        raise ValueError("the anchors cover distances up to 5")
     heads = found.groupBy("fp").agg(F.min("doc_id").alias("head"))
-    anchored = heads.select("fp").mapInArrow(replicas(distance // 3), "anchor long, fp long")
-    pairs = anchored.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(links(distance), "src long, dst long")
-    comp = components(pairs)
+    comp = components(near_fingerprints(heads, distance))
     labelled = comp.join(heads, comp.node == heads.fp)
     smallest = labelled.groupBy("root").agg(F.min("head").alias("least"))
     label = labelled.join(smallest, "root").select("fp", "root", "least")

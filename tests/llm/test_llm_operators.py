@@ -311,6 +311,53 @@ def test_near_copies_at_a_similarity_of_80_percent(spark):
     assert far > 20 and sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
 
 
+def test_near_copies_come_through_fingerprints(spark, monkeypatch):
+    """Without the rounds that follow, the stage still links what has near fingerprints and is alike, and only that."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    some = [(0, "one"), (1, None), (2, ""), (3, "ONE")]
+    for k in range(60):
+        w = prose(rng, rng.choice((60, 120, 240))).split()
+        some.append((3 * k + 4, " ".join(w)))
+        w[rng.randrange(len(w))] = "edited"
+        some.append((3 * k + 5, " ".join(w)))
+        for _ in range(5):
+            w[rng.randrange(len(w))] = "again"
+        some.append((3 * k + 6, " ".join(w)))
+    texts, fps = dict(some), {i: fingerprint(t, 5) for i, t in some}
+    near = [(i, j) for i in fps for j in fps if i < j and (fps[i] ^ fps[j]).bit_count() <= 8]
+    alike = [(i, j) for i, j in near if len(jaccard_brute([(i, texts[i]), (j, texts[j])])) == 1]
+    root = {i: i for i in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in alike:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    monkeypatch.setattr(near_copies, "ROUNDS", 0)
+    monkeypatch.setattr(near_copies, "other_links", lambda cands, sets: spark.createDataFrame([], "src long, dst long"))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(some, "doc_id long, text string"), SF)
+    assert len(near) > len(alike) > 60 and sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in fps})
+
+
+@pytest.mark.parametrize("distance", [4, 6, 7, 8])
+def test_anchors_of_radius_2_cover_8_bits(spark, distance):
+    """All pairs of exactly that many bits, the flipped bits dealt in every way to the blocks."""
+    rng = np.random.default_rng(distance)
+    fps = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    other = fps.copy()
+    for bits in rng.permuted(np.tile(np.arange(64), (3000, 1)), axis=1)[:, :distance].T:
+        other ^= np.uint64(1) << bits.astype(np.uint64)
+    found = spark.createDataFrame([(x,) for x in np.concatenate([fps, other]).view(np.int64).tolist()], "fp long")
+    got = {frozenset(r) for r in simhash.near_fingerprints(found, distance).collect()}
+    assert {frozenset(p) for p in zip(fps.view(np.int64).tolist(), other.view(np.int64).tolist(), strict=True)} <= got
+    with pytest.raises(ValueError, match="up to 8"):
+        simhash.near_fingerprints(found, 9)
+
+
 @pytest.mark.parametrize("distance", [0, 3, 5])
 def test_anchors_cover_every_near_pair(distance):
     rng = np.random.default_rng(distance)
